@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from lodeweave.llm.chat import CONFLICT
-from lodeweave.llm.queries import CONFLICT_TEXT
+from lodeweave.llm.mixing import PART, SEED, TABLE
+from lodeweave.llm.queries import CONFLICT_TEXT, MIX
 
 _OP2 = f"""
 WITH rows AS (
@@ -24,4 +25,25 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op2_chat_round_trip": _OP2}
+_MIX_WEIGHT = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MIX.items()) + " ELSE 1.0 END"
+
+
+def mix_sql(docs: str = "documents") -> str:
+    """The rows of poisson_mix() over the relation `docs`."""
+    return f"""
+WITH counts AS (SELECT source, count(*) AS n, ({_MIX_WEIGHT})::DOUBLE AS w FROM {docs} GROUP BY source),
+rates AS (SELECT source, w * ((sum(n) OVER ())::DOUBLE / sum(w) OVER ()) / n AS rate FROM counts),
+parted AS (SELECT source, rate, greatest(1, ceil(rate / {PART}))::BIGINT AS parts FROM rates),
+pmf AS (SELECT source, parts, k, exp(-(rate / parts) + k * ln(rate / parts) - lgamma(k + 1)) AS p FROM parted, range(0, {TABLE + 1}) AS t(k)),
+cdf AS (SELECT source, parts, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+drawn AS (SELECT d.doc_id, r.source, j, (('0x' || substr(md5('{SEED}:' || d.doc_id || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u
+  FROM {docs} d JOIN parted r ON d.source IS NOT DISTINCT FROM r.source, range(1, r.parts + 1) AS t(j)),
+tables AS (SELECT source, list(c ORDER BY k) AS cs FROM cdf GROUP BY source),
+copies AS (SELECT DISTINCT doc_id, j, len(list_filter(cs, lambda c: c < u)) AS n FROM drawn JOIN tables USING (source)),
+totals AS (SELECT doc_id, sum(n)::BIGINT AS n FROM copies GROUP BY doc_id)
+SELECT d.*, i::INTEGER AS copy_no, substr(md5('{SEED}/' || d.doc_id || '/' || i), 1, 16) AS mix_key
+FROM {docs} d JOIN totals USING (doc_id), range(1, n + 1) AS t(i)
+"""
+
+
+ORACLES: dict[str, str] = {"op2_chat_round_trip": _OP2, "op7_poisson_mix": mix_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, ogg, quality, secrets
+from lodeweave.llm import chat, mixing, ogg, quality, secrets, simhash
 from lodeweave.llm.shared import table
 
 
@@ -26,10 +26,22 @@ def op2_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(more)))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.ogg_column(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
 
+#: Target weights; every other source has weight 1.
+MIX = {"src0": 3.0, "src1": 2.0}
+
+
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"), MIX)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -37,6 +49,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_chat_round_trip": op2_chat_round_trip,
+    "op3_simhash": op3_simhash,
     "op5_ogg": op5_ogg,
+    "op7_poisson_mix": op7_poisson_mix,
     "op8_secret_scan": op8_secret_scan,
 }
