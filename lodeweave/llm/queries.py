@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, mixing, ogg, quality, secrets, simhash
+from lodeweave.llm import chat, hmm, langid, mixing, ogg, quality, secrets, simhash
 from lodeweave.llm.shared import table
 
 
@@ -30,10 +30,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op4_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify_languages(docs, langid.fit_language_model(docs))
+
+
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.ogg_column(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
 
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.hmm_scores(table(spark, sf_dir, "documents"))
+
+
 #: Target weights; every other source has weight 1.
 MIX = {"src0": 3.0, "src1": 2.0}
 
@@ -50,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_chat_round_trip": op2_chat_round_trip,
     "op3_simhash": op3_simhash,
+    "op4_language_svm": op4_language_svm,
     "op5_ogg": op5_ogg,
+    "op6_hidden_markov": op6_hidden_markov,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_secret_scan": op8_secret_scan,
 }
