@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import chat, hmm, langid, mixing, ogg, quality, secrets, simhash
+from lodeweave.llm import bpe, chat, hmm, langid, mixing, ogg, quality, secrets, simhash
 from lodeweave.llm.shared import table
 
 
@@ -55,6 +56,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_tokens=False).drop("ids", "decoded")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": op1_quality_trees,
     "op2_chat_round_trip": op2_chat_round_trip,
@@ -64,4 +70,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hidden_markov": op6_hidden_markov,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_secret_scan": op8_secret_scan,
+    "op10_byte_bpe": op10_byte_bpe,
 }
