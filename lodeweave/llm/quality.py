@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -235,8 +236,6 @@ def quality_scores(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id",
 
 def quality_kept(trees: Trees | None, text: Column, keep_at: float = KEEP_AT) -> Column:
     """A predicate on a text column: true for what the rules keep."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def kept(texts: pd.Series) -> pd.Series:
         return pd.Series(verdicts([b"" if t is None else t.encode() for t in texts], trees, keep_at)[3])

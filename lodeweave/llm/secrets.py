@@ -19,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,8 +147,6 @@ def redacted_text(text: str, mark: str = "[SECRET]") -> str:
 
 def redacted(text: Column, mark: str = "[SECRET]") -> Column:
     """A text column without its secrets; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def without(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else redacted_text(t, mark) for t in texts], dtype=object)
