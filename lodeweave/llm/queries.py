@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, chat, hmm, langid, mixing, ogg, quality, secrets, simhash
+from lodeweave.llm import bpe, chat, hmm, langid, mixing, ogg, quality, repeats, secrets, simhash
 from lodeweave.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_tokens=False).drop("ids", "decoded")
@@ -70,5 +74,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hidden_markov": op6_hidden_markov,
     "op7_poisson_mix": op7_poisson_mix,
     "op8_secret_scan": op8_secret_scan,
+    "op9_run_length_index": op9_run_length_index,
     "op10_byte_bpe": op10_byte_bpe,
 }
