@@ -2,9 +2,10 @@
 
 Every window is assigned the anchors it contains: the KGRAM-byte strings of least hash.  Equal windows have equal
 anchors at equal places, so a repeated window lies in the contexts (all bytes that a window around the anchor can have)
-of two occurrences of one anchor.  Contexts that occur twice with all their bytes are covered whole.  Of the others, one
-of each kind goes, by its anchor, to a task that builds a run-length index of its contexts (lodeweave.llm.rlbwt),
-streams their matching statistics and marks long matches.  An anchor with over HOT different contexts isn't indexed in
+of two occurrences of one anchor.  Contexts that occur twice with all their bytes are covered whole.  Of the others, those
+that by hashes of what stands beside the anchor may have a window in common go, one of each kind, by their anchor, to a
+task.  It cuts them to what any two have in common, builds a run-length index of them (lodeweave.llm.rlbwt), streams
+their matching statistics and marks long matches.  An anchor with over HOT different contexts isn't indexed in
 one task: the windows of its contexts are counted by their hash instead, with partial sums before the shuffle.
 
 Texts are known by their 64-bit hash and length; copies are worked on once a task.  Hashes have 64 bits.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -82,9 +84,28 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return pick(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def anchors(text: bytes, window: int = WINDOW, kgram: int = KGRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, context hash, and the context's bounds, of each anchor of a text."""
-    grams = window - kgram + 1
+#: Common stretches beside an anchor are told apart in so many steps a side.
+STEPS = 4
+
+
+@dataclass
+class Anchors:
+    """Of each anchor: its hash, its context's hash, its place, and STEPS 16-bit hashes of what stands left and right of it (0: less stands there)."""
+
+    hash: np.ndarray
+    context: np.ndarray
+    at: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def bounds(at: np.ndarray, n: np.ndarray | int, window: int, kgram: int) -> tuple[np.ndarray, np.ndarray]:
+    """A context: what the windows that have this anchor can cover."""
+    return np.maximum(at - (window - kgram), 0), np.minimum(at + window, n)
+
+
+def anchors(text: bytes, window: int = WINDOW, kgram: int = KGRAM) -> Anchors | None:
+    grams, step = window - kgram + 1, (window - kgram) // STEPS
     n_windows = len(text) - window + 1
     found: list[tuple[np.ndarray, ...]] = []
     data = np.frombuffer(text, np.uint8)
@@ -100,17 +121,26 @@ def anchors(text: bytes, window: int = WINDOW, kgram: int = KGRAM) -> tuple[np.n
         wide[grams - 1 : grams - 1 + len(least)] = least
         at = np.flatnonzero(sliding(wide, grams, False) == order) + start
         at = at[at > done]
-        done = int(at[-1]) if len(at) else done
-        a, b = np.maximum(at - grams + 1, 0), np.minimum(at + window, len(text))
+        if not len(at):
+            continue
+        done = int(at[-1])
+        a, b = bounds(at, len(text), window, kgram)
         whole = mixed(hashed.of(a - low, b - low) + mixed(((at - a) << 16 | (b - a)).astype(np.uint64)))
-        found.append((order[at - start], whole, a, b))
-    if not found:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))  # type: ignore[return-value]
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True))  # type: ignore[return-value]
+        sides = []
+        for sign in (-1, 1):
+            packed = np.zeros(len(at), np.uint64)
+            for j in range(1, STEPS + 1):
+                x, y = (at - j * step, at) if sign < 0 else (at + kgram, at + kgram + j * step)
+                fine = (x >= a) & (y <= b)
+                short = mixed(hashed.of(np.where(fine, x, a) - low, np.where(fine, y, a) - low)) % np.uint64(65535) + np.uint64(1)
+                packed |= np.where(fine, short, np.uint64(0)) << np.uint64(16 * (j - 1))
+            sides.append(packed)
+        found.append((order[at - start], whole, at, *sides))
+    return Anchors(*(np.concatenate(c) for c in zip(*found, strict=True))) if found else None
 
 
-_NAMES = ["h", "c", "k", "n", "low", "high", "lead"]
-_ANCHORS = "h long, c long, k long, n int, low int, high int, lead boolean"
+_NAMES = ["h", "c", "k", "n", "at", "left", "right", "lead"]
+_ANCHORS = "h long, c long, k long, n int, at int, left long, right long, lead boolean"
 
 
 def anchor_rows(texts: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
@@ -123,24 +153,23 @@ def anchor_rows(texts: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> D
             for k, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 key = (k, len(text))
                 seen[key] = seen.get(key, 0) + 1
-                if seen[key] <= 2 and len(text) >= window:
-                    h, c, a, b = anchors(text, window, kgram)
-                    parts.append((h, c, np.full(len(h), k), np.full(len(h), len(text)), a, b))
+                if seen[key] <= 2 and (x := anchors(text, window, kgram)):
+                    m = len(x.at)
+                    parts.append((x.hash, x.context, np.full(m, k), np.full(m, len(text), np.int32), x.at.astype(np.int32), x.left, x.right))
             if not parts:
                 continue
-            h, c, k, n, a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
-            h, c = h.view(np.int64), c.view(np.int64)
+            h, c, k, n, at, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
             by = np.lexsort((c, h))
             same = (h[by[1:]] == h[by[:-1]]) & (c[by[1:]] == c[by[:-1]])
             lead = np.ones(len(h), bool)
             lead[by[2:]] = ~(same[1:] & same[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(k), pa.array(n.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(lead)], _NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for x in (h, c, k, n, at, left, right, lead)], _NAMES)
 
     return texts.mapInArrow(made, _ANCHORS)
 
 
 _WHOLE, _INDEX, _COUNT = 0, 1, 2
-_SORTED = "kind int, h long, c long, k long, n int, low int, high int, twice boolean"
+_SORTED = "kind int, h long, c long, k long, n int, at int, twice boolean"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[np.ndarray]]:
@@ -162,25 +191,35 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[np.nda
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
+def _steps_shared(run: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """How many steps beside its anchor each context has in common with another of its run."""
+    packed, steps = packed.view(np.uint64), np.zeros(len(run), np.int64)
+    for j in range(STEPS):
+        short = ((packed >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.int64)
+        _, of, times = np.unique(run << 16 | short, return_inverse=True, return_counts=True)
+        steps += (steps == j) & (short > 0) & (times[of] > 1)
+    return steps
+
+
 def sorted_anchors(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """Of anchors that occur twice: contexts that are covered whole (h, c), and one of each kind where kinds differ."""
+    """Of anchors that occur twice: contexts that are covered whole (h, c), and one of each kind that may have a window in common with another kind."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, c, k, n, low, high in _groups(batches, 0):
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(h)))
-            heads = np.flatnonzero(np.concatenate([[True], h[first][1:] != h[first][:-1]]))
-            kinds = np.repeat(np.diff(np.append(heads, len(first))), np.diff(np.append(heads, len(first))))
-            twice = times > 1
+        for h, c, k, n, at, left, right in _groups(batches, 0):
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
+            twice = np.diff(np.append(first, len(h))) > 1
+            run = np.cumsum(np.concatenate([[0], h[first][1:] != h[first][:-1]]))
+            # windows in common need (window - kgram) bytes beside the anchor: STEPS steps, of which two may be begun
+            able = _steps_shared(run, left[first]) + _steps_shared(run, right[first]) >= STEPS - 1
+            kinds = np.bincount(run, able)[run]
             out = []
-            for kind, some in ((_WHOLE, twice), (_INDEX, (kinds > 1) & (kinds <= hot)), (_COUNT, kinds > hot)):
-                at = first[some]
-                out.append((np.full(len(at), kind, np.int32), h[at], c[at], k[at], n[at], low[at], high[at], twice[some]))
+            for kind, some in ((_WHOLE, twice), (_INDEX, able & (kinds > 1) & (kinds <= hot)), (_COUNT, able & (kinds > hot))):
+                i = first[some]
+                out.append((np.full(len(i), kind, np.int32), h[i], c[i], k[i], n[i], at[i], twice[some]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [x.split()[0] for x in _SORTED.split(", ")])
 
     width = shuffle_width(rows.sparkSession)
-    return rows.where("lead").select("h", "c", "k", "n", "low", "high").repartition(width, "h").sortWithinPartitions("h", "c", "k", "low").mapInArrow(told, _SORTED)
+    return rows.where("lead").select("h", "c", "k", "n", "at", "left", "right").repartition(width, "h").sortWithinPartitions("h", "c", "k", "at").mapInArrow(told, _SORTED)
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -209,66 +248,133 @@ def _beside_texts(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return left.union(right).repartition(shuffle_width(texts.sparkSession), "k", "n").sortWithinPartitions("k", "n", "kind")
 
 
-def contexts(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked (h, k, n, low, high, twice) with the bytes of each context."""
+_CONTEXT = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+
+
+def contexts(texts: DataFrame, asked: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> DataFrame:
+    """asked (h, k, n, at, twice) with where each context begins and its bytes."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         key, packed, text = None, b"", None
         for batch in batches:
             out = []
-            for k, n, kind, data, h, low, high, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, n, kind, data, h, at, twice in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if kind == 0:
                     if key != (k, n):
                         key, packed, text = (k, n), data, None
                 elif key == (k, n):
                     text = unpack.decompress(packed, max_output_size=n) if text is None else text
-                    out.append((h, k, n, low, high, twice, text[low:high]))
+                    low, high = max(at - (window - kgram), 0), min(at + window, n)
+                    out.append((h, k, n, at, low, twice, text[low:high]))
             columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()], strict=True)], ["h", "k", "n", "low", "high", "twice", "data"])
-
-    return _beside_texts(texts, asked.select("k", "n", "h", "low", "high", "twice")).mapInArrow(cut, "h long, k long, n int, low int, high int, twice boolean, data binary")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CONTEXT, strict=True)], ["h", "k", "n", "at", "low", "twice", "data"])
+
+    return _beside_texts(texts, asked.select("k", "n", "h", "at", "twice")).mapInArrow(cut, "h long, k long, n int, at int, low int, twice boolean, data binary")
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _longest_shared(strings: list[bytes]) -> list[int]:
+    """For each string the longest prefix that another one has too: that of a neighbour in sorted order."""
+    by = sorted(range(len(strings)), key=strings.__getitem__)
+    out = [0] * len(strings)
+    for x, y in zip(by, by[1:], strict=False):
+        n = _common(strings[x], strings[y])
+        out[x], out[y] = max(out[x], n), max(out[y], n)
+    return out
+
+
+@dataclass
+class Piece:
+    k: int
+    n: int
+    low: int
+    data: bytes
+    #: Whether it is covered whole by other means.
+    twice: bool
+
+
+def trimmed(rows: list[tuple], window: int) -> tuple[list[tuple[int, int, int, int]], list[Piece]]:
+    """The contexts of one anchor, cut to what any two of them have in common to the left and right: marks on those that are equal then, and one of each kind."""
+    right = _longest_shared([r[6][r[3] - r[4] :] for r in rows])
+    left = _longest_shared([r[6][: r[3] - r[4]][::-1] for r in rows])
+    kinds: dict[tuple[int, bytes], list[Piece]] = {}
+    for (_, k, n, at, low, twice, data), x, y in zip(rows, left, right, strict=True):
+        if x + y >= window:
+            kinds.setdefault((x, data[at - low - x : at - low + y]), []).append(Piece(k, n, at - x, data[at - low - x : at - low + y], twice))
+    marks, pieces = [], []
+    for same in kinds.values():
+        if len(same) > 1:
+            marks += [(p.k, p.n, p.low, p.low + len(p.data)) for p in same]
+            same[0].twice = True
+        pieces.append(same[0])
+    return marks, pieces if len(pieces) > 1 else []
+
+
+def merged_pieces(pieces: list[Piece]) -> list[Piece]:
+    """Pieces of one text that overlap become one, so that no place is in an index twice."""
+    out: list[Piece] = []
+    for p in sorted(pieces, key=lambda p: (p.k, p.n, p.low, len(p.data))):
+        last = out[-1] if out else None
+        if last and (last.k, last.n) == (p.k, p.n) and p.low <= last.low + len(last.data):
+            more = p.low + len(p.data) - (last.low + len(last.data))
+            out[-1] = Piece(p.k, p.n, last.low, last.data + p.data[len(p.data) - more :] if more > 0 else last.data, last.twice and p.twice)
+        else:
+            out.append(p)
+    return out
 
 
 def indexed_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Marks (k, n, low, high) from run-length indexes over the contexts, whole anchors together."""
-    names = ["k", "n", "low", "high"]
-
-    def marks(rows: list[tuple]) -> pa.RecordBatch:
-        """Pieces of one text that overlap become one, so that no place is in the index twice."""
-        rows.sort(key=lambda r: r[1:4])
-        pieces: list[list] = []
-        for _, k, n, low, high, twice, data in rows:
-            if pieces and pieces[-1][:2] == [k, n] and low <= pieces[-1][3]:
-                last = pieces[-1]
-                if high > last[3]:
-                    last[4].append(data[last[3] - low :])
-                    last[3] = high
-                last[5] &= twice
-            else:
-                pieces.append([k, n, low, high, [data], twice])
-        out = []
-        for (k, n, low, _, _, twice), found in zip(pieces, second_matches([b"".join(p[4]) for p in pieces], window), strict=True):
-            if not twice:  # else what it has is covered whole
-                out += [(k, n, low + a, low + b) for a, b in found]
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], names)
+    """Marks (k, n, low, high) from run-length indexes over trimmed contexts, those of an anchor together."""
+
+    def batch_of(marks: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        columns = list(zip(*marks, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.int32(), pa.int32()], strict=True)], ["k", "n", "low", "high"])
+
+    def index(pieces: list[Piece]) -> list[tuple[int, int, int, int]]:
+        whole = merged_pieces(pieces)
+        found = second_matches([p.data for p in whole], window)
+        return [(p.k, p.n, p.low + a, p.low + b) for p, spans in zip(whole, found, strict=True) if not p.twice for a, b in spans]
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, at = 0, None
+        held: list[Piece] = []
+        anchor: list[tuple] = []
+        size = 0
+
+        def ended() -> list[tuple[int, int, int, int]]:
+            nonlocal held, size
+            marks, pieces = trimmed(anchor, window)
+            held += pieces
+            size += sum(len(p.data) for p in pieces)
+            if size > INDEX_BYTES:
+                marks += index(held)
+                held, size = [], 0
+            anchor.clear()
+            return marks
+
         for batch in batches:
+            marks = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > INDEX_BYTES and row[0] != at:
-                    yield marks(held)
-                    held, size = [], 0
-                at = row[0]
-                held.append(row)
-                size += len(row[6])
-        if held:
-            yield marks(held)
-
-    dealt = rows.repartition(shuffle_width(rows.sparkSession), "h").sortWithinPartitions("h", "k", "n", "low")
+                if anchor and anchor[0][0] != row[0]:
+                    marks += ended()
+                anchor.append(row)
+            yield batch_of(marks)
+        if anchor:
+            yield batch_of(ended())
+        yield batch_of(index(held))
+
+    dealt = rows.repartition(shuffle_width(rows.sparkSession), "h").sortWithinPartitions("h", "k", "n", "at")
     return dealt.mapInArrow(indexed, "k long, n int, low int, high int")
 
 
@@ -278,7 +384,7 @@ def counted_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, n, low, twice, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6)), strict=True):
+            for k, n, low, twice, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6)), strict=True):
                 if len(data) >= window:
                     w = mixed(Hashed(np.frombuffer(data, np.uint8)).all(window)).view(np.int64)
                     m = len(w)
@@ -296,11 +402,11 @@ def repeated_stretches(texts: DataFrame, window: int = WINDOW, kgram: int = KGRA
     rows = anchor_rows(texts, window, kgram)
     found = checkpointed(sorted_anchors(rows, hot))
     whole = found.where(F.col("kind") == _WHOLE).select("h", "c")
-    marks = rows.where(F.col("high") - F.col("low") >= window).select("h", "c", "k", "n", "low", "high").join(whole, ["h", "c"]).select("k", "n", "low", "high")
-    asked = found.where(F.col("kind") == _INDEX)
-    marks = marks.union(indexed_marks(contexts(texts, asked), window))
+    low, high = F.greatest(F.col("at") - (window - kgram), F.lit(0)), F.least(F.col("at") + window, F.col("n"))
+    marks = rows.where(high - low >= window).select("h", "c", "k", "n", "at").join(whole, ["h", "c"]).select("k", "n", low.alias("low"), high.alias("high"))
+    marks = marks.union(indexed_marks(contexts(texts, found.where(F.col("kind") == _INDEX), window, kgram), window))
     many = found.where(F.col("kind") == _COUNT)
-    return marks if many.isEmpty() else marks.union(counted_marks(contexts(texts, many), window))
+    return marks if many.isEmpty() else marks.union(counted_marks(contexts(texts, many, window, kgram), window))
 
 
 _RESULT = "k long, n int, n_removed long, n_spans long, kept_sha256 string, kept binary"
