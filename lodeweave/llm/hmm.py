@@ -296,9 +296,11 @@ def class_sequences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(made, f"id {docs.schema['id'].dataType.simpleString()}, seq binary")
 
 
-def baum_welch(sequences: DataFrame, rounds: int = ROUNDS) -> HiddenMarkov:
-    """A model from all sequences: begun on a bounded sample at the driver, then `rounds` passes over everything."""
-    drawn = sequences.select(F.xxhash64("id").alias("k"), "seq").orderBy("k", F.xxhash64("seq")).where(F.length("seq") <= 2 * 20_000).limit(SEED_TEXTS).collect()
+def baum_welch(sequences: DataFrame, texts: int, rounds: int = ROUNDS) -> HiddenMarkov:
+    """A model from all sequences, of which there are `texts`: begun on a bounded sample at the driver, then `rounds` passes over everything."""
+    seeds = sequences.select(F.xxhash64("id").alias("k"), "seq").where(F.length("seq") <= 2 * 20_000)
+    share = min(1.0, 1.2 * SEED_TEXTS / max(texts, 1))
+    drawn = sorted(seeds.where(F.pmod("k", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect(), key=lambda r: (r.k, bytes(r.seq)))[:SEED_TEXTS]
     model = HiddenMarkov.random()
     some, size = [], 0
     for r in drawn:
@@ -432,7 +434,7 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = checkpointed(word_counts(trained.select("text"), ranges))
     class_n, class_v = class_totals(counts)
     tokens, words = int(class_n.sum()), int(class_v.sum())
-    model = baum_welch(checkpointed(class_sequences(trained)))
+    model = baum_welch(checkpointed(class_sequences(trained)), int(class_n[-1]))
     shared = spark.sparkContext.broadcast(Scorer(model, hot_words(counts, tokens), np.log10(class_n + class_v + 1.0), ranges))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
