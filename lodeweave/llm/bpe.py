@@ -6,7 +6,8 @@ of minimum rank, until no piece has a pair.  Decoding joins the ids with the tok
 order.  A piece that is itself a token is its own encoding, as in the library.
 
 Pieces never reach over a space that has a character other than white space on its left or its right, so texts are cut
-at spaces first and the encodings of the parts are remembered (up to CACHED, then forgotten).  A text with any other
+at spaces first and the encodings of the parts are remembered (up to CACHED, then forgotten).  Each distinct piece is decoded when it is
+encoded, and the decoded bytes are held against it.  A text with any other
 space is cut by the pattern as a whole.  The query takes as many steps as a piece has merges, so a piece of over
 LONG_PIECE bytes is contracted by a heap instead, to the same result.
 
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 500_000
+CACHED = 1_000_000
 LONG_PIECE = 1_024
 #: Pieces a query; all steps of a query are held until it ends.
 PIECES = 20_000
@@ -40,9 +41,10 @@ BLOCK_DOCS = 2_000
 #: A space between white space, or between white space and the end.
 _INNER_SPACE = re.compile(r" (?=\s|\Z)(?<=\s )")
 
-_ENCODE = """
+#: start: pieces as lists of byte tokens, live; or as their ids, not live.
+_CODE = """
 WITH RECURSIVE step(w, toks, live) AS (
-  SELECT w, toks, true FROM start
+  SELECT w, toks, live FROM start
   UNION ALL
   SELECT s.w,
     CASE WHEN b.k IS NULL THEN s.toks ELSE list_concat(s.toks[:b.k % 65536 - 1], [(b.k // 65536)::INTEGER], s.toks[b.k % 65536 + 2:]) END,
@@ -51,13 +53,12 @@ WITH RECURSIVE step(w, toks, live) AS (
     SELECT w, min(m.rank::BIGINT * 65536 + i) AS k
     FROM (SELECT w, unnest(toks)::UINTEGER * 65536 + unnest(toks[2:])::UINTEGER AS pair, generate_subscripts(toks, 1) AS i FROM step WHERE live) p
     JOIN merges m ON p.pair = m.pair GROUP BY w) b ON s.w = b.w
-  WHERE s.live)
-SELECT toks FROM step WHERE NOT live ORDER BY w
-"""
-_DECODE = """
-SELECT string_agg(t.hex, '' ORDER BY i) AS hex
-FROM (SELECT w, unnest(toks) AS id, generate_subscripts(toks, 1) AS i FROM encoded) e JOIN tokens t ON e.id = t.id
-GROUP BY w ORDER BY w
+  WHERE s.live),
+encoded AS (SELECT w, toks FROM step WHERE NOT live),
+decoded AS (
+  SELECT w, string_agg(t.hex, '' ORDER BY i) AS hex
+  FROM (SELECT w, unnest(toks) AS id, generate_subscripts(toks, 1) AS i FROM encoded) e JOIN tokens t ON e.id = t.id GROUP BY w)
+SELECT array_to_string(toks, ' ') AS ids, hex FROM encoded JOIN decoded USING (w) ORDER BY w
 """
 
 
@@ -75,9 +76,11 @@ class BytePairs:
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self._pieces: dict[str, tuple[str, bytes]] = {}
+        #: Ids, as text, of pieces; and of parts, which have a space before them.
+        self._pieces: dict[str, str] = {}
         self._parts: dict[str, str] = {}
-        self._bytes: dict[str, bytes] = {}
+        #: Pieces whose ids decode to something else.
+        self._odd: dict[str, bytes] = {}
 
     @cached_property
     def _db(self) -> duckdb.DuckDBPyConnection:
@@ -91,27 +94,20 @@ class BytePairs:
             db.unregister("given")
         return db
 
-    def contract(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece, by the recursive query."""
-        out: list[list[int]] = []
+    def code(self, pieces: list[bytes]) -> Iterator[tuple[str, str]]:
+        """Ids of each piece as text, and in hexadecimal the bytes that these decode to."""
         for at in range(0, len(pieces), PIECES):
             some = pieces[at : at + PIECES]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in some])]).astype(np.int32)
-            toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.byte[np.frombuffer(b"".join(some), np.uint8)]))
-            self._db.register("start", pa.table({"w": pa.array(np.arange(len(some), dtype=np.int32)), "toks": toks}))
-            out += self._db.sql(_ENCODE).to_arrow_table().column("toks").to_pylist()
+            fixed = {i: [self.ranks[p]] if p in self.ranks else self.contract_long(p) for i, p in enumerate(some) if p in self.ranks or len(p) > LONG_PIECE}
+            live = [i for i in range(len(some)) if i not in fixed]
+            toks = np.concatenate([self.byte[np.frombuffer(b"".join([some[i] for i in live]), np.uint8)], *(np.array(x, np.int32) for x in fixed.values())])
+            ends = np.cumsum([0, *(len(some[i]) for i in live), *map(len, fixed.values())]).astype(np.int32)
+            w = np.array([*live, *fixed], np.int32)
+            start = pa.table({"w": w, "toks": pa.ListArray.from_arrays(pa.array(ends), pa.array(toks)), "live": np.arange(len(w)) < len(live)})
+            self._db.register("start", start)
+            out = self._db.sql(_CODE).to_arrow_table()
             self._db.unregister("start")
-        return out
-
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each nonempty list of ids, by ordered aggregation."""
-        out: list[bytes] = []
-        for at in range(0, len(ids), PIECES):
-            some = ids[at : at + PIECES]
-            self._db.register("encoded", pa.table({"w": pa.array(np.arange(len(some), dtype=np.int32)), "toks": pa.array(some, pa.list_(pa.int32()))}))
-            out += [bytes.fromhex(x) for x in self._db.sql(_DECODE).to_arrow_table().column("hex").to_pylist()]
-            self._db.unregister("encoded")
-        return out
+            yield from zip(out.column("ids").to_pylist(), out.column("hex").to_pylist(), strict=True)
 
     def contract_long(self, piece: bytes) -> list[int]:
         """The same for one piece by a heap of pairs: n log n, where the query would take n steps of n rows."""
@@ -136,22 +132,17 @@ class BytePairs:
                     heapq.heappush(heap, (r, j, end[end[j]]))
         return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def _learn(self, pieces: Iterable[str]) -> None:
-        """Encodings of new pieces: ids as text, and the bytes they decode to."""
-        fresh = [p for p in pieces if p not in self._pieces]
-        if len(self._pieces) + len(fresh) > CACHED:
-            self._pieces.clear()
-            fresh = list(pieces)
-        data = [p.encode() for p in fresh]
-        ids: list[list[int]] = [[self.ranks[d]] if d in self.ranks else self.contract_long(d) if len(d) > LONG_PIECE else [] for d in data]
-        open_ = [i for i, x in enumerate(ids) if not x]
-        for i, x in zip(open_, self.contract([data[i] for i in open_]), strict=True):
-            ids[i] = x
-        for p, x, d in zip(fresh, ids, self.decode(ids), strict=True):
-            self._pieces[p] = (" ".join(map(str, x)), d)
-
-    def _joined(self, pieces: list[str]) -> tuple[str, bytes]:
-        return " ".join([self._pieces[p][0] for p in pieces]), b"".join([self._pieces[p][1] for p in pieces])
+    def _learn(self, parts: Iterable[str], pieces: Iterable[str]) -> None:
+        """Ids of new parts that are one piece with the space before them, and of new pieces."""
+        fresh = [(self._parts, c, " " + c) for c in parts if c not in self._parts] + [(self._pieces, p, p) for p in pieces if p not in self._pieces]
+        data = [p.encode() for _, _, p in fresh]
+        for (kept, key, piece), d, (ids, decoded) in zip(fresh, data, self.code(data), strict=True):
+            kept[key] = ids
+            if decoded != d.hex():
+                self._odd[piece] = bytes.fromhex(decoded)
+
+    def _ids(self, pieces: list[str]) -> str:
+        return " ".join([self._parts[p[1:]] if p[0] == " " else self._pieces[p] for p in pieces])
 
     def encode_texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its ids as decimal text, and the bytes that they decode to."""
@@ -160,21 +151,25 @@ class BytePairs:
         inner = set().union(*(parts[1:] for parts in split.values())) if split else set()
         if len(self._parts) + len(inner) > CACHED:
             self._parts.clear()
-            self._bytes.clear()
-        cut = {c: self.pattern.findall(" " + c) for c in inner if c not in self._parts}
+        if len(self._pieces) > CACHED:
+            self._pieces.clear()
+        fresh = [c for c in inner if c not in self._parts]
+        cut = {c: self.pattern.findall(" " + c) for c in fresh if not c.isalpha()}
         first = {parts[0]: self.pattern.findall(parts[0]) for parts in split.values()}
-        self._learn(set(chain.from_iterable(chain(whole.values(), cut.values(), first.values()))))
+        seen = set(chain.from_iterable(chain(whole.values(), cut.values(), first.values())))
+        self._learn({*(c for c in fresh if c not in cut), *(p[1:] for p in seen if p[0] == " ")}, (p for p in seen if p[0] != " "))
         for c, pieces in cut.items():
-            self._parts[c], self._bytes[c] = self._joined(pieces)
-        done: dict[str, tuple[str, bytes]] = {}
-        ids_of, bytes_of = self._parts.__getitem__, self._bytes.__getitem__
-        for t, pieces in whole.items():
-            done[t] = self._joined(pieces)
+            self._parts[c] = self._ids(pieces)
+        ids_of = self._parts.__getitem__
+        done: dict[str, str] = {t: self._ids(pieces) for t, pieces in whole.items()}
         for t, parts in split.items():
-            ids, data = self._joined(first[parts[0]])
-            rest = parts[1:]
-            done[t] = (" ".join([ids, *map(ids_of, rest)] if ids else map(ids_of, rest)), b"".join([data, *map(bytes_of, rest)]))
-        return [done[t] for t in texts]
+            ids = self._ids(first[parts[0]])
+            done[t] = " ".join([ids, *map(ids_of, parts[1:])] if ids else map(ids_of, parts[1:]))
+        return [(done[t], self._decoded(t)) for t in texts]
+
+    def _decoded(self, text: str) -> bytes:
+        """The decoded bytes of a text's pieces, one after the other: where each piece decodes to itself, the text's bytes."""
+        return b"".join(self._odd.get(p, p.encode()) for p in self.pattern.findall(text)) if self._odd else text.encode()
 
 
 #: One encoder a worker process, kept between tasks.
