@@ -31,7 +31,8 @@ from lodeweave.llm.shared import as_bytes, checkpointed, shuffle_width
 
 WINDOW = 400
 KGRAM = 128
-HOT = 8_000
+#: An anchor with more different contexts than HOT (some 34 MB) doesn't go to one task.
+HOT = 50_000
 #: Bytes of contexts in an index, if no single anchor has more.
 INDEX_BYTES = 2_000_000
 #: Places of a text that are hashed at once.
