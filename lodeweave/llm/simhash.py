@@ -7,6 +7,9 @@ ball around that.  Matches are verified by their complete distance.  Links withi
 forest, never as all pairs; a bucket with more fingerprints than `hot` is dealt over several tasks, each with all its
 table entries and a part of the probes.  Components then come from rounds of joins and minima (large star, small star).
 
+A wide fingerprint has a second half of other hashes: the first half is searched within a larger radius, and matches are
+verified by the distance of both.  What agrees in 0.8 of 128 bits is found if it differs in at most 11 of the first 64.
+
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; rows with equal ids are one
 document; a row with a null id has a fingerprint and, if an id has the same fingerprint, that one's component, else a
 null component; it never links others.  Ties don't matter, as links are an undirected graph.  An empty table gives no
@@ -16,6 +19,7 @@ rows.  Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -51,9 +55,19 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - words + 1)
 
 
+def second_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for the second half of a wide fingerprint."""
+    x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fingerprint(text: bytes, words: int = 4) -> int:
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     """A bit is 1 if over half of the hashes have it."""
-    hashes = shingle_hashes(text, words)
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -61,15 +75,17 @@ def fingerprint(text: bytes, words: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """id, fp and fp2: the fingerprint, and the second half of a wide one (else 0), as signed longs."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words) for t in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            hashes = [shingle_hashes(t, words) for t in as_bytes(batch.column(1))]
+            fps = np.array([fingerprint_of(h) for h in hashes], np.uint64).view(np.int64)
+            more = np.array([fingerprint_of(second_hashes(h)) for h in hashes], np.uint64).view(np.int64) if wide else np.zeros(len(fps), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(more)], ["id", "fp", "fp2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "id long, fp long, fp2 long")
 
 
 def segment_plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
@@ -101,11 +117,11 @@ def _bucket_keys(segment: int, shift: int, width: int, within: int) -> Column:
 
 
 def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
-    """Rows (key, probe, fp, node): probe is 0 for the table's own entry, 1 for what only probes."""
+    """Rows (key, probe, fp, fp2, node): probe is 0 for the table's own entry, 1 for what only probes."""
     plan = segment_plan(radius, segments)
     xors = [_bucket_keys(k, shift, width, small) for k, (shift, width, small) in enumerate(plan)]
     parts = [F.transform(x, lambda key, i: F.struct(key.alias("key"), F.when(i == 0, 0).otherwise(1).alias("probe"))) for x in xors]
-    return nodes.select("fp", "node", F.explode(F.concat(*parts)).alias("e")).select("e.key", "e.probe", "fp", "node")
+    return nodes.select("fp", "fp2", "node", F.explode(F.concat(*parts)).alias("e")).select("e.key", "e.probe", "fp", "fp2", "node")
 
 
 def _dealt(entries: DataFrame, nodes: DataFrame, radius: int, segments: int, hot: int) -> DataFrame:
@@ -120,28 +136,53 @@ def _dealt(entries: DataFrame, nodes: DataFrame, radius: int, segments: int, hot
     near = full.select(F.explode(F.coalesce(*around)).alias("key"), "count").groupBy("key").agg(F.ceil(F.sum("count") / F.lit(hot)).cast("int").alias("parts"))
     near = F.broadcast(near) if found <= 1000 else near  # at most 1000 balls of some hundred keys
     joined = entries.join(near, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    spread = F.when(F.col("probe") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
-    return joined.select("key", "probe", "fp", "node", F.explode(spread).alias("part"))
+    spread = F.when(F.col("probe") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp", "fp2"), F.col("parts")).cast("int")))
+    return joined.select("key", "probe", "fp", "fp2", "node", F.explode(spread).alias("part"))
+
+
+@dataclass(frozen=True)
+class Reach:
+    """How far linked fingerprints are apart: in the first half, which is searched, and in both."""
+
+    radius: int
+    both: int | None = None
 
+    def near(self, fp: np.ndarray, other: np.ndarray, fp2: np.ndarray, other2: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count(fp ^ other)
+        return apart <= self.radius if self.both is None else (apart <= self.radius) & (apart + np.bitwise_count(fp2 ^ other2) <= self.both)
 
-def _forest(fps: np.ndarray, table: int, radius: int) -> list[tuple[int, np.ndarray]]:
-    """Links within one bucket whose first `table` rows are table entries: (row, rows of its component)."""
+
+def _forest(fps: np.ndarray, fps2: np.ndarray, table: int, reach: Reach) -> list[tuple[int, np.ndarray]]:
+    """Links within one bucket whose first `table` rows are table entries: (row, rows that it is linked to).
+
+    All links if they are few, else of each component those to its first row.
+    """
+    out, few = [], 0
+    step = max(1, 2_000_000 // len(fps))
+    for at in range(0, table, step):
+        rows, columns = np.nonzero(reach.near(fps[None, :], fps[at : at + step, None], fps2[None, :], fps2[at : at + step, None]))
+        few += len(rows)
+        if few > 4 * len(fps):
+            break
+        out += [(at + int(r), columns[rows == r]) for r in np.unique(rows)]
+    else:
+        return out
     out = []
     left = np.arange(len(fps))
     while len(left) and left[0] < table:
         pivot, left = int(left[0]), left[1:]
         frontier, members = np.array([pivot]), []
         while len(frontier) and len(left):
-            step = max(1, 4_000_000 // len(left))
-            near = (np.bitwise_count(fps[left][None, :] ^ fps[frontier[:step]][:, None]) <= radius).any(axis=0)
+            some = frontier[: max(1, 4_000_000 // len(left))]
+            near = reach.near(fps[left][None, :], fps[some][:, None], fps2[left][None, :], fps2[some][:, None]).any(axis=0)
             members.append(left[near])
-            frontier, left = np.concatenate([frontier[step:], left[near]]), left[~near]
+            frontier, left = np.concatenate([frontier[len(some) :], left[near]]), left[~near]
         if members:
             out.append((pivot, np.concatenate(members)))
     return out
 
 
-def bucket_links(keys: np.ndarray, probe: np.ndarray, fps: np.ndarray, nodes: np.ndarray, radius: int, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: np.ndarray, probe: np.ndarray, fps: np.ndarray, fps2: np.ndarray, nodes: np.ndarray, reach: Reach, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Verified links of whole buckets, sorted by key, then probe."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(starts, len(keys)))
@@ -155,30 +196,31 @@ def bucket_links(keys: np.ndarray, probe: np.ndarray, fps: np.ndarray, nodes: np
         first = starts[run[at]] + k
         fine = at > first
         other, first = at[fine], first[fine]
-        near = np.bitwise_count(fps[other] ^ fps[first]) <= radius
+        near = reach.near(fps[other], fps[first], fps2[other], fps2[first])
         a.append(nodes[first[near]])
         b.append(nodes[other[near]])
     for r in np.flatnonzero((entries > few) & (sizes > 1)):
         own = slice(starts[r], starts[r] + sizes[r])
-        for pivot, members in _forest(fps[own], int(entries[r]), radius):
+        for pivot, members in _forest(fps[own], fps2[own], int(entries[r]), reach):
             a.append(np.full(len(members), nodes[own][pivot]))
             b.append(nodes[own][members])
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
     return np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
 
 
-def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None = None, hot: int = HOT) -> DataFrame:
-    """Links (a, b) among distinct fingerprints `nodes` (fp, node): their components are those of all links within the radius."""
+def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
+    """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node): their components are those of all links within reach."""
+    reach = Reach(radius, both)
     segments = segments or (3 if nodes.count() <= THREE_SEGMENTS_UP_TO else 2)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            key, part, probe, fp, node = rows
+            key, part, probe, fp, fp2, node = rows
             # the part is told apart within the key by runs: rows are sorted by key, part
             run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else key
-            x, y = bucket_links(run, probe, fp.view(np.uint64), node, radius)
+            x, y = bucket_links(run, probe, fp.view(np.uint64), fp2.view(np.uint64), node, reach)
             return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for batch in batches:
@@ -199,7 +241,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None =
 
     entries = _dealt(_entries(nodes, radius, segments), nodes, radius, segments, hot)
     width = shuffle_width(nodes.sparkSession)
-    rows = entries.select("key", "part", "probe", "fp", "node").repartition(width, "key", "part").sortWithinPartitions("key", "part", "probe")
+    rows = entries.select("key", "part", "probe", "fp", "fp2", "node").repartition(width, "key", "part").sortWithinPartitions("key", "part", "probe")
     return rows.mapInArrow(linked, "a long, b long").distinct()
 
 
@@ -229,31 +271,39 @@ def connected_components(links: DataFrame) -> DataFrame:
     return pairs.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("root"))
 
 
-def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None, hot: int = HOT) -> DataFrame:
-    """The id, fingerprint (hex) and component_id of every document."""
-    fps = checkpointed(fingerprints(docs, words, id_col, text_col))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("id").alias("node")).where("node IS NOT NULL"))
-    roots = connected_components(fingerprint_links(nodes, radius, segments, hot).union(_shared_ids(fps, nodes)))
-    of_fp = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(of_fp, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
+    """The id, fingerprint (hex) and component_id of every document.
+
+    both: with a second fingerprint of other hashes, the most bits in which linked documents differ in the two together.
+    """
+    fps = checkpointed(fingerprints(docs, words, id_col, text_col, both is not None))
+    nodes = checkpointed(fps.groupBy("fp", "fp2").agg(F.min("id").alias("node")).where("node IS NOT NULL"))
+    roots = connected_components(fingerprint_links(nodes, radius, segments, hot, both).union(_shared_ids(fps, nodes)))
+    of_fp = nodes.join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(of_fp, ["fp", "fp2"], "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shared_ids(fps: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the nodes of texts that have one id."""
-    several = fps.where("id IS NOT NULL").groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("id")
-    return fps.join(several, "id").join(nodes, "fp").where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    texts = F.struct("fp", "fp2")
+    several = fps.where("id IS NOT NULL").groupBy("id").agg(F.count_distinct(texts).alias("n")).where("n > 1").select("id")
+    return fps.join(several, "id").join(nodes, ["fp", "fp2"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+
+
+#: Near-duplicate stages: five words, and fingerprints of 128 bits that agree in 0.8 of them.
+STAGE = {"words": 5, "radius": 11, "segments": 6, "both": 25}
 
 
-def duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The ids (column `dropped`) of all documents but the smallest id of each component."""
-    found = simhash_components(docs, words, radius, id_col, text_col)
+    found = simhash_components(docs, id_col=id_col, text_col=text_col, **(how or STAGE))
     return found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("dropped")).distinct()
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """One row of each component: that with the smallest id, of repeated ids that whose row has the smallest hash.  Rows with a null id stay."""
     columns = docs.columns
-    gone = duplicates(docs, words, radius, id_col, text_col)
+    gone = duplicates(docs, id_col, text_col, **how)
     left = docs.join(gone, docs[id_col].cast("long") == gone["dropped"], "left_anti")
     alone = left.select(F.col(id_col).alias("own_id"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("own_row"), F.struct(*columns).alias("row"))
     return alone.groupBy("own_id", "own_row").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
