@@ -19,7 +19,7 @@ def spark(tmp_path_factory: pytest.TempPathFactory) -> Iterator[SparkSession]:
     session = (
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "6g")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "6g").config("spark.sql.maxMetadataStringLength", "2000")
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
