@@ -8,7 +8,8 @@ forest, never as all pairs; a bucket with more fingerprints than `hot` is dealt
 table entries and a part of the probes.  Components then come from rounds of joins and minima (large star, small star).
 
 A wide fingerprint has a second half of other hashes: the first half is searched within a larger radius, and matches are
-verified by the distance of both.  What agrees in 0.8 of 128 bits is found if it differs in at most 11 of the first 64.
+verified by the distance of both.  What agrees in 0.8 of 128 bits is found if it
+differs in at most 13 of the first 64.
 
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; rows with equal ids are one
 document; a row with a null id has a fingerprint and, if an id has the same fingerprint, that one's component, else a
@@ -34,8 +35,8 @@ BITS = 64
 SEED = 42
 #: Table entries from which a bucket is dealt over several tasks.
 HOT = 50_000
-#: Up to so many distinct fingerprints three segments cost less than two; either finds every link.
-THREE_SEGMENTS_UP_TO = 20_000_000
+#: Seconds that a probe takes through its shuffle, and a comparison.
+PROBE_S, COMPARE_S = 2e-6, 3e-9
 _LOWER = bytes(range(256)).lower()
 _KEY_BITS = 40
 
@@ -106,6 +107,19 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bits) for n in range(radius + 1) for bits in combinations(range(width), n)]
 
 
+def cheapest_segments(radius: int, n: int) -> int:
+    """How many segments cost least for n fingerprints; any number finds every link.
+
+    Few segments are wide and have large balls: many probes.  Many are narrow: many comparisons, which grow as n squared.
+    """
+
+    def cost(segments: int) -> float:
+        balls = [(width, len(ball(width, within))) for _, width, within in segment_plan(radius, segments)]
+        return n * sum(size * (PROBE_S + n / (1 << width) * COMPARE_S) for width, size in balls)
+
+    return min((m for m in range(2, min(radius, 8) + 1) if radius // m <= 3), key=cost, default=1)
+
+
 def _bucket_key(segment: int, shift: int, width: int) -> Column:
     value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
     return value.bitwiseOR(F.lit(segment << _KEY_BITS))
@@ -211,7 +225,7 @@ def bucket_links(keys: np.ndarray, probe: np.ndarray, fps: np.ndarray, fps2: np.
 def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
     """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node): their components are those of all links within reach."""
     reach = Reach(radius, both)
-    segments = segments or (3 if nodes.count() <= THREE_SEGMENTS_UP_TO else 2)
+    segments = segments or cheapest_segments(radius, nodes.count())
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -291,7 +305,7 @@ def _shared_ids(fps: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 #: Near-duplicate stages: five words, and fingerprints of 128 bits that agree in 0.8 of them.
-STAGE = {"words": 5, "radius": 11, "segments": 6, "both": 25}
+STAGE = {"words": 5, "radius": 13, "both": 25}
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
