@@ -7,7 +7,7 @@ counts and dealt out by the hash of id and copy, which orders them within partit
 
 Defined cases: a null source is a source of its own, told apart from an empty one; a null id hashes as 'null'; rows with
 equal ids have equal counts; a weight of 0 or less drops a source, as do all weights; an empty table gives no rows.
-Texts aren't read.  All columns stay, so an input column must not be named copy_no or mix_key.
+Texts aren't read.  All columns stay, but for input columns named copy_no or mix_key, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -45,18 +45,20 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float], default:
     rated = weighed.withColumn("rate", F.col("w") * F.lit(float(share)) / F.col("n")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("mean", F.col("rate") / F.col("parts"))
     cdf = F.expr(f"""aggregate(sequence(1, {TABLE}), struct(exp(-mean) AS p, exp(-mean) AS c, array(exp(-mean)) AS a),
         (s, k) -> struct(s.p * mean / k AS p, s.c + s.p * mean / k AS c, array_append(s.a, s.c + s.p * mean / k) AS a), s -> s.a)""")
-    return rated.select("mix_source", "rate", "parts", cdf.alias("cdf")), total.sources
+    return rated.select("mix_source", F.col("parts").alias("mix_parts"), cdf.alias("mix_cdf")), total.sources
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str | None, float], default: float = 1.0, scale: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All columns, each row as often as its count says, with copy_no (from 1) and mix_key, in a global order by chance."""
     rates, sources = source_rates(docs, weights, default, scale, source_col)
     rates = F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates
+    docs = docs.drop("copy_no", "mix_key")
     columns = [docs[c] for c in docs.columns]
+    parts, cdf = rates["mix_parts"], rates["mix_cdf"]
     name = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
-    each = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: F.size(F.filter("cdf", lambda c: c < uniform(seed, name, j.cast("string")))))
+    each = F.transform(F.sequence(F.lit(1), parts), lambda j: F.size(F.filter(cdf, lambda c: c < uniform(seed, name, j.cast("string")))))
     count = F.aggregate(each, F.lit(0), lambda a, b: a + b)
-    counted = docs.join(rates, docs[source_col].eqNullSafe(F.col("mix_source"))).select(*columns, count.alias("copy_no")).where("copy_no > 0")
+    counted = docs.join(rates, docs[source_col].eqNullSafe(rates["mix_source"])).select(*columns, count.alias("copy_no")).where("copy_no > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copy_no"))))
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string")).cast("binary"))
     keyed = copies.withColumn("mix_key", F.substring(key, 1, 16))

@@ -260,7 +260,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None =
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node that has a link; root is the smallest node that it reaches.
+    """(node, root) of every node that reaches a smaller one; root is the smallest that it reaches.
 
     Rounds of large star and small star; each is a minimum by node, with partial sums before its shuffle, and a join of
     that with the links, which adaptive execution splits where a node has very many.
