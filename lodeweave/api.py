@@ -17,16 +17,18 @@ from lodeweave.functions import paging, safety
 from lodeweave.functions.analyzer import Query, parse_query
 from lodeweave.functions.frontmatter import SkillError, parse_skill, strip_frontmatter
 from lodeweave.functions.text import BUDGETS, InputError, decode_text
-from lodeweave.functions.uri import build_uri, normal_path, parse_uri
+from lodeweave.functions.uri import INDEX, build_uri, normal_path, parse_uri
 from lodeweave.operators import catalog, files, fts, fusion, ingest, vectors
 from lodeweave.operators.numbering import number_rows
 from lodeweave.schemas import COLLECTION, SOURCES
-from lodeweave.sources.files import Normalizer, archive_members, bundle, bundle_roots, normalized, plain_normalizer
+from lodeweave.sources.files import Normalizer, archive_members, bundle, bundle_roots, normalized, plain_normalizer, read_files
 from lodeweave.store import Store
 
 # Limits of one call.
 MAX_QUERIES, PER_QUERY, POOL = 8, 30, 30
 SEARCH_MS, GREP_MS = 10_000, 5_000
+INLINE_BYTES, RAW_BYTES = 3 << 20, 12 << 20
+RESOURCES = 100
 
 
 class TooExpensive(RuntimeError):
@@ -136,13 +138,43 @@ class Engine:
         now = F.current_timestamp()
         source = self.spark.createDataFrame([(source_id, "skill", skill.name, "", origin, digest, "ready", None)], "id long, kind string, name string, collection string, origin_uri string, content_hash string, status string, detail string").withColumns({"created_at": now, "updated_at": now})
         start = self.store.table("nodes").agg(F.max("id")).first()[0] or 0
-        made = [(start + i, source_id, "skill", skill.name, "", "ready", m.path, build_uri("skills", skill.name, m.path), m.mime, m.size, m.role, decode_text(m.data) if m.is_text else None, None) for i, m in enumerate(parts, 1)]
+        folder = f"blobs/{uuid.uuid4().hex}"
+        made = [(start + i, source_id, "skill", skill.name, "", "ready", m.path, build_uri("skills", skill.name, m.path), m.mime, m.size, m.role, decode_text(m.data) if m.is_text else None, None if m.is_text else f"{folder}/{m.path}") for i, m in enumerate(parts, 1)]
+        for m in parts:
+            if not m.is_text:
+                path = self.store.folder / folder / m.path
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(m.data)
         nodes = self.spark.createDataFrame(made, "id long, source_id long, kind string, name string, collection string, status string, path string, uri string, mime_type string, size_bytes long, role string, content string, blob_ref string").withColumns({"created_at": now, "updated_at": now})
         skills = self.spark.createDataFrame([(source_id, skill.name, skill.description, skill.allowed_tools, skill.compatibility, skill.license, str(skill.metadata) if skill.metadata else None)], "source_id long, name string, description string, allowed_tools array<string>, compatibility string, license string, metadata string")
         chunks = self._chunks(nodes.where((F.col("role") == "reference") & F.col("content").isNotNull()))
         self._commit(source, nodes, chunks, gone, skills)
         return IngestResult("ingested", "skill", skill.name, source_id=source_id)
 
+    def ingest_paths(self, paths: Sequence[str | Path], collection: str = COLLECTION, force: bool = False) -> list[IngestResult]:
+        """Files, folders, skill folders and archives that the driver sees; vectors for all of them at the end, if it can."""
+        results: list[IngestResult] = []
+        for path in map(Path, paths):
+            if path.is_symlink() or not path.exists():
+                results.append(IngestResult("failed", "doc", path.name, collection, detail="not a regular file or folder"))
+            elif path.is_dir() and (path / "SKILL.md").exists():
+                members = {p.relative_to(path).as_posix(): p.read_bytes() for p in sorted(path.rglob("*")) if p.is_file() and not p.is_symlink()}
+                results.append(self.ingest_skill(members, force, origin=path.resolve().as_uri()))
+            elif path.suffix in (".zip", ".skill"):
+                try:
+                    results += self.ingest_archive(path.read_bytes(), origin=path.resolve().as_uri(), force=force)
+                except InputError as e:
+                    results.append(IngestResult("failed", "skill", path.name, detail=str(e)))
+            else:
+                files_ = read_files(self.spark, str(path)) if path.is_dir() else self.spark.read.format("binaryFile").load(str(path)).select("path", "length", "content")
+                results += self.ingest_files(files_, collection, force)
+        if self.embedder is not None and any(r.status == "ingested" for r in results):
+            try:
+                self.embed_missing()
+            except Exception as e:  # full text works without vectors
+                results.append(IngestResult("failed", "doc", "embeddings", collection, detail=str(e)))
+        return results
+
     def ingest_archive(self, data: bytes, origin: str = "upload://", **options: Any) -> list[IngestResult]:
         members = archive_members(data)
         roots = bundle_roots(list(members))
@@ -194,7 +226,20 @@ class Engine:
         tables = {"sources": replace_children(old["sources"], gone, source, "id"), "nodes": replace_children(old["nodes"], gone, nodes, "source_id"), "chunks": replace_children(old["chunks"], gone, written, "source_id"), "skills": replace_children(old["skills"], gone, skills, "source_id")}
         dead = old["nodes"].join(gone.distinct(), F.col("source_id") == F.col(gone.columns[0]), "left_semi").select("uri", F.lit("deleted").alias("change"))
         alive = nodes.select("uri", F.lit("written").alias("change"))
+        left = old["nodes"].join(gone.distinct(), F.col("source_id") == F.col(gone.columns[0]), "left_semi").where("blob_ref IS NOT NULL")
+        blobs = [r.blob_ref for r in left.select("blob_ref").collect()]
         self.store.commit(tables, alive.unionByName(dead), {"analyzer": self.analyzer})
+        self._delete_blobs(blobs)
+
+    def _delete_blobs(self, blobs: Sequence[str]) -> None:
+        """Files that the last commit left behind, and folders that this empties."""
+        for blob in blobs:
+            path = self.store.folder / blob
+            path.unlink(missing_ok=True)
+            for folder in path.parents:
+                if folder == self.store.folder / "blobs" or not folder.exists() or any(folder.iterdir()):
+                    break
+                folder.rmdir()
 
     def remove_source(self, kind: str, name: str, collection: str | None = None) -> bool:
         """Without a collection, the name's sources of every collection go."""
@@ -304,6 +349,11 @@ class Engine:
             found, following, scanned = files.grep_page(self.store.table("nodes"), pattern, path_glob, ignore_case, limit, after)
         return {"matches": [r.asDict() for r in found], "next": following and paging.encode_grep_cursor(key, *following), "scanned_files": scanned}
 
+    @staticmethod
+    def grep_cursor(pattern: str, path_glob: str | None, ignore_case: bool, node_id: int, line: int) -> str:
+        """A cursor after a match."""
+        return paging.encode_grep_cursor(repr(("grep", pattern, path_glob, ignore_case)), node_id, line)
+
     def ls(self, path: str = "/", offset: int = 0, limit: int = 200) -> dict[str, Any]:
         """Entries (name, type, note, uri) under a path; missing for what isn't there."""
         path = normal_path(path)
@@ -346,7 +396,9 @@ class Engine:
                 raise InputError(f"no chunk {a.chunk} in {uri}")
             return {"text": own.content if raw else safety.envelope(own.content, {"uri": uri, "heading": own.heading_path}), "neighbours": [f"{node.uri}#chunk={c.ord}" for c in near if c.ord != a.chunk], "next": None}
         if node.content is None:
-            return {"text": f"{node.path}: {node.mime_type}, {node.size_bytes} bytes", "next": None}
+            inline = node.blob_ref is not None and node.size_bytes <= (RAW_BYTES if raw else INLINE_BYTES)
+            data = {"data": (self.store.folder / node.blob_ref).read_bytes()} if inline else {}
+            return {"text": f"{node.path}: {node.mime_type}, {node.size_bytes} bytes", "next": None} | data
         trusted = node.role == "skill_md"
         page = paging.text_page(node.content, node.uri, BUDGETS["read"], cursor, offset, limit, untrusted=not trusted)
         return {"text": page.text if trusted or raw else safety.envelope(page.text, {"uri": node.uri, "lines": f"{page.first_line}-{page.last_line} of {page.total_lines}"}), "next": page.next_cursor, "page": page}
@@ -369,6 +421,22 @@ class Engine:
         groups = [r.asDict() | {"titles": titles.get(r.collection, [])} for r in catalog.collection_rollup(sources, counts).orderBy("collection").collect()]
         return catalog.render_catalog(skills, groups, [r.asDict() for r in catalog.problems(sources).limit(200).collect()], budget)
 
+    def resources(self, offset: int = 0, limit: int = RESOURCES) -> list[dict[str, Any]]:
+        """The index, then skills, then documents, a page at a time."""
+        nodes = self.store.table("nodes")
+        index = self.spark.createDataFrame([(0, "", INDEX, "catalog")], "grp int, sort string, uri string, name string")
+        skills = nodes.where("role = 'skill_md'").select(F.lit(1).alias("grp"), F.col("name").alias("sort"), "uri", "name")
+        docs = nodes.where("role = 'doc'").select(F.lit(2).alias("grp"), F.col("path").alias("sort"), "uri", "name")
+        rows = index.unionByName(skills).unionByName(docs).orderBy("grp", "sort", "uri").offset(offset).limit(limit)
+        return [{"uri": r.uri, "name": r.name} for r in rows.collect()]
+
+    def report(self) -> list[dict[str, Any]]:
+        """Each source's files, chunks and vectors; counts are made before the joins."""
+        n = self.store.table("nodes").groupBy("source_id").agg(F.count("*").alias("files"))
+        c = self.store.table("chunks").groupBy("source_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
+        s = self.store.table("sources").withColumnRenamed("id", "source_id").join(n, "source_id", "left").join(c, "source_id", "left").fillna(0, ["files", "chunks", "embedded"])
+        return [r.asDict() for r in s.select("kind", "collection", "name", "status", "detail", "files", "chunks", "embedded").orderBy("kind", F.col("collection").asc_nulls_first(), "name").collect()]
+
     def complete(self, what: str, prefix: str) -> list[str]:
         rows = self.store.table("skills").select(F.col("name").alias("v")) if what == "skill" else self.store.table("sources").where("kind = 'doc'").select(F.col("collection").alias("v"))
         return [r.v for r in files.completions(rows, "v", prefix).collect()]

@@ -149,3 +149,24 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     order = Window.partitionBy("query_id").orderBy("distance", id_col)
     ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     return ranked.where(F.col("distance") <= check_distance(max_distance))
+
+
+def quantized(x: np.ndarray, kind: str) -> np.ndarray:
+    """Unit vectors as they would be kept: float, half, int8 or binary (signs); bytes fall from 4 a number to an eighth."""
+    if kind == "float":
+        return x.astype(np.float32)
+    if kind == "half":
+        return x.astype(np.float16)
+    if kind == "int8":
+        return np.clip(np.round(x * 127), -127, 127).astype(np.int8)
+    if kind == "binary":
+        return np.packbits(x > 0, axis=1)
+    raise InputError(f"unknown kind {kind!r}")
+
+
+def quantized_distance(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of rows of a to rows of b, for ranking: cosine, or differing signs."""
+    if kind == "binary":
+        return np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2)
+    x, y = a.astype(np.float64), b.astype(np.float64)
+    return 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
