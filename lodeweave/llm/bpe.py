@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 1_000_000
+CACHED = 500_000
 LONG_PIECE = 1_024
 #: Pieces a query; all steps of a query are held until it ends.
 PIECES = 20_000
