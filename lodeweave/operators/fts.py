@@ -6,7 +6,7 @@ serve the same ranking for queries without phrases from the terms' rows alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -60,14 +60,27 @@ def ranking(id_col: str) -> list[Column]:
 
 
 def text_search(rows: DataFrame, queries: Sequence[Query], k: int, id_col: str, text_col: str, analyzer: str = "simple") -> DataFrame:
-    """(query_id, id, exact, terms, density, rank) of each query's best k.  One scan serves all queries; none shuffles more than k rows a partition."""
+    """(query_id, id, exact, terms, density, rank) of each query's best k.
+
+    One scan serves all queries; only the best k rows of each partition and query are shuffled.
+    """
     words = rows.select(id_col, analyzed(F.col(text_col), analyzer).alias("words"))
-    parts = []
+    best = Window.partitionBy("query_id").orderBy(*ranking(id_col))
+    if len(queries) == 1:
+        found = scored(words, queries[0]).select(F.lit(0).cast("long").alias("query_id"), id_col, "exact", "terms", "density").orderBy(*ranking(id_col)).limit(k)
+        return found.withColumn("rank", F.row_number().over(best).cast("long"))
+    column = F.col("words")
+    each = []
     for i, q in enumerate(queries):
-        best = scored(words, q).select(id_col, "exact", "terms", "density").orderBy(*ranking(id_col)).limit(k)
-        parts.append(best.select(F.lit(i).cast("long").alias("query_id"), id_col, "exact", "terms", "density"))
-    found = reduce(DataFrame.unionByName, parts)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking(id_col))).cast("long"))
+        wanted = F.array(*map(F.lit, q.words)).cast("array<string>")
+        counts = F.struct(F.lit(i).cast("long").alias("query_id"), matches(column, q).cast("long").alias("exact"), F.size(F.array_intersect(column, wanted)).cast("long").alias("terms"), F.size(F.filter(column, _within(wanted))).cast("long").alias("density"))
+        each.append(F.when(matches(column, q.loose()), counts))
+    found = words.select(id_col, F.explode(F.array_compact(F.array(*each))).alias("m")).select("m.query_id", id_col, "m.exact", "m.terms", "m.density")
+    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+
+
+def _within(wanted: Column) -> Callable[[Column], Column]:
+    return lambda w: F.array_contains(wanted, w)
 
 
 def postings(rows: DataFrame, id_col: str, texts: Mapping[str, float], analyzer: str = "simple") -> DataFrame:

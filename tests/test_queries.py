@@ -77,4 +77,4 @@ def test_plans(spark):
     children = plan("ls_children")
     assert "EqualTo(source,src2)" in children
     assert "TakeOrderedAndProject" in plan("fts_topk") and "TakeOrderedAndProject" in plan("glob_page")
-    assert "WindowGroupLimit" in plan("catalog_top_titles")
+    assert "WindowGroupLimit" in plan("catalog_top_titles") and "WindowGroupLimit" in plan("multi_query_rrf")
