@@ -220,15 +220,15 @@ def verdicts(texts: list[bytes], trees: Trees | None, keep_at: float = KEEP_AT)
 
 
 def quality_scores(docs: DataFrame, trees: Trees | None, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
-    """The id, base counts, base_failed, score and kept of every document."""
+    """The id, base counts, base_failed, kept and quality_score of every document."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, failed, score, kept = verdicts(as_bytes(batch.column(1)), trees, keep_at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(score), pa.array(kept)], [id_col, *BASE, "base_failed", "quality_score", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(base[:, k]) for k in range(len(BASE))), pa.array(failed), pa.array(kept), pa.array(score)], [id_col, *BASE, "base_failed", "kept", "quality_score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, {', '.join(f'{k} long' for k in BASE)}, base_failed boolean, quality_score double, kept boolean"
+    schema = f"{id_col} {kind}, {', '.join(f'{k} long' for k in BASE)}, base_failed boolean, kept boolean, quality_score double"
     return docs.select(id_col, F.col(text_col).cast("string").alias(text_col)).mapInArrow(scored, schema)
 
 
