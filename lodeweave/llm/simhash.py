@@ -7,9 +7,9 @@ ball around that.  Matches are verified by their complete distance.  Links withi
 forest, never as all pairs; a bucket with more fingerprints than `hot` is dealt over several tasks, each with all its
 table entries and a part of the probes.  Components then come from rounds of joins and minima (large star, small star).
 
-A wide fingerprint has a second half of other hashes: the first half is searched within a larger radius, and matches are
-verified by the distance of both.  What agrees in 0.8 of 128 bits is found if it
-differs in at most 13 of the first 64.
+A wide fingerprint has a second half of other hashes.  Two that differ in at most 25 bits of the two halves differ in at
+most 12 of one of them, so each half is searched within 12, in segments of its own, and matches are verified by the
+distance of both: every pair that agrees in 0.8 of 128 bits is found.
 
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; rows with equal ids are one
 document; a row with a null id has a fingerprint and, if an id has the same fingerprint, that one's component, else a
@@ -120,33 +120,41 @@ def cheapest_segments(radius: int, n: int) -> int:
     return min((m for m in range(2, min(radius, 8) + 1) if radius // m <= 3), key=cost, default=1)
 
 
-def _bucket_key(segment: int, shift: int, width: int) -> Column:
-    value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col("fp")
+#: The half, shift, width and small radius of each segment that is probed.
+Plan = list[tuple[str, int, int, int]]
+
+
+def halves_plan(radius: int, both: int | None, segments: int) -> Plan:
+    """The segments that find every pair within the reach.  What differs in over half of `both` in the first half doesn't in the second."""
+    halves = [("fp", radius)] if both is None or radius <= both // 2 else [("fp", both // 2), ("fp2", both - both // 2 - 1)]
+    return [(half, *segment) for half, within in halves for segment in segment_plan(within, segments)]
+
+
+def _bucket_key(segment: int, half: str, shift: int, width: int) -> Column:
+    value = F.shiftrightunsigned(half, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col(half)
     return value.bitwiseOR(F.lit(segment << _KEY_BITS))
 
 
-def _bucket_keys(segment: int, shift: int, width: int, within: int) -> Column:
+def _bucket_keys(segment: int, half: str, shift: int, width: int, within: int) -> Column:
     """The keys of a fingerprint's ball in a segment, its own first."""
-    return F.transform(F.array([F.lit(m).cast("long") for m in ball(width, within)]), lambda m: _bucket_key(segment, shift, width).bitwiseXOR(m))
+    return F.transform(F.array([F.lit(m).cast("long") for m in ball(width, within)]), lambda m: _bucket_key(segment, half, shift, width).bitwiseXOR(m))
 
 
-def _entries(nodes: DataFrame, radius: int, segments: int) -> DataFrame:
+def _entries(nodes: DataFrame, plan: Plan) -> DataFrame:
     """Rows (key, probe, fp, fp2, node): probe is 0 for the table's own entry, 1 for what only probes."""
-    plan = segment_plan(radius, segments)
-    xors = [_bucket_keys(k, shift, width, small) for k, (shift, width, small) in enumerate(plan)]
+    xors = [_bucket_keys(k, *segment) for k, segment in enumerate(plan)]
     parts = [F.transform(x, lambda key, i: F.struct(key.alias("key"), F.when(i == 0, 0).otherwise(1).alias("probe"))) for x in xors]
     return nodes.select("fp", "fp2", "node", F.explode(F.concat(*parts)).alias("e")).select("e.key", "e.probe", "fp", "fp2", "node")
 
 
-def _dealt(entries: DataFrame, nodes: DataFrame, radius: int, segments: int, hot: int) -> DataFrame:
+def _dealt(entries: DataFrame, nodes: DataFrame, plan: Plan, hot: int) -> DataFrame:
     """entries with a part: hot buckets' probes are spread, their table entries copied to each part."""
-    plan = segment_plan(radius, segments)
-    own = nodes.select(F.explode(F.array(*[_bucket_key(k, s, w) for k, (s, w, _) in enumerate(plan)])).alias("key"))
+    own = nodes.select(F.explode(F.array(*[_bucket_key(k, half, s, w) for k, (half, s, w, _) in enumerate(plan)])).alias("key"))
     full = checkpointed(own.groupBy("key").count().where(F.col("count") > hot))
     found = full.count()
     if not found:
         return entries.withColumn("part", F.lit(0))
-    around = [F.when(F.shiftrightunsigned("key", _KEY_BITS) == k, F.transform(F.array([F.lit(m).cast("long") for m in ball(w, r)]), lambda m: F.col("key").bitwiseXOR(m))) for k, (_, w, r) in enumerate(plan)]
+    around = [F.when(F.shiftrightunsigned("key", _KEY_BITS) == k, F.transform(F.array([F.lit(m).cast("long") for m in ball(w, r)]), lambda m: F.col("key").bitwiseXOR(m))) for k, (_, _, w, r) in enumerate(plan)]
     near = full.select(F.explode(F.coalesce(*around)).alias("key"), "count").groupBy("key").agg(F.ceil(F.sum("count") / F.lit(hot)).cast("int").alias("parts"))
     near = F.broadcast(near) if found <= 1000 else near  # at most 1000 balls of some hundred keys
     joined = entries.join(near, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -156,7 +164,7 @@ def _dealt(entries: DataFrame, nodes: DataFrame, radius: int, segments: int, hot
 
 @dataclass(frozen=True)
 class Reach:
-    """How far linked fingerprints are apart: in the first half, which is searched, and in both."""
+    """How far linked fingerprints are apart: in the first half, and in both."""
 
     radius: int
     both: int | None = None
@@ -225,7 +233,8 @@ def bucket_links(keys: np.ndarray, probe: np.ndarray, fps: np.ndarray, fps2: np.
 def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
     """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node): their components are those of all links within reach."""
     reach = Reach(radius, both)
-    segments = segments or cheapest_segments(radius, nodes.count())
+    segments = segments or cheapest_segments(radius if both is None else min(radius, both // 2), nodes.count())
+    plan = halves_plan(radius, both, segments)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -253,7 +262,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None =
         if held:
             yield links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    entries = _dealt(_entries(nodes, radius, segments), nodes, radius, segments, hot)
+    entries = _dealt(_entries(nodes, plan), nodes, plan, hot)
     width = shuffle_width(nodes.sparkSession)
     rows = entries.select("key", "part", "probe", "fp", "fp2", "node").repartition(width, "key", "part").sortWithinPartitions("key", "part", "probe")
     return rows.mapInArrow(linked, "a long, b long").distinct()
@@ -288,7 +297,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
     """The id, fingerprint (hex) and component_id of every document.
 
-    both: with a second fingerprint of other hashes, the most bits in which linked documents differ in the two together.
+    both: with a second fingerprint of other hashes, the most bits in which linked documents differ in the two together;
+    radius then is a further limit on the first, and none if it isn't less.
     """
     fps = checkpointed(fingerprints(docs, words, id_col, text_col, both is not None))
     nodes = checkpointed(fps.groupBy("fp", "fp2").agg(F.min("id").alias("node")).where("node IS NOT NULL"))
@@ -304,8 +314,8 @@ def _shared_ids(fps: DataFrame, nodes: DataFrame) -> DataFrame:
     return fps.join(several, "id").join(nodes, ["fp", "fp2"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
 
 
-#: Near-duplicate stages: five words, and fingerprints of 128 bits that agree in 0.8 of them.
-STAGE = {"words": 5, "radius": 13, "both": 25}
+#: Near-duplicate stages: five words, and fingerprints of 128 bits that agree in 0.8 of them, however the bits are spread.
+STAGE = {"words": 5, "radius": 25, "both": 25}
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:

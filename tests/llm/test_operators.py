@@ -170,6 +170,25 @@ def test_links_are_those_of_all_pairs(spark, segments, hot):
     assert got == {n: r for n, r in want.items() if n != r}
 
 
+@pytest.mark.parametrize(("segments", "hot"), [(None, simhash.HOT), (3, 2)])
+def test_wide_links_are_those_of_128_bits(spark, segments, hot):
+    """However the differing bits are spread over the halves; pairs with 26 aren't linked."""
+    rng = np.random.default_rng(11)
+    made = []
+    for first in (0, 1, 12, 13, 14, 20, 25):
+        for total in (25, 26):
+            a, b = (int(x) for x in rng.integers(0, 1 << 63, 2, dtype=np.uint64))
+            flips = [sum(1 << int(k) for k in rng.permutation(64)[:n]) for n in (first, total - first)]
+            made += [(a, b), (a ^ flips[0], b ^ flips[1])]
+    signed = np.array(made, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(signed)], "fp long, fp2 long, node long")
+    how = {k: v for k, v in simhash.STAGE.items() if k != "words"}
+    got = {(r.a, r.b) for r in simhash.fingerprint_links(nodes, segments=segments, hot=hot, **how).collect()}
+    x, y = np.array(made, np.uint64).T
+    apart = np.bitwise_count(x[:, None] ^ x).astype(int) + np.bitwise_count(y[:, None] ^ y)
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 25), strict=True) if i < j} and len(got) == 7
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a long, b long")
     got = {r.node: r.root for r in simhash.connected_components(links).collect()}
