@@ -6,9 +6,9 @@ of minimum rank, until no piece has a pair.  Decoding joins the ids with the tok
 order.  A piece that is itself a token is its own encoding, as in the library.
 
 Pieces never reach over a space that has a character other than white space on its left or its right, so texts are cut
-at spaces first and the encodings of the parts are remembered (up to CACHED, then forgotten).  Each distinct piece is decoded when it is
-encoded, and the decoded bytes are held against it.  A text with any other
-space is cut by the pattern as a whole.  The query takes as many steps as a piece has merges, so a piece of over
+at spaces first and the encodings of the parts are remembered (up to CACHED, then forgotten).  A text with any other
+space is cut by the pattern as a whole.  Each distinct piece is decoded by the query when it is encoded, and refused if
+it doesn't come back; each document is decoded from its own ids, token by token in their order.  The query takes as many steps as a piece has merges, so a piece of over
 LONG_PIECE bytes is contracted by a heap instead, to the same result.
 
 Defined cases: a null text counts as empty, no tokens; a null id stays null; rows with equal texts get equal results;
@@ -79,8 +79,8 @@ class BytePairs:
         #: Ids, as text, of pieces; and of parts, which have a space before them.
         self._pieces: dict[str, str] = {}
         self._parts: dict[str, str] = {}
-        #: Pieces whose ids decode to something else.
-        self._odd: dict[str, bytes] = {}
+        #: Bytes of a token by its id as text.
+        self._tokens = {str(r): t for t, r in ranks.items()}
 
     @cached_property
     def _db(self) -> duckdb.DuckDBPyConnection:
@@ -137,9 +137,9 @@ class BytePairs:
         fresh = [(self._parts, c, " " + c) for c in parts if c not in self._parts] + [(self._pieces, p, p) for p in pieces if p not in self._pieces]
         data = [p.encode() for _, _, p in fresh]
         for (kept, key, piece), d, (ids, decoded) in zip(fresh, data, self.code(data), strict=True):
-            kept[key] = ids
             if decoded != d.hex():
-                self._odd[piece] = bytes.fromhex(decoded)
+                raise ValueError(f"ids of {piece!r} decode to something else")
+            kept[key] = ids
 
     def _ids(self, pieces: list[str]) -> str:
         return " ".join([self._parts[p[1:]] if p[0] == " " else self._pieces[p] for p in pieces])
@@ -165,11 +165,11 @@ class BytePairs:
         for t, parts in split.items():
             ids = self._ids(first[parts[0]])
             done[t] = " ".join([ids, *map(ids_of, parts[1:])] if ids else map(ids_of, parts[1:]))
-        return [(done[t], self._decoded(t)) for t in texts]
+        return [(done[t], self._decoded(done[t])) for t in texts]
 
-    def _decoded(self, text: str) -> bytes:
-        """The decoded bytes of a text's pieces, one after the other: where each piece decodes to itself, the text's bytes."""
-        return b"".join(self._odd.get(p, p.encode()) for p in self.pattern.findall(text)) if self._odd else text.encode()
+    def _decoded(self, ids: str) -> bytes:
+        """The bytes of a document's ids, one token after the other."""
+        return b"".join(map(self._tokens.__getitem__, ids.split(" "))) if ids else b""
 
 
 #: One encoder a worker process, kept between tasks.

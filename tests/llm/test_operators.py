@@ -468,6 +468,14 @@ def test_cached_parts_are_forgotten(pairs, monkeypatch):
         assert own.encode_texts(["one two three four, five!"])[0][0] == " ".join(map(str, library.encode_ordinary("one two three four, five!")))
 
 
+def test_documents_are_decoded_from_their_ids(pairs):
+    own = bpe.BytePairs(pairs[0].ranks, public_tokenizers.PATTERN)
+    own.encode_texts(["one two three"])
+    own._parts["two"] = own._parts["three"]  # a fault in the cache shows in what is decoded
+    ids, data = own.encode_texts(["one two three"])[0]
+    assert data == pairs[1].decode_bytes([int(i) for i in ids.split()]) == b"one three three"
+
+
 def test_byte_pair_rows(pairs, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = bpe.bpe_documents(docs, path, public_tokenizers.PATTERN).collect()
