@@ -2,8 +2,8 @@
 
 A candidate is a maximal run of characters of a class's alphabet, at least a window long.  The window slides one
 character at a time; its entropy is kept up from incremental counts, never counted anew.  Windows at or over the class's
-threshold that have enough digits are joined to spans.  A span that lies within an allowed string, or that overlaps a
-span of a base pattern, is suppressed; spans of base patterns always stay.
+threshold that have enough digits are joined to spans.  Of a span that overlaps spans of base patterns, the rest is kept;
+what lies within an allowed string is suppressed; spans of base patterns always stay.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal results; equal starts are ordered by kind as
 in KINDS; an empty table gives no rows.  Offsets count code points, ends are exclusive.  Only the id and text columns
@@ -90,8 +90,14 @@ def entropy_windows(run: str, window: int, bits: float, digits: int) -> list[tup
     return [(a, b) for a, b in spans]
 
 
-def _overlaps(spans: list[Span], start: int, end: int) -> bool:
-    return any(a < end and start < b for a, _, b in spans)
+def _outside(spans: list[Span], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts from start to end that are in none of spans."""
+    for a, _, b in sorted(spans):
+        if start < min(a, end):
+            yield start, min(a, end)
+        start = max(start, b)
+    if start < end:
+        yield start, end
 
 
 def entropy_spans(text: str, base: list[Span], classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[re.Pattern[str]] = ALLOWED) -> list[Span]:
@@ -100,11 +106,10 @@ def entropy_spans(text: str, base: list[Span], classes: Sequence[CharacterClass]
         for m in kind.candidate.finditer(text):
             if not any(c.isdigit() for c in m[0]):
                 continue
-            fine = [(a.start(), a.end()) for p in allowed for a in p.finditer(m[0])]
+            fine = [(m.start() + a.start(), m.start() + a.end()) for p in allowed for a in p.finditer(m[0])]
             near = [x for x in base + found if x[0] < m.end() and m.start() < x[2]]
             for a, b in entropy_windows(m[0], kind.window, kind.bits, kind.digits):
-                if not any(x <= a and b <= y for x, y in fine) and not _overlaps(near, m.start() + a, m.start() + b):
-                    found.append((m.start() + a, len(KINDS) - 1, m.start() + b))
+                found += [(s, len(KINDS) - 1, e) for s, e in _outside(near, m.start() + a, m.start() + b) if not any(x <= s and e <= y for x, y in fine)]
     return found
 
 
