@@ -297,7 +297,10 @@ def class_sequences(docs: DataFrame) -> DataFrame:
 
 
 def baum_welch(sequences: DataFrame, texts: int, rounds: int = ROUNDS) -> HiddenMarkov:
-    """A model from all sequences, of which there are `texts`: begun on a bounded sample at the driver, then `rounds` passes over everything."""
+    """A model from all sequences, of which there are `texts`: begun on a bounded sample at the driver, then `rounds` passes over everything.
+
+    Only the sample leaves out texts of over 20,000 tokens; without any other text the passes begin with the random model.
+    """
     seeds = sequences.select(F.xxhash64("id").alias("k"), "seq").where(F.length("seq") <= 2 * 20_000)
     share = min(1.0, 1.2 * SEED_TEXTS / max(texts, 1))
     drawn = sorted(seeds.where(F.pmod("k", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect(), key=lambda r: (r.k, bytes(r.seq)))[:SEED_TEXTS]
@@ -312,7 +315,7 @@ def baum_welch(sequences: DataFrame, texts: int, rounds: int = ROUNDS) -> Hidden
         for _, t in trellises(some):
             expected.add(model, t)
         model = expected.model()
-    for _ in range(rounds if some else 0):
+    for _ in range(rounds if texts else 0):
         model = _pass(sequences, model)
     return model
 

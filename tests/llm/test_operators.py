@@ -302,6 +302,13 @@ def test_forward_is_the_sum_over_paths():
         assert math.isclose(got[i], math.log(a.sum()), rel_tol=1e-9)
 
 
+def test_long_texts_alone_are_learned_from(spark):
+    seq = np.random.default_rng(4).integers(0, 50, 20_001).astype(np.uint16)
+    model = hmm.baum_welch(spark.createDataFrame([(1, seq.tobytes())], "id long, seq binary").select("id", "seq"), 1, rounds=1)
+    assert model.emit[:, :50].sum() > 0.9 * len(model.emit)
+    assert np.array_equal(hmm.baum_welch(spark.createDataFrame([], "id long, seq binary"), 0).emit, hmm.HiddenMarkov.random().emit)
+
+
 def test_baum_welch_never_gets_worse():
     rng = np.random.default_rng(4)
     sequences = [np.repeat(rng.integers(0, 40, 6), 3).astype(np.uint16) for _ in range(60)]
