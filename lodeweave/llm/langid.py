@@ -4,8 +4,8 @@ One-versus-rest linear support vector machines choose a language family; within
 language.  Features are frequencies of byte pairs and hashed byte triples of the case-folded text with everything but
 letters as spaces, so a margin is a mean of weights over the whole text.
 
-Training takes at most PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, chosen by the hash of
-their id, from the folds that aren't held out.
+Training takes at most PER_LANGUAGE documents of each language, chosen by the hash of their id, from the folds that
+aren't held out.  Every language is learned; one that no family lists is a family, with a machine of 512 kB.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is everything if nothing can be learned; a
 null id is neither trained on nor held out; rows with equal texts get equal results; ties between languages go to the
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from lodeweave.llm.shared import fold
 
 PER_LANGUAGE = 300
-LANGUAGES = 200
 FOLDS = 5
 UNKNOWN = "und"
 
@@ -118,12 +117,12 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """A model from at most per_language texts a language, of those whose fold isn't 0."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("id"), folds) != 0))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([], {}, {}, {})
     space = 1 << 30
-    bound = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(space, 1 + 2 * space * per_language // r["count"])))])
-    drawn = known.withColumn("draw", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(space))).where(F.col("draw") < bound[F.col("lang")])
+    bounds = docs.sparkSession.createDataFrame([(r["lang"], min(space, 1 + 2 * space * per_language // r["count"])) for r in counts], "lang string, bound long")
+    drawn = known.withColumn("draw", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(space))).join(F.broadcast(bounds), "lang").where("draw < bound")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +164,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """The id, held_out, lang_pred and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES machines a level, 512 kB each
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine of 512 kB for each family and each pair within one
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

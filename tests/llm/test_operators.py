@@ -228,6 +228,15 @@ def test_every_plan_covers_its_radius():
 # Languages
 
 
+def test_every_language_is_learned(spark):
+    """Over 200 languages of one word each."""
+    rows = [(10 * k + n, f"x{chr(97 + k // 26)}{chr(97 + k % 26)} " * 5, f"l{k:03}") for k in range(210) for n in range(10) if zlib.crc32(str(10 * k + n).encode()) % 5][::4]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_language_model(docs)
+    assert model.families == sorted({r[2] for r in rows}) and len(model.families) > 200
+    assert all(model.predict(t)[0] == lang for _, t, lang in rows[::100] + rows[-1:])
+
+
 def test_languages(spark, docs, empty):
     real = spark.read.parquet(f"{LARGER}/documents.parquet")
     model = langid.fit_language_model(real)
