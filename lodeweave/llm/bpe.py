@@ -8,8 +8,9 @@ order.  A piece that is itself a token is its own encoding, as in the library.
 Pieces never reach over a space that has a character other than white space on its left or its right, so texts are cut
 at spaces first and the encodings of the parts are remembered (up to CACHED, then forgotten).  A text with any other
 space is cut by the pattern as a whole.  Each distinct piece is decoded by the query when it is encoded, and refused if
-it doesn't come back; each document is decoded from its own ids, token by token in their order.  The query takes as many steps as a piece has merges, so a piece of over
-LONG_PIECE bytes is contracted by a heap instead, to the same result.
+it doesn't come back.  Each document is decoded from its own ids: rows of document, position and token, whose token
+column has the token table as its dictionary, are aggregated in the order of their positions.  The encoding query takes as
+many steps as a piece has merges, so a piece of over LONG_PIECE bytes is contracted by a heap instead, to the same result.
 
 Defined cases: a null text counts as empty, no tokens; a null id stays null; rows with equal texts get equal results;
 an empty table gives no rows.  Only the id and text columns are read.
@@ -28,6 +29,7 @@ from itertools import chain
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,8 @@ CACHED = 500_000
 LONG_PIECE = 1_024
 #: Pieces a query; all steps of a query are held until it ends.
 PIECES = 20_000
-BLOCK_DOCS = 2_000
+#: Documents, and bytes of their texts (or one document), that are encoded and decoded at once.
+BLOCK_DOCS, BLOCK_BYTES = 2_000, 8_000_000
 
 #: A space between white space, or between white space and the end.
 _INNER_SPACE = re.compile(r" (?=\s|\Z)(?<=\s )")
@@ -61,6 +64,8 @@ decoded AS (
 SELECT array_to_string(toks, ' ') AS ids, hex FROM encoded JOIN decoded USING (w) ORDER BY w
 """
 
+_DECODE = "SELECT doc, string_agg(token, '' ORDER BY position) AS hex FROM coded GROUP BY doc"
+
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
     """A rank file: base64 of a token and its rank on each line."""
@@ -79,8 +84,10 @@ class BytePairs:
         #: Ids, as text, of pieces; and of parts, which have a space before them.
         self._pieces: dict[str, str] = {}
         self._parts: dict[str, str] = {}
-        #: Bytes of a token by its id as text.
-        self._tokens = {str(r): t for t, r in ranks.items()}
+        #: The token table: each id's bytes in hexadecimal, null for numbers that are no id.
+        self.tokens: list[str | None] = [None] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            self.tokens[r] = t.hex()
 
     @cached_property
     def _db(self) -> duckdb.DuckDBPyConnection:
@@ -144,8 +151,8 @@ class BytePairs:
     def _ids(self, pieces: list[str]) -> str:
         return " ".join([self._parts[p[1:]] if p[0] == " " else self._pieces[p] for p in pieces])
 
-    def encode_texts(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text its ids as decimal text, and the bytes that they decode to."""
+    def encode_texts(self, texts: list[str]) -> list[str]:
+        """For each text its ids as decimal text."""
         whole = {t: self.pattern.findall(t) for t in texts if _INNER_SPACE.search(t)}
         split = {t: t.split(" ") for t in texts if t not in whole}
         inner = set().union(*(parts[1:] for parts in split.values())) if split else set()
@@ -165,11 +172,23 @@ class BytePairs:
         for t, parts in split.items():
             ids = self._ids(first[parts[0]])
             done[t] = " ".join([ids, *map(ids_of, parts[1:])] if ids else map(ids_of, parts[1:]))
-        return [(done[t], self._decoded(done[t])) for t in texts]
-
-    def _decoded(self, ids: str) -> bytes:
-        """The bytes of a document's ids, one token after the other."""
-        return b"".join(map(self._tokens.__getitem__, ids.split(" "))) if ids else b""
+        return [done[t] for t in texts]
+
+    def decode_ids(self, documents: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each document's ids, by ordered aggregation."""
+        lengths = [len(x) for x in documents]
+        ids = np.concatenate([*documents, np.zeros(0, np.int32)]).astype(np.int32)
+        token = pa.DictionaryArray.from_arrays(ids, pa.array(self.tokens, pa.string()))
+        if np.array([t is None for t in self.tokens])[ids].any():
+            raise ValueError("an id is not in the vocabulary")
+        coded = pa.table({"doc": np.repeat(np.arange(len(documents), dtype=np.int32), lengths), "position": np.arange(len(ids), dtype=np.int32), "token": token})
+        self._db.register("coded", coded)
+        got = self._db.sql(_DECODE).to_arrow_table()
+        self._db.unregister("coded")
+        out = [b""] * len(documents)
+        for doc, data in zip(got.column("doc").to_pylist(), got.column("hex").to_pylist(), strict=True):
+            out[doc] = bytes.fromhex(data)
+        return out
 
 
 #: One encoder a worker process, kept between tasks.
@@ -183,6 +202,19 @@ def _encoder(data: bytes, pattern: str) -> BytePairs:
     return _MADE[key]
 
 
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices with at most BLOCK_DOCS rows and BLOCK_BYTES of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+    start = size = 0
+    for i, n in enumerate(sizes):
+        if i > start and (size + n > BLOCK_BYTES or i - start >= BLOCK_DOCS):
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def bpe_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_tokens: bool = True) -> DataFrame:
     """The id, ids and decoded text (if kept), n_tokens and both digests of every document.
 
@@ -194,16 +226,15 @@ def bpe_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = _encoder(shared.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BLOCK_DOCS):
-                batch = whole.slice(at, BLOCK_DOCS)
-                out = pairs.encode_texts([t or "" for t in batch.column(1).to_pylist()])
-                ids = [np.fromstring(i, np.int32, sep=" ") if keep_tokens else None for i, _ in out]
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([d.decode() if keep_tokens else None for _, d in out], pa.string()),
-                    pa.array([i.count(" ") + 1 if i else 0 for i, _ in out], pa.int64()),
-                    pa.array([hashlib.sha256(i.encode()).hexdigest() for i, _ in out], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for _, d in out], pa.string()),
-                ], names)
+        for batch in chain.from_iterable(map(_blocks, batches)):
+            out = pairs.encode_texts([t or "" for t in batch.column(1).to_pylist()])
+            ids = [np.fromstring(i, np.int32, sep=" ") if i else np.zeros(0, np.int32) for i in out]
+            decoded = pairs.decode_ids(ids)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(ids if keep_tokens else [None] * len(ids), pa.list_(pa.int32())),
+                pa.array([d.decode() if keep_tokens else None for d in decoded], pa.string()), pa.array([len(i) for i in ids], pa.int64()),
+                pa.array([hashlib.sha256(i.encode()).hexdigest() for i in out], pa.string()), pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+            ], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, ids array<int>, decoded string, n_tokens long, ids_sha256 string, decoded_sha256 string"

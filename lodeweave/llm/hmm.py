@@ -32,8 +32,8 @@ STATES = 8
 CLASSES = 4097
 FOLDS, HELD_OUT = 7, 2
 HOT = 20_000
-#: Baum-Welch begins on at most so many training texts and so many of their tokens, then passes over all of them.
-SEED_TEXTS, SEED_TOKENS, SEED_ROUNDS, ROUNDS = 1_000, 600_000, 12, 2
+#: Baum-Welch first passes over each of so many parts of the training texts, then so many times over all of them.
+PARTS, ROUNDS = 8, 2
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 60_000
 TRELLIS_TOKENS = 400_000
 #: Distinct words that a task holds before it sends its counts on.
@@ -143,7 +143,7 @@ def word_counts(docs: DataFrame, ranges: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([merged(np.concatenate(held)).tobytes()], pa.binary())], ["p", "data"])
 
     schema = "p int, data binary"
-    dealt = docs.mapInArrow(counted, schema).repartition(shuffle_width(docs.sparkSession), "p").sortWithinPartitions("p")
+    dealt = docs.mapInArrow(counted, schema).repartitionById(ranges, F.col("p")).sortWithinPartitions("p")
     return dealt.mapInArrow(summed, schema)
 
 
@@ -231,9 +231,9 @@ def forward(model: HiddenMarkov, t: Trellis, keep: bool = False) -> tuple[np.nda
     """Natural-log likelihoods (in the trellis's own order); scaled alphas and scales if kept."""
     n = int(t.cuts[1]) if len(t.cuts) > 1 else 0
     likely = np.zeros(n)
-    emit = np.ascontiguousarray(model.emit.T)
-    alphas, scales = (np.empty((len(t.obs), STATES)), np.empty(len(t.obs))) if keep else (None, None)
-    a = np.broadcast_to(model.start, (n, STATES))
+    emit, states = np.ascontiguousarray(model.emit.T), len(model.start)
+    alphas, scales = (np.empty((len(t.obs), states)), np.empty(len(t.obs))) if keep else (None, None)
+    a = np.broadcast_to(model.start, (n, states))
     for k in range(len(t.cuts) - 1):
         low, high = t.cuts[k], t.cuts[k + 1]
         m = high - low
@@ -284,38 +284,28 @@ class Expected:
         return [np.concatenate([self.start, self.move.ravel()]).tobytes(), *(e.tobytes() for e in self.emit)]
 
 
-def class_sequences(docs: DataFrame) -> DataFrame:
-    """(id, seq): the classes of each text's tokens.  docs: id, text."""
+def class_sequences(texts: DataFrame) -> DataFrame:
+    """(part, seq): the classes of each text's tokens.  texts: part, text."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, 1):
-            b = block_of(texts)
+        for batch, data in blocks(batches, 1):
+            b = block_of(data)
             parts = np.split(b.classes[b.tokens], np.cumsum(b.lengths)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], ["id", "seq"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "seq"])
 
-    return docs.mapInArrow(made, f"id {docs.schema['id'].dataType.simpleString()}, seq binary")
+    return texts.mapInArrow(made, "part int, seq binary")
 
 
-def baum_welch(sequences: DataFrame, texts: int, rounds: int = ROUNDS) -> HiddenMarkov:
-    """A model from all sequences, of which there are `texts`: begun on a bounded sample at the driver, then `rounds` passes over everything.
+def baum_welch(sequences: DataFrame, rounds: int = ROUNDS) -> HiddenMarkov:
+    """A model from all sequences (part, seq): a round over each part, so that every text is seen once while the model is rough, then `rounds` over all.
 
-    Only the sample leaves out texts of over 20,000 tokens; without any other text the passes begin with the random model.
+    The expected counts of every round are summed in each partition and then across partitions.  A round without
+    sequences leaves the model as it is.
     """
-    seeds = sequences.select(F.xxhash64("id").alias("k"), "seq").where(F.length("seq") <= 2 * 20_000)
-    share = min(1.0, 1.2 * SEED_TEXTS / max(texts, 1))
-    drawn = sorted(seeds.where(F.pmod("k", F.lit(1 << 30)) < int(share * (1 << 30)) + 1).collect(), key=lambda r: (r.k, bytes(r.seq)))[:SEED_TEXTS]
     model = HiddenMarkov.random()
-    some, size = [], 0
-    for r in drawn:
-        if size < SEED_TOKENS:
-            some.append(np.frombuffer(r.seq, np.uint16))
-            size += len(some[-1])
-    for _ in range(SEED_ROUNDS if some else 0):
-        expected = Expected.none()
-        for _, t in trellises(some):
-            expected.add(model, t)
-        model = expected.model()
-    for _ in range(rounds if texts else 0):
+    for part in range(PARTS):
+        model = _pass(sequences.where(F.col("part") == part), model)
+    for _ in range(rounds):
         model = _pass(sequences, model)
     return model
 
@@ -339,6 +329,8 @@ def _pass(sequences: DataFrame, model: HiddenMarkov) -> HiddenMarkov:
                     size, held = 0, []
             for _, t in trellises(held):
                 total.add(shared.value, t)
+        if not total.start.any():
+            return
         yield pa.RecordBatch.from_arrays([pa.array(range(slots), pa.int32()), pa.array(total.rows(), pa.binary())], ["slot", "data"])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +344,7 @@ def _pass(sequences: DataFrame, model: HiddenMarkov) -> HiddenMarkov:
     schema = "slot int, data binary"
     parts = sequences.select("seq").mapInArrow(expected, schema).repartition(shuffle_width(spark), "slot")
     got = {r.slot: np.frombuffer(r.data) for r in parts.mapInArrow(summed, schema).collect()}
-    if not got:
+    if not got or not got[0].any():
         return model
     return Expected(got[0][:STATES], got[0][STATES:].reshape(STATES, STATES), np.stack([got[1 + s] for s in range(STATES)])).model()
 
@@ -429,24 +421,23 @@ def _met(data: bytes, counts: np.ndarray) -> bytes:
 def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """The id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    width = shuffle_width(spark)
-    ranges = 2 * width
+    width = ranges = shuffle_width(spark)
     rest = fold(F.col(id_col), folds)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(rest == held_out, F.lit(False)).alias("held"), F.coalesce(rest != held_out, F.lit(False)).alias("trained"))
-    trained = rows.where("trained").select("id", "text")
+    trained = rows.where("trained").select(F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "text")
     counts = checkpointed(word_counts(trained.select("text"), ranges))
     class_n, class_v = class_totals(counts)
     tokens, words = int(class_n.sum()), int(class_v.sum())
-    model = baum_welch(checkpointed(class_sequences(trained)), int(class_n[-1]))
+    model = baum_welch(checkpointed(class_sequences(trained), by="part"))
     shared = spark.sparkContext.broadcast(Scorer(model, hot_words(counts, tokens), np.log10(class_n + class_v + 1.0), ranges))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch, texts in blocks(batches, 1):
+        task = TaskContext.get().partitionId()
+        for k, (batch, texts) in enumerate(blocks(batches, 1)):
+            number = task << 32 | k
             known, pairs = _scored_block(block_of(texts), batch.column(0).to_pylist(), batch.column(2).to_pylist(), shared.value)
-            rows = [(number % ranges, _DOCS, known.tobytes()), *((p, _PAIRS, data) for p, data in pairs.items())]
+            rows = [((task + k) % ranges, _DOCS, known.tobytes()), *((p, _PAIRS, data) for p, data in pairs.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names)
-            number += 1
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, entries = None, np.zeros(0, _ENTRY)
@@ -491,6 +482,6 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "p int, kind int, block long, data binary"
     asked = rows.select("id", "text", "held").mapInArrow(scored, schema)
     told = counts.select("p", F.lit(_COUNTS).alias("kind"), F.lit(0).cast("long").alias("block"), "data")
-    parts = told.union(asked).repartition(width, "p").sortWithinPartitions("p", "kind").mapInArrow(met, schema)
+    parts = told.union(asked).repartitionById(width, F.col("p")).sortWithinPartitions("p", "kind").mapInArrow(met, schema)
     whole = parts.repartition(width, "block").sortWithinPartitions("block", "kind", "p").mapInArrow(summed, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return whole.withColumn("id", F.col("id").cast(kind_of)).withColumnRenamed("id", id_col)

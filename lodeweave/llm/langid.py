@@ -4,8 +4,9 @@ One-versus-rest linear support vector machines choose a language family; within
 language.  Features are frequencies of byte pairs and hashed byte triples of the case-folded text with everything but
 letters as spaces, so a margin is a mean of weights over the whole text.
 
-Training takes at most PER_LANGUAGE documents of each language, chosen by the hash of their id, from the folds that
-aren't held out.  Every language is learned; one that no family lists is a family, with a machine of 512 kB.
+Training takes at most PER_LANGUAGE documents of each language, and TRAINING_ROWS in all but for one of each language,
+chosen by the hash of their id and text, from the folds that aren't held out.  Every language is learned; one that no
+family lists is a family, with a machine of 512 kB.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is everything if nothing can be learned; a
 null id is neither trained on nor held out; rows with equal texts get equal results; ties between languages go to the
@@ -21,12 +22,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.llm.shared import fold
 
 PER_LANGUAGE = 300
+TRAINING_ROWS = 6_000
 FOLDS = 5
 UNKNOWN = "und"
 
@@ -120,9 +122,14 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counts = known.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([], {}, {}, {})
+    per_language = max(1, min(per_language, TRAINING_ROWS // len(counts)))
     space = 1 << 30
     bounds = docs.sparkSession.createDataFrame([(r["lang"], min(space, 1 + 2 * space * per_language // r["count"])) for r in counts], "lang string, bound long")
-    drawn = known.withColumn("draw", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(space))).join(F.broadcast(bounds), "lang").where("draw < bound")
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(space))
+    # the bound leaves some two times per_language rows of each language; the rank, limited in each task first, the rest
+    near = known.withColumn("draw", draw).join(F.broadcast(bounds), "lang").where("draw < bound")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    drawn = near.withColumn("rank", rank).where(F.col("rank") <= per_language)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,8 +23,8 @@ SEED = "mix-1"
 #: The largest mean of a single Poisson number; P(X > TABLE) is below 1e-30 at that.
 PART = 16.0
 TABLE = 96
-#: Up to so many sources their rates are broadcast; beyond, rows are joined to them by a shuffle.
-BROADCAST_SOURCES = 2_000
+#: Up to so many sources their rates are broadcast; beyond, rows are joined to them by a shuffle, each source in SALTS parts.
+BROADCAST_SOURCES, SALTS = 2_000, 64
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -51,14 +51,19 @@ def source_rates(docs: DataFrame, weights: Mapping[str | None, float], default:
 def poisson_mix(docs: DataFrame, weights: Mapping[str | None, float], default: float = 1.0, scale: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All columns, each row as often as its count says, with copy_no (from 1) and mix_key, in a global order by chance."""
     rates, sources = source_rates(docs, weights, default, scale, source_col)
-    rates = F.broadcast(rates) if sources <= BROADCAST_SOURCES else rates
     docs = docs.drop("copy_no", "mix_key")
     columns = [docs[c] for c in docs.columns]
+    same = docs[source_col].eqNullSafe(rates["mix_source"])
+    if sources <= BROADCAST_SOURCES:
+        rates = F.broadcast(rates)
+    else:
+        rates = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = docs[source_col].eqNullSafe(rates["mix_source"]) & (F.pmod(F.xxhash64(docs[id_col]), F.lit(SALTS)).cast("int") == rates["mix_salt"])
     parts, cdf = rates["mix_parts"], rates["mix_cdf"]
     name = F.coalesce(docs[id_col].cast("string"), F.lit("null"))
     each = F.transform(F.sequence(F.lit(1), parts), lambda j: F.size(F.filter(cdf, lambda c: c < uniform(seed, name, j.cast("string")))))
     count = F.aggregate(each, F.lit(0), lambda a, b: a + b)
-    counted = docs.join(rates, docs[source_col].eqNullSafe(rates["mix_source"])).select(*columns, count.alias("copy_no")).where("copy_no > 0")
+    counted = docs.join(rates, same).select(*columns, count.alias("copy_no")).where("copy_no > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copy_no"))))
     key = F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy_no").cast("string")).cast("binary"))
     keyed = copies.withColumn("mix_key", F.substring(key, 1, 16))

@@ -184,20 +184,22 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
     n = known.count()
     share = 1.0 if n <= rows else 0.95 * rows / n  # then the limit hardly ever takes effect
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows)
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    chosen = known.withColumn("draw", draw).where(F.col("draw") < int(share * (1 << 30))).orderBy("draw", "id", "y").limit(rows)
     width = len(FEATURES)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [text_statistics(t)[1] for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            x = [text_statistics(t)[1] for t in as_bytes(batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["draw", "key", "y", "x"])
 
     # The chosen ids are at most `rows`, so their broadcast has a fixed bound.
     got = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
         .join(F.broadcast(chosen), "id")
-        .select("text", "y")
-        .mapInArrow(featured, "x array<double>, y int")
+        .select("draw", F.xxhash64("text").alias("key"), "y", "text")
+        .mapInArrow(featured, "draw long, key long, y int, x array<double>")
+        .orderBy("draw", "key", "y")  # where ids repeat there may be more rows; those of the least draws stay
         .limit(2 * rows)
         .collect()
     )

@@ -5,10 +5,11 @@ anchors at equal places, so a repeated window lies in the contexts (all bytes th
 of two occurrences of one anchor.  Contexts that occur twice with all their bytes are covered whole.  Of the others, those
 that by hashes of what stands beside the anchor may have a window in common go, one of each kind, by their anchor, to a
 task.  It cuts them to what any two have in common, builds a run-length index of them (lodeweave.llm.rlbwt), streams
-their matching statistics and marks long matches.  An anchor with over HOT different contexts isn't indexed in
-one task: the windows of its contexts are counted by their hash instead, with partial sums before the shuffle.
+their matching statistics and marks long matches.  An anchor with over HOT different contexts that may have a window in
+common isn't indexed in one task: the windows of its contexts are counted by a 128-bit digest instead.
 
-Texts are known by their 64-bit hash and length; copies are worked on once a task.  Hashes have 64 bits.
+Texts are known by their 64-bit hash and length, contexts by their anchor's and their own 64-bit hashes; copies are
+worked on once a task.
 
 Defined cases: a null text counts as empty, nothing removed; rows with equal texts (or ids) repeat each other; a text
 shorter than WINDOW keeps all; an empty table gives no rows.  Only the id and text columns are read.
@@ -31,7 +32,7 @@ from lodeweave.llm.shared import as_bytes, checkpointed, shuffle_width
 
 WINDOW = 400
 KGRAM = 128
-#: An anchor with more different contexts than HOT (some 34 MB) doesn't go to one task.
+#: An anchor with more different contexts of that kind than HOT (some 34 MB) doesn't go to one task.
 HOT = 50_000
 #: Bytes of contexts in an index, if no single anchor has more.
 INDEX_BYTES = 2_000_000
@@ -169,8 +170,8 @@ def anchor_rows(texts: DataFrame, window: int = WINDOW, kgram: int = KGRAM) -> D
     return texts.mapInArrow(made, _ANCHORS)
 
 
-_WHOLE, _INDEX, _COUNT = 0, 1, 2
-_SORTED = "kind int, h long, c long, k long, n int, at int, twice boolean"
+_WHOLE, _INDEX, _COUNT, _OPEN = 0, 1, 2, 3
+_SORTED = "kind int, h long, c long, k long, n int, at int, twice boolean, left long, right long"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[np.ndarray]]:
@@ -202,25 +203,67 @@ def _steps_shared(run: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return steps
 
 
-def sorted_anchors(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """Of anchors that occur twice: contexts that are covered whole (h, c), and one of each kind that may have a window in common with another kind."""
+def _told(rows: DataFrame) -> DataFrame:
+    """What sorted_anchors() gives for anchors within one of its ranges; those that may go on in the next are left open."""
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, c, k, n, at, left, right in _groups(batches, 0):
+        def judged(h: np.ndarray, c: np.ndarray, *rest: np.ndarray, open_h: list[int]) -> pa.RecordBatch:
+            left, right = rest[3:]
             first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]))
             twice = np.diff(np.append(first, len(h))) > 1
             run = np.cumsum(np.concatenate([[0], h[first][1:] != h[first][:-1]]))
+            edge = np.isin(h[first], open_h)
             # windows in common need (window - kgram) bytes beside the anchor: STEPS steps, of which two may be begun
-            able = _steps_shared(run, left[first]) + _steps_shared(run, right[first]) >= STEPS - 1
+            able = ~edge & (_steps_shared(run, left[first]) + _steps_shared(run, right[first]) >= STEPS - 1)
             kinds = np.bincount(run, able)[run]
             out = []
-            for kind, some in ((_WHOLE, twice), (_INDEX, able & (kinds > 1) & (kinds <= hot)), (_COUNT, able & (kinds > hot))):
+            for kind, some in ((_WHOLE, twice), (_INDEX, able & (kinds > 1)), (_OPEN, edge)):
                 i = first[some]
-                out.append((np.full(len(i), kind, np.int32), h[i], c[i], k[i], n[i], at[i], twice[some]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [x.split()[0] for x in _SORTED.split(", ")])
+                out.append((np.full(len(i), kind, np.int32), h[i], c[i], *(x[i] for x in rest[:3]), twice[some], left[i], right[i]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], [x.split()[0] for x in _SORTED.split(", ")])
+
+        # the first and the last anchor are told apart only when the next group, or none, has come
+        start, held = None, None
+        for group in _groups(batches, 0):
+            start = int(group[0][0]) if start is None else start
+            if held is not None:
+                yield judged(*held, open_h=[start])
+            held = group
+        if held is not None:
+            yield judged(*held, open_h=[start, int(held[0][-1])])
+
+    return rows.mapInArrow(told, _SORTED)
+
+
+def _closed(open_rows: DataFrame, hot: int) -> DataFrame:
+    """Of the anchors that ranges left open, the contexts that may have a window in common with another, by joins.
+
+    Of the 272 bytes beside the anchor that equal windows share, whole steps are i on the left and STEPS - 1 - i on the right
+    for some i: contexts meet by the hashes of these.
+    """
+    at = lambda side, i: F.shiftrightunsigned(side, 16 * (i - 1)).bitwiseAND(F.lit(0xFFFF)) if i else F.lit(1).cast("long")
+    sides = [(at("left", i), at("right", STEPS - 1 - i)) for i in range(STEPS)]
+    keys = F.array(*[F.when((x > 0) & (y > 0), F.xxhash64(F.lit(i), "h", x, y)) for i, (x, y) in enumerate(sides)])
+    each = open_rows.select("h", "c", F.explode(keys).alias("key")).where("key IS NOT NULL")
+    shared = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    able = checkpointed(each.join(shared, "key", "left_semi").select("h", "c").distinct())
+    sizes = able.groupBy("h").agg(F.count("*").alias("kinds"))
+    kind = F.when(F.col("kinds") > hot, _COUNT).otherwise(_INDEX)
+    marked = able.join(F.broadcast(sizes), "h").select("h", "c", kind.alias("kind"))  # at most two anchors a range
+    return open_rows.drop("kind").join(marked, ["h", "c"]).select(*[x.split()[0] for x in _SORTED.split(", ")])
+
+
+def sorted_anchors(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """Of anchors that occur twice: contexts that are covered whole (h, c), and one of each kind that may have a window in common with another kind.
 
+    Rows are dealt by ranges of (anchor, context), which a sample cuts evenly, so an anchor with very many contexts lies in
+    many ranges; equal contexts never part.
+    """
     width = shuffle_width(rows.sparkSession)
-    return rows.where("lead").select("h", "c", "k", "n", "at", "left", "right").repartition(width, "h").sortWithinPartitions("h", "c", "k", "at").mapInArrow(told, _SORTED)
+    leads = rows.where("lead").select("h", "c", "k", "n", "at", "left", "right")
+    found = checkpointed(_told(leads.repartitionByRange(width, "h", "c").sortWithinPartitions("h", "c", "k", "at")))
+    edge = found.where(F.col("kind") == _OPEN)
+    return found.where(F.col("kind") != _OPEN).unionByName(_closed(edge, hot))
 
 
 def packed_texts(texts: DataFrame) -> DataFrame:
@@ -380,27 +423,29 @@ def indexed_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def counted_marks(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same for anchors with very many contexts: windows with a hash that occurs twice."""
+    """The same for anchors with very many contexts: windows whose 128-bit digest occurs twice beside one anchor."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for k, n, low, twice, data in zip(*(batch.column(i).to_pylist() for i in (1, 2, 4, 5, 6)), strict=True):
-                if len(data) >= window:
-                    w = mixed(Hashed(np.frombuffer(data, np.uint8)).all(window)).view(np.int64)
-                    m = len(w)
-                    out.append((w, np.full(m, k), np.full(m, n, np.int32), low + np.arange(m, dtype=np.int32), np.full(m, twice)))
+            for h, k, n, low, twice, data in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6)), strict=True):
+                m = len(data) - window + 1
+                if m > 0:
+                    w = [hashlib.blake2b(data[i : i + window], digest_size=16).digest() for i in range(m)]
+                    out.append((np.full(m, h), np.array(w, "S16"), np.full(m, k), np.full(m, n, np.int32), low + np.arange(m, dtype=np.int32), np.full(m, twice)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["w", "k", "n", "low", "twice"])
+                h, w, *rest = (np.concatenate(c) for c in zip(*out, strict=True))
+                digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(w), [None, pa.py_buffer(w.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h), digest, *map(pa.array, rest)], ["h", "w", "k", "n", "low", "twice"])
 
-    each = rows.mapInArrow(windows, "w long, k long, n int, low int, twice boolean").distinct()
-    times = each.groupBy("w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1").select("w")
-    return each.where("NOT twice").join(times, "w").select("k", "n", "low", (F.col("low") + window).alias("high"))
+    each = rows.mapInArrow(windows, "h long, w binary, k long, n int, low int, twice boolean").distinct()
+    times = each.groupBy("h", "w").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("times")).where("times > 1").select("h", "w")
+    return each.where("NOT twice").join(times, ["h", "w"]).select("k", "n", "low", (F.col("low") + window).alias("high"))
 
 
 def repeated_stretches(texts: DataFrame, window: int = WINDOW, kgram: int = KGRAM, hot: int = HOT) -> DataFrame:
     """Marks (k, n, low, high) on texts (k, text): their union is what repeated windows cover."""
-    rows = anchor_rows(texts, window, kgram)
+    rows = checkpointed(anchor_rows(texts, window, kgram))
     found = checkpointed(sorted_anchors(rows, hot))
     whole = found.where(F.col("kind") == _WHOLE).select("h", "c")
     low, high = F.greatest(F.col("at") - (window - kgram), F.lit(0)), F.least(F.col("at") + window, F.col("n"))

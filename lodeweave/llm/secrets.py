@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -91,8 +91,8 @@ def entropy_windows(run: str, window: int, bits: float, digits: int) -> list[tup
 
 
 def _outside(spans: list[Span], start: int, end: int) -> Iterator[tuple[int, int]]:
-    """The parts from start to end that are in none of spans."""
-    for a, _, b in sorted(spans):
+    """The parts from start to end that are in none of spans, which are sorted."""
+    for a, _, b in spans:
         if start < min(a, end):
             yield start, min(a, end)
         start = max(start, b)
@@ -100,16 +100,37 @@ def _outside(spans: list[Span], start: int, end: int) -> Iterator[tuple[int, int
         yield start, end
 
 
+class _Sweep:
+    """Spans in the order of their starts, for candidates that come from left to right: each span is passed once."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.spans = deque(sorted(spans))
+        self.open: list[Span] = []
+
+    def near(self, start: int, end: int) -> list[Span]:
+        """Spans that overlap start to end, sorted."""
+        while self.spans and self.spans[0][0] < end:
+            self.open.append(self.spans.popleft())
+        self.open = [x for x in self.open if x[2] > start]
+        return [x for x in self.open if x[0] < end]
+
+
 def entropy_spans(text: str, base: list[Span], classes: Sequence[CharacterClass] = CLASSES, allowed: Sequence[re.Pattern[str]] = ALLOWED) -> list[Span]:
+    """Spans of every class, in the classes' order; a later class has only what base spans and earlier classes leave."""
     found: list[Span] = []
     for kind in classes:
+        sweep, fresh = _Sweep(base + found), []
         for m in kind.candidate.finditer(text):
             if not any(c.isdigit() for c in m[0]):
                 continue
+            windows = entropy_windows(m[0], kind.window, kind.bits, kind.digits)
+            if not windows:
+                continue
             fine = [(m.start() + a.start(), m.start() + a.end()) for p in allowed for a in p.finditer(m[0])]
-            near = [x for x in base + found if x[0] < m.end() and m.start() < x[2]]
-            for a, b in entropy_windows(m[0], kind.window, kind.bits, kind.digits):
-                found += [(s, len(KINDS) - 1, e) for s, e in _outside(near, m.start() + a, m.start() + b) if not any(x <= s and e <= y for x, y in fine)]
+            for a, b in windows:
+                left = _outside(sweep.near(m.start() + a, m.start() + b), m.start() + a, m.start() + b)
+                fresh += [(s, len(KINDS) - 1, e) for s, e in left if not any(x <= s and e <= y for x, y in fine)]
+        found += fresh
     return found
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,15 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the cluster shares; lost executors don't lose it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: spark.checkpoint.dir, or what was set on the context."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is used.
+
+def checkpointed(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df, written as Parquet to the folder that the cluster shares and read again; lost executors don't lose it.
+
+    by: a column that the files are parted by, so that a filter on it reads only its part.  The files go when the JVM ends.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    write = df.write.option("compression", "zstd")
+    (write.partitionBy(by) if by else write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -325,9 +325,16 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """One row of each component: that with the smallest id, of repeated ids that whose row has the smallest hash.  Rows with a null id stay."""
+    """One row of each component: that with the smallest id, of repeated ids that whose row has the smallest hash.  Rows with a null id stay.
+
+    Ids alone are shuffled.  Only where ids that stay repeat are rows brought together: by id and the hash of the row, so
+    that copies of one row meet, after the rows of greater hashes went.
+    """
     columns = docs.columns
+    key = F.xxhash64(*columns)
     gone = duplicates(docs, id_col, text_col, **how)
-    left = docs.join(gone, docs[id_col].cast("long") == gone["dropped"], "left_anti")
-    alone = left.select(F.col(id_col).alias("own_id"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("own_row"), F.struct(*columns).alias("row"))
-    return alone.groupBy("own_id", "own_row").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    left = docs.join(gone, docs[id_col].cast("long") == gone["dropped"], "left_anti").select(*columns)
+    several = checkpointed(left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("rows"), F.min(key).alias("least")).where("rows > 1"))
+    once = left.join(several, left[id_col] == several["again"], "left_anti").select(*columns)
+    least = left.join(several, (left[id_col] == several["again"]) & (key == several["least"])).select(*columns)
+    return once.unionByName(least.groupBy(id_col, key).agg(F.first(F.struct(*columns)).alias("row")).select("row.*"))

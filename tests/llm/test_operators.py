@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -313,9 +314,21 @@ def test_forward_is_the_sum_over_paths():
 
 def test_long_texts_alone_are_learned_from(spark):
     seq = np.random.default_rng(4).integers(0, 50, 20_001).astype(np.uint16)
-    model = hmm.baum_welch(spark.createDataFrame([(1, seq.tobytes())], "id long, seq binary").select("id", "seq"), 1, rounds=1)
+    model = hmm.baum_welch(spark.createDataFrame([(1, seq.tobytes())], "part int, seq binary"), rounds=1)
     assert model.emit[:, :50].sum() > 0.9 * len(model.emit)
-    assert np.array_equal(hmm.baum_welch(spark.createDataFrame([], "id long, seq binary"), 0).emit, hmm.HiddenMarkov.random().emit)
+    assert np.array_equal(hmm.baum_welch(spark.createDataFrame([], "part int, seq binary")).emit, hmm.HiddenMarkov.random().emit)
+
+
+def test_a_round_sums_counts_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    sequences = [rng.integers(0, 60, n).astype(np.uint16) for n in rng.integers(1, 90, 40)]
+    rows = spark.createDataFrame([(k % 8, s.tobytes()) for k, s in enumerate(sequences)], "part int, seq binary").repartition(5)
+    model = hmm.HiddenMarkov.random()
+    whole = hmm.Expected.none()
+    for _, t in hmm.trellises(sequences):
+        whole.add(model, t)
+    got = hmm._pass(rows, model)
+    assert np.allclose(got.emit, whole.model().emit) and np.allclose(got.move, whole.model().move) and np.allclose(got.start, whole.model().start)
 
 
 def test_baum_welch_never_gets_worse():
@@ -332,6 +345,32 @@ def test_baum_welch_never_gets_worse():
         before, model = likely, expected.model()
 
 
+def test_scores_are_those_of_single_texts(spark, monkeypatch):
+    """Every score against log sums over all paths of latent states, with a class's probability parted by word counts."""
+    rng = np.random.default_rng(8)
+    start, move, emit = rng.random(3), rng.random((3, 3)), rng.random((3, hmm.CLASSES))
+    model = hmm.HiddenMarkov(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    monkeypatch.setattr(hmm, "baum_welch", lambda sequences: model)
+    texts = ["a", "b a", "", None, "The cat sat", "the CAT", "dog the", "a b the cat", "zebra", "a a a a b"]
+    rows = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts * 3)], "doc_id long, text string, n_tokens string")
+    tokens = [[*WORD.findall(lowered(t)), None] for t in texts * 3]
+    trained = [ws for k, ws in enumerate(tokens) if zlib.crc32(str(k).encode()) % 7 != 2]
+    count = collections.Counter(w for ws in trained for w in ws)
+    group = lambda w: hmm.CLASSES - 1 if w is None else hmm.word_class(w.encode())
+    n, v = collections.Counter(), collections.Counter()
+    for w, c in count.items():
+        n[group(w)] += c
+        v[group(w)] += 1
+    got = {r.doc_id: r.score for r in hmm.hmm_scores(rows).collect()}
+    for k, ws in enumerate(tokens):
+        paths = []
+        for path in itertools.product(range(3), repeat=len(ws)):
+            p = math.log(model.start[path[0]]) + sum(math.log(model.move[a, b]) for a, b in zip(path, path[1:], strict=False))
+            paths.append(p + sum(math.log(model.emit[s, group(w)]) for s, w in zip(path, ws, strict=True)))
+        want = np.logaddexp.reduce(paths) / math.log(10) + sum(math.log10((count[w] + 1) / (n[group(w)] + v[group(w)] + 1)) for w in ws)
+        assert math.isclose(got[k], want, rel_tol=1e-9)
+
+
 def test_lm_scores(spark, docs, empty):
     real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in real.collect()]
@@ -480,8 +519,10 @@ def test_byte_pairs(pairs):
     parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", "'s", "'", "!", "word", "the", "\x1c", "　", "😀", "ß", "\r\n", "²", "\x85", "नि", "_", "<|endoftext|>"]
     texts = ["".join(RNG.choices(parts, k=RNG.randrange(30))) for _ in range(3000)]
     texts += ["", " ", "a" * 3000, "ab" * 900, "=" * 2500, LONG[:5000]]
-    for t, (ids, data) in zip(texts, own.encode_texts(texts), strict=True):
-        assert ids == " ".join(map(str, library.encode_ordinary(t))) and data == t.encode()
+    coded = own.encode_texts(texts)
+    assert own.decode_ids([np.array(ids.split(), np.int32) for ids in coded]) == [t.encode() for t in texts]
+    for t, ids in zip(texts, coded, strict=True):
+        assert ids == " ".join(map(str, library.encode_ordinary(t)))
     for n in (5, 300, 900):
         word = "".join(RNG.choices("aetionshr", k=n))
         assert own.contract_long(word.encode()) == library.encode_ordinary(word)
@@ -491,15 +532,21 @@ def test_cached_parts_are_forgotten(pairs, monkeypatch):
     own, library = pairs
     monkeypatch.setattr(bpe, "CACHED", 3)
     for _ in range(3):
-        assert own.encode_texts(["one two three four, five!"])[0][0] == " ".join(map(str, library.encode_ordinary("one two three four, five!")))
+        assert own.encode_texts(["one two three four, five!"])[0] == " ".join(map(str, library.encode_ordinary("one two three four, five!")))
 
 
 def test_documents_are_decoded_from_their_ids(pairs):
     own = bpe.BytePairs(pairs[0].ranks, public_tokenizers.PATTERN)
-    own.encode_texts(["one two three"])
-    own._parts["two"] = own._parts["three"]  # a fault in the cache shows in what is decoded
-    ids, data = own.encode_texts(["one two three"])[0]
-    assert data == pairs[1].decode_bytes([int(i) for i in ids.split()]) == b"one three three"
+    texts = ["one two three", "", "no such", "two"]
+    coded = [np.array(x.split(), np.int32) for x in own.encode_texts(texts)]
+    assert own.decode_ids(coded) == [t.encode() for t in texts] and own.decode_ids([]) == []
+    own.tokens[own.ranks[b" two"]] = b"!".hex()  # a damaged token shows in every document that has it, and in no other
+    assert own.decode_ids(coded) == [b"one! three", b"", b"no such", b"two"]
+    own._parts["two"] = own._parts["three"]  # and so does a fault in the cache
+    assert own.decode_ids([np.array(own.encode_texts(["one two three"])[0].split(), np.int32)]) == [b"one three three"]
+    with pytest.raises(ValueError, match="vocabulary"):
+        own.tokens[5] = None
+        own.decode_ids([np.array([5], np.int32)])
 
 
 def test_byte_pair_rows(pairs, docs, empty):
