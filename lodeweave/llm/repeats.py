@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ WINDOW = 400
 KGRAM = 128
 #: An anchor with more different contexts of that kind than HOT (some 34 MB) doesn't go to one task.
 HOT = 50_000
+#: Up to so many keys by which contexts meet are broadcast.
+BROADCAST_KEYS = 100_000
 #: Bytes of contexts in an index, if no single anchor has more.
 INDEX_BYTES = 2_000_000
 #: Places of a text that are hashed at once.
@@ -243,10 +246,11 @@ def _closed(open_rows: DataFrame, hot: int) -> DataFrame:
     """
     at = lambda side, i: F.shiftrightunsigned(side, 16 * (i - 1)).bitwiseAND(F.lit(0xFFFF)) if i else F.lit(1).cast("long")
     sides = [(at("left", i), at("right", STEPS - 1 - i)) for i in range(STEPS)]
-    keys = F.array(*[F.when((x > 0) & (y > 0), F.xxhash64(F.lit(i), "h", x, y)) for i, (x, y) in enumerate(sides)])
-    each = open_rows.select("h", "c", F.explode(keys).alias("key")).where("key IS NOT NULL")
-    shared = each.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    able = checkpointed(each.join(shared, "key", "left_semi").select("h", "c").distinct())
+    each = [open_rows.select("h", "c", F.lit(i).alias("i"), x.alias("x"), y.alias("y")).where("x > 0 AND y > 0") for i, (x, y) in enumerate(sides)]
+    key = ["i", "h", "x", "y"]
+    shared = checkpointed(reduce(DataFrame.union, [e.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").select(*key) for e in each]))
+    few = shared.count() <= BROADCAST_KEYS
+    able = checkpointed(reduce(DataFrame.union, [e.join(F.broadcast(shared) if few else shared, key, "left_semi").select("h", "c") for e in each]).distinct())
     sizes = able.groupBy("h").agg(F.count("*").alias("kinds"))
     kind = F.when(F.col("kinds") > hot, _COUNT).otherwise(_INDEX)
     marked = able.join(F.broadcast(sizes), "h").select("h", "c", kind.alias("kind"))  # at most two anchors a range
