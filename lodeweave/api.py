@@ -18,17 +18,20 @@ from lodeweave.functions.analyzer import Query, parse_query
 from lodeweave.functions.frontmatter import SkillError, parse_skill, strip_frontmatter
 from lodeweave.functions.text import BUDGETS, InputError, decode_text
 from lodeweave.functions.uri import INDEX, build_uri, normal_path, parse_uri
-from lodeweave.operators import catalog, files, fts, fusion, ingest, vectors
+from lodeweave.operators import catalog, files, fts, fusion, ingest, sinks, vectors
 from lodeweave.operators.numbering import number_rows
-from lodeweave.schemas import COLLECTION, SOURCES
-from lodeweave.sources.files import Normalizer, archive_members, bundle, bundle_roots, normalized, plain_normalizer, read_files
-from lodeweave.store import Store
+from lodeweave.schemas import COLLECTION, TABLES
+from lodeweave.sources.files import Normalizer, archive_members, bundle, bundle_roots, literal_path, normalized, plain_normalizer, walk
+from lodeweave.store import BROADCAST_KEYS, Commit, Store
 
 # Limits of one call.
 MAX_QUERIES, PER_QUERY, POOL = 8, 30, 30
 SEARCH_MS, GREP_MS = 10_000, 5_000
 INLINE_BYTES, RAW_BYTES = 3 << 20, 12 << 20
 RESOURCES = 100
+UPLOAD_FILES, UPLOAD_BYTES = 20, 32 << 20
+#: From so many vectors on, an index of cells serves searches; it is made anew when as many have come as it was made of.
+INDEX_LEAST = 2_000
 
 
 class TooExpensive(RuntimeError):
@@ -72,7 +75,7 @@ def scoped(rows: DataFrame, scope: str | None) -> DataFrame:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str | Path, analyzer: str = "simple", embedder: vectors.Embedder | None = None, reranker: fusion.Reranker | None = None, normalizer: Normalizer = plain_normalizer) -> None:
+    def __init__(self, spark: SparkSession, folder: str | Path, analyzer: str = "english", embedder: vectors.Embedder | None = None, reranker: fusion.Reranker | None = None, normalizer: Normalizer = plain_normalizer) -> None:
         self.spark, self.store = spark, Store(spark, folder)
         self.embedder, self.reranker, self.normalizer = embedder, reranker, normalizer
         pinned = self.store.setting("analyzer")
@@ -107,67 +110,76 @@ class Engine:
 
     def ingest_bytes(self, items: Sequence[tuple[str, bytes]], collection: str = COLLECTION, force: bool = False, origin: str = "upload://") -> list[IngestResult]:
         """Documents by name and bytes: one result each; what can't be read is a result too."""
+        if origin.startswith("upload://") and (len(items) > UPLOAD_FILES or any(len(d) > UPLOAD_BYTES for _, d in items)):
+            raise InputError(f"an upload has at most {UPLOAD_FILES} files of {UPLOAD_BYTES} bytes")
         rows = [(origin + name, len(data), data) for name, data in items]
         return self.ingest_files(self.spark.createDataFrame(rows, "path string, length long, content binary"), collection, force)
 
-    def ingest_files(self, incoming: DataFrame, collection: str = COLLECTION, force: bool = False) -> list[IngestResult]:
-        """Documents by (path, length, content), as read_files() gives them."""
-        read = normalized(incoming, self.normalizer).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    def ingest_files(self, incoming: DataFrame, collection: str = COLLECTION, force: bool = False, root: str | None = None) -> list[IngestResult]:
+        """Documents by (path, length, content), as read_files() gives them.  A document's name is its path below `root`, or its last part."""
+        name = F.element_at(F.split("path", "/"), -1)
+        if root is not None:
+            below = F.locate(root.rstrip("/") + "/", F.col("path"))
+            name = F.when(below > 0, F.substr("path", below + F.lit(len(root.rstrip("/")) + 1))).otherwise(name)
+        read = normalized(incoming, self.normalizer).withColumn("name", name)
         shaped = read.select(F.lit("doc").alias("kind"), F.lit(collection).alias("collection"), "name", F.col("path").alias("origin_uri"), "content_hash", "status", "detail", F.col("markdown").alias("content"))
         return self._write(shaped, force)
 
     def ingest_skill(self, members: dict[str, bytes], force: bool = False, allow_reserved: bool = False, lenient: bool = False, origin: str = "upload://") -> IngestResult:
         """A bundle with a SKILL.md."""
-        parts = bundle(members)
+        parts, label = bundle(members), origin.rstrip("/").rsplit("/", 1)[-1]
         if not parts or parts[0].path != "SKILL.md":
-            return IngestResult("failed", "skill", origin, detail="no SKILL.md")
+            return IngestResult("failed", "skill", label, detail="no SKILL.md")
         try:
             skill = parse_skill(decode_text(parts[0].data), allow_reserved, lenient)
         except (SkillError, ValueError) as e:
-            return IngestResult("failed", "skill", origin, detail=str(e))
+            return IngestResult("failed", "skill", label, detail=str(e))
         import hashlib
 
         digest = hashlib.sha256(b"".join(m.path.encode() + b"\0" + m.data for m in parts)).hexdigest()
-        before = self.store.table("sources")
-        same = before.where((F.col("kind") == "skill") & (F.col("name") == skill.name)).select("id", "content_hash").first()
+        work = self.store.begin()
+        before = self.store.table("sources", work.before)
+        same = before.where((F.col("kind") == "skill") & (F.col("name") == skill.name)).select("id", "content_hash", "created_at").first()
         if same and same.content_hash == digest and not force:
             return IngestResult("unchanged", "skill", skill.name, source_id=same.id)
         moved = [r.id for r in before.where((F.col("kind") == "skill") & (F.col("origin_uri") == origin) & (F.col("name") != skill.name) & ~F.col("origin_uri").startswith("upload://")).select("id").collect()]
         gone = self.spark.createDataFrame([(i,) for i in [*moved, *([same.id] if same else [])]], "gone long")
-        source_id = same.id if same else (before.agg(F.max("id")).first()[0] or 0) + 1
+        source_id = same.id if same else work.last_id("sources") + 1
         now = F.current_timestamp()
-        source = self.spark.createDataFrame([(source_id, "skill", skill.name, "", origin, digest, "ready", None)], "id long, kind string, name string, collection string, origin_uri string, content_hash string, status string, detail string").withColumns({"created_at": now, "updated_at": now})
-        start = self.store.table("nodes").agg(F.max("id")).first()[0] or 0
+        created = F.lit(same.created_at) if same else now
+        source = self.spark.createDataFrame([(source_id, "skill", skill.name, "", origin, digest, "ready", None)], "id long, kind string, name string, collection string, origin_uri string, content_hash string, status string, detail string").withColumns({"created_at": created, "updated_at": now})
+        start = work.last_id("nodes")
         folder = f"blobs/{uuid.uuid4().hex}"
         made = [(start + i, source_id, "skill", skill.name, "", "ready", m.path, build_uri("skills", skill.name, m.path), m.mime, m.size, m.role, decode_text(m.data) if m.is_text else None, None if m.is_text else f"{folder}/{m.path}") for i, m in enumerate(parts, 1)]
         for m in parts:
             if not m.is_text:
-                path = self.store.folder / folder / m.path
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_bytes(m.data)
+                self.store.files.write(f"{folder}/{m.path}", m.data)
         nodes = self.spark.createDataFrame(made, "id long, source_id long, kind string, name string, collection string, status string, path string, uri string, mime_type string, size_bytes long, role string, content string, blob_ref string").withColumns({"created_at": now, "updated_at": now})
         skills = self.spark.createDataFrame([(source_id, skill.name, skill.description, skill.allowed_tools, skill.compatibility, skill.license, str(skill.metadata) if skill.metadata else None)], "source_id long, name string, description string, allowed_tools array<string>, compatibility string, license string, metadata string")
-        chunks = self._chunks(nodes.where((F.col("role") == "reference") & F.col("content").isNotNull()))
-        self._commit(source, nodes, chunks, gone, skills)
+        work.add("sources", source)
+        work.add("skills", skills)
+        written = work.add("nodes", nodes)
+        self._commit(work, written, written.where((F.col("role") == "reference") & F.col("content").isNotNull()), gone)
         return IngestResult("ingested", "skill", skill.name, source_id=source_id)
 
     def ingest_paths(self, paths: Sequence[str | Path], collection: str = COLLECTION, force: bool = False) -> list[IngestResult]:
         """Files, folders, skill folders and archives that the driver sees; vectors for all of them at the end, if it can."""
         results: list[IngestResult] = []
         for path in map(Path, paths):
-            if path.is_symlink() or not path.exists():
-                results.append(IngestResult("failed", "doc", path.name, collection, detail="not a regular file or folder"))
-            elif path.is_dir() and (path / "SKILL.md").exists():
-                members = {p.relative_to(path).as_posix(): p.read_bytes() for p in sorted(path.rglob("*")) if p.is_file() and not p.is_symlink()}
-                results.append(self.ingest_skill(members, force, origin=path.resolve().as_uri()))
-            elif path.suffix in (".zip", ".skill"):
-                try:
-                    results += self.ingest_archive(path.read_bytes(), origin=path.resolve().as_uri(), force=force)
-                except InputError as e:
-                    results.append(IngestResult("failed", "skill", path.name, detail=str(e)))
-            else:
-                files_ = read_files(self.spark, str(path)) if path.is_dir() else self.spark.read.format("binaryFile").load(str(path)).select("path", "length", "content")
-                results += self.ingest_files(files_, collection, force)
+            docs: list[Path] = []
+            for found in walk(path):
+                if found.kind == "failed":
+                    results.append(IngestResult("failed", "doc", found.name, collection, detail=found.detail))
+                elif found.kind == "skill":
+                    members = {p.relative_to(found.path).as_posix(): p.read_bytes() for p in sorted(found.path.rglob("*")) if p.is_file() and not p.is_symlink()}
+                    results.append(self._skill_result(found.path.name, lambda m=members, f=found: [self.ingest_skill(m, force, origin=f.path.resolve().as_uri())])[0])
+                elif found.kind == "archive":
+                    results += self._skill_result(found.name, lambda f=found: self.ingest_archive(f.path.read_bytes(), origin=f.path.resolve().as_uri(), force=force))
+                else:
+                    docs.append(found.path.resolve())
+            if docs:
+                rows = self.spark.read.format("binaryFile").load([literal_path(str(p)) for p in docs]).select("path", "length", "content")
+                results += self.ingest_files(rows, collection, force, root=str(path.resolve()) if path.is_dir() else None)
         if self.embedder is not None and any(r.status == "ingested" for r in results):
             try:
                 self.embed_missing()
@@ -175,38 +187,71 @@ class Engine:
                 results.append(IngestResult("failed", "doc", "embeddings", collection, detail=str(e)))
         return results
 
+    @staticmethod
+    def _skill_result(name: str, ingest_it: Callable[[], list[IngestResult]]) -> list[IngestResult]:
+        """A bad bundle is a result; what comes after it goes on."""
+        try:
+            return ingest_it()
+        except (InputError, ValueError) as e:
+            return [IngestResult("failed", "skill", name, detail=str(e))]
+
     def ingest_archive(self, data: bytes, origin: str = "upload://", **options: Any) -> list[IngestResult]:
         members = archive_members(data)
         roots = bundle_roots(list(members))
         return [self.ingest_skill({p[len(r) :]: d for p, d in members.items() if p.startswith(r)}, origin=origin if len(roots) == 1 else f"{origin}#{r.rstrip('/')}", **options) for r in roots]
 
     def _write(self, incoming: DataFrame, force: bool) -> list[IngestResult]:
-        current = self.store.table("sources")
-        checked = ingest.compared(incoming, current, force).persist()
-        try:
-            keep = (F.col("status") != "ready") & F.coalesce(F.col("current_status") == "ready", F.lit(False))  # a readable version stays
-            fresh = checked.where((F.col("change") != "unchanged") & ~keep)
-            start = current.agg(F.max("id")).first()[0] or 0
-            new = number_rows(fresh.where("change = 'new'"), ["collection", "name", "origin_uri"], start)
-            changed = fresh.where("change = 'changed'").withColumn("id", F.col("current_id"))
-            now = F.current_timestamp()
-            source = new.unionByName(changed).withColumns({"created_at": now, "updated_at": now})
-            columns = [c.split()[0] for c in SOURCES.split(", ")]
-            present = incoming.select("collection", "name")
-            moved = ingest.renamed(fresh.where("status = 'ready'"), current.where("kind = 'doc'"), present)
-            gone = changed.select(F.col("id").alias("gone")).union(moved.select("old_id"))
-            ready = source.where("status = 'ready'")
-            paths = ingest.distinct_paths(ready)
-            first = self.store.table("nodes").agg(F.max("id")).first()[0] or 0
-            uri = F.concat(F.lit("ctx://docs/"), _encoded("collection"), F.lit("/"), _encoded("path"))
-            shaped = paths.select(F.col("id").alias("source_id"), "kind", "name", "collection", "status", "path", uri.alias("uri"), F.lit("text/markdown").alias("mime_type"), F.length("content").cast("long").alias("size_bytes"), F.lit("doc").alias("role"), "content", F.lit(None).cast("string").alias("blob_ref"), "created_at", "updated_at")
-            nodes = number_rows(shaped, ["uri"], first)
-            results = [IngestResult("unchanged" if r.change == "unchanged" else r.status if r.status != "ready" else "ingested", "doc", r.name, r.collection, r.current_id, r.detail) for r in checked.select("change", "status", "name", "collection", "current_id", "detail").collect()]
-            if any(r.status != "unchanged" for r in results):
-                self._commit(source.select(columns), nodes, self._chunks(nodes), gone)
+        """What is new or changed among incoming documents.  Each step is written and read back, so plans stay shallow and texts are read once."""
+        work = self.store.begin()
+        current = self.store.table("sources", work.before).where("kind = 'doc'")
+        checked = work.staged(ingest.compared(ingest.last_of_name(incoming), current, force))
+        results = [self._result(r) for r in checked.select("superseded", "change", "status", "name", "collection", "current_id", "detail", "current_status").collect()]
+        if all(r.status in ("unchanged", "superseded") for r in results):
+            work.abandon()
             return results
-        finally:
-            checked.unpersist()
+        keep = (F.col("status") != "ready") & F.coalesce(F.col("current_status") == "ready", F.lit(False))  # a readable version stays
+        fresh = checked.where((F.col("change") != "unchanged") & ~keep & ~F.col("superseded"))
+        new = number_rows(fresh.where("change = 'new'"), ["collection", "name"], work.last_id("sources"))
+        changed = fresh.where("change = 'changed'").withColumn("id", F.col("current_id"))
+        now = F.current_timestamp()
+        source = work.staged(new.unionByName(changed).withColumns({"created_at": F.coalesce("current_created", now), "updated_at": now}))
+        work.add("sources", source)
+        gone = source.where("change = 'changed'").select(F.col("id").alias("gone"))
+        twins = work.staged(ingest.twins(source.where("status = 'ready' AND change = 'new'"), current))
+        if not twins.isEmpty():
+            gone = gone.union(ingest.renamed(twins, self._existing(twins)).select("old_id"))
+        gone = work.staged(gone.distinct())
+        old = self.store.table("nodes", work.before).where("kind = 'doc'").select("source_id", "collection", "path")
+        taken = old.join(source.select("collection").distinct(), "collection", "left_semi").join(gone, F.col("source_id") == F.col("gone"), "left_anti")
+        paths = ingest.distinct_paths(source.where("status = 'ready'"), taken)
+        uri = F.concat(F.lit("ctx://docs/"), _encoded("collection"), F.lit("/"), _encoded("path"))
+        shaped = paths.select(F.col("id").alias("source_id"), "kind", "name", "collection", "status", "path", uri.alias("uri"), F.lit("text/markdown").alias("mime_type"), F.length("content").cast("long").alias("size_bytes"), F.lit("doc").alias("role"), "content", F.lit(None).cast("string").alias("blob_ref"), "created_at", "updated_at")
+        nodes = work.add("nodes", number_rows(work.staged(shaped), ["uri"], work.last_id("nodes")))
+        self._commit(work, nodes, nodes, gone)
+        return results
+
+    @staticmethod
+    def _result(r: Any) -> IngestResult:
+        if r.superseded:
+            return IngestResult("superseded", "doc", r.name, r.collection, detail="a later file of this call has this name")
+        if r.change == "unchanged":
+            return IngestResult("unchanged", "doc", r.name, r.collection, r.current_id, r.detail)
+        if r.status != "ready":
+            kept = r.current_status == "ready"
+            return IngestResult(r.status, "doc", r.name, r.collection, r.current_id, f"{r.detail}; previous ready source preserved" if kept else r.detail)
+        return IngestResult("ingested", "doc", r.name, r.collection, r.current_id, r.detail)
+
+    def _existing(self, twins: DataFrame) -> DataFrame:
+        """(path) of the files in the folders that twins come from, from listings."""
+        folders = [r.folder for r in twins.select(F.regexp_replace("old_origin", "/[^/]*$", "").alias("folder")).distinct().collect()]
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        rows = []
+        for folder in folders:
+            at = jvm.org.apache.hadoop.fs.Path(folder or "/")
+            fs = at.getFileSystem(conf)
+            if fs.exists(at):
+                rows += [(s.getPath().toString(),) for s in fs.listStatus(at)]
+        return self.spark.createDataFrame(rows, "path string")
 
     def _chunks(self, nodes: DataFrame) -> DataFrame:
         """Chunks of nodes, with their context: where they are and under which headings."""
@@ -215,31 +260,20 @@ class Engine:
         joined = cut.join(place, "node_id")
         head = F.when(F.col("kind") == "skill", F.concat_ws(" / ", "name", "path")).otherwise(F.concat_ws(" / ", "collection", "name"))
         context = F.concat_ws(" / ", head, F.array_join("heading_path", " / "))
-        return joined.withColumns({"context": F.regexp_replace(context, " / $", ""), "embedding": F.lit(None).cast("array<float>")})
-
-    def _commit(self, source: DataFrame, nodes: DataFrame, chunks: DataFrame, gone: DataFrame, skills: DataFrame | None = None) -> None:
-        from lodeweave.store import replace_children
-
-        old = {t: self.store.table(t) for t in ("sources", "nodes", "chunks", "skills")}
-        first = old["chunks"].agg(F.max("id")).first()[0] or 0
-        written = number_rows(chunks, ["node_id", "ord"], first)
-        tables = {"sources": replace_children(old["sources"], gone, source, "id"), "nodes": replace_children(old["nodes"], gone, nodes, "source_id"), "chunks": replace_children(old["chunks"], gone, written, "source_id"), "skills": replace_children(old["skills"], gone, skills, "source_id")}
-        dead = old["nodes"].join(gone.distinct(), F.col("source_id") == F.col(gone.columns[0]), "left_semi").select("uri", F.lit("deleted").alias("change"))
+        return joined.withColumn("context", F.regexp_replace(context, " / $", ""))
+
+    def _commit(self, work: Commit, nodes: DataFrame, texts: DataFrame, gone: DataFrame) -> None:
+        """Chunks and postings of new nodes; the old rows of sources that are gone or replaced go."""
+        chunks = work.add("chunks", number_rows(work.staged(self._chunks(texts)), ["node_id", "ord"], work.last_id("chunks")))
+        searched = chunks.withColumn("searched", F.concat_ws("\n\n", "context", "content"))
+        work.add("postings", fts.postings(searched, ["id", "source_id", "kind", "name", "collection", "status"], {"searched": 1.0}, self.analyzer), order="term")
+        work.remove(gone)
+        dead = self.store.table("nodes", work.before).join(F.broadcast(gone.distinct()) if gone.count() <= BROADCAST_KEYS else gone.distinct(), F.col("source_id") == F.col(gone.columns[0]), "left_semi")
+        blobs = [r.blob_ref for r in dead.where("blob_ref IS NOT NULL").select("blob_ref").collect()]
         alive = nodes.select("uri", F.lit("written").alias("change"))
-        left = old["nodes"].join(gone.distinct(), F.col("source_id") == F.col(gone.columns[0]), "left_semi").where("blob_ref IS NOT NULL")
-        blobs = [r.blob_ref for r in left.select("blob_ref").collect()]
-        self.store.commit(tables, alive.unionByName(dead), {"analyzer": self.analyzer})
-        self._delete_blobs(blobs)
-
-    def _delete_blobs(self, blobs: Sequence[str]) -> None:
-        """Files that the last commit left behind, and folders that this empties."""
-        for blob in blobs:
-            path = self.store.folder / blob
-            path.unlink(missing_ok=True)
-            for folder in path.parents:
-                if folder == self.store.folder / "blobs" or not folder.exists() or any(folder.iterdir()):
-                    break
-                folder.rmdir()
+        work.done(alive.unionByName(dead.select("uri", F.lit("deleted").alias("change"))), {"analyzer": self.analyzer})
+        for blob in blobs:  # files that the commit left behind
+            self.store.files.delete(blob)
 
     def remove_source(self, kind: str, name: str, collection: str | None = None) -> bool:
         """Without a collection, the name's sources of every collection go."""
@@ -247,8 +281,9 @@ class Engine:
         found = found if collection is None else found.where(F.col("collection") == collection)
         ids = [r.id for r in found.select("id").collect()]
         if ids:
-            empty = {t: self.store.table(t).limit(0) for t in ("sources", "nodes", "chunks")}
-            self._commit(empty["sources"], empty["nodes"], empty["chunks"].drop("id"), self.spark.createDataFrame([(i,) for i in ids], "gone long"))
+            work = self.store.begin()
+            none = self.spark.createDataFrame([], TABLES["nodes"])
+            self._commit(work, none, none, self.spark.createDataFrame([(i,) for i in ids], "gone long"))
         return bool(ids)
 
     def embed_missing(self, again: bool = False) -> dict[str, int]:
@@ -258,14 +293,35 @@ class Engine:
         pinned = self.store.setting("embed_model")
         if pinned not in (None, self.embedder.id) and not again:
             raise InputError(f"this corpus was embedded by {pinned!r}")
-        chunks = self.store.table("chunks")
-        todo = chunks if again else chunks.where(F.col("embedding").isNull())
-        texted = todo.drop("embedding").withColumn("embed_text", F.concat_ws("\n\n", "context", "content"))
-        done = vectors.embed_rows(texted, self.embedder, "embed_text").drop("embed_text", "embed_error")
-        left = chunks.limit(0) if again else chunks.where(F.col("embedding").isNotNull())
+        work = self.store.begin()
+        chunks, known = self.store.table("chunks", work.before), self.store.table("vectors", work.before)
+        todo = work.staged(chunks if again else chunks.join(known.select("id"), "id", "left_anti"))
         total = todo.count()
-        self.store.commit({"chunks": left.unionByName(done.select(left.columns))}, settings={"embed_model": self.embedder.id})
-        return {"total": total, "embedded": self.store.table("chunks").where(F.col("embedding").isNotNull()).count()}
+        texted = todo.withColumn("embed_text", F.concat_ws("\n\n", "context", "content"))
+        done = work.staged(vectors.embed_rows(texted, self.embedder, "embed_text").withColumn("cell", F.lit(None).cast("int")))
+        everything = done if again else known.unionByName(done.select(known.columns))
+        n = everything.where("embedding IS NOT NULL").count()
+        made_of = 0 if again else int(work.before["settings"].get("cells_of", 0))
+        settings: dict[str, str | None] = {"embed_model": self.embedder.id}
+        if n >= INDEX_LEAST and n >= 2 * made_of:
+            cells = vectors.fit_cells(everything, PER_QUERY, "id")
+            name = f"cells/{uuid.uuid4().hex}.npz"
+            self.store.files.write(name, cells.packed())
+            work.replace("vectors", vectors.with_cells(everything, cells))
+            settings |= {"cells": name, "cells_of": str(n)}
+        elif again:
+            work.replace("vectors", done)
+            settings |= {"cells": None, "cells_of": None}
+        else:
+            cells_ = self._cells(work.before)
+            work.add("vectors", vectors.with_cells(done, cells_) if cells_ else done)
+        bad = done.where("embed_error IS NOT NULL").count()
+        work.done(settings=settings)
+        return {"total": total, "embedded": n, "rejected": bad}
+
+    def _cells(self, manifest: dict) -> vectors.Cells | None:
+        name = manifest["settings"].get("cells")
+        return vectors.Cells.unpacked(self.store.files.read(name)) if name else None
 
     # Reads
 
@@ -286,20 +342,25 @@ class Engine:
             warnings.append("EMBED_MODEL_MISMATCH: full text only")
         parsed = [parse_query(q, self.analyzer) for q in asked]
         with self._timed(timeout_ms):
-            rows = scoped(self.store.table("chunks"), scope)
-            searched = rows.withColumn("searched", F.concat_ws("\n\n", "context", "content"))
-            lists = fts.text_search(searched, parsed, per_query, "id", "searched", self.analyzer).select(F.concat(F.lit("fts:"), F.col("query_id")).alias("list"), "id", "rank")
+            manifest = self.store.manifest()
+            rows = scoped(self.store.table("chunks", manifest), scope)
+            lists = fts.posted_search(scoped(self.store.table("postings", manifest), scope), parsed, per_query, "id").select(F.concat(F.lit("fts:"), F.col("query_id")).alias("list"), "id", "rank")
             if use_vectors:
                 try:
-                    wanted = self.spark.createDataFrame([(i, v) for i, v in enumerate(self.embedder.embed(asked, "query"))], "id long, embedding array<double>")  # type: ignore[union-attr]
+                    asked_for = self.embedder.embed(asked, "query")  # type: ignore[union-attr]
+                    wanted = self.spark.createDataFrame(list(enumerate(asked_for)), "id long, embedding array<double>")
                 except Exception as e:  # a provider's failure must not fail the search
                     warnings.append(f"EMBEDDING_FAILED: {e}")
                     use_vectors = False
                 else:
-                    near = vectors.nearest(rows, wanted, per_query, "id", "embedding", max_distance)
+                    known, cells = scoped(self.store.table("vectors", manifest), scope), self._cells(manifest)
+                    if cells is not None:  # a few queries look into a few cells: the condition reaches the scan
+                        known = known.where(F.col("cell").isNull() | F.col("cell").isin(cells.of_queries(asked_for)))
+                    near = vectors.nearest(known, wanted, per_query, "id", "embedding", max_distance)
                     lists = lists.unionByName(near.select(F.concat(F.lit("vec:"), F.col("query_id")).alias("list"), "id", "rank"))
             words = sorted({w for q in parsed for w in q.words})
-            shown = lists.join(rows, "id").withColumn("snippet", fts.snippets(F.col("content"), words, self.analyzer))
+            shown = rows.join(F.broadcast(lists), "id")  # at most MAX_QUERIES * 2 * per_query rows
+            shown = shown.withColumn("snippet", fts.snippets(F.col("content"), words, self.analyzer))
             found = shown.orderBy("list", "rank").collect()
         return SearchResult(self._chosen(asked, parsed, found, limit, warnings), "hybrid" if use_vectors else "full_text", warnings)
 
@@ -397,10 +458,10 @@ class Engine:
             return {"text": own.content if raw else safety.envelope(own.content, {"uri": uri, "heading": own.heading_path}), "neighbours": [f"{node.uri}#chunk={c.ord}" for c in near if c.ord != a.chunk], "next": None}
         if node.content is None:
             inline = node.blob_ref is not None and node.size_bytes <= (RAW_BYTES if raw else INLINE_BYTES)
-            data = {"data": (self.store.folder / node.blob_ref).read_bytes()} if inline else {}
+            data = {"data": self.store.files.read(node.blob_ref)} if inline else {}
             return {"text": f"{node.path}: {node.mime_type}, {node.size_bytes} bytes", "next": None} | data
         trusted = node.role == "skill_md"
-        page = paging.text_page(node.content, node.uri, BUDGETS["read"], cursor, offset, limit, untrusted=not trusted)
+        page = paging.text_page(node.content, node.uri, BUDGETS["read"], cursor, offset, limit, f"{node.id}:{node.updated_at}", untrusted=not trusted)
         return {"text": page.text if trusted or raw else safety.envelope(page.text, {"uri": node.uri, "lines": f"{page.first_line}-{page.last_line} of {page.total_lines}"}), "next": page.next_cursor, "page": page}
 
     def skill(self, name: str) -> dict[str, Any]:
@@ -423,20 +484,23 @@ class Engine:
 
     def resources(self, offset: int = 0, limit: int = RESOURCES) -> list[dict[str, Any]]:
         """The index, then skills, then documents, a page at a time."""
-        nodes = self.store.table("nodes")
         index = self.spark.createDataFrame([(0, "", INDEX, "catalog")], "grp int, sort string, uri string, name string")
-        skills = nodes.where("role = 'skill_md'").select(F.lit(1).alias("grp"), F.col("name").alias("sort"), "uri", "name")
-        docs = nodes.where("role = 'doc'").select(F.lit(2).alias("grp"), F.col("path").alias("sort"), "uri", "name")
-        rows = index.unionByName(skills).unionByName(docs).orderBy("grp", "sort", "uri").offset(offset).limit(limit)
+        rows = files.resource_page(index, self.store.table("nodes"), offset, limit)
         return [{"uri": r.uri, "name": r.name} for r in rows.collect()]
 
     def report(self) -> list[dict[str, Any]]:
-        """Each source's files, chunks and vectors; counts are made before the joins."""
-        n = self.store.table("nodes").groupBy("source_id").agg(F.count("*").alias("files"))
-        c = self.store.table("chunks").groupBy("source_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded"))
-        s = self.store.table("sources").withColumnRenamed("id", "source_id").join(n, "source_id", "left").join(c, "source_id", "left").fillna(0, ["files", "chunks", "embedded"])
+        """Each source's files, chunks and vectors."""
+        s = catalog.source_report(*(self.store.table(t) for t in ("sources", "nodes", "chunks", "vectors")))
         return [r.asDict() for r in s.select("kind", "collection", "name", "status", "detail", "files", "chunks", "embedded").orderBy("kind", F.col("collection").asc_nulls_first(), "name").collect()]
 
+    def summary(self) -> dict[str, int]:
+        """How many sources have each status."""
+        return {r.status: r.n for r in catalog.status_counts(self.store.table("sources")).collect()}
+
+    def export(self, table: str, folder: str) -> None:
+        """A table's rows as lines of JSON."""
+        sinks.json_rows(self.store.table(table)).write.mode("overwrite").text(folder)
+
     def complete(self, what: str, prefix: str) -> list[str]:
         rows = self.store.table("skills").select(F.col("name").alias("v")) if what == "skill" else self.store.table("sources").where("kind = 'doc'").select(F.col("collection").alias("v"))
         return [r.v for r in files.completions(rows, "v", prefix).collect()]

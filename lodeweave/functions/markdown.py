@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
-from lodeweave.functions.text import TOKEN_CHARS, estimate_tokens, utf16_length, utf16_slice
+from lodeweave.functions.text import TOKEN_CHARS, estimate_tokens, from_utf16_string, utf16_length, utf16_slice, utf16_string, within_pair
 
 # Sizes in tokens.
 TARGET, OVERLAP, LEAST, MARGIN = 800, 100, 40, 40
@@ -102,13 +102,13 @@ def _row_batches(block: Block, limit: int) -> list[Block] | None:
     return [replace(block, text=(prefix + "\n".join(b)).rstrip()) for b in batches]
 
 
-def _cut(text: str, limit: int) -> int:
-    """Where to cut, in UTF-16 units: after a sentence or line, else after a word, else at the limit."""
-    window = utf16_slice(text, 0, limit)
-    found = [m for m in _SENTENCE.finditer(window)]
-    last = found[-1] if found else None
-    at = utf16_length(window[: last.end()]) if last and utf16_length(window[: last.start()]) > limit / 3 else utf16_length(window[: window.rfind(" ") + 1])
-    return at if at >= limit / 3 else utf16_length(window)
+def _cut(window: str, limit: int) -> int:
+    """Where to cut a window: after a sentence or line, else after a word, else at its end."""
+    last = None
+    for last in _SENTENCE.finditer(window):
+        pass
+    at = last.end() if last and last.start() > limit / 3 else window.rfind(" ") + 1
+    return at if at >= limit / 3 else len(window)
 
 
 def split_block(block: Block, budget: float) -> list[Block]:
@@ -118,12 +118,13 @@ def split_block(block: Block, budget: float) -> list[Block]:
     limit = max(4, int(budget * TOKEN_CHARS))
     if block.kind == "table" and (batches := _row_batches(block, limit)) is not None:
         return batches
-    out, rest = [], block.text
-    while utf16_length(rest) > limit:
-        head = utf16_slice(rest, 0, _cut(rest, limit))
-        out.append(replace(block, text=head))
-        rest = rest[len(head) :]
-    return [*out, replace(block, text=rest)] if rest else out
+    units, at, out = utf16_string(block.text), 0, []
+    while len(units) - at > limit:
+        end = at + limit - within_pair(units, at + limit)
+        cut = at + _cut(units[at:end], limit)
+        out.append(replace(block, text=from_utf16_string(units[at:cut])))
+        at = cut
+    return [*out, replace(block, text=from_utf16_string(units[at:]))] if at < len(units) else out
 
 
 def _joined(blocks: Iterable[Block]) -> str:

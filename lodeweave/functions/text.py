@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ class TextError(ValueError):
 
 
 def utf16_length(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def utf16_slice(text: str, start: int, end: int | None = None) -> str:
@@ -40,6 +41,23 @@ def utf16_slice(text: str, start: int, end: int | None = None) -> str:
     return data[2 * start : None if end is None else 2 * end].decode("utf-16-le", "ignore")
 
 
+def utf16_string(text: str) -> str:
+    """One character for each UTF-16 unit, so that plain offsets count units."""
+    if text.isascii() or max(text) <= "\uffff":
+        return text
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return units.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def from_utf16_string(units: str) -> str:
+    return units if units.isascii() else units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass")
+
+
+def within_pair(units: str, at: int) -> bool:
+    """Whether an offset lies between the halves of a character."""
+    return 0 < at < len(units) and "\ud800" <= units[at - 1] <= "\udbff" and "\udc00" <= units[at] <= "\udfff"
+
+
 def estimate_tokens(text: str) -> int:
     return math.ceil(utf16_length(text) / TOKEN_CHARS)
 

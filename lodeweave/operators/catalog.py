@@ -43,6 +43,22 @@ def problems(sources: DataFrame) -> DataFrame:
     return sources.where(F.col("status") != "ready").select("name", "collection", "status", "detail").orderBy("name")
 
 
+def status_counts(sources: DataFrame) -> DataFrame:
+    """(status, n) of sources."""
+    return sources.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def source_report(sources: DataFrame, nodes: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Each source's files, chunks and vectors.  nodes, chunks, vectors: with source_id; counted before the joins."""
+    n = nodes.groupBy("source_id").agg(F.count("*").alias("files"))
+    c = chunks.groupBy("source_id").agg(F.count("*").alias("chunks"))
+    v = vectors.groupBy("source_id").agg(F.count("embedding").alias("embedded"))
+    out = sources.withColumnRenamed("id", "source_id")
+    for counts in (n, c, v):
+        out = out.join(counts, "source_id", "left")
+    return out.fillna(0, ["files", "chunks", "embedded"])
+
+
 def _plural(n: int, what: str) -> str:
     return f"{n} {what}{'' if n == 1 else 's'}"
 

@@ -66,6 +66,13 @@ def required_literal(pattern: str) -> str | None:
     return found or None
 
 
+def _flagged(flags: str, pattern: str) -> str:
+    """A pattern with flags, merged with those that it begins with."""
+    own = re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    every = "".join(dict.fromkeys(flags + (own[1] if own else "")))
+    return (f"(?{every})" if every else "") + (pattern[own.end() :] if own else pattern)
+
+
 def grep_candidates(nodes: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = True, after: tuple[int, int] = (0, 0)) -> DataFrame:
     """Files whose content matches, after the key, within the glob."""
     node, line = after
@@ -77,14 +84,19 @@ def grep_candidates(nodes: DataFrame, pattern: str, path_glob: str | None = None
     literal = None if ignore_case else required_literal(pattern)
     if literal:
         found = found.where(F.col("content").contains(literal))
-    return found.where(F.col("content").rlike(("(?im)" if ignore_case else "(?m)") + pattern))
+    return found.where(F.col("content").rlike(_flagged("im" if ignore_case else "m", pattern)))
+
+
+def lines(rows: DataFrame, keys: list[Column], text_col: str, separator: str = "\n") -> DataFrame:
+    """keys, pos (from 0) and raw of each line or part of a text."""
+    return rows.select(*keys, F.posexplode(F.split(text_col, separator)).alias("pos", "raw"))
 
 
 def grep_lines(files: DataFrame, pattern: str, ignore_case: bool = True, after: tuple[int, int] = (0, 0)) -> DataFrame:
     """(node_id, uri, path, line, text) of matching lines, trimmed and cut."""
     node, line = after
-    lines = files.select(F.col("id").alias("node_id"), "uri", F.col("vfs_path").alias("path"), F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
-    hit = lines.where(F.col("raw").rlike(("(?i)" if ignore_case else "") + pattern)).withColumn("line", (F.col("pos") + 1).cast("long"))
+    cut = lines(files, [F.col("id").alias("node_id"), F.col("uri"), F.col("vfs_path").alias("path")], "content")
+    hit = cut.where(F.col("raw").rlike(_flagged("i" if ignore_case else "", pattern))).withColumn("line", (F.col("pos") + 1).cast("long"))
     if after != (0, 0):
         hit = hit.where((F.col("node_id") != node) | (F.col("line") > line))
     return hit.select("node_id", "uri", "path", "line", F.substring(F.trim("raw"), 1, GREP_LINE).alias("text"))
@@ -131,3 +143,18 @@ def completions(values: DataFrame, column: str, prefix: str, limit: int = 100) -
 
 def neighbours(chunks: DataFrame, node_id: int, ord_: int, radius: int = 1) -> DataFrame:
     return chunks.where((F.col("node_id") == node_id) & F.col("ord").between(ord_ - radius, ord_ + radius) & (F.col("ord") != ord_)).orderBy("ord")
+
+
+def neighbours_of(chunks: DataFrame, wanted: DataFrame, radius: int = 1) -> DataFrame:
+    """(node_id, ord, near, ...): for each wanted (node_id, ord) the chunks around it, with all other columns of chunks."""
+    at = wanted.select("node_id", F.col("ord").alias("wanted_ord"))
+    around = at.select("node_id", "wanted_ord", F.explode(F.sequence((F.col("wanted_ord") - radius).cast("long"), (F.col("wanted_ord") + radius).cast("long"))).alias("near")).where("near <> wanted_ord AND near >= 0")
+    there = chunks.withColumnRenamed("ord", "near").withColumn("near", F.col("near").cast("long"))
+    return around.join(there, ["node_id", "near"]).withColumnRenamed("wanted_ord", "ord")
+
+
+def resource_page(index: DataFrame, nodes: DataFrame, offset: int, limit: int) -> DataFrame:
+    """(grp, sort, uri, name): the index, then skills by name, then documents by path; a page of them."""
+    skills = nodes.where("role = 'skill_md'").select(F.lit(1).alias("grp"), F.col("name").alias("sort"), "uri", "name")
+    docs = nodes.where("role = 'doc'").select(F.lit(2).alias("grp"), F.col("path").alias("sort"), "uri", "name")
+    return index.unionByName(skills).unionByName(docs).orderBy("grp", "sort", "uri").offset(offset).limit(limit)

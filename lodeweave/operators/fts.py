@@ -1,19 +1,22 @@
 """Full-text search: by a scan of words, or by postings.
 
-A scan evaluates a query on each row's array of words, without any shuffle before its top k.  Postings, sorted by term,
-serve the same ranking for queries without phrases from the terms' rows alone.
+A scan evaluates queries on each row's array of terms, which is made once a row, and passes on k rows a query from each
+task.  Postings, made row by row without a shuffle and stored by term, give the same ranking from the terms' rows alone.
+
+The ranking: whether the query matches as it was asked; how many of its terms a row has; cover density, which for
+alternatives of words is the number of their places; the id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeweave.functions.analyzer import Phrase, Query, analyze
+from lodeweave.functions.analyzer import Phrase, Query, analyze, cover_density
 from lodeweave.functions.text import words_of
 
 
@@ -29,11 +32,23 @@ def analyzed(text: Column, analyzer: str = "simple") -> Column:
     return terms(text)
 
 
+def _spaced(words: Column) -> Column:
+    # terms have no spaces, so neighbours in the array are neighbours in its joined form
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+
+
+def _pattern(phrase: Phrase) -> str:
+    """Where a phrase begins; what follows is only looked at, so that overlapping places count."""
+    first, *rest = phrase.words
+    return f"(?<= ){first}(?= {''.join(w or '[^ ]*' for w in rest[:1])}{''.join(' ' + (w or '[^ ]*') for w in rest[1:])} )"
+
+
 def _phrase_matches(words: Column, phrase: Phrase) -> Column:
-    if len(phrase.words) == 1:
-        return F.array_contains(words, phrase.words[0])
-    # words have no spaces, so neighbours in the array are neighbours in its joined form
-    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(phrase.words)} "))
+    return F.array_contains(words, phrase.words[0]) if len(phrase.words) == 1 else F.regexp(_spaced(words), F.lit(_pattern(phrase)))
+
+
+def _phrase_places(words: Column, phrase: Phrase) -> Column:
+    return F.size(F.filter(words, lambda w: w == phrase.words[0])) if len(phrase.words) == 1 else F.regexp_count(_spaced(words), F.lit(_pattern(phrase)))
 
 
 def matches(words: Column, query: Query) -> Column:
@@ -44,54 +59,96 @@ def matches(words: Column, query: Query) -> Column:
     return reduce(lambda a, b: a | b, groups)
 
 
-def scored(rows: DataFrame, query: Query, words: str = "words", loose: Query | None = None) -> DataFrame:
-    """Rows that match loosely, with exact (0 or 1), terms (distinct query words) and density (places of query words)."""
-    wanted = F.array(*map(F.lit, query.words)) if query.words else F.array().cast("array<string>")
-    column = F.col(words)
-    some = F.size(F.filter(column, lambda w: F.array_contains(wanted, w)))
-    kept = rows.where(F.arrays_overlap(column, wanted)) if not query.negated and query.words else rows
-    return kept.where(matches(column, loose or query.loose())).withColumns({
-        "exact": matches(column, query).cast("long"), "terms": F.size(F.array_intersect(column, wanted)).cast("long"), "density": some.cast("long"),
-    })
+def density(words: Column, loose: Query) -> Column:
+    """cover_density() of an array of words.  Alternatives of single phrases are counted in place; else Python is asked."""
+    wanted = [[p for p in g if not p.negated] for g in loose.anyof]
+    if any(len(g) > 1 for g in wanted):
 
+        @F.pandas_udf("double")
+        def covers(terms: pd.Series) -> pd.Series:
+            return terms.map(lambda t: 0.0 if t is None else cover_density(list(t), loose))
 
-def ranking(id_col: str) -> list[Column]:
-    return [F.desc("exact"), F.desc("terms"), F.desc("density"), F.asc(id_col)]
+        return covers(words)
+    phrases = list(dict.fromkeys(g[0] for g in wanted if g))
+    singles = [p.words[0] for p in phrases if len(p.words) == 1]
+    places = F.size(F.filter(words, lambda w: w.isin(singles))) if singles else F.lit(0)
+    # a phrase with a word that is an alternative by itself never makes a stretch of its own
+    for p in phrases:
+        if len(p.words) > 1 and not set(singles) & set(p.words):
+            places = places + _phrase_places(words, p)
+    return places.cast("double")
 
 
-def text_search(rows: DataFrame, queries: Sequence[Query], k: int, id_col: str, text_col: str, analyzer: str = "simple") -> DataFrame:
-    """(query_id, id, exact, terms, density, rank) of each query's best k.
+def _judged(words: Column, query: Query, query_id: int) -> Column:
+    """query_id, exact, terms and density of a row that matches loosely; null for another."""
+    wanted = F.array(*map(F.lit, query.words)).cast("array<string>")
+    loose = query.loose()
+    found = F.struct(F.lit(query_id).cast("long").alias("query_id"), matches(words, query).cast("long").alias("exact"), F.size(F.array_intersect(words, wanted)).cast("long").alias("terms"), density(words, loose).alias("density"))
+    return F.when(matches(words, loose), found)
 
-    One scan serves all queries; only the best k rows of each partition and query are shuffled.
-    """
+
+def scored(rows: DataFrame, queries: Sequence[Query], id_col: str, text_col: str, analyzer: str = "simple") -> DataFrame:
+    """(query_id, id, exact, terms, density) of every row that matches a query loosely.  A row's terms are made once."""
     words = rows.select(id_col, analyzed(F.col(text_col), analyzer).alias("words"))
-    best = Window.partitionBy("query_id").orderBy(*ranking(id_col))
-    if len(queries) == 1:
-        found = scored(words, queries[0]).select(F.lit(0).cast("long").alias("query_id"), id_col, "exact", "terms", "density").orderBy(*ranking(id_col)).limit(k)
-        return found.withColumn("rank", F.row_number().over(best).cast("long"))
+    counts = {i: q for i, q in enumerate(queries) if any(len([p for p in g if not p.negated]) > 1 for g in q.loose().anyof)}
     column = F.col("words")
-    each = []
-    for i, q in enumerate(queries):
+    parts = []
+    if len(counts) < len(queries):
+        each = F.array_compact(F.array(*[_judged(column, q, i) for i, q in enumerate(queries) if i not in counts]))
+        parts.append(words.select(id_col, F.explode(each).alias("m")).select("m.query_id", id_col, "m.exact", "m.terms", "m.density"))
+    for i, q in counts.items():  # stretches are sought in Python, in rows that match alone
+        kept = words.select(id_col, F.explode(F.array_compact(F.array(F.when(matches(column, q), column)))).alias("words"))
         wanted = F.array(*map(F.lit, q.words)).cast("array<string>")
-        counts = F.struct(F.lit(i).cast("long").alias("query_id"), matches(column, q).cast("long").alias("exact"), F.size(F.array_intersect(column, wanted)).cast("long").alias("terms"), F.size(F.filter(column, _within(wanted))).cast("long").alias("density"))
-        each.append(F.when(matches(column, q.loose()), counts))
-    found = words.select(id_col, F.explode(F.array_compact(F.array(*each))).alias("m")).select("m.query_id", id_col, "m.exact", "m.terms", "m.density")
-    return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
+        parts.append(kept.select(F.lit(i).cast("long").alias("query_id"), id_col, F.lit(1).cast("long").alias("exact"), F.size(F.array_intersect("words", wanted)).cast("long").alias("terms"), F.round(density(column, q.loose()), 6).alias("density")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _within(wanted: Column) -> Callable[[Column], Column]:
-    return lambda w: F.array_contains(wanted, w)
+def ranking(id_col: str) -> list[Column]:
+    return [F.desc("exact"), F.desc("terms"), F.desc("density"), F.asc(id_col)]
+
+
+def _best(found: DataFrame, k: int, id_col: str, one: bool) -> DataFrame:
+    """Each query's best k, of which only as many a task are shuffled."""
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(*ranking(id_col))).cast("long")
+    if one:
+        return found.orderBy(*ranking(id_col)).limit(k).withColumn("rank", order)
+    return found.withColumn("rank", order).where(F.col("rank") <= k)
+
+
+def text_search(rows: DataFrame, queries: Sequence[Query], k: int, id_col: str, text_col: str, analyzer: str = "simple") -> DataFrame:
+    """(query_id, id, exact, terms, density, rank) of each query's best k, by one scan."""
+    return _best(scored(rows, queries, id_col, text_col, analyzer), k, id_col, len(queries) == 1)
+
 
+def _runs(rows: DataFrame, keys: Sequence[str], words: Column) -> DataFrame:
+    """keys, and entries (term, positions) of each row's terms, without a shuffle: a row's terms are sorted, then cut where they change."""
+    placed = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("term"), (i + 1).alias("at"))), lambda e: e["term"] != "")
+    by_term = rows.select(*keys, F.array_sort(placed).alias("sorted_terms"))
+    s = F.col("sorted_terms")
+    before = F.transform(s, lambda e, i: F.when(i == 0, F.lit(None).cast("string")).otherwise(F.get(s, i - 1)["term"]))
+    cut = by_term.select(*keys, "sorted_terms", F.filter(F.transform(F.arrays_zip(s.alias("e"), before.alias("b")), lambda x, i: F.when(~x["e"]["term"].eqNullSafe(x["b"]), i)), lambda i: i.isNotNull()).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.greatest(F.size("starts"), F.lit(1))), F.array(F.size(s)))
+    spans = F.arrays_zip(F.col("starts").alias("low"), ends.alias("high"))
+    return cut.select(*keys, "sorted_terms", F.explode(spans).alias("span")).where("span.low IS NOT NULL")
 
-def postings(rows: DataFrame, id_col: str, texts: Mapping[str, float], analyzer: str = "simple") -> DataFrame:
-    """(term, id, positions, weight) of each term in each text column; texts: weight by column."""
+
+def postings(rows: DataFrame, keys: Sequence[str], texts: Mapping[str, float], analyzer: str = "simple") -> DataFrame:
+    """(term, keys, positions, weight) of each term in each text column; texts: weight by column."""
     parts = []
     for column, weight in texts.items():
-        each = rows.select(id_col, F.posexplode(analyzed(F.col(column), analyzer)).alias("position", "term"))
-        parts.append(each.groupBy("term", id_col).agg(F.array_sort(F.collect_list(F.col("position") + 1)).alias("positions")).withColumn("weight", F.lit(float(weight))))
+        runs = _runs(rows, keys, analyzed(F.col(column), analyzer))
+        places = F.transform(F.slice("sorted_terms", F.col("span.low") + 1, F.col("span.high") - F.col("span.low")), lambda e: e["at"])
+        parts.append(runs.select(F.get("sorted_terms", F.col("span.low"))["term"].alias("term"), *keys, places.alias("positions"), F.lit(float(weight)).alias("weight")))
     return reduce(DataFrame.unionByName, parts)
 
 
+def term_statistics(rows: DataFrame, text_col: str, analyzer: str = "simple") -> DataFrame:
+    """(term, docs, places): each row gives a term once, and sums are partial before the shuffle."""
+    runs = _runs(rows, [], analyzed(F.col(text_col), analyzer))
+    each = runs.select(F.get("sorted_terms", F.col("span.low"))["term"].alias("term"), (F.col("span.high") - F.col("span.low")).alias("n"))
+    return each.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("places"))
+
+
 def postings_search(posted: DataFrame, words: DataFrame, id_col: str, k: int) -> DataFrame:
     """Best k of each query by terms, then weight times places.  words: (query_id, term), the queries' few words."""
     hits = posted.join(F.broadcast(words), "term").groupBy("query_id", id_col).agg(F.count_distinct("term").alias("terms"), F.sum(F.size("positions") * F.col("weight")).alias("density"))
@@ -99,6 +156,43 @@ def postings_search(posted: DataFrame, words: DataFrame, id_col: str, k: int) ->
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def posted_search(posted: DataFrame, queries: Sequence[Query], k: int, id_col: str) -> DataFrame:
+    """text_search() from postings (term, id, positions): a row's own terms of the queries are put together again.
+
+    Only rows of the queries' terms are read; what they give is one short array a row, in which all other words are gaps.
+    """
+    terms = sorted({w for q in queries for w in q.words})
+    if not terms:
+        return posted.sparkSession.createDataFrame([], f"query_id long, {id_col} {posted.schema[id_col].dataType.simpleString()}, exact long, terms long, density double, rank long")
+    mine = posted.where(F.col("term").isin(terms)).groupBy(id_col).agg(F.collect_list(F.struct("term", "positions")).alias("own"))
+    schema = f"query_id long, {id_col} {posted.schema[id_col].dataType.simpleString()}, exact long, terms long, density double"
+    asked = [(i, q, q.loose()) for i, q in enumerate(queries)]
+
+    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for key, own in zip(frame[id_col], frame["own"], strict=True):
+                at = {int(p): e["term"] for e in own for p in e["positions"]}
+                line = [at.get(p, "") for p in range(1, max(at) + 1)] if at else []
+                have = set(at.values())
+                for i, q, loose in asked:
+                    if have & set(q.words) and satisfies(line, loose):
+                        out.append((i, key, int(satisfies(line, q)), len(have & set(q.words)), round(cover_density(line, loose), 6)))
+            yield pd.DataFrame(out, columns=["query_id", id_col, "exact", "terms", "density"])
+
+    return _best(mine.mapInPandas(judged, schema), k, id_col, len(queries) == 1)
+
+
+def satisfies(terms: Sequence[str], query: Query) -> bool:
+    """matches() of one list of terms."""
+
+    def has(phrase: Phrase) -> bool:
+        n = len(phrase.words)
+        return any(all(not w or terms[i + j] == w for j, w in enumerate(phrase.words)) for i in range(len(terms) - n + 1))
+
+    return any(all(has(p) != p.negated for p in g) for g in query.anyof)
+
+
 def snippet(text: str, words: set[str], analyzer: str = "simple", fragments: int = 2, most: int = 32, least: int = 12) -> str:
     """Up to `fragments` stretches around matching words, which are marked **so**."""
     tokens = text.split()

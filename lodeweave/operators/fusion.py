@@ -93,6 +93,15 @@ def diversify(lists: Mapping[str, Sequence[Hit]], queries: int, limit: int, per_
     return chosen
 
 
+#: Links that one answer shows.
+LINKS = 20
+
+
+def distinct_links(hits: DataFrame, limit: int = LINKS) -> DataFrame:
+    """(uri, rank): each address once, with its best rank, the best first.  hits: uri, rank."""
+    return hits.groupBy("uri").agg(F.min("rank").alias("rank")).orderBy("rank", "uri").limit(limit)
+
+
 class Reranker(Protocol):
     def order(self, query: str, documents: Sequence[str]) -> list[int]: ...
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.markdown import OVERLAP, TARGET, blocks_from_markdown, chunk_blocks
 
+KEY = ["kind", "collection", "name"]
+#: Numbers that are tried for a path that is taken.
+PATHS = 100
+
 
 def chunked(nodes: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
     """(node_id, ord, heading_path, content, token_count), without a shuffle."""
@@ -22,27 +26,63 @@ def chunked(nodes: DataFrame, id_col: str, text_col: str, target: int = TARGET,
     return nodes.select(F.col(id_col).alias("node_id"), F.col(text_col).alias("text")).mapInPandas(cut, "node_id long, ord int, heading_path array<string>, content string, token_count int")
 
 
+def chunk_sizes(nodes: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """(node_id, chunks, tokens) of texts that have a chunk: what comes from one row is counted there."""
+
+    def sized(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = [[c.token_count for c in chunk_blocks(blocks_from_markdown(t or ""), target, overlap)] for t in frame["text"]]
+            out = pd.DataFrame({"node_id": frame["node_id"], "chunks": [len(s) for s in sizes], "tokens": [sum(s) for s in sizes]})
+            yield out[out["chunks"] > 0]
+
+    return nodes.select(F.col(id_col).alias("node_id"), F.col(text_col).alias("text")).mapInPandas(sized, "node_id long, chunks long, tokens long")
+
+
+def last_of_name(incoming: DataFrame, order: str = "origin_uri") -> DataFrame:
+    """incoming with `superseded`: true for all rows of a key but the last, as a later file replaces an earlier one of its name."""
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc(order), F.desc("content_hash")))
+    return incoming.withColumn("superseded", place > 1)
+
+
 def compared(incoming: DataFrame, current: DataFrame, force: bool = False) -> DataFrame:
-    """incoming (kind, collection, name, content_hash, status) with change: new, changed or unchanged, and the current id.
+    """incoming (kind, collection, name, content_hash, status) with change: new, changed or unchanged, and what is known of the current row.
 
     A document is only unchanged if it was readable.
     """
-    key = ["kind", "collection", "name"]
-    known = current.select(*key, F.col("id").alias("current_id"), F.col("content_hash").alias("current_hash"), F.col("status").alias("current_status"))
+    columns = {"id": "current_id", "content_hash": "current_hash", "status": "current_status", "created_at": "current_created"}
+    known = current.select(*KEY, *[F.col(c).alias(n) for c, n in columns.items() if c in current.columns])
     same = F.col("current_hash").eqNullSafe(F.col("content_hash")) & ((F.col("kind") == "skill") | (F.col("current_status") == "ready")) & F.lit(not force)
-    return incoming.join(known, key, "left").withColumn("change", F.when(F.col("current_id").isNull(), "new").when(same, "unchanged").otherwise("changed"))
+    return incoming.join(known, KEY, "left").withColumn("change", F.when(F.col("current_id").isNull(), "new").when(same, "unchanged").otherwise("changed"))
+
 
+def twins(incoming: DataFrame, current: DataFrame) -> DataFrame:
+    """(collection, name, old_name, old_id, old_origin): new documents with the bytes of one that has another name in the collection."""
+    old = current.where(~F.col("origin_uri").startswith("upload://")).select("collection", "content_hash", F.col("name").alias("old_name"), F.col("id").alias("old_id"), F.col("origin_uri").alias("old_origin"))
+    return incoming.select("collection", "content_hash", "name").join(old, ["collection", "content_hash"]).where("name <> old_name").drop("content_hash")
 
-def renamed(incoming: DataFrame, current: DataFrame, present: DataFrame) -> DataFrame:
-    """(name, old_name, old_id): same collection and hash under another name whose file is gone.  present: the names that still exist."""
-    gone = current.where(~F.col("origin_uri").startswith("upload://")).join(present.select("collection", "name"), ["collection", "name"], "left_anti")
-    old = gone.select("collection", "content_hash", F.col("name").alias("old_name"), F.col("id").alias("old_id"))
-    return incoming.select("collection", "content_hash", "name").join(old, ["collection", "content_hash"]).where("name <> old_name")
 
+def renamed(found: DataFrame, existing: DataFrame) -> DataFrame:
+    """The twins whose old file is gone.  existing: (path) of the files that are there."""
+    return found.join(existing.select(F.col("path").alias("there")), F.col("old_origin") == F.col("there"), "left_anti").select("collection", "name", "old_name", "old_id")
 
-def distinct_paths(documents: DataFrame, collection: str = "collection", name: str = "name", order: str = "id") -> DataFrame:
-    """documents with a path: `.md` stays, others get it, and later ones of the same path a number."""
+
+def distinct_paths(documents: DataFrame, taken: DataFrame | None = None, collection: str = "collection", name: str = "name", order: str = "id") -> DataFrame:
+    """documents with a path that no other has: `.md` stays, others get it, and where it is taken the least free number.
+
+    taken: (collection, path) of stored documents but for those that these replace.  A path `x-3.md` also takes the number
+    3 of `x.md`, whether it is stored or the plain path of a document here.
+    """
     base = F.when(F.lower(name).endswith(".md"), F.col(name)).otherwise(F.concat(F.col(name), F.lit(".md")))
-    numbered = documents.withColumn("path_base", base).withColumn("path_no", F.row_number().over(Window.partitionBy(collection, "path_base").orderBy(order)))
-    cut = F.regexp_replace("path_base", r"\.md$", "")
-    return numbered.withColumn("path", F.when(F.col("path_no") == 1, F.col("path_base")).otherwise(F.concat(cut, F.lit("-"), F.col("path_no") - 1, F.lit(".md")))).drop("path_base", "path_no")
+    based = documents.withColumn("path_base", base).withColumn("path_no", F.row_number().over(Window.partitionBy(collection, "path_base").orderBy(order)))
+    others = based.where("path_no = 1").select(F.col(collection).alias("c"), F.col("path_base").alias("p"), F.lit(False).alias("stored"))
+    if taken is not None:
+        others = others.union(taken.select("collection", "path", F.lit(True)))
+    number = F.regexp_extract("p", r"-(\d{1,2})\.md$", 1)
+    plain = others.where("stored").select("c", F.col("p").alias("path_base"), F.lit(0).alias("n"))
+    numbered = others.where(number != "").select("c", F.regexp_replace("p", r"-\d{1,2}\.md$", ".md").alias("path_base"), number.cast("int").alias("n"))
+    used = plain.union(numbered).where((F.col("n") < PATHS)).groupBy("c", "path_base").agg(F.collect_set("n").alias("used"))
+    joined = based.join(used.withColumnRenamed("c", "taken_c").withColumnRenamed("path_base", "taken_base"), F.col(collection).eqNullSafe(F.col("taken_c")) & (F.col("path_base") == F.col("taken_base")), "left")
+    free = F.array_except(F.sequence(F.lit(0), F.col("path_no") + F.size(F.coalesce("used", F.array().cast("array<int>")))), F.coalesce("used", F.array().cast("array<int>")))
+    no = F.get(free, F.col("path_no") - 1)
+    path = F.when(no == 0, F.col("path_base")).otherwise(F.concat(F.regexp_replace("path_base", r"(?i)\.md$", ""), F.lit("-"), no, F.lit(".md")))
+    return joined.withColumn("path", path).drop("path_base", "path_no", "taken_c", "taken_base", "used")

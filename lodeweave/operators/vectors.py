@@ -1,16 +1,18 @@
-"""Vectors: exact nearest neighbours in blocks, a deterministic embedder, batches for hosted ones."""
+"""Vectors: nearest neighbours, exact in blocks or by an inverted file; a deterministic embedder, batches for hosted ones."""
 
 from __future__ import annotations
 
 import hashlib
+import io
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions.analyzer import WORD
@@ -68,6 +70,12 @@ def embed_rows(rows: DataFrame, embedder: Embedder, text_col: str, kind: str = "
     """rows with embedding and embed_error.  A rejected batch is tried text by text, and what is rejected alone has an error."""
     schema = rows.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embed_error", F.lit(None).cast("string")).schema
 
+    def checked(texts: list[str]) -> list[list[float]]:
+        found = embedder.embed(texts, kind)
+        if len(found) != len(texts) or not all(len(v) == embedder.dims and all(map(math.isfinite, v)) for v in found):
+            raise RuntimeError("the embedder gave wrong vectors")
+        return found
+
     def embedded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t or "" for t in frame[text_col]]
@@ -75,15 +83,12 @@ def embed_rows(rows: DataFrame, embedder: Embedder, text_col: str, kind: str = "
             errors: list[str | None] = [None] * len(texts)
             for batch in plan_batches(texts):
                 try:
-                    found = embedder.embed([texts[i] for i in batch], kind)
-                    if len(found) != len(batch) or not all(len(v) == embedder.dims and all(map(math.isfinite, v)) for v in found):
-                        raise RuntimeError("the embedder gave wrong vectors")
-                    for i, v in zip(batch, found, strict=True):
+                    for i, v in zip(batch, checked([texts[i] for i in batch]), strict=True):
                         vectors[i] = v
                 except BadInput:
                     for i in batch:
                         try:
-                            vectors[i] = embedder.embed([texts[i]], kind)[0]
+                            vectors[i] = checked([texts[i]])[0]
                         except BadInput as e:
                             errors[i] = str(e)
             yield frame.assign(embedding=vectors, embed_error=errors)
@@ -130,10 +135,15 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     Blocks of queries meet blocks of rows in matrix products, each of which passes on k rows a query at most.
     """
     pairs = _blocks(base, id_col, vector_col, "b_").crossJoin(_blocks(queries, id_col, vector_col, "q_"))
+    return _ranked(pairs, k, id_col, max_distance)
+
+
+def _ranked(pairs: DataFrame, k: int, id_col: str, max_distance: float) -> DataFrame:
+    """The k nearest of each query from pairs of blocks."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bi, bx, dims, qi, qx, _ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bi, bx, dims, qi, qx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 b, q = np.frombuffer(bx).reshape(-1, dims), np.frombuffer(qx).reshape(-1, dims)
                 ids, names = np.frombuffer(bi, np.int64), np.frombuffer(qi, np.int64)
                 if not len(ids) or not len(names):
@@ -144,13 +154,126 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                 row, col = np.nonzero(d <= edge + 1e-12)
                 yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[col]), pa.array(d[row, col])], ["query_id", id_col, "distance"])
 
-    found = pairs.select("b_ids", "b_x", "b_dims", "q_ids", "q_x", "q_dims").mapInArrow(best, f"query_id long, {id_col} long, distance double")
+    found = pairs.select("b_ids", "b_x", "b_dims", "q_ids", "q_x").mapInArrow(best, f"query_id long, {id_col} long, distance double")
     found = found.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy("distance", id_col)
     ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
     return ranked.where(F.col("distance") <= check_distance(max_distance))
 
 
+#: An inverted file is fitted on at most so many vectors, has at most so many cells, and asks for so many of the true neighbours.
+SAMPLE, CELLS, RECALL = 20_000, 4_096, 0.97
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres of unit vectors, and how many cells a query looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+    def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
+        """The n cells of greatest product, for each row."""
+        products = x @ self.centres.T
+        n = min(n, len(self.centres))
+        return np.argpartition(-products, n - 1, axis=1)[:, :n]
+
+    def of_queries(self, queries: Sequence[Sequence[float]]) -> list[int]:
+        """The cells that any of these queries looks into."""
+        x = _units([(q,) for q in queries])
+        return sorted({int(c) for c in self.nearest(x, self.probes).ravel()}) if len(x) else []
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, centres=self.centres, probes=np.array(self.probes))
+        return out.getvalue()
+
+    @staticmethod
+    def unpacked(data: bytes) -> Cells:
+        got = np.load(io.BytesIO(data))
+        return Cells(got["centres"], int(got["probes"]))
+
+
+def with_cells(rows: DataFrame, cells: Cells, vector_col: str = "embedding", cell_col: str = "cell") -> DataFrame:
+    """rows with the cell that is nearest to their vector; null without a vector."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells.centres)
+
+    @F.pandas_udf("int")
+    def nearest_cell(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else int(np.argmax(shared.value @ np.asarray(v, np.float64)))).astype("Int32")
+
+    return rows.withColumn(cell_col, nearest_cell(vector_col))
+
+
+def _units(found: Sequence[Row | tuple]) -> np.ndarray:
+    x = np.array([r[0] for r in found], np.float64)
+    norm = np.linalg.norm(x, axis=1) if len(x) else np.zeros(0)
+    return x[norm > 0] / norm[norm > 0, None] if len(x) else x
+
+
+def fit_cells(base: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, recall: float = RECALL, rounds: int = 8, seed: int = 5) -> Cells:
+    """Spherical k-means on at most `sample` rows, those of least hash; as many probes as find the wanted share of the k nearest within the sample."""
+    some = base.where(F.col(vector_col).isNotNull())
+    n = some.count()
+    drawn = some.select(vector_col, F.xxhash64(id_col).alias("draw")).orderBy("draw").limit(sample)
+    x = _units(drawn.collect())
+    if not len(x):
+        return Cells(np.zeros((1, 1)), 1)
+    cells = max(1, min(CELLS, round(math.sqrt(n)), len(x)))
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        own = np.concatenate([np.argmax(x[i : i + BLOCK] @ centres.T, axis=1) for i in range(0, len(x), BLOCK)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norm > 0, sums / np.maximum(norm, 1e-12), centres)
+    own = np.concatenate([np.argmax(x[i : i + BLOCK] @ centres.T, axis=1) for i in range(0, len(x), BLOCK)])
+    asked = x[rng.permutation(len(x))[:500]]
+    found = np.argpartition(-(asked @ x.T), min(k, len(x)) - 1, axis=1)[:, : min(k, len(x))]
+    # the place of each true neighbour's cell among the cells in the query's order
+    order = np.argsort(-(asked @ centres.T), axis=1)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(cells), order.shape), axis=1)
+    needed = np.sort(np.take_along_axis(place, own[found], axis=1).ravel())
+    return Cells(centres, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)) - 1)]) + 1)
+
+
+def cell_blocks(rows: DataFrame, cells: Cells, id_col: str, vector_col: str, prefix: str, probes: int = 1) -> DataFrame:
+    """(cell, ids, x): unit vectors packed by cell, each row in its `probes` nearest cells."""
+    shared = rows.sparkSession.sparkContext.broadcast(cells)  # at most CELLS centres
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            norm = np.linalg.norm(x, axis=1)
+            fine = norm > 0
+            x, ids = x[fine] / norm[fine, None], np.array(batch.column(0).to_pylist(), np.int64)[fine]
+            out: list[tuple[int, bytes, bytes]] = []
+            if len(ids):
+                near = shared.value.nearest(x, probes)
+                of, row = near.ravel(), np.repeat(np.arange(len(ids)), near.shape[1])
+                by = np.argsort(of, kind="stable")
+                for part in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
+                    out += [(int(of[part[0]]), ids[row[p]].tobytes(), x[row[p]].tobytes()) for p in np.split(part, range(BLOCK, len(part), BLOCK))]
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["cell", f"{prefix}ids", f"{prefix}x"])
+
+    some = rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
+    return some.mapInArrow(packed, f"cell int, {prefix}ids binary, {prefix}x binary")
+
+
+def nearest_cells(base: DataFrame, queries: DataFrame, k: int, cells: Cells | None = None, id_col: str = "vec_id", vector_col: str = "embedding", max_distance: float = 2.0) -> DataFrame:
+    """nearest() from an inverted file: rows lie in their nearest cell, queries look into the cells nearest to them.
+
+    Every row is indexed.  The join by cell is one that adaptive execution splits where a cell has very many rows.
+    """
+    cells = cells or fit_cells(base, k, id_col, vector_col)
+    rows = cell_blocks(base, cells, id_col, vector_col, "b_")
+    pairs = rows.join(cell_blocks(queries, cells, id_col, vector_col, "q_", cells.probes), "cell")
+    return _ranked(pairs.withColumn("b_dims", F.lit(cells.centres.shape[1])), k, id_col, max_distance)
+
+
 def quantized(x: np.ndarray, kind: str) -> np.ndarray:
     """Unit vectors as they would be kept: float, half, int8 or binary (signs); bytes fall from 4 a number to an eighth."""
     if kind == "float":

@@ -12,11 +12,11 @@ _SOURCES = """sources AS (SELECT d.doc_id AS id, 'doc-' || d.doc_id AS name, d.s
   CASE WHEN l.quality = 0 THEN 'failed' WHEN l.toxic = 1 THEN 'needs_ocr' ELSE 'ready' END AS status FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
-def _scored(words: list[str], exact: str, loose: str, name: str = "scored") -> str:
+def _scored(words: list[str], exact: str, loose: str, name: str = "scored", density: str = "") -> str:
     listed = ", ".join(f"'{w}'" for w in words)
     return f"""{name} AS (SELECT doc_id, ({exact})::INTEGER::BIGINT AS exact,
   len(list_filter([{listed}], lambda q: list_contains(w, q)))::BIGINT AS terms,
-  len(list_filter(w, lambda x: list_contains([{listed}], x)))::BIGINT AS density
+  {density or f"len(list_filter(w, lambda x: list_contains([{listed}], x)))"}::DOUBLE AS density
   FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE {loose})"""
 
 
@@ -28,12 +28,12 @@ _ALL = " AND ".join(map(_has, ("the", "that", "from")))
 _ANY = " OR ".join(map(_has, ("the", "that", "from")))
 _ANY_OTHER = " OR ".join(map(_has, ("which", "have", "been")))
 _ALL_OTHER = " AND ".join(map(_has, ("which", "have", "been")))
-_OF_THE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) > 0"
+_OF_THE = "len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))"
 _ORDER = "exact DESC, terms DESC, density DESC, doc_id"
 
 
-def _topk(words: list[str], exact: str, loose: str, k: int = TOP) -> str:
-    return f"WITH {_scored(words, exact, loose)} SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT {k}"
+def _topk(words: list[str], exact: str, loose: str, k: int = TOP, density: str = "") -> str:
+    return f"WITH {_scored(words, exact, loose, density=density)} SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT {k}"
 
 
 _MAIN = _scored(["the", "that", "from"], _ALL, f"({_ANY})")
@@ -87,7 +87,24 @@ _SKILL_LIST = ", ".join(f"'{w}'" for w in SKILL_WORDS)
 ORACLES: dict[str, str] = {
     "fts_topk": _topk(["the", "that", "from"], _ALL, f"({_ANY})"),
     "fts_negation": _topk(["the", "for"], f"{_has('the')} AND NOT {_has('for')}", f"{_has('the')} AND NOT {_has('for')}"),
-    "fts_phrase": _topk(["of", "the"], _OF_THE, _OF_THE),
+    "fts_phrase": _topk(["of", "the"], f"{_OF_THE} > 0", f"{_OF_THE} > 0", density=_OF_THE),
+    "fts_cover": f"""WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words WHERE {_has('the')} AND {_has('that')} AND NOT {_has('for')}),
+pairs AS (SELECT doc_id, word, place, lag(word) OVER o AS before, lag(place) OVER o AS began FROM places WHERE word IN ('the', 'that') WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
+scored AS (SELECT doc_id, 1::BIGINT AS exact, 2::BIGINT AS terms, round(sum(1.0::DOUBLE / (place - began)) FILTER (WHERE word <> before), 6)::DOUBLE AS density FROM pairs GROUP BY doc_id)
+SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT {TOP}""",
+    "fts_stored_postings": _topk(["the", "that", "from"], _ALL, f"({_ANY})"),
+    "vector_cells": f"SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % {EVERY} = 0",
+    "vector_distance": "SELECT b.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS distance FROM embeddings b, embeddings q WHERE q.vec_id = 7",
+    "vfs_scope": f"WITH {_SOURCES} SELECT id, name FROM sources WHERE collection = 'src3' AND status = 'ready'",
+    "uri_decoded": f"WITH {_NODES} SELECT id, collection AS root, path FROM nodes",
+    "text_clips": r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 79), '\s+\S*$', '') || '…' END AS clip FROM documents",
+    "conservative_estimates": "SELECT doc_id, least(32000, ceil(length(text) / 3))::BIGINT AS tokens FROM documents",
+    "embed_batches": r"SELECT doc_id, 64::BIGINT AS dims, CASE WHEN regexp_matches(substring(text, 1, 200), '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS squares, true AS fine FROM documents",
+    "dense_numbers": "SELECT 101::BIGINT AS least, 100 + count(*) AS most, count(*) AS numbers FROM documents",
+    "result_links": f"WITH {_MAIN}, {_RANKED} SELECT source AS uri, min(rank) AS rank FROM ranked JOIN documents USING (doc_id) WHERE rank <= 100 GROUP BY source ORDER BY 2, 1 LIMIT 20",
+    "ingest_last_of_name": "SELECT source AS collection, (doc_id % 40)::VARCHAR AS name, 'file:/' || lpad(max(doc_id)::VARCHAR, 12, '0') AS origin_uri FROM documents GROUP BY 1, 2",
+    "chunk_bounds": r"SELECT doc_id, regexp_matches(text, '\S') AS chunked, true AS fine FROM documents",
     "fts_or": _topk(["that", "which"], f"{_has('that')} OR {_has('which')}", f"({_has('that')} OR {_has('which')})"),
     "fts_terms_coverage": f"WITH {_MAIN} SELECT terms, count(*) AS docs FROM scored GROUP BY terms",
     "fts_exact_flag": f"WITH {_MAIN} SELECT doc_id, exact FROM scored",
@@ -136,13 +153,16 @@ SELECT * FROM all_rows ORDER BY grp, sort, uri LIMIT 100 OFFSET 100""",
     "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "ingest_dedup_by_hash": "SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "ingest_diff": f"WITH {_REVISED} SELECT i.collection, i.name, CASE WHEN c.doc_id IS NULL THEN 'new' WHEN c.hash = i.hash AND c.status = 'ready' THEN 'unchanged' ELSE 'changed' END AS change FROM incoming i LEFT JOIN current c USING (collection, name)",
-    "rename_reclaim": f"""WITH {_REVISED}, moved AS (SELECT collection, CASE WHEN name::BIGINT % 7 = 0 THEN name || '-moved' ELSE name END AS name, hash FROM incoming),
-gone AS (SELECT * FROM current c WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.collection = c.collection AND m.name = c.name))
-SELECT m.collection, m.name, g.name AS old_name FROM moved m JOIN gone g USING (collection, hash) WHERE m.name <> g.name""",
-    "distinct_paths": """WITH named AS (SELECT doc_id AS id, source, lang || (n_chars % 50) || '.md' AS base FROM documents),
-placed AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY id) AS no FROM named)
-SELECT id, CASE no WHEN 1 THEN base ELSE base[:-4] || '-' || (no - 1) || '.md' END AS path FROM placed""",
-    "chunk_neighbours": "SELECT conv_id, turn, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
+    "rename_reclaim": f"""WITH {_REVISED}, moved AS (SELECT collection, name || '-moved' AS name, hash FROM incoming WHERE name::BIGINT % 7 = 0)
+SELECT m.collection, m.name, c.name AS old_name FROM moved m JOIN current c USING (collection, hash) WHERE c.doc_id % 2 <> 0""",
+    "distinct_paths": r"""WITH d AS (SELECT doc_id AS id, source AS c, lang || (n_chars % 50) AS stem FROM documents),
+stored AS (SELECT DISTINCT c, stem, CASE WHEN id % 2 = 0 THEN 0 ELSE id % 4 END AS n FROM d WHERE id % 3 = 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c, stem ORDER BY id) AS no FROM d WHERE id % 3 <> 0),
+free AS (SELECT g.c, g.stem, k, row_number() OVER (PARTITION BY g.c, g.stem ORDER BY k) AS no
+  FROM (SELECT c, stem, max(no) AS most FROM placed GROUP BY 1, 2) g, range(0, g.most + 5) AS t(k)
+  WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.c = g.c AND s.stem = g.stem AND s.n = k))
+SELECT id, stem || CASE k WHEN 0 THEN '' ELSE '-' || k END || '.md' AS path FROM placed JOIN free USING (c, stem, no)""",
+    "chunk_neighbours": "SELECT a.conv_id AS node_id, a.turn AS ord, b.turn AS near, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 AND a.turn <> b.turn",
     "read_window": "SELECT conv_id AS node_id, turn AS ord, role, text FROM conversations WHERE conv_id = 12 AND turn BETWEEN 2 AND 4 AND turn <> 3",
     "lines_explode": "SELECT doc_id, i AS line_no, length(line) AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)",
     "paragraphs": r"SELECT doc_id, i - 1 AS pos, sha256(trim(part, ' ')) AS hash FROM (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n') AS p FROM documents))",
@@ -150,6 +170,6 @@ SELECT id, CASE no WHEN 1 THEN base ELSE base[:-4] || '-' || (no - 1) || '.md' E
     "eval_recall_mrr": f"""WITH {_nearest()}, hits AS (SELECT n.query_id, w.label AS wanted, n.rank, e.label = w.label AS hit FROM near n JOIN embeddings e USING (vec_id) JOIN embeddings w ON w.vec_id = n.query_id)
 SELECT query_id, round(count(*) FILTER (WHERE hit AND rank <= 5) / (SELECT count(*) FROM embeddings e WHERE e.label = wanted), 6) AS recall5, round(coalesce(1 / min(rank) FILTER (WHERE hit), 0.0), 6) AS reciprocal_rank FROM hits GROUP BY query_id, wanted""",
     "completion_prefix": "SELECT DISTINCT source FROM documents WHERE source ILIKE 'SRC1%' ORDER BY source LIMIT 100",
-    "changes_since": "SELECT DISTINCT 'ctx://docs/users/' || user_id AS uri FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' ORDER BY uri LIMIT 500",
+    "changes_since": "SELECT DISTINCT 'ctx://docs/users/' || user_id AS uri FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND uri > 'ctx://docs/users/2' ORDER BY uri LIMIT 50",
     "json_rows": "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region",
 } | {name: _glob(pattern) for name, pattern in GLOBS.items()}

@@ -13,11 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeweave.api import scoped
 from lodeweave.functions.analyzer import parse_query
 from lodeweave.functions.html import html_to_markdown
-from lodeweave.functions.text import token_estimate, words_of
-from lodeweave.functions.uri import encoded, encoded_path, source_path
-from lodeweave.operators import catalog, files, fts, fusion, ingest, vectors
+from lodeweave.functions.markdown import TARGET
+from lodeweave.functions.text import clip, conservative_tokens, token_estimate, words_of
+from lodeweave.functions.uri import encoded, encoded_path, parse_uri, source_path
+from lodeweave.operators import catalog, files, fts, fusion, ingest, sinks, vectors
+from lodeweave.operators.numbering import number_rows
+from lodeweave.streaming.watch import changed_since
 
 # The queries' texts and limits.
 Q_WORDS = "the that from"
@@ -25,6 +29,8 @@ Q_OTHER = "which have been"
 Q_PHRASE = '"of the"'
 Q_NEGATED = "the -for"
 Q_OR = "that or which"
+Q_COVER = "the that -for"
+Q_STEMMED = "things oned tion"
 TOP, PER_QUERY = 10, 30
 EVERY = 20  # query vectors are those whose id it divides
 
@@ -71,9 +77,24 @@ def fts_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, [Q_OR])
 
 
+def fts_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words that must both be there, by the shortest stretches that have both."""
+    return _search(spark, sf_dir, [Q_COVER])
+
+
+def fts_stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fts_topk's rows, from postings alone."""
+    posted = fts.postings(table(spark, sf_dir, "documents"), ["doc_id"], {"text": 1.0})
+    return fts.posted_search(posted, [parse_query(Q_WORDS)], TOP, "doc_id")
+
+
+def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed words; stop words are left out of the query and the texts."""
+    return fts.text_search(table(spark, sf_dir, "documents"), [parse_query(Q_STEMMED, "english")], TOP, "doc_id", "text", "english")
+
+
 def _matched(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
-    return fts.scored(rows, parse_query(text))
+    return fts.scored(table(spark, sf_dir, "documents"), [parse_query(text)], "doc_id", "text")
 
 
 def fts_terms_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +107,7 @@ def fts_exact_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and total frequency of every term."""
-    posted = fts.postings(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0})
-    return posted.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).alias("places"))
+    return fts.term_statistics(table(spark, sf_dir, "documents"), "text")
 
 
 SKILL_WORDS = ("steel", "brass", "1", "3")
@@ -96,7 +116,7 @@ WEIGHTS = {"name": 1.0, "description": 0.4}
 
 def skill_discovery_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.concat_ws(" ", "p_brand", "p_type").alias("description"))
-    posted = fts.postings(part, "p_partkey", WEIGHTS)
+    posted = fts.postings(part, ["p_partkey"], WEIGHTS)
     words = spark.createDataFrame([(0, w) for w in SKILL_WORDS], "query_id long, term string")
     found = fts.postings_search(posted.where(F.col("term").isin(*SKILL_WORDS)), words, "p_partkey", TOP)
     return found.select("p_partkey", "terms", F.round("density", 4).alias("density"), "rank")
@@ -121,6 +141,15 @@ def vector_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(base.where(F.col("label") == 1), _queries(base), TOP)
 
 
+def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries there are, and whether the inverted file finds at least 0.9 of their true neighbours."""
+    base = table(spark, sf_dir, "embeddings")
+    found = vectors.nearest_cells(base, _queries(base), TOP).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    true = vectors.nearest(base, _queries(base), TOP).select("query_id", "vec_id")
+    both = true.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def _lists(spark: SparkSession, sf_dir: str, texts: Sequence[str], vec_ids: Sequence[int]) -> DataFrame:
     """Ranked lists (list, id, rank) of text queries and query vectors over one space of ids."""
     base = table(spark, sf_dir, "embeddings")
@@ -164,7 +193,7 @@ def hybrid_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole search: lists, fusion, turns.  The driver sees at most 4 * PER_QUERY candidates."""
     lists: dict[str, list[fusion.Hit]] = {}
     for r in _hits(spark, sf_dir):
-        lists.setdefault(r["list"], []).append(fusion.Hit(r.id, zlib.crc32(r.source.encode()), r.text))
+        lists.setdefault(r["list"], []).append(fusion.Hit(r.id, zlib.crc32((r.source or "").encode()), r.text or ""))
     chosen = fusion.diversify(lists, 2, TOP)
     return spark.createDataFrame([(i, h.chunk_id, round(h.score, 6)) for i, h in enumerate(chosen, 1)], "place long, id long, score double")
 
@@ -267,23 +296,24 @@ def catalog_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every source: files, chunks, embedded; counts are made before the joins."""
-    embedded = table(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("id")).agg(F.count("embedding").alias("embedded"))
-    counts = _chunk_counts(spark, sf_dir).withColumnRenamed("source_id", "id").withColumnRenamed("n", "chunks")
-    out = sources(spark, sf_dir).join(counts, "id", "left").join(embedded, "id", "left")
-    return out.select("id", "collection", "name", "status", F.lit(1).cast("long").alias("files"), F.coalesce("chunks", F.lit(0)).cast("long").alias("chunks"), F.coalesce("embedded", F.lit(0)).cast("long").alias("embedded"))
+    """Of every source: files, lines, embedded."""
+    made = nodes(spark, sf_dir)
+    cut = files.lines(made, [F.col("id").alias("source_id")], "content")
+    embedded = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("source_id"), "embedding")
+    out = catalog.source_report(sources(spark, sf_dir), made.select(F.col("id").alias("source_id")), cut, embedded)
+    return out.select(F.col("source_id").alias("id"), "collection", "name", "status", "files", "chunks", "embedded")
 
 
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+    return catalog.status_counts(sources(spark, sf_dir))
 
 
 def resource_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of the index, pages and documents, in this order."""
-    index = spark.createDataFrame([(0, "", "ctx://index")], "grp int, sort string, uri string")
-    pages = table(spark, sf_dir, "pages").select(F.lit(1).alias("grp"), F.col("url").alias("sort"), F.col("url").alias("uri"))
-    docs = nodes(spark, sf_dir).select(F.lit(2).alias("grp"), F.col("path").alias("sort"), "uri")
-    return index.unionByName(pages).unionByName(docs).orderBy("grp", "sort", "uri").offset(100).limit(100)
+    """The second page of the index, pages as skills, and documents, in this order."""
+    index = spark.createDataFrame([(0, "", "ctx://index", "catalog")], "grp int, sort string, uri string, name string")
+    pages = table(spark, sf_dir, "pages").select(F.lit("skill_md").alias("role"), F.col("url").alias("name"), F.col("url").alias("path"), F.col("url").alias("uri"))
+    docs = nodes(spark, sf_dir).select("role", "name", "path", "uri")
+    return files.resource_page(index, pages.unionByName(docs), 100, 100).select("grp", "sort", "uri")
 
 
 def uri_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,23 +352,33 @@ def ingest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.compared(incoming, current).select("collection", "name", "change")
 
 
+def ingest_last_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files of one name: the last stays."""
+    d = table(spark, sf_dir, "documents")
+    incoming = d.select(F.lit("doc").alias("kind"), F.col("source").alias("collection"), (F.col("doc_id") % 40).cast("string").alias("name"), F.concat(F.lit("file:/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("origin_uri"), F.sha2("text", 256).alias("content_hash"))
+    return ingest.last_of_name(incoming).where("NOT superseded").select("collection", "name", "origin_uri")
+
+
 def rename_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh document's file has gone and come back under another name."""
+    """Every seventh document has come under another name, too; of these the files of even ids are still there."""
     current, incoming = _revised(spark, sf_dir)
-    moved = incoming.withColumn("name", F.when(F.col("name").cast("long") % 7 == 0, F.concat("name", F.lit("-moved"))).otherwise(F.col("name")))
-    return ingest.renamed(moved, current, moved).select("collection", "name", "old_name")
+    origin = F.concat(F.lit("file:/in/"), F.col("name"))
+    moved = incoming.where(F.col("name").cast("long") % 7 == 0).withColumn("name", F.concat("name", F.lit("-moved")))
+    there = current.where("id % 2 = 0").select(origin.alias("path"))
+    return ingest.renamed(ingest.twins(moved, current.withColumn("origin_uri", origin)), there).select("collection", "name", "old_name")
 
 
 def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths for two thirds of the documents, next to the stored paths of the others."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("collection"), F.concat(F.col("lang"), (F.col("n_chars") % 50).cast("string"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise("")).alias("name"))
-    return ingest.distinct_paths(d).select("id", "path")
+    stored = d.where("id % 3 = 0").select("collection", F.concat(F.regexp_replace("name", r"\.md$", ""), F.when(F.col("id") % 2 == 0, ".md").otherwise(F.concat(F.lit("-"), (F.col("id") % 4).cast("string"), F.lit(".md")))).alias("path")).distinct()
+    return ingest.distinct_paths(d.where("id % 3 <> 0"), stored).select("id", "path")
 
 
 def chunk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn with those beside it."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return c.select("conv_id", "turn", "role", F.lag("role").over(order).alias("before"), F.lead("role").over(order).alias("after"))
+    """For each turn those beside it."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("node_id"), F.col("turn").alias("ord"), "role")
+    return files.neighbours_of(c, c).select("node_id", "ord", "near", "role")
 
 
 def read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,14 +387,13 @@ def read_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), F.length("line").cast("long").alias("chars"))
+    cut = files.lines(table(spark, sf_dir, "documents"), [F.col("doc_id")], "text")
+    return cut.select("doc_id", (F.col("pos") + 1).cast("long").alias("line_no"), F.length("raw").cast("long").alias("chars"))
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    parts = d.select("doc_id", F.posexplode(F.split("text", r"\n[ \t]*\n")).alias("pos", "part"))
-    return parts.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2(F.trim("part"), 256).alias("hash"))
+    cut = files.lines(table(spark, sf_dir, "documents"), [F.col("doc_id")], "text", r"\n[ \t]*\n")
+    return cut.select("doc_id", F.col("pos").cast("long").alias("pos"), F.sha2(F.trim("raw"), 256).alias("hash"))
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +401,16 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_documents(spark, sf_dir).groupBy("node_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"))
+    return ingest.chunk_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document whether it has chunks, and whether these are numbered from 0 on and none is empty or much too large."""
+    d = table(spark, sf_dir, "documents")
+    c = chunk_documents(spark, sf_dir)
+    whole = c.groupBy("node_id").agg(F.count("*").alias("n"), F.max("ord").alias("last"), F.count_distinct("ord").alias("ords"), F.min(F.length(F.trim("content"))).alias("least"), F.max("token_count").alias("most"))
+    fine = (F.col("last") == F.col("n") - 1) & (F.col("ords") == F.col("n")) & (F.col("least") > 0) & (F.col("most") <= 1.5 * TARGET)
+    return d.select("doc_id").join(whole, F.col("doc_id") == F.col("node_id"), "left").select("doc_id", F.col("n").isNotNull().alias("chunked"), F.coalesce(fine, F.lit(True)).alias("fine"))
 
 
 def html_title_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,19 +442,84 @@ def completion_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with events after a time, as a page of changed addresses."""
-    e = table(spark, sf_dir, "events").where(F.col("ts") > F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
-    return e.select(F.concat(F.lit("ctx://docs/users/"), F.col("user_id").cast("string")).alias("uri")).distinct().orderBy("uri").limit(500)
+    """The second page of what changed since a version: users with events, the version is the day."""
+    e = table(spark, sf_dir, "events")
+    log = e.select(F.date_diff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long").alias("version"), F.concat(F.lit("ctx://docs/users/"), F.col("user_id").cast("string")).alias("uri"))
+    return changed_since(log, 18, "ctx://docs/users/2", 50)
 
 
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "region").select(F.to_json(F.struct("r_regionkey", "r_name")).alias("json"))
+    return sinks.json_rows(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
+
+
+def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's distance to one of them."""
+    base = table(spark, sf_dir, "embeddings")
+    one = base.where("vec_id = 7").select(F.col("embedding").alias("q"))  # one row
+    return base.join(F.broadcast(one)).select("vec_id", (F.round(vectors.cosine_distance(F.col("embedding"), F.col("q")), 6) + F.lit(0.0)).alias("distance"))
+
+
+def vfs_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ready sources of one collection."""
+    return scoped(sources(spark, sf_dir), "docs/src3").select("id", "name")
+
+
+def uri_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of documents, built and read back."""
+    @F.pandas_udf("string")
+    def root(uris: pd.Series) -> pd.Series:
+        return uris.map(lambda u: parse_uri(u).root)
+
+    @F.pandas_udf("string")
+    def path(uris: pd.Series) -> pd.Series:
+        return uris.map(lambda u: parse_uri(u).path)
+
+    return nodes(spark, sf_dir).select("id", root("uri").alias("root"), path("uri").alias("path"))
+
+
+def text_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of texts, ended at a word."""
+    @F.pandas_udf("string")
+    def clipped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: clip(t, 80))
+
+    return table(spark, sf_dir, "documents").select("doc_id", clipped("text").alias("clip"))
+
+
+def conservative_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("long")
+    def tokens(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: conservative_tokens(t or ""))
+
+    return table(spark, sf_dir, "documents").select("doc_id", tokens("text").alias("tokens"))
+
+
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a deterministic embedder: each has the length of one, but for texts without words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"))
+    made = vectors.embed_rows(docs, vectors.HashEmbedder(64), "head")
+    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return made.select("doc_id", F.size("embedding").cast("long").alias("dims"), F.round(squares, 3).alias("squares"), F.col("embed_error").isNull().alias("fine"))
+
+
+def dense_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers for all documents: each once, from 101 on."""
+    n = number_rows(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], 100)
+    return n.agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count_distinct("id").alias("numbers"))
+
+
+def result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search's links, one for each collection, in the order of its best result."""
+    best = _search(spark, sf_dir, [Q_WORDS], 100)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("uri"))
+    return fusion.distinct_links(docs.join(F.broadcast(best), "doc_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        fts_topk, fts_terms_coverage, fts_exact_flag, fts_negation, fts_phrase, fts_or, postings_terms, skill_discovery_weighted, vector_topk,
+        fts_topk, fts_cover, fts_stored_postings, fts_english, vector_cells, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
+        embed_batches, dense_numbers, result_links, ingest_last_of_name, chunk_bounds, fts_terms_coverage, fts_exact_flag, fts_negation, fts_phrase, fts_or, postings_terms, skill_discovery_weighted, vector_topk,
         vector_max_distance, vector_scoped, hybrid_rrf, multi_query_rrf, rrf_tiebreak, candidate_union, hybrid_diversified, near_duplicates,
         per_document_cap, grep_lines, grep_ignore_case, grep_path_glob, grep_keyset_page, grep_file_window, glob_page, ls_root, ls_collections,
         ls_children, ls_children_deep, catalog_collections, catalog_top_titles, catalog_problems, source_report, status_histogram,

@@ -8,7 +8,7 @@ import stat
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import PurePosixPath
+from pathlib import Path, PurePosixPath
 from typing import Protocol
 
 import pandas as pd
@@ -97,6 +97,44 @@ def plain_normalizer(data: bytes, filename: str) -> str:
     return text
 
 
+@dataclass(frozen=True)
+class Found:
+    """kind: skill (a folder with a SKILL.md), archive, doc or failed.  name: relative to the folder that was asked for."""
+
+    kind: str
+    path: Path
+    name: str
+    detail: str = ""
+
+
+def walk(path: Path, name: str | None = None, depth: int = 0) -> Iterator[Found]:
+    """What a path holds, folders in order of name: bundles whole, archives, documents.  Links, hidden entries and build folders are left out.
+
+    A folder that is too deep or too full is a failure of its own; its siblings go on.
+    """
+    name = path.name if name is None else name
+    if path.is_symlink() or not (path.is_dir() or path.is_file()):
+        yield Found("failed", path, name, "not a regular file or folder")
+    elif path.is_file():
+        yield Found("archive" if path.suffix.lower() in (".zip", ".skill") else "doc", path, name)
+    elif (path / "SKILL.md").is_file():
+        yield Found("skill", path, name)
+    elif depth >= DIR_DEPTH:
+        yield Found("failed", path, name, f"folders nest deeper than {DIR_DEPTH} levels: name a folder further down")
+    else:
+        members = sorted(p for p in path.iterdir() if not p.name.startswith(".") and p.name not in SKIPPED_DIRS and not p.is_symlink() and (p.is_dir() or p.is_file()))
+        if len(members) > DIR_MEMBERS:
+            yield Found("failed", path, name, f"{len(members)} entries are over the {DIR_MEMBERS} of one folder: name a folder further down")
+            return
+        for member in members:
+            yield from walk(member, f"{name}/{member.name}" if depth else member.name, depth + 1)
+
+
+def literal_path(path: str) -> str:
+    """A path in which nothing is a pattern."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, length, content) of a tree's files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)

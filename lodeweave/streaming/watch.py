@@ -21,7 +21,7 @@ def watch_for_changes(store: Store, on_change: Callable[[list[str]], None], chec
     The checkpoint makes each change come once, also over restarts.  Without an interval the stream ends when it has
     read what is there.
     """
-    (store.folder / "changes").mkdir(exist_ok=True)
+    store.files.mkdirs("changes")
 
     def told(batch: DataFrame, _: int) -> None:
         kept = batch.where("change <> 'deleted'").select("uri").distinct().orderBy("uri")
@@ -37,7 +37,7 @@ def watch_for_changes(store: Store, on_change: Callable[[list[str]], None], chec
         if uris or empty:
             on_change(uris)
 
-    stream = store.spark.readStream.schema(CHANGES).parquet(str(store.folder / "changes"))
+    stream = store.spark.readStream.schema(CHANGES).parquet(store.files.at("changes"))
     writer = stream.writeStream.foreachBatch(told).option("checkpointLocation", str(checkpoint))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 

@@ -147,7 +147,7 @@ def test_failures_changes_renames_and_removal(spark, tmp_path):
 
 def test_pinned_settings(engine, spark):
     with pytest.raises(InputError):
-        Engine(spark, engine.store.folder, analyzer="english")
+        Engine(spark, engine.store.folder, analyzer="simple")
     other = Engine(spark, engine.store.folder, embedder=HashEmbedder(64))
     with pytest.raises(InputError):
         other.embed_missing()
