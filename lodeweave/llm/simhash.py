@@ -330,11 +330,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Ids alone are shuffled.  Only where ids that stay repeat are rows brought together: by id and the hash of the row, so
     that copies of one row meet, after the rows of greater hashes went.
     """
-    columns = docs.columns
-    key = F.xxhash64(*columns)
-    gone = duplicates(docs, id_col, text_col, **how)
-    left = docs.join(gone, docs[id_col].cast("long") == gone["dropped"], "left_anti").select(*columns)
-    several = checkpointed(left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).agg(F.count("*").alias("rows"), F.min(key).alias("least")).where("rows > 1"))
-    once = left.join(several, left[id_col] == several["again"], "left_anti").select(*columns)
-    least = left.join(several, (left[id_col] == several["again"]) & (key == several["least"])).select(*columns)
-    return once.unionByName(least.groupBy(id_col, key).agg(F.first(F.struct(*columns)).alias("row")).select("row.*"))
+    # the row is one column from here on, so none of its names can clash
+    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(*docs.columns).alias("own_key"), F.struct(*docs.columns).alias("row"))
+    left = rows.join(duplicates(docs, id_col, text_col, **how), F.col("own_id") == F.col("dropped"), "left_anti")
+    several = checkpointed(left.where("own_id IS NOT NULL").groupBy(F.col("own_id").alias("again")).agg(F.count("*").alias("rows"), F.min("own_key").alias("least")).where("rows > 1"))
+    once = left.join(several, F.col("own_id") == F.col("again"), "left_anti").select("row")
+    least = left.join(several, (F.col("own_id") == F.col("again")) & (F.col("own_key") == F.col("least")))
+    return once.union(least.groupBy("own_id").agg(F.first("row").alias("row")).select("row")).select("row.*")

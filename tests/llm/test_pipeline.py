@@ -83,3 +83,35 @@ def test_empty_documents(spark, staged):
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, rows, SF)
     assert rows.count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Documents with nulls, empty and very long texts, ties, repeated rows and ids, and columns with names that stages use themselves."""
+    prose = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 400").orderBy("doc_id").limit(12).collect()}
+    good = list(prose.values())
+    secret = "q7Zp2Lk9Xw4Rt6Yb1Nc8Vm3Js5Hd0Fg7Qe2Ua9Kx4"
+    rows = [(1, None, "en", "src0", 0), (2, "", None, None, None), (3, good[0], "en", "src0", 1), (3, good[0], "en", "src0", 1), (4, good[0], "en", None, 1), (5, good[1], "en", "src1", 2), (5, good[2], "en", "src1", 3)]
+    rows += [(None, good[3], "en", "src2", 4), (None, good[3], "en", "src2", 4), (6, " ".join(good) * 40, "en", "src0", 5), (7, f"{good[4]} {secret}", "en", "src0", 6), (8, good[5] + " 😀\x00é", "en", "", 7)]
+    more = [(*r, True, -1, "x", 2, "y", 0.5) for r in rows]
+    return spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long, kept boolean, fp long, h string, node long, row string, again double")
+
+
+def test_odd_documents(spark, odd):
+    rows = [odd]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows[-1], SF).persist()
+        assert out.columns == odd.columns, name
+        rows.append(out)
+    quality_, near, secret, mixed = rows[1:]
+    assert {r.doc_id for r in quality_.collect()} <= {3, 4, 5, 6, 7, 8, None} and quality_.where("text IS NULL OR text = ''").isEmpty()
+    kept = near.collect()
+    ids = [r.doc_id for r in kept if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and 4 not in ids and sum(r.doc_id is None for r in kept) == quality_.where("doc_id IS NULL").count()
+    assert secret.count() == len(kept) and not any("q7Zp2Lk9" in (r.text or "") for r in secret.collect())
+    copies = mixed.groupBy("doc_id").count().collect()
+    assert {r.doc_id for r in copies} <= {r.doc_id for r in kept} and {repr(r) for r in mixed.collect()} <= {repr(r) for r in secret.collect()}
+    last = corpus_pipeline.STAGES[-1][1](spark, mixed, SF)
+    assert last.count() == mixed.count()
+    whole = corpus_pipeline.STAGES[-1][1](spark, odd, SF).collect()
+    assert len(whole) == odd.count() and all(r.n_tokens == 0 for r in whole if r.doc_id in (1, 2))
