@@ -3,6 +3,12 @@
 The quality rules reject documents, near-duplicates leave one document of each group, secrets are replaced by a mark,
 sources are mixed to their target weights by repeating or leaving out documents, and what remains is encoded.  All
 stages but the last return the columns of documents.
+
+Defined cases, in every stage: a null or empty text fails the quality rules, has the zero fingerprint, no secrets, and no
+tokens; a null id is a document of its own that is never dropped as a duplicate, and is mixed as the id 'null'; rows with
+one id are one document in near duplicates (the row of least hash stays) and have equal counts in the mix; a null source is
+a source of its own; further columns, whatever their names, are carried through all but the last stage; an empty table
+gives no rows; very long texts are read whole.
 """
 
 from __future__ import annotations
