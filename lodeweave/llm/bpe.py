@@ -6,8 +6,8 @@ of minimum rank, until no piece has a pair.  Decoding joins the ids with the tok
 order.  A piece that is itself a token is its own encoding, as in the library.
 
 Pieces never reach over a space that has a character other than white space on its left or its right, so texts are cut
-at spaces first and the encodings of the parts are remembered (up to CACHED, then forgotten).  A text with any other
-space is cut by the pattern as a whole.  Each distinct piece is decoded by the query when it is encoded, and refused if
+at spaces first and the encodings of the parts are remembered: when CACHED have come, those that weren't used since as many
+came before are forgotten.  A text with any other space is cut by the pattern as a whole.  Each distinct piece is decoded by the query when it is encoded, and refused if
 it doesn't come back.  Each document is decoded from its own ids: rows of document, position and token, whose token
 column has the token table as its dictionary, are aggregated in the order of their positions.  The encoding query takes as
 many steps as a piece has merges, so a piece of over LONG_PIECE bytes is contracted by a heap instead, to the same result.
@@ -34,7 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED = 500_000
+#: Parts, and pieces, of a generation that is remembered; two of them are.
+CACHED = 400_000
 LONG_PIECE = 1_024
 #: Pieces a query; all steps of a query are held until it ends.
 PIECES = 20_000
@@ -84,6 +85,7 @@ class BytePairs:
         #: Ids, as text, of pieces; and of parts, which have a space before them.
         self._pieces: dict[str, str] = {}
         self._parts: dict[str, str] = {}
+        self._old: dict[str, str] = {}
         #: The token table: each id's bytes in hexadecimal, null for numbers that are no id.
         self.tokens: list[str | None] = [None] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
@@ -141,13 +143,21 @@ class BytePairs:
 
     def _learn(self, parts: Iterable[str], pieces: Iterable[str]) -> None:
         """Ids of new parts that are one piece with the space before them, and of new pieces."""
-        fresh = [(self._parts, c, " " + c) for c in parts if c not in self._parts] + [(self._pieces, p, p) for p in pieces if p not in self._pieces]
+        parts = self._unknown(set(parts))
+        fresh = [(self._parts, c, " " + c) for c in parts] + [(self._pieces, p, p) for p in pieces if p not in self._pieces]
         data = [p.encode() for _, _, p in fresh]
         for (kept, key, piece), d, (ids, decoded) in zip(fresh, data, self.code(data), strict=True):
             if decoded != d.hex():
                 raise ValueError(f"ids of {piece!r} decode to something else")
             kept[key] = ids
 
+    def _unknown(self, parts: set[str]) -> set[str]:
+        """Parts that must be learned; of the others, those of the older generation move to the younger."""
+        missing = parts - self._parts.keys()
+        again = missing & self._old.keys()
+        self._parts.update((c, self._old[c]) for c in again)
+        return missing - again
+
     def _ids(self, pieces: list[str]) -> str:
         return " ".join([self._parts[p[1:]] if p[0] == " " else self._pieces[p] for p in pieces])
 
@@ -157,10 +167,10 @@ class BytePairs:
         split = {t: t.split(" ") for t in texts if t not in whole}
         inner = set().union(*(parts[1:] for parts in split.values())) if split else set()
         if len(self._parts) + len(inner) > CACHED:
-            self._parts.clear()
+            self._parts, self._old = {}, self._parts
         if len(self._pieces) > CACHED:
             self._pieces.clear()
-        fresh = [c for c in inner if c not in self._parts]
+        fresh = self._unknown(inner)
         cut = {c: self.pattern.findall(" " + c) for c in fresh if not c.isalpha()}
         first = {parts[0]: self.pattern.findall(parts[0]) for parts in split.values()}
         seen = set(chain.from_iterable(chain(whole.values(), cut.values(), first.values())))
