@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave import config
 from lodeweave.functions import paging, safety
 from lodeweave.functions.analyzer import Query, parse_query
 from lodeweave.functions.frontmatter import SkillError, parse_skill, strip_frontmatter
@@ -26,12 +27,7 @@ from lodeweave.store import BROADCAST_KEYS, Commit, Store
 
 # Limits of one call.
 MAX_QUERIES, PER_QUERY, POOL = 8, 30, 30
-SEARCH_MS, GREP_MS = 10_000, 5_000
-INLINE_BYTES, RAW_BYTES = 3 << 20, 12 << 20
-RESOURCES = 100
-UPLOAD_FILES, UPLOAD_BYTES = 20, 32 << 20
-#: From so many vectors on, an index of cells serves searches; it is made anew when as many have come as it was made of.
-INDEX_LEAST = 2_000
+INLINE_BYTES = 3 << 20
 
 
 class TooExpensive(RuntimeError):
@@ -110,8 +106,9 @@ class Engine:
 
     def ingest_bytes(self, items: Sequence[tuple[str, bytes]], collection: str = COLLECTION, force: bool = False, origin: str = "upload://") -> list[IngestResult]:
         """Documents by name and bytes: one result each; what can't be read is a result too."""
-        if origin.startswith("upload://") and (len(items) > UPLOAD_FILES or any(len(d) > UPLOAD_BYTES for _, d in items)):
-            raise InputError(f"an upload has at most {UPLOAD_FILES} files of {UPLOAD_BYTES} bytes")
+        most, size = int(config.number("upload_max_files")), int(config.number("upload_max_bytes"))
+        if origin.startswith("upload://") and (len(items) > most or any(len(d) > size for _, d in items)):
+            raise InputError(f"an upload has at most {most} files of {size} bytes")
         rows = [(origin + name, len(data), data) for name, data in items]
         return self.ingest_files(self.spark.createDataFrame(rows, "path string, length long, content binary"), collection, force)
 
@@ -303,7 +300,8 @@ class Engine:
         n = everything.where("embedding IS NOT NULL").count()
         made_of = 0 if again else int(work.before["settings"].get("cells_of", 0))
         settings: dict[str, str | None] = {"embed_model": self.embedder.id}
-        if n >= INDEX_LEAST and n >= 2 * made_of:
+        # from the threshold on, an index of cells serves searches; it is made anew when as many vectors have come as it was made of
+        if n >= config.number("bulk_index_threshold") and n >= 2 * made_of:
             cells = vectors.fit_cells(everything, PER_QUERY, "id")
             name = f"cells/{uuid.uuid4().hex}.npz"
             self.store.files.write(name, cells.packed())
@@ -325,14 +323,14 @@ class Engine:
 
     # Reads
 
-    def search(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float = 1.0, timeout_ms: int = SEARCH_MS) -> list[fusion.Hit]:
+    def search(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float | None = None, timeout_ms: int | None = None) -> list[fusion.Hit]:
         return self.search_with_diagnostics(queries, limit, per_query, scope, max_distance, timeout_ms).hits
 
-    def search_with_diagnostics(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float = 1.0, timeout_ms: int = SEARCH_MS) -> SearchResult:
+    def search_with_diagnostics(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float | None = None, timeout_ms: int | None = None) -> SearchResult:
         asked = [q.strip() for q in queries if q.strip()]
         if not asked or len(asked) > MAX_QUERIES:
             raise InputError(f"give 1 to {MAX_QUERIES} queries")
-        vectors.check_distance(max_distance)
+        max_distance = vectors.check_distance(config.number("max_distance") if max_distance is None else max_distance)
         parse_scope(scope)
         warnings = []
         use_vectors = self.embedder is not None and self.store.setting("embed_model") == self.embedder.id
@@ -341,7 +339,7 @@ class Engine:
         elif not use_vectors:
             warnings.append("EMBED_MODEL_MISMATCH: full text only")
         parsed = [parse_query(q, self.analyzer) for q in asked]
-        with self._timed(timeout_ms):
+        with self._timed(timeout_ms or int(config.number("search_timeout_ms"))):
             manifest = self.store.manifest()
             rows = scoped(self.store.table("chunks", manifest), scope)
             lists = fts.posted_search(scoped(self.store.table("postings", manifest), scope), parsed, per_query, "id").select(F.concat(F.lit("fts:"), F.col("query_id")).alias("list"), "id", "rank")
@@ -367,10 +365,12 @@ class Engine:
     def _chosen(self, asked: list[str], parsed: list[Query], found: list, limit: int, warnings: list[str]) -> list[fusion.Hit]:
         lists: dict[str, list[fusion.Hit]] = {}
         seen: dict[int, list[str]] = {}
+        ranks: dict[int, dict[str, int]] = {}
         for r in found:
             seen.setdefault(r.id, []).append(r["list"])
+            ranks.setdefault(r.id, {})[r["list"]] = r["rank"]
         for r in found:
-            fields = {"uri": f"{r.uri}#chunk={r.ord}", "heading_path": r.heading_path, "snippet": r.snippet, "name": r.name, "kind": r.kind, "collection": r.collection, "via": sorted({"fts" if x.startswith("fts") else "vector" for x in seen[r.id]}), "matched_queries": sorted({int(x[4:]) for x in seen[r.id]})}
+            fields = {"uri": f"{r.uri}#chunk={r.ord}", "path": f"/skills/{r.name}/{r.path}" if r.kind == "skill" else f"/docs/{r.collection}/{r.path}", "ranks": ranks[r.id], "heading_path": r.heading_path, "snippet": r.snippet, "name": r.name, "kind": r.kind, "collection": r.collection, "via": sorted({"fts" if x.startswith("fts") else "vector" for x in seen[r.id]}), "matched_queries": sorted({int(x[4:]) for x in seen[r.id]})}
             lists.setdefault(r["list"], []).append(fusion.Hit(r.id, r.node_id, r.content, 0.0, fields))
         pool = [f.item for f in fusion.rrf({n: [(h.chunk_id, h) for h in hs] for n, hs in lists.items()})][: max(POOL, limit)]
         order, warning = fusion.rerank(self.reranker, "\n".join(asked), ["\n".join([h.fields["name"], *h.fields["heading_path"], h.content]) for h in pool])
@@ -378,13 +378,13 @@ class Engine:
             warnings.append(f"RERANK_FAILED: {warning}")
         return fusion.diversify(lists, len(parsed), limit, preferred=[pool[i].chunk_id for i in order] if order else [])
 
-    def search_skills(self, queries: Sequence[str], scope: str | None = None, limit: int = 8, timeout_ms: int = SEARCH_MS) -> list[dict[str, Any]]:
+    def search_skills(self, queries: Sequence[str], scope: str | None = None, limit: int = 8, timeout_ms: int | None = None) -> list[dict[str, Any]]:
         """Skills by name and description: the exact name first, then all words, then weight."""
         kind, name = parse_scope(scope)
         asked = [q.strip() for q in queries if q.strip()]
         if kind == "doc" or not asked:
             raise InputError("give a query, and a skills scope or none")
-        with self._timed(timeout_ms):
+        with self._timed(timeout_ms or int(config.number("search_timeout_ms"))):
             skills = self.store.table("skills")
             skills = skills.where(F.col("name") == name) if name else skills
             ready = self.store.table("sources").where("status = 'ready'").select(F.col("id").alias("source_id"))
@@ -403,10 +403,10 @@ class Engine:
     def glob(self, pattern: str, limit: int = 200, offset: int = 0) -> list[dict[str, Any]]:
         return [r.asDict() for r in files.glob(self.store.table("nodes"), pattern, limit, offset).collect()]
 
-    def grep(self, pattern: str, path_glob: str | None = None, ignore_case: bool = True, limit: int = 60, cursor: str | None = None, timeout_ms: int = GREP_MS) -> dict[str, Any]:
+    def grep(self, pattern: str, path_glob: str | None = None, ignore_case: bool = True, limit: int = 60, cursor: str | None = None, timeout_ms: int | None = None) -> dict[str, Any]:
         key = repr(("grep", pattern, path_glob, ignore_case))
         after = paging.decode_grep_cursor(cursor, key) or (0, 0)
-        with self._timed(timeout_ms):
+        with self._timed(timeout_ms or int(config.number("grep_timeout_ms"))):
             found, following, scanned = files.grep_page(self.store.table("nodes"), pattern, path_glob, ignore_case, limit, after)
         return {"matches": [r.asDict() for r in found], "next": following and paging.encode_grep_cursor(key, *following), "scanned_files": scanned}
 
@@ -457,7 +457,7 @@ class Engine:
                 raise InputError(f"no chunk {a.chunk} in {uri}")
             return {"text": own.content if raw else safety.envelope(own.content, {"uri": uri, "heading": own.heading_path}), "neighbours": [f"{node.uri}#chunk={c.ord}" for c in near if c.ord != a.chunk], "next": None}
         if node.content is None:
-            inline = node.blob_ref is not None and node.size_bytes <= (RAW_BYTES if raw else INLINE_BYTES)
+            inline = node.blob_ref is not None and node.size_bytes <= (config.number("max_resource_blob_bytes") if raw else INLINE_BYTES)
             data = {"data": self.store.files.read(node.blob_ref)} if inline else {}
             return {"text": f"{node.path}: {node.mime_type}, {node.size_bytes} bytes", "next": None} | data
         trusted = node.role == "skill_md"
@@ -482,10 +482,10 @@ class Engine:
         groups = [r.asDict() | {"titles": titles.get(r.collection, [])} for r in catalog.collection_rollup(sources, counts).orderBy("collection").collect()]
         return catalog.render_catalog(skills, groups, [r.asDict() for r in catalog.problems(sources).limit(200).collect()], budget)
 
-    def resources(self, offset: int = 0, limit: int = RESOURCES) -> list[dict[str, Any]]:
+    def resources(self, offset: int = 0, limit: int | None = None) -> list[dict[str, Any]]:
         """The index, then skills, then documents, a page at a time."""
         index = self.spark.createDataFrame([(0, "", INDEX, "catalog")], "grp int, sort string, uri string, name string")
-        rows = files.resource_page(index, self.store.table("nodes"), offset, limit)
+        rows = files.resource_page(index, self.store.table("nodes"), offset, limit or int(config.number("resource_page")))
         return [{"uri": r.uri, "name": r.name} for r in rows.collect()]
 
     def report(self) -> list[dict[str, Any]]:

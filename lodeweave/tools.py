@@ -11,6 +11,8 @@ from lodeweave.api import MAX_QUERIES, Engine, TooExpensive
 from lodeweave.functions import paging, safety
 from lodeweave.functions.text import BUDGETS, InputError
 from lodeweave.functions.uri import UriError
+from lodeweave.operators.fusion import LINKS
+from lodeweave.store import MigrationRequired
 
 # Limits of a call.
 GLOB_MOST, GREP_MOST, SEARCH_MOST, READ_LINES = 500, 200, 25, 5000
@@ -31,6 +33,8 @@ def _as_data(tool: Callable[..., dict[str, Any]]) -> Callable[..., dict[str, Any
             return error("INVALID_ARGUMENT", str(e), "Correct the arguments.")
         except TooExpensive as e:
             return error("QUERY_TIMEOUT", str(e), "Narrow the request.", retryable=True)
+        except MigrationRequired as e:
+            return error("MIGRATIONS_REQUIRED", str(e), "Run migrate() on the store.")
         except Exception as e:
             return error("SERVICE_ERROR", f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}", "Try again later.", retryable=True)
 
@@ -43,6 +47,11 @@ def _within(value: int, most: int, what: str) -> int:
     return value
 
 
+def links(entries: Sequence[dict]) -> list[str]:
+    """Each entry's address once, in their order."""
+    return list(dict.fromkeys(e["uri"] for e in entries))[:LINKS]
+
+
 class Tools:
     def __init__(self, engine: Engine) -> None:
         self.engine = engine
@@ -74,7 +83,8 @@ class Tools:
         key = f"glob:{pattern}:{limit}"
         start = paging.decode_cursor(cursor, key) or 0
         found = self.engine.glob(pattern, limit + 1, start)
-        return self._entries(found[:limit], lambda e: f"{e['path']}  {e['uri']}", BUDGETS["glob"], key, start, len(found) > limit)
+        out = self._entries(found[:limit], lambda e: f"{e['path']}  {e['uri']}", BUDGETS["glob"], key, start, len(found) > limit)
+        return out | {"links": links(out["entries"])}
 
     @_as_data
     def grep(self, pattern: str, path_glob: str | None = None, ignore_case: bool = True, limit: int = 50, cursor: str | None = None) -> dict[str, Any]:
@@ -120,7 +130,7 @@ class Tools:
         if start + len(shown) < len(hits):
             name = name or self.engine.pages.keep(hits)
             following = f"{name}.{paging.encode_cursor(key, start + len(shown))}"
-        return {"text": safety.envelope(body or "nothing found"), "entries": shown, "retrieval_mode": mode, "warnings": warnings, "next_cursor": following}
+        return {"text": safety.envelope(body or "nothing found"), "entries": shown, "links": links(shown), "retrieval_mode": mode, "warnings": warnings, "next_cursor": following}
 
     @_as_data
     def skill(self, name: str, cursor: str | None = None) -> dict[str, Any]:

@@ -1,16 +1,20 @@
 from __future__ import annotations
 
 import re
+import time
+from datetime import datetime, timezone
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from lodeweave import config
 from lodeweave.functions import globs, paging, safety
-from lodeweave.functions.analyzer import parse_query
+from lodeweave.functions.analyzer import Phrase, analyze, cover_density, parse_query
 from lodeweave.functions.frontmatter import SkillError, parse_skill, strip_frontmatter, tokenize_tools
 from lodeweave.functions.html import html_to_markdown
 from lodeweave.functions.markdown import Block, blocks_from_markdown, chunk_blocks, split_block
+from lodeweave.functions.stemmer import stem
 from lodeweave.functions.text import InputError, TextError, clip, decode_text, estimate_tokens, looks_like_text, utf16_length
 from lodeweave.functions.uri import UriError, build_uri, check_path, parse_uri, path_to_uri, uri_to_path
 from lodeweave.operators.fusion import Hit, diversify, overlaps, recall_and_mrr, rerank, rrf
@@ -214,3 +218,71 @@ def test_batches():
     assert [i for b in plan for i in b] == list(range(201)) and max(map(len, plan)) == 96
     v = HashEmbedder(64).embed(["a b a"])[0]
     assert abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+#: From the stemmer's published sample.
+STEMS = """consigned consign consignment consign consistency consist consolatory consolatori consolingly consol conspirators conspir
+knackeries knackeri kneading knead knightly knight knives knive knitted knit generously generous general general communism communism running run
+hoping hope hopping hop relational relat happily happili dying die ties tie cries cri gas gas this this by by say say skies sky
+news news proceed proceed inning inning luxuriated luxuri vileness vile ability abil national nation skis ski agreed agre feed feed"""
+
+
+def test_stems():
+    pairs = STEMS.split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+    assert analyze("The kettles were boiling", "english") == ["", "kettl", "", "boil"]
+    assert parse_query('"boil the water" the', "english").anyof == ((Phrase(("boil", "", "water")),),)
+
+
+def plain_covers(terms, query):
+    """Every stretch tried: the end is the first that satisfies from a term on, the beginning the last that still does."""
+    wanted = set(query.words)
+    entries = [i for i, t in enumerate(terms) if t in wanted]
+
+    def fine(low, high):
+        part = terms[low : high + 1]
+        has = lambda p: any(all(not w or part[i + j] == w for j, w in enumerate(p.words)) for i in range(len(part) - len(p.words) + 1))
+        return any(g and all(has(p) for p in g if not p.negated) and any(not p.negated for p in g) for g in query.anyof)
+
+    total, k = 0.0, 0
+    while k < len(entries):
+        high = next((e for e in entries[k:] if fine(entries[k], e)), None)
+        if high is None:
+            break
+        begin = max(i for i in range(k, len(entries)) if entries[i] <= high and fine(entries[i], high))
+        inside = sum(entries[begin] <= e <= high for e in entries) - 1
+        total += 1 / (1 + (high - entries[begin]) - inside)
+        k = begin + 1
+    return total
+
+
+@given(st.lists(st.sampled_from("abcdx"), max_size=25), st.sampled_from(["a b -z", "a b c -z", '"a b" c -z', "a", "a b", '"a b" c', "a b or c d -z", '"a a" -z']))
+def test_cover_density(terms, text):
+    loose = parse_query(text).loose()
+    assert abs(cover_density(terms, loose) - plain_covers(terms, loose)) < 1e-9
+
+
+def test_settings():
+    assert config.number("search_timeout_ms", {}) == 10_000 and config.number("max_distance", {"LODEWEAVE_MAX_DISTANCE": "0.5"}) == 0.5
+    assert len(config.check({})) == 16
+    for bad in ("", "x", "0", "1.5", "nan", "3600001"):
+        with pytest.raises(InputError):
+            config.check({"LODEWEAVE_SEARCH_TIMEOUT_MS": bad})
+    now = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    assert config.retry_after_ms("2", now) == 2000 and config.retry_after_ms("Mon, 01 Jan 2024 00:00:05 GMT", now) == 5000
+    assert config.retry_after_ms(None, now) is None and config.retry_after_ms("soon", now) is None
+
+
+@given(st.text("ab c.é😀\n", max_size=400), st.integers(2, 60))
+def test_pieces_are_bounded_and_join(text, budget):
+    parts = split_block(Block("paragraph", text), budget)
+    assert "".join(p.text for p in parts) == text and all(utf16_length(p.text) <= max(4, 4 * budget) for p in parts)
+
+
+def test_texts_are_cut_in_linear_time():
+    times = []
+    for n in (20_000, 160_000):
+        began = time.process_time()
+        assert chunk_blocks([Block("paragraph", "The quick brown fox. Over 😀 " * n)])
+        times.append(time.process_time() - began)
+    assert times[1] < 24 * times[0]

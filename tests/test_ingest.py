@@ -167,7 +167,7 @@ def test_rejected_texts_are_remembered(spark, tmp_path):
 
 
 def test_an_index_of_cells_serves_searches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("lodeweave.api.INDEX_LEAST", 30)
+    monkeypatch.setenv("LODEWEAVE_BULK_INDEX_THRESHOLD", "30")
     engine = Engine(spark, tmp_path, embedder=HashEmbedder(32))
     words = [f"w{i}" for i in range(40)]
     rng = np.random.default_rng(3)

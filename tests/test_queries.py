@@ -8,9 +8,12 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
+from lodeweave.functions.analyzer import parse_query
+from lodeweave.operators import fts, vectors
 from lodeweave.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +45,38 @@ def test_rows_only_queries(spark):
         assert queries.QUERIES[name](spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("analyzer", ["simple", "english"])
+def test_postings_give_what_a_scan_gives(spark, analyzer):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    asked = [parse_query(q, analyzer) for q in ("things oned tion", '"of the" and', "thing that -for", "the or which", '"thing of the"', "zzz")]
+    posted = fts.postings(docs, ["doc_id"], {"text": 1.0}, analyzer)
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "exact", "terms", "density", "rank").collect()))
+    want = rows(fts.text_search(docs, asked, 15, "doc_id", "text", analyzer))
+    assert rows(fts.posted_search(posted, asked, 15, "doc_id")) == want and len({r[0] for r in want}) >= 4
+    assert fts.posted_search(posted, [parse_query("the", "english")], 5, "doc_id").count() == 0
+
+
+def test_a_row_is_split_once(spark):
+    for name in ("fts_topk", "fts_phrase", "multi_query_rrf"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[-1].count("regexp_extract_all") == 1, name
+
+
+def test_cells_find_neighbours(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(30, 16))
+    x = np.concatenate([centres[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 16)), np.zeros((2, 16))])
+    base = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9999, None)], "vec_id long, embedding array<double>")
+    asked = base.where("vec_id % 20 = 0")
+    cells = vectors.fit_cells(base, 10, sample=1000)
+    assert cells.probes < len(cells.centres) / 2
+    true = {(r.query_id, r.vec_id) for r in vectors.nearest(base, asked, 10).collect()}
+    found = {(r.query_id, r.vec_id) for r in vectors.nearest_cells(base, asked, 10, cells).collect()}
+    assert len(true & found) >= 0.9 * len(true)
+    nothing = base.limit(0)
+    assert vectors.nearest_cells(nothing, nothing, 10).count() == 0
+
+
 def test_diversified_results_differ(spark):
     out = queries.hybrid_diversified(spark, SF).collect()
     assert [r.place for r in out] == list(range(1, len(out) + 1)) and len({r.id for r in out}) == len(out)
