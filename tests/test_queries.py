@@ -52,14 +52,14 @@ def test_postings_give_what_a_scan_gives(spark, analyzer):
     posted = fts.postings(docs, ["doc_id"], {"text": 1.0}, analyzer)
     rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "exact", "terms", "density", "rank").collect()))
     want = rows(fts.text_search(docs, asked, 15, "doc_id", "text", analyzer))
-    assert rows(fts.posted_search(posted, asked, 15, "doc_id")) == want and len({r[0] for r in want}) >= 4
+    assert rows(fts.posted_search(posted, asked, 15, "doc_id")) == want and len({r[0] for r in want}) >= 3
     assert fts.posted_search(posted, [parse_query("the", "english")], 5, "doc_id").count() == 0
 
 
 def test_a_row_is_split_once(spark):
-    for name in ("fts_topk", "fts_phrase", "multi_query_rrf"):
+    for name in ("fts_topk", "fts_phrase", "fts_or", "fts_cover", "multi_query_rrf"):
         plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert plan.split("== Initial Plan ==")[-1].count("regexp_extract_all") == 1, name
+        assert plan.split("== Initial Plan ==")[-1].count(r"[\p{L}\p{N}]+") == 1, name
 
 
 def test_cells_find_neighbours(spark):
