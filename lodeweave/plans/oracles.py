@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lodeweave.functions.globs import glob_regex, plan_glob
+from lodeweave.plans import engine_queries, function_queries
 from lodeweave.plans.queries import EVERY, GLOBS, GREP, PER_QUERY, SKILL_WORDS, TOP
 
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -172,4 +173,4 @@ SELECT query_id, round(count(*) FILTER (WHERE hit AND rank <= 5) / (SELECT count
     "completion_prefix": "SELECT DISTINCT source FROM documents WHERE source ILIKE 'SRC1%' ORDER BY source LIMIT 100",
     "changes_since": "SELECT DISTINCT 'ctx://docs/users/' || user_id AS uri FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND uri > 'ctx://docs/users/2' ORDER BY uri LIMIT 50",
     "json_rows": "SELECT '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' AS json FROM region",
-} | {name: _glob(pattern) for name, pattern in GLOBS.items()}
+} | {name: _glob(pattern) for name, pattern in GLOBS.items()} | engine_queries.ORACLES | function_queries.ORACLES

@@ -21,6 +21,7 @@ from lodeweave.functions.text import clip, conservative_tokens, token_estimate,
 from lodeweave.functions.uri import encoded, encoded_path, parse_uri, source_path
 from lodeweave.operators import catalog, files, fts, fusion, ingest, sinks, vectors
 from lodeweave.operators.numbering import number_rows
+from lodeweave.plans import engine_queries, function_queries
 from lodeweave.streaming.watch import changed_since
 
 # The queries' texts and limits.
@@ -527,4 +528,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         distinct_paths, chunk_neighbours, read_window, lines_explode, paragraphs, chunk_documents, chunk_stats, html_title_h1, html_normalize,
         eval_recall_mrr, completion_prefix, changes_since, json_rows,
     )
-} | {name: _glob(pattern) for name, pattern in GLOBS.items()}
+} | {name: _glob(pattern) for name, pattern in GLOBS.items()} | engine_queries.QUERIES | function_queries.QUERIES
