@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts, and pieces, of a generation that is remembered; two of them are.
-CACHED = 400_000
+CACHED = 300_000
 LONG_PIECE = 1_024
 #: Pieces a query; all steps of a query are held until it ends.
 PIECES = 20_000
 #: Documents, and bytes of their texts (or one document), that are encoded and decoded at once.
-BLOCK_DOCS, BLOCK_BYTES = 2_000, 8_000_000
+BLOCK_DOCS, BLOCK_BYTES = 700, 4_000_000
+#: Tokens, in whole documents, that one query decodes.
+DECODED = 250_000
 
 #: A space between white space, or between white space and the end.
 _INNER_SPACE = re.compile(r" (?=\s|\Z)(?<=\s )")
@@ -186,18 +188,22 @@ class BytePairs:
 
     def decode_ids(self, documents: list[np.ndarray]) -> list[bytes]:
         """The bytes of each document's ids, by ordered aggregation."""
-        lengths = [len(x) for x in documents]
-        ids = np.concatenate([*documents, np.zeros(0, np.int32)]).astype(np.int32)
-        token = pa.DictionaryArray.from_arrays(ids, pa.array(self.tokens, pa.string()))
-        if np.array([t is None for t in self.tokens])[ids].any():
-            raise ValueError("an id is not in the vocabulary")
-        coded = pa.table({"doc": np.repeat(np.arange(len(documents), dtype=np.int32), lengths), "position": np.arange(len(ids), dtype=np.int32), "token": token})
-        self._db.register("coded", coded)
-        got = self._db.sql(_DECODE).to_arrow_table()
-        self._db.unregister("coded")
+        table, absent = pa.array(self.tokens, pa.string()), np.array([t is None for t in self.tokens])
         out = [b""] * len(documents)
-        for doc, data in zip(got.column("doc").to_pylist(), got.column("hex").to_pylist(), strict=True):
-            out[doc] = bytes.fromhex(data)
+        ends = np.cumsum([len(x) for x in documents])
+        for part in np.split(np.arange(len(documents)), np.flatnonzero(np.diff(ends // DECODED)) + 1):
+            lengths = [len(documents[i]) for i in part]
+            if not sum(lengths):
+                continue
+            ids = np.concatenate([documents[i] for i in part]).astype(np.int32)
+            if absent[ids].any():
+                raise ValueError("an id is not in the vocabulary")
+            token = pa.DictionaryArray.from_arrays(ids, table)
+            self._db.register("coded", pa.table({"doc": np.repeat(part.astype(np.int32), lengths), "position": np.arange(len(ids), dtype=np.int32), "token": token}))
+            got = self._db.sql(_DECODE).to_arrow_table()
+            self._db.unregister("coded")
+            for doc, data in zip(got.column("doc").to_pylist(), got.column("hex").to_pylist(), strict=True):
+                out[doc] = bytes.fromhex(data)
         return out
 
 
