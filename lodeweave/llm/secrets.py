@@ -2,7 +2,7 @@
 
 A candidate is a maximal run of characters of a class's alphabet, at least a window long.  The window slides one
 character at a time; its entropy is kept up from incremental counts, never counted anew.  Windows at or over the class's
-threshold that have enough digits are joined to spans.  Of a span that overlaps spans of base patterns, the rest is kept;
+threshold that have enough digits, or enough of both capitals and small letters, are joined to spans.  Of a span that overlaps spans of base patterns, the rest is kept;
 what lies within an allowed string is suppressed; spans of base patterns always stay.
 
 Defined cases: a null or empty text has no spans; repeated rows get equal results; equal starts are ordered by kind as
@@ -40,12 +40,14 @@ class CharacterClass:
     window: int
     bits: float
     digits: int
+    #: So many capitals and as many small letters in a window stand in for its digits; 0: nothing does.
+    mixed: int = 0
 
 
-#: A window of 20 has 4.32 bits at most; words of the corpora seen have few digits.
+#: A window of 20 has 4.32 bits at most; words of the corpora seen have few digits, and capitals only where they begin.
 CLASSES = (
     CharacterClass("hex", re.compile(r"[0-9A-F]{20,}|[0-9a-f]{20,}"), 20, 3.0, 3),
-    CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.6, 2),
+    CharacterClass("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.6, 2, 5),
 )
 #: Not secrets: UUIDs, dates and other digit groups, and keys that documentation uses as examples.
 ALLOWED = (
@@ -68,21 +70,23 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def entropy_windows(run: str, window: int, bits: float, digits: int) -> list[tuple[int, int]]:
-    """Joined windows of `run` that have at least `bits` of entropy a character and enough digits."""
+def entropy_windows(run: str, window: int, bits: float, digits: int, mixed: int = 0) -> list[tuple[int, int]]:
+    """Joined windows of `run` that have at least `bits` of entropy a character, and enough digits or letters of both cases."""
     term = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
     counts: Counter[str] = Counter(run[:window])
     total = sum(term[n] for n in counts.values())
-    n_digits = sum(c.isdigit() for c in run[:window])
+    n_digits, n_upper, n_lower = (sum(f(c) for c in run[:window]) for f in (str.isdigit, str.isupper, str.islower))
     spans: list[list[int]] = []
     for start in range(len(run) - window + 1):
         if start:
-            out, new = run[start - 1], run[start + window - 1]
-            for c, step in ((out, -1), (new, 1)):
+            for c, step in ((run[start - 1], -1), (run[start + window - 1], 1)):
                 total += term[counts[c] + step] - term[counts[c]]
                 counts[c] += step
                 n_digits += step * c.isdigit()
-        if n_digits >= digits and math.log2(window) - total / window >= bits - 1e-9:
+                n_upper += step * c.isupper()
+                n_lower += step * c.islower()
+        enough = n_digits >= digits or mixed and min(n_upper, n_lower) >= mixed
+        if enough and math.log2(window) - total / window >= bits - 1e-9:
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = start + window
             else:
@@ -90,6 +94,13 @@ def entropy_windows(run: str, window: int, bits: float, digits: int) -> list[tup
     return [(a, b) for a, b in spans]
 
 
+def _promising(run: str, kind: CharacterClass) -> bool:
+    """Whether the whole run has what a window needs besides entropy."""
+    if sum(map(run.count, "0123456789")) >= kind.digits:
+        return True
+    return bool(kind.mixed) and min(sum(map(str.isupper, run)), sum(map(str.islower, run))) >= kind.mixed
+
+
 def _outside(spans: list[Span], start: int, end: int) -> Iterator[tuple[int, int]]:
     """The parts from start to end that are in none of spans, which are sorted."""
     for a, _, b in spans:
@@ -121,9 +132,9 @@ def entropy_spans(text: str, base: list[Span], classes: Sequence[CharacterClass]
     for kind in classes:
         sweep, fresh = _Sweep(base + found), []
         for m in kind.candidate.finditer(text):
-            if not any(c.isdigit() for c in m[0]):
+            if not _promising(m[0], kind):
                 continue
-            windows = entropy_windows(m[0], kind.window, kind.bits, kind.digits)
+            windows = entropy_windows(m[0], kind.window, kind.bits, kind.digits, kind.mixed)
             if not windows:
                 continue
             fine = [(m.start() + a.start(), m.start() + a.end()) for p in allowed for a in p.finditer(m[0])]

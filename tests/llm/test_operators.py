@@ -521,13 +521,14 @@ def plain_spans(text):
     for a, _, b in base:
         taken[a:b] = True
     spans = list(base)
-    for alphabet, bits, digits in (("[0-9A-F]+|[0-9a-f]+", 3.0, 3), ("[A-Za-z0-9+/_=-]+", 3.6, 2)):
+    for alphabet, bits, digits, mixed in (("[0-9A-F]+|[0-9a-f]+", 3.0, 3, 99), ("[A-Za-z0-9+/_=-]+", 3.6, 2, 5)):
         fresh = np.zeros(len(text), bool)
         for m in re.finditer(alphabet, text):
             mark = np.zeros(len(text), bool)
             for i in range(m.start(), m.end() - 19):
                 w = text[i : i + 20]
-                if sum(c in "0123456789" for c in w) >= digits and -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values()) >= bits - 1e-9:
+                letters = min(sum("A" <= c <= "Z" for c in w), sum("a" <= c <= "z" for c in w))
+                if (sum(c in "0123456789" for c in w) >= digits or letters >= mixed) and -sum(c / 20 * math.log2(c / 20) for c in collections.Counter(w).values()) >= bits - 1e-9:
                     mark[i : i + 20] = True
             fine = [(m.start() + x.start(), m.start() + x.end()) for p in secrets.ALLOWED for x in p.finditer(m[0])]
             edges = np.flatnonzero(np.diff(np.concatenate([[0], (mark & ~taken).view(np.int8), [0]])))
@@ -562,7 +563,7 @@ def test_secret_rows_are_those_of_plain_scans(spark):
 
 
 def test_planted_secrets_are_found_and_prose_is_left_alone(spark):
-    """Of keys that no base pattern sees nine tenths are found almost whole; texts without one have no entropy span outside base spans."""
+    """Of keys that no base pattern sees 19 in 20 are found almost whole; texts without one have no entropy span outside base spans."""
     rng = random.Random(4)
     prose = [r.text or "" for r in spark.read.parquet(f"{LARGER}/documents.parquet").select("text").limit(400).collect()]
     hits = total = 0
@@ -575,7 +576,7 @@ def test_planted_secrets_are_found_and_prose_is_left_alone(spark):
         total += 1
         covered = {i for a, k, b in secrets.secret_spans(whole)[1] if k == 3 for i in range(a, b)}
         hits += len(covered & set(range(at, at + len(key)))) >= 0.9 * len(key)
-    assert hits >= 0.9 * total and total > 300
+    assert hits >= 0.95 * total and total > 300
     false = sum(k == 3 for t in prose for _, k, _ in secrets.secret_spans(t)[1])
     assert false <= 0.01 * len(prose)
 
