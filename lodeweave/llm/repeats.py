@@ -246,11 +246,16 @@ def _closed(open_rows: DataFrame, hot: int) -> DataFrame:
     """
     at = lambda side, i: F.shiftrightunsigned(side, 16 * (i - 1)).bitwiseAND(F.lit(0xFFFF)) if i else F.lit(1).cast("long")
     sides = [(at("left", i), at("right", STEPS - 1 - i)) for i in range(STEPS)]
-    each = [open_rows.select("h", "c", F.lit(i).alias("i"), x.alias("x"), y.alias("y")).where("x > 0 AND y > 0") for i, (x, y) in enumerate(sides)]
-    key = ["i", "h", "x", "y"]
-    shared = checkpointed(reduce(DataFrame.union, [e.groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").select(*key) for e in each]))
-    few = shared.count() <= BROADCAST_KEYS
-    able = checkpointed(reduce(DataFrame.union, [e.join(F.broadcast(shared) if few else shared, key, "left_semi").select("h", "c") for e in each]).distinct())
+    rest, parts = open_rows.select("h", "c", "left", "right"), []
+    for i, (x, y) in enumerate(sides):
+        each = lambda rows: rows.select("h", "c", x.alias("x"), y.alias("y")).where("x > 0 AND y > 0")  # noqa: B023, E731
+        shared = checkpointed(each(open_rows).groupBy("h", "x", "y").agg(F.count("*").alias("times")).where("times > 1").select("h", "x", "y"))
+        few = shared.count() <= BROADCAST_KEYS
+        found = checkpointed(each(rest).join(F.broadcast(shared) if few else shared, ["h", "x", "y"], "left_semi").select("h", "c"))
+        parts.append(found)
+        if i + 1 < STEPS:
+            rest = checkpointed(rest.join(found, ["h", "c"], "left_anti"))
+    able = reduce(DataFrame.union, parts)
     sizes = able.groupBy("h").agg(F.count("*").alias("kinds"))
     kind = F.when(F.col("kinds") > hot, _COUNT).otherwise(_INDEX)
     marked = able.join(F.broadcast(sizes), "h").select("h", "c", kind.alias("kind"))  # at most two anchors a range

@@ -35,6 +35,8 @@ BITS = 64
 SEED = 42
 #: Table entries from which a bucket is dealt over several tasks.
 HOT = 50_000
+#: Links that a task gathers before it makes stars of them.
+KEPT_LINKS = 500_000
 #: Seconds that a probe takes through its shuffle, and a comparison.
 PROBE_S, COMPARE_S = 2e-6, 3e-9
 _LOWER = bytes(range(256)).lower()
@@ -230,6 +232,23 @@ def bucket_links(keys: np.ndarray, probe: np.ndarray, fps: np.ndarray, fps2: np.
     return np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
 
 
+def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components: each node but the smallest of its component, linked to that."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[x], label[y]), label.copy()
+        for ends in (x, y, label[x], label[y]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    some = label != np.arange(len(nodes))
+    return nodes[label[some]], nodes[some]
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
     """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node): their components are those of all links within reach."""
     reach = Reach(radius, both)
@@ -239,12 +258,21 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None =
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def links(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        # a task's links are kept as stars, so it gives each of its nodes once at most, and tasks that see one group mostly agree
+        stars: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def links(rows: tuple[np.ndarray, ...]) -> None:
+            nonlocal size
             key, part, probe, fp, fp2, node = rows
             # the part is told apart within the key by runs: rows are sorted by key, part
             run = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])) if len(key) else key
             x, y = bucket_links(run, probe, fp.view(np.uint64), fp2.view(np.uint64), node, reach)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            stars.append((x, y))
+            size += len(x)
+            if size > KEPT_LINKS and len(stars) > 1:
+                stars[:] = [star_links(*map(np.concatenate, zip(*stars, strict=True)))]
+                size = 0
 
         for batch in batches:
             rows = tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -255,12 +283,15 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None =
             if held and (last or held[-1][0][-1] != rows[0][0] or held[-1][1][-1] != rows[1][0]):
                 done = [*held, tuple(c[:last] for c in rows)]
                 held = []
-                yield links(tuple(np.concatenate(c) for c in zip(*done, strict=True)))
+                links(tuple(np.concatenate(c) for c in zip(*done, strict=True)))
             elif last:
-                yield links(tuple(c[:last] for c in rows))
+                links(tuple(c[:last] for c in rows))
             held.append(tuple(c[last:] for c in rows))
         if held:
-            yield links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+            links(tuple(np.concatenate(c) for c in zip(*held, strict=True)))
+        if stars:
+            x, y = star_links(*map(np.concatenate, zip(*stars, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     entries = _dealt(_entries(nodes, plan), nodes, plan, hot)
     width = shuffle_width(nodes.sparkSession)
