@@ -5,6 +5,7 @@ from __future__ import annotations
 from lodeweave.llm.chat import CONFLICT
 from lodeweave.llm.mixing import PART, SEED, TABLE
 from lodeweave.llm.queries import CONFLICT_TEXT, MIX
+from lodeweave.llm.winnow import WINDOW
 
 _OP2 = f"""
 WITH rows AS (
@@ -46,4 +47,19 @@ FROM {docs} d JOIN totals USING (doc_id), range(1, n + 1) AS t(i)
 """
 
 
-ORACLES: dict[str, str] = {"op2_chat_round_trip": _OP2, "op7_poisson_mix": mix_sql()}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: Every window of every document is compared with those of the items.
+_OP13 = f"""
+WITH items AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, {_WORDS} AS w FROM benchmark),
+wins AS (SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS win FROM items, range(1, greatest(len(w) - {WINDOW - 2}, 2)) AS t(i) WHERE len(w) > 0),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+places AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM docs, (SELECT DISTINCT n FROM wins) k, range(1, len(w) - n + 2) AS t(i)),
+met AS (SELECT DISTINCT r, i, n, win FROM places WHERE win IN (SELECT win FROM wins)),
+hit AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM met, range(0, n) AS t(j) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM met JOIN wins USING (n, win)) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op13_winnowing": _OP13, "op2_chat_round_trip": _OP2, "op7_poisson_mix": mix_sql()}
