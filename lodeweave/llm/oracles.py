@@ -62,4 +62,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
 """
 
-ORACLES: dict[str, str] = {"op13_winnowing": _OP13, "op2_chat_round_trip": _OP2, "op7_poisson_mix": mix_sql()}
+
+
+def _assigned(k: int) -> str:
+    """The nearest entry of book{k} to each part, and its distance."""
+    return f"""assigned{k} AS (SELECT r, p, (min(d * 64 + e) % 64)::BIGINT AS e, (min(d * 64 + e) // 64)::BIGINT AS d
+  FROM (SELECT r, p, e, sum((a.x - b.x) * (a.x - b.x)) AS d FROM parts a JOIN book{k} b USING (p, j) GROUP BY r, p, e) GROUP BY r, p)"""
+
+
+def _moved(k: int) -> str:
+    """book{k}: the entries of the book before, moved to the means, rounded down, of what is nearest."""
+    return f"""book{k} AS (SELECT p, b.e, j, CASE WHEN n IS NULL THEN b.x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x
+  FROM book{k - 1} b LEFT JOIN (SELECT p, e, j, count(*) AS n, sum(x) AS s FROM parts JOIN assigned{k - 1} USING (r, p) GROUP BY p, e, j) USING (p, e, j))"""
+
+
+_OP11 = f"""
+WITH whole AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT r, (i - 1) // (len(v) // 16) AS p, (i - 1) % (len(v) // 16) AS j, v[i] AS x FROM whole, range(1, len(v) + 1) AS t(i)),
+book0 AS (SELECT p, r - 1 AS e, j, x FROM parts WHERE r <= 64),
+{_assigned(0)}, {_moved(1)}, {_assigned(1)}, {_moved(2)}, {_assigned(2)},
+codes AS (SELECT r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM assigned2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, j)) FROM book2) AS codebooks_sha256
+FROM whole JOIN codes USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op11_segment_means": _OP11, "op13_winnowing": _OP13, "op2_chat_round_trip": _OP2, "op7_poisson_mix": mix_sql()}

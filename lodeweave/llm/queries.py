@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, chat, hmm, langid, mixing, ogg, quality, repeats, secrets, simhash, winnow
+from lodeweave.llm import bpe, chat, codes, hmm, langid, mixing, ogg, quality, repeats, secrets, simhash, winnow
 from lodeweave.llm.shared import table
 
 
@@ -65,6 +65,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_tokens=False).drop("ids", "decoded")
 
 
+def op11_segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return winnow.decontamination_digests(found)
@@ -81,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_run_length_index": op9_run_length_index,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_segment_means": op11_segment_means,
     "op13_winnowing": op13_winnowing,
 }
