@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeweave.llm import bpe, chat, codes, hmm, langid, mixing, ogg, quality, repeats, secrets, simhash, winnow
+from lodeweave.llm import align, bpe, chat, codes, hmm, langid, mixing, ogg, quality, repeats, secrets, simhash, winnow
 from lodeweave.llm.shared import table
 
 
@@ -69,6 +69,11 @@ def op11_segment_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compressed_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return align.alignments(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep_groups=False).drop("groups")
+
+
 def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnow.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return winnow.decontamination_digests(found)
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_run_length_index": op9_run_length_index,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_segment_means": op11_segment_means,
+    "op12_elementary_intervals": op12_elementary_intervals,
     "op13_winnowing": op13_winnowing,
 }
