@@ -13,11 +13,13 @@ import numpy as np
 
 #: Symbols of nine bits (byte + 1, 0 ends a text) that a 64-bit key has room for.
 _PACK = 7
+#: Suffixes that are told apart at once; what that needs besides the index has this bound, or that of the largest group.
+_SORTED = 1 << 20
 
 
 @dataclass
 class RunIndex:
-    """place: of each text's symbols, ended by a 0; order: the suffix array; runs begin at the places of `heads`."""
+    """symbols of the texts, each ended by a 0; order: the suffix array; runs begin at the places of `heads`."""
 
     symbols: np.ndarray
     left: np.ndarray  # bytes from here to the text's end
@@ -30,55 +32,77 @@ class RunIndex:
         return np.append(self.heads[1:] - 1, len(self.order) - 1)
 
 
-def _suffix_order(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Prefix doubling from packed keys; suffixes that meet their text's end differ from all others."""
-    n = len(keys)
-    order = np.argsort(keys, kind="stable")
+def _keys(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+    n = len(left)
+    keys = np.zeros(n, np.uint64)
+    for k in range(_PACK):
+        part = symbols[k : k + n].astype(np.uint64)
+        part[left < k] = 0  # what follows the end is another text's: left out
+        part <<= np.uint64(9 * (_PACK - 1 - k))
+        keys |= part
+    return keys
+
+
+def _refined(rank: np.ndarray, active: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of whole groups of equal rank are told apart by the ranks `step` places on; those that aren't alone yet, in order."""
+    first = rank[active]
+    both = first.astype(np.int64) * len(rank) + rank[active + step]
+    by = np.argsort(both, kind="stable")
+    active, both, first = active[by], both[by], first[by]
+    m = len(active)
+    new = np.ones(m, bool)
+    new[1:] = both[1:] != both[:-1]
+    group = np.ones(m, bool)
+    group[1:] = first[1:] != first[:-1]
+    at = np.arange(m, dtype=np.int32)
+    rank[active] = first + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+    return active[~(new & np.append(new[1:], True))]
+
+
+def _suffix_order(symbols: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Prefix doubling from packed keys; suffixes that meet their text's end differ from all others.
+
+    Groups are told apart some at a time.  A later group may see ranks that an earlier one just got: they only say more.
+    """
+    n = len(left)
+    keys = _keys(symbols, left)
+    order = np.argsort(keys, kind="stable").astype(np.int32)
+    keys = keys[order]
     new = np.ones(n, bool)
-    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | ends[order[1:]]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
+    new[1:] = (keys[1:] != keys[:-1]) | (left[order[1:]] < _PACK)
+    del keys
+    start = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), np.int32(0)))
+    rank = np.empty(n, np.int32)
     rank[order] = start
-    alone = new & np.append(new[1:], True)
-    active = order[~alone]
+    del start
+    active = order[~(new & np.append(new[1:], True))]
+    del order, new
     step = _PACK
     while len(active):
-        first = rank[active]
-        both = first * n + rank[active + step]
-        by = np.argsort(both, kind="stable")
-        active, both, first = active[by], both[by], first[by]
-        m = len(active)
-        new = np.ones(m, bool)
-        new[1:] = both[1:] != both[:-1]
-        group = np.ones(m, bool)
-        group[1:] = first[1:] != first[:-1]
-        at = np.arange(m)
-        rank[active] = first + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
-        active = active[~(new & np.append(new[1:], True))]
+        # cut where a group begins
+        changes = np.flatnonzero(np.diff(rank[active])) + 1
+        cuts = np.unique(changes[np.searchsorted(changes, np.arange(_SORTED, len(active), _SORTED)).clip(max=max(len(changes) - 1, 0))]) if len(changes) else []
+        active = np.concatenate([_refined(rank, part, step) for part in np.split(active, cuts)])
         step *= 2
-    out = np.empty(n, np.int64)
-    out[rank] = np.arange(n)
+    out = np.empty(n, np.int32)
+    out[rank] = np.arange(n, dtype=np.int32)
     return out
 
 
 def build(texts: list[bytes]) -> RunIndex:
     lengths = np.array([len(t) for t in texts], np.int64)
     n = int(lengths.sum()) + len(texts)
-    stops = np.cumsum(lengths + 1) - 1
-    symbols = np.zeros(n + _PACK, np.uint64)
+    stops = (np.cumsum(lengths + 1) - 1).astype(np.int32)
+    symbols = np.zeros(n + _PACK, np.uint16)
     inside = np.ones(n, bool)
     inside[stops] = False
-    symbols[:n][inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + np.uint64(1)
-    left = np.repeat(stops, lengths + 1) - np.arange(n)
-    keys = np.zeros(n, np.uint64)
-    for k in range(_PACK):
-        # what follows the end is another text's: left out
-        keys |= np.where(left >= k, symbols[k : k + n], 0).astype(np.uint64) << np.uint64(9 * (_PACK - 1 - k))
-    order = _suffix_order(keys, left < _PACK)
+    symbols[:n][inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + np.uint16(1)
+    left = np.repeat(stops, lengths + 1) - np.arange(n, dtype=np.int32)
+    order = _suffix_order(symbols, left)
     before = symbols[order - 1]
     before[order == 0] = 0
-    heads = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)]))
-    return RunIndex(symbols[:n], left, keys, order, heads)
+    heads = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (before[1:] == 0)])).astype(np.int32)
+    return RunIndex(symbols[:n], left, _keys(symbols, left), order, heads)
 
 
 def _common(index: RunIndex, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,14 +130,14 @@ def _common(index: RunIndex, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def matching_statistics(index: RunIndex) -> np.ndarray:
     """For each place the length of its longest match that begins at another place; matches stay within texts."""
     n = len(index.order)
-    best = np.zeros(n, np.int64)
+    best, places = np.zeros(n, np.int32), np.arange(n, dtype=np.int32)
     for ends, step in ((index.heads, -1), (index.tails, 1)):
         some = ends[(ends + step >= 0) & (ends + step < n)]
-        sample = np.full(n, -1)
+        sample = np.full(n, -1, np.int32)
         sample[index.order[ends]] = 0
         sample[index.order[some]] = _common(index, index.order[some], index.order[some + step])
-        at = np.maximum.accumulate(np.where(sample >= 0, np.arange(n), -1))
-        best = np.maximum(best, np.where(at >= 0, sample[at] - (np.arange(n) - at), 0))
+        at = np.maximum.accumulate(np.where(sample >= 0, places, np.int32(-1)))
+        best = np.maximum(best, np.where(at >= 0, sample[at] - (places - at), np.int32(0)))
     return best
 
 
