@@ -23,7 +23,8 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from lodeweave.llm.shared import checkpointed
 #: No pair that is broadcast has less than this part of all pairs.
 FREQUENT = 1 << 18
 #: Parts of a generation that is remembered (two of them are), and characters of a part that is.
-CACHED, CACHED_CHARS = 100_000, 64
+CACHED, CACHED_CHARS = 250_000, 64
 #: Documents, and characters of them, that are aligned at once.
 BLOCK_DOCS, BLOCK_CHARS = 500, 2_000_000
 #: Where both tokenizers end: before a space between characters that aren't white space.
@@ -52,14 +53,13 @@ def byte_symbols() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(0x100 + k): b for k, b in enumerate(others)}}
 
 
-@dataclass
-class Part:
-    """Tokens and links of a part: pairs has a link's A id in the upper bits, and groups their ids as text."""
+class Part(NamedTuple):
+    """Tokens and links of a part: pairs are 32-bit numbers, a link's A id in the upper bits, and groups their ids as text."""
 
     n_a: int
     n_b: int
     n_groups: int
-    pairs: np.ndarray
+    pairs: bytes
     groups: str
 
 
@@ -81,26 +81,30 @@ class Aligner:
         self._parts: dict[str, Part | None] = {}
         self._old: dict[str, Part | None] = {}
 
-    def align(self, text: str, a: list[int], b: list[int]) -> Part | None:
-        """The part ` text` with its tokens; none if these have other bytes."""
-        whole = (" " + text).encode()
-        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
-            return None
-        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+    def align(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Part | None]:
+        """The parts ` text` with their tokens; none for those whose tokens have other bytes.  All are laid behind each other and aligned at once."""
+        whole = [(" " + t).encode() for t in texts]
+        fine = [b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y]) for x, y, w in zip(a, b, whole, strict=True)]
+        if not all(fine):
+            some = iter(self.align(*([x for x, f in zip(xs, fine, strict=True) if f] for xs in (texts, a, b))))
+            return [next(some) if f else None for f in fine]
+        if not texts:
+            return []
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b))
         ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+        stops = np.cumsum([len(w) for w in whole])
         ends = np.union1d(ends_a, ends_b)
         owner_a, owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        pairs = (ids_a[owner_a] << _SHIFT | ids_b[owner_b]).astype(np.uint32)
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cut_a, cut_b = np.searchsorted(ends_a, shared) + 1, np.searchsorted(ends_b, shared) + 1
-        groups, i, j = [], 0, 0
-        for k, m in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            i, j = k, m
-        return Part(len(a), len(b), len(groups), (ids_a[owner_a] << _SHIFT | ids_b[owner_b]).astype(np.int64), ";".join(groups))
-
-    def parts(self, texts: list[list[str]]) -> dict[str, Part | None]:
-        """What each part of these texts is aligned to."""
-        needed = set().union(*texts) if texts else set()
+        cut_a, cut_b = (np.append(0, np.searchsorted(e, shared) + 1).tolist() for e in (ends_a, ends_b))
+        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        groups = [f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}" for (i, k), (j, m) in zip(pairwise(cut_a), pairwise(cut_b), strict=True)]
+        to_link, to_group = (np.append(0, np.searchsorted(e, stops) + 1).tolist() for e in (ends, shared))
+        return [Part(len(x), len(y), g1 - g0, pairs[l0:l1].tobytes(), ";".join(groups[g0:g1])) for x, y, (l0, l1), (g0, g1) in zip(a, b, pairwise(to_link), pairwise(to_group), strict=True)]
+
+    def parts(self, needed: set[str]) -> dict[str, Part | None]:
+        """What each part is aligned to."""
         if len(self._parts) > CACHED:
             self._parts, self._old = {}, self._parts
         found = {p: self._parts[p] for p in needed if p in self._parts}
@@ -110,7 +114,7 @@ class Aligner:
         if fresh:
             coded_a = self.a.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False)
             coded_b = self.b.encode(fresh, num_threads=1)
-            made = {p: self.align(p, x.ids, y) for p, x, y in zip(fresh, coded_a, coded_b, strict=True)}
+            made = dict(zip(fresh, self.align(fresh, [x.ids for x in coded_a], coded_b), strict=True))
         self._parts.update((p, x) for some in (again, made) for p, x in some.items() if len(p) <= CACHED_CHARS)
         return {**found, **again, **made}
 
@@ -153,31 +157,31 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
         for batch in batches:
             for rows, texts in _blocks(batch):
                 cut = [_CUT.split(t) if t else [] for t in texts]
-                known = aligner.parts(cut)
-                counts, groups, digests, pairs, times = [], [], [], [], []
-                for words in cut:
-                    parts = [known[w] for w in words]
-                    if not parts or None in parts:
-                        counts.append((0, 0, 0, 0))
-                        groups.append("")
-                        digests.append("")
-                        pairs.append(np.zeros(0, np.int64))
-                        times.append(np.zeros(0, np.int64))
-                        continue
-                    links = np.concatenate([p.pairs for p in parts])
-                    text = ";".join([p.groups for p in parts])
-                    counts.append((sum([p.n_a for p in parts]), sum([p.n_b for p in parts]), sum([p.n_groups for p in parts]), len(links)))
-                    groups.append(text)
-                    digests.append(hashlib.sha256(text.encode()).hexdigest())
-                    links.sort()
-                    first = np.flatnonzero(np.diff(links, prepend=-1))
-                    pairs.append(links[first])
-                    times.append(np.diff(first, append=len(links)))
-                flat = np.array(counts, np.int64).reshape(-1, 4)
-                ends = pa.array(np.cumsum([0, *map(len, pairs)]).astype(np.int32))
+                known = aligner.parts(set().union(*cut))
+                # documents with a part that can't be aligned have none
+                odd = {p for p, x in known.items() if x is None}
+                cut = [[] if odd and not odd.isdisjoint(words) else words for words in cut]
+                parts = [x or Part(0, 0, 0, b"", "") for x in known.values()]
+                place = dict(zip(known, range(len(parts)), strict=True))
+                sizes = np.array([x[:3] for x in parts], np.int64).reshape(-1, 3)
+                bounds = np.cumsum([0, *(len(x.pairs) // 4 for x in parts)])
+                every = np.frombuffer(b"".join([x.pairs for x in parts]), np.uint32)
+                at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+                of = np.repeat(np.arange(len(cut)), [len(words) for words in cut])
+                counts = np.stack([np.bincount(of, sizes[at, k], len(cut)).astype(np.int64) for k in range(3)])
+                # the links of all parts, in order: where each part's begin, and how far into them
+                n = np.diff(bounds)[at]
+                link_of = np.repeat(of, n)
+                links = every[np.arange(n.sum()) + np.repeat(bounds[at] - np.cumsum(n) + n, n)]
+                different, times = np.unique(link_of << 2 * _SHIFT | links, return_counts=True)
+                ends = pa.array(np.searchsorted(different, np.arange(len(cut) + 1) << 2 * _SHIFT).astype(np.int32))
+                texts_of = [x.groups for x in parts]
+                groups = [";".join([texts_of[place[w]] for w in words]) for words in cut]
+                digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 yield pa.RecordBatch.from_arrays([
-                    rows.column(0), *(pa.array(flat[:, k]) for k in range(4)), pa.array(groups if keep_groups else [None] * len(groups), pa.string()), pa.array(digests, pa.string()),
-                    pa.ListArray.from_arrays(ends, pa.array(np.concatenate(pairs))), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times).astype(np.int32))),
+                    rows.column(0), *(pa.array(c) for c in counts), pa.array(np.bincount(link_of, minlength=len(cut))),
+                    pa.array(groups if keep_groups else [None] * len(groups), pa.string()), pa.array(digests, pa.string()),
+                    pa.ListArray.from_arrays(ends, pa.array(different & ((1 << 2 * _SHIFT) - 1))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
                 ], names)
 
     kind = docs.schema[id_col].dataType.simpleString()
