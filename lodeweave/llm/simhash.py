@@ -88,7 +88,8 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             more = np.array([fingerprint_of(second_hashes(h)) for h in hashes], np.uint64).view(np.int64) if wide else np.zeros(len(fps), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(more)], ["id", "fp", "fp2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, "id long, fp long, fp2 long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(made, f"id {kind}, fp long, fp2 long")
 
 
 def segment_plan(radius: int, segments: int) -> list[tuple[int, int, int]]:
@@ -249,11 +250,35 @@ def star_links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[some]], nodes[some]
 
 
+def _own_entries(nodes: DataFrame, plan: Plan, hot: int) -> DataFrame:
+    """Each fingerprint under its own value in each segment, probing nothing.  Buckets over hot are parted by chance: this only finds what it can."""
+    keys = F.array(*[_bucket_key(k, half, s, w) for k, (half, s, w, _) in enumerate(plan)])
+    own = nodes.select(F.explode(keys).alias("key"), F.lit(0).alias("probe"), "fp", "fp2", "node")
+    full = checkpointed(own.groupBy("key").count().where(F.col("count") > hot).select("key", F.ceil(F.col("count") / F.lit(hot)).cast("int").alias("parts")))
+    found = full.count()
+    if not found:
+        return own.withColumn("part", F.lit(0))
+    joined = own.join(F.broadcast(full) if found <= 1000 else full, "key", "left")
+    return joined.withColumn("part", F.pmod(F.xxhash64("fp", "fp2"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
 def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None = None, hot: int = HOT, both: int | None = None) -> DataFrame:
-    """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node): their components are those of all links within reach."""
+    """Links (a, b) among distinct fingerprints `nodes` (fp, fp2, node): their components are those of all links within reach.
+
+    First, fingerprints that share a bucket are linked, and components made of these.  Then every ball is probed, with the
+    components' roots in place of nodes, so that a large group isn't linked again from each of its balls.
+    """
+    plan = halves_plan(radius, both, segments or cheapest_segments(radius if both is None else min(radius, both // 2), nodes.count()))
     reach = Reach(radius, both)
-    segments = segments or cheapest_segments(radius if both is None else min(radius, both // 2), nodes.count())
-    plan = halves_plan(radius, both, segments)
+    near = connected_components(_linked(_own_entries(nodes, plan, hot), reach))
+    rooted = checkpointed(nodes.join(near, "node", "left").select("fp", "fp2", "node", F.coalesce("root", "node").alias("root")))
+    named = rooted.select("fp", "fp2", F.col("root").alias("node"))
+    far = _linked(_dealt(_entries(named, plan), named, plan, hot), reach)
+    return far.union(rooted.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+
+def _linked(entries: DataFrame, reach: Reach) -> DataFrame:
+    """Links (a, b) between the table entries and the probes of each bucket."""
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -293,8 +318,7 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, segments: int | None =
             x, y = star_links(*map(np.concatenate, zip(*stars, strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    entries = _dealt(_entries(nodes, plan), nodes, plan, hot)
-    width = shuffle_width(nodes.sparkSession)
+    width = shuffle_width(entries.sparkSession)
     rows = entries.select("key", "part", "probe", "fp", "fp2", "node").repartition(width, "key", "part").sortWithinPartitions("key", "part", "probe")
     return rows.mapInArrow(linked, "a long, b long").distinct()
 
@@ -332,17 +356,23 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     radius then is a further limit on the first, and none if it isn't less.
     """
     fps = checkpointed(fingerprints(docs, words, id_col, text_col, both is not None))
-    nodes = checkpointed(fps.groupBy("fp", "fp2").agg(F.min("id").alias("node")).where("node IS NOT NULL"))
+    # numbers stand for fingerprints among links, as an id can be of any type; written, they don't change
+    least = fps.groupBy("fp", "fp2").agg(F.min("id").alias("least")).where("least IS NOT NULL")
+    nodes = checkpointed(least.withColumn("node", F.monotonically_increasing_id()))
     roots = connected_components(fingerprint_links(nodes, radius, segments, hot, both).union(_shared_ids(fps, nodes)))
-    of_fp = nodes.join(roots, "node", "left").select("fp", "fp2", F.coalesce("root", "node").alias("component_id"))
+    rooted = nodes.join(roots, "node", "left").select("fp", "fp2", "least", F.coalesce("root", "node").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("smallest"))
+    of_fp = rooted.join(smallest, "root").select("fp", "fp2", F.col("smallest").alias("component_id"))
     return fps.join(of_fp, ["fp", "fp2"], "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def _shared_ids(fps: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the nodes of texts that have one id."""
+    """Links between the nodes of texts that have one id: all to the least of them."""
     texts = F.struct("fp", "fp2")
     several = fps.where("id IS NOT NULL").groupBy("id").agg(F.count_distinct(texts).alias("n")).where("n > 1").select("id")
-    return fps.join(several, "id").join(nodes, ["fp", "fp2"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    of = fps.join(several, "id").join(nodes.select("fp", "fp2", "node"), ["fp", "fp2"]).select("id", "node").distinct()
+    first = of.groupBy("id").agg(F.min("node").alias("a"))
+    return of.join(first, "id").where("a <> node").select("a", F.col("node").alias("b"))
 
 
 #: Near-duplicate stages: five words, and fingerprints of 128 bits that agree in 0.8 of them, however the bits are spread.
@@ -362,7 +392,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that copies of one row meet, after the rows of greater hashes went.
     """
     # the row is one column from here on, so none of its names can clash
-    rows = docs.select(F.col(id_col).cast("long").alias("own_id"), F.xxhash64(*docs.columns).alias("own_key"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(*docs.columns).alias("own_key"), F.struct(*docs.columns).alias("row"))
     left = rows.join(duplicates(docs, id_col, text_col, **how), F.col("own_id") == F.col("dropped"), "left_anti")
     several = checkpointed(left.where("own_id IS NOT NULL").groupBy(F.col("own_id").alias("again")).agg(F.count("*").alias("rows"), F.min("own_key").alias("least")).where("rows > 1"))
     once = left.join(several, F.col("own_id") == F.col("again"), "left_anti").select("row")
