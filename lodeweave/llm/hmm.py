@@ -358,17 +358,17 @@ class Scorer:
     ranges: int
 
 
-_DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("held", "u1"), ("n", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("rest", "<f8")])
+_DOC = np.dtype([("held", "u1"), ("n", "<i8"), ("logs", "<f8"), ("known", "<i8"), ("rest", "<f8")])
 _PAIR = np.dtype([("doc", "<u2"), ("tf", "<u4")])
 _PART = np.dtype([("doc", "<u2"), ("logs", "<f8"), ("known", "<u4")])
 _COUNTS, _DOCS, _PAIRS = 0, 1, 2
 
 
-def _scored_block(b: Block, ids: list[int | None], held: list[bool], s: Scorer) -> tuple[np.ndarray, dict[int, bytes]]:
+def _scored_block(b: Block, held: list[bool], s: Scorer) -> tuple[np.ndarray, dict[int, bytes]]:
     """What the block knows by itself, and for each hash range the pairs that need counts."""
     n = len(b.lengths)
     docs = np.zeros(n, _DOC)
-    docs["id"], docs["null"], docs["held"] = [i or 0 for i in ids], [i is None for i in ids], held
+    docs["held"] = held
     docs["n"] = b.lengths
     of = np.repeat(np.arange(n), b.lengths)
     bounds = np.cumsum(b.lengths)[:-1]
@@ -418,12 +418,25 @@ def _met(data: bytes, counts: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def packed_column(column: pa.Array) -> bytes:
+    """A column of any type as bytes."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], ["x"])
+    with pa.ipc.new_stream(sink, batch.schema) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked_column(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_next_batch().column(0)
+
+
 def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """The id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     width = ranges = shuffle_width(spark)
     rest = fold(F.col(id_col), folds)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(rest == held_out, F.lit(False)).alias("held"), F.coalesce(rest != held_out, F.lit(False)).alias("trained"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(rest == held_out, F.lit(False)).alias("held"), F.coalesce(rest != held_out, F.lit(False)).alias("trained"))
     trained = rows.where("trained").select(F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "text")
     counts = checkpointed(word_counts(trained.select("text"), ranges))
     class_n, class_v = class_totals(counts)
@@ -435,8 +448,8 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         task = TaskContext.get().partitionId()
         for k, (batch, texts) in enumerate(blocks(batches, 1)):
             number = task << 32 | k
-            known, pairs = _scored_block(block_of(texts), batch.column(0).to_pylist(), batch.column(2).to_pylist(), shared.value)
-            rows = [((task + k) % ranges, _DOCS, known.tobytes()), *((p, _PAIRS, data) for p, data in pairs.items())]
+            known, pairs = _scored_block(block_of(texts), batch.column(2).to_pylist(), shared.value)
+            rows = [((task + k) % ranges, _DOCS, np.int64(known.nbytes).tobytes() + known.tobytes() + packed_column(batch.column(0))), *((p, _PAIRS, data) for p, data in pairs.items())]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,29 +472,30 @@ def hmm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total_log = float(np.log10(tokens + words + 1))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, np.zeros(0, _DOC)
+        at, held, ids = None, np.zeros(0, _DOC), None
 
-        def rows(d: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(d["id"], mask=d["null"].astype(bool)), pa.array(d["held"].astype(bool)), pa.array(d["n"]), pa.array(d["known"]), pa.array(np.full(len(d), tokens, np.int64)), pa.array(d["logs"] - d["n"] * total_log), pa.array(d["logs"] + d["rest"])], out_names)
+        def rows(d: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.array(d["held"].astype(bool)), pa.array(d["n"]), pa.array(d["known"]), pa.array(np.full(len(d), tokens, np.int64)), pa.array(d["logs"] - d["n"] * total_log), pa.array(d["logs"] + d["rest"])], out_names)
 
         for batch in batches:
             for _, kind, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block != at and at is not None:
-                    yield rows(held)
+                    yield rows(held, ids)
                 at = block
                 if kind == _DOCS:
-                    held = np.frombuffer(data, _DOC).copy()
+                    size = 8 + int(np.frombuffer(data, np.int64, 1)[0])
+                    held, ids = np.frombuffer(data[8:size], _DOC).copy(), unpacked_column(data[size:])
                 else:
                     part = np.frombuffer(data, _PART)
                     held["logs"][part["doc"]] += part["logs"]
                     held["known"][part["doc"]] += part["known"]
         if at is not None:
-            yield rows(held)
+            yield rows(held, ids)
 
     names = ["p", "kind", "block", "data"]
     schema = "p int, kind int, block long, data binary"
     asked = rows.select("id", "text", "held").mapInArrow(scored, schema)
     told = counts.select("p", F.lit(_COUNTS).alias("kind"), F.lit(0).cast("long").alias("block"), "data")
     parts = told.union(asked).repartitionById(width, F.col("p")).sortWithinPartitions("p", "kind").mapInArrow(met, schema)
-    whole = parts.repartition(width, "block").sortWithinPartitions("block", "kind", "p").mapInArrow(summed, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return whole.withColumn("id", F.col("id").cast(kind_of)).withColumnRenamed("id", id_col)
+    whole = parts.repartition(width, "block").sortWithinPartitions("block", "kind", "p").mapInArrow(summed, f"id {kind_of}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return whole.withColumnRenamed("id", id_col)

@@ -16,6 +16,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from lodeweave.llm import bpe, chat, hmm, langid, mixing, ogg, quality, repeats, rlbwt, secrets, simhash
 
@@ -220,7 +221,7 @@ def test_wide_links_are_those_of_128_bits(spark, segments, hot):
     signed = np.array(made, np.uint64).view(np.int64).tolist()
     nodes = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(signed)], "fp long, fp2 long, node long")
     how = {k: v for k, v in simhash.STAGE.items() if k != "words"}
-    got = {(r.a, r.b) for r in simhash.fingerprint_links(nodes, segments=segments, hot=hot, **how).collect()}
+    got = {(r.root, r.node) for r in simhash.connected_components(simhash.fingerprint_links(nodes, segments=segments, hot=hot, **how)).collect()}
     x, y = np.array(made, np.uint64).T
     apart = np.bitwise_count(x[:, None] ^ x).astype(int) + np.bitwise_count(y[:, None] ^ y)
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 25), strict=True) if i < j} and len(got) == 7
@@ -245,6 +246,19 @@ def test_components(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_ids_of_text(spark, docs):
+    """Ids that aren't numbers: components, what stays and scores are those of the numbers that stand for them."""
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    name = lambda i: None if i is None else f"d{i:03}"
+    want = [(name(r.doc_id), r.fingerprint, name(r.component_id)) for r in simhash.simhash_components(docs).collect()]
+    assert collections.Counter(want) == collections.Counter(tuple(r) for r in simhash.simhash_components(named).collect())
+    kept = collections.Counter(name(r.doc_id) for r in simhash.one_of_each(docs).collect())
+    assert kept == collections.Counter(r.doc_id for r in simhash.one_of_each(named).collect())
+    scored = hmm.hmm_scores(named).collect()
+    assert collections.Counter(r.doc_id for r in scored) == collections.Counter(name(i) for i, _ in ROWS)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(r.doc_id.encode()) % 7 == 2) for r in scored)
+
+
 def test_one_of_each(docs, empty):
     kept = simhash.one_of_each(docs).collect()
     ids = [r.doc_id for r in kept if r.doc_id is not None]
