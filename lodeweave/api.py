@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -19,7 +19,7 @@ from lodeweave.functions.analyzer import Query, parse_query
 from lodeweave.functions.frontmatter import SkillError, parse_skill, strip_frontmatter
 from lodeweave.functions.text import BUDGETS, InputError, decode_text
 from lodeweave.functions.uri import INDEX, build_uri, normal_path, parse_uri
-from lodeweave.operators import catalog, files, fts, fusion, ingest, sinks, vectors
+from lodeweave.operators import blocks, catalog, files, fts, fusion, ingest, sinks, trigrams, vectors
 from lodeweave.operators.numbering import number_rows
 from lodeweave.schemas import COLLECTION, TABLES
 from lodeweave.sources.files import Normalizer, archive_members, bundle, bundle_roots, literal_path, normalized, plain_normalizer, walk
@@ -141,11 +141,11 @@ class Engine:
             return IngestResult("unchanged", "skill", skill.name, source_id=same.id)
         moved = [r.id for r in before.where((F.col("kind") == "skill") & (F.col("origin_uri") == origin) & (F.col("name") != skill.name) & ~F.col("origin_uri").startswith("upload://")).select("id").collect()]
         gone = self.spark.createDataFrame([(i,) for i in [*moved, *([same.id] if same else [])]], "gone long")
-        source_id = same.id if same else work.last_id("sources") + 1
+        source_id = same.id if same else work.reserve("sources", 1) + 1
         now = F.current_timestamp()
         created = F.lit(same.created_at) if same else now
         source = self.spark.createDataFrame([(source_id, "skill", skill.name, "", origin, digest, "ready", None)], "id long, kind string, name string, collection string, origin_uri string, content_hash string, status string, detail string").withColumns({"created_at": created, "updated_at": now})
-        start = work.last_id("nodes")
+        start = work.reserve("nodes", len(parts))
         folder = f"blobs/{uuid.uuid4().hex}"
         made = [(start + i, source_id, "skill", skill.name, "", "ready", m.path, build_uri("skills", skill.name, m.path), m.mime, m.size, m.role, decode_text(m.data) if m.is_text else None, None if m.is_text else f"{folder}/{m.path}") for i, m in enumerate(parts, 1)]
         for m in parts:
@@ -208,7 +208,8 @@ class Engine:
             return results
         keep = (F.col("status") != "ready") & F.coalesce(F.col("current_status") == "ready", F.lit(False))  # a readable version stays
         fresh = checked.where((F.col("change") != "unchanged") & ~keep & ~F.col("superseded"))
-        new = number_rows(fresh.where("change = 'new'"), ["collection", "name"], work.last_id("sources"))
+        added = fresh.where("change = 'new'")
+        new = number_rows(added, ["collection", "name"], work.reserve("sources", added.count()))
         changed = fresh.where("change = 'changed'").withColumn("id", F.col("current_id"))
         now = F.current_timestamp()
         source = work.staged(new.unionByName(changed).withColumns({"created_at": F.coalesce("current_created", now), "updated_at": now}))
@@ -223,7 +224,8 @@ class Engine:
         paths = ingest.distinct_paths(source.where("status = 'ready'"), taken)
         uri = F.concat(F.lit("ctx://docs/"), _encoded("collection"), F.lit("/"), _encoded("path"))
         shaped = paths.select(F.col("id").alias("source_id"), "kind", "name", "collection", "status", "path", uri.alias("uri"), F.lit("text/markdown").alias("mime_type"), F.length("content").cast("long").alias("size_bytes"), F.lit("doc").alias("role"), "content", F.lit(None).cast("string").alias("blob_ref"), "created_at", "updated_at")
-        nodes = work.add("nodes", number_rows(work.staged(shaped), ["uri"], work.last_id("nodes")))
+        placed = work.staged(shaped)
+        nodes = work.add("nodes", number_rows(placed, ["uri"], work.reserve("nodes", placed.count())))
         self._commit(work, nodes, nodes, gone)
         return results
 
@@ -261,9 +263,10 @@ class Engine:
 
     def _commit(self, work: Commit, nodes: DataFrame, texts: DataFrame, gone: DataFrame) -> None:
         """Chunks and postings of new nodes; the old rows of sources that are gone or replaced go."""
-        chunks = work.add("chunks", number_rows(work.staged(self._chunks(texts)), ["node_id", "ord"], work.last_id("chunks")))
-        searched = chunks.withColumn("searched", F.concat_ws("\n\n", "context", "content"))
-        work.add("postings", fts.postings(searched, ["id", "source_id", "kind", "name", "collection", "status"], {"searched": 1.0}, self.analyzer), order="term")
+        cut = work.staged(self._chunks(texts))
+        chunks = work.add("chunks", number_rows(cut, ["node_id", "ord"], work.reserve("chunks", cut.count())))
+        self.store._post(work, chunks, self.analyzer)
+        work.add("grams", trigrams.index(nodes.where("content IS NOT NULL"), "id", "content"))
         work.remove(gone)
         dead = self.store.table("nodes", work.before).join(F.broadcast(gone.distinct()) if gone.count() <= BROADCAST_KEYS else gone.distinct(), F.col("source_id") == F.col(gone.columns[0]), "left_semi")
         blobs = [r.blob_ref for r in dead.where("blob_ref IS NOT NULL").select("blob_ref").collect()]
@@ -323,10 +326,11 @@ class Engine:
 
     # Reads
 
-    def search(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float | None = None, timeout_ms: int | None = None) -> list[fusion.Hit]:
-        return self.search_with_diagnostics(queries, limit, per_query, scope, max_distance, timeout_ms).hits
+    def search(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float | None = None, timeout_ms: int | None = None, exact: bool = False) -> list[fusion.Hit]:
+        """Hits by full text and vectors.  exact: all vectors are compared, where an index of cells would leave some out."""
+        return self.search_with_diagnostics(queries, limit, per_query, scope, max_distance, timeout_ms, exact).hits
 
-    def search_with_diagnostics(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float | None = None, timeout_ms: int | None = None) -> SearchResult:
+    def search_with_diagnostics(self, queries: Sequence[str], limit: int = 10, per_query: int = PER_QUERY, scope: str | None = None, max_distance: float | None = None, timeout_ms: int | None = None, exact: bool = False) -> SearchResult:
         asked = [q.strip() for q in queries if q.strip()]
         if not asked or len(asked) > MAX_QUERIES:
             raise InputError(f"give 1 to {MAX_QUERIES} queries")
@@ -339,10 +343,10 @@ class Engine:
         elif not use_vectors:
             warnings.append("EMBED_MODEL_MISMATCH: full text only")
         parsed = [parse_query(q, self.analyzer) for q in asked]
-        with self._timed(timeout_ms or int(config.number("search_timeout_ms"))):
-            manifest = self.store.manifest()
-            rows = scoped(self.store.table("chunks", manifest), scope)
-            lists = fts.posted_search(scoped(self.store.table("postings", manifest), scope), parsed, per_query, "id").select(F.concat(F.lit("fts:"), F.col("query_id")).alias("list"), "id", "rank")
+        with self._timed(timeout_ms or int(config.number("search_timeout_ms"))), ExitStack() as held:
+            manifest = held.enter_context(self.store.lease())
+            rows, posted, known = (scoped(self.store.table(t, manifest), scope) for t in ("chunks", "postings", "bounds"))
+            lists = blocks.bounded_search(posted, known, rows.select("id"), parsed, per_query, "id").select(F.concat(F.lit("fts:"), F.col("query_id")).alias("list"), "id", "rank")
             if use_vectors:
                 try:
                     asked_for = self.embedder.embed(asked, "query")  # type: ignore[union-attr]
@@ -352,12 +356,14 @@ class Engine:
                     use_vectors = False
                 else:
                     known, cells = scoped(self.store.table("vectors", manifest), scope), self._cells(manifest)
-                    if cells is not None:  # a few queries look into a few cells: the condition reaches the scan
+                    if cells is not None and not exact:  # a few queries look into a few cells: the condition reaches the scan
                         known = known.where(F.col("cell").isNull() | F.col("cell").isin(cells.of_queries(asked_for)))
                     near = vectors.nearest(known, wanted, per_query, "id", "embedding", max_distance)
                     lists = lists.unionByName(near.select(F.concat(F.lit("vec:"), F.col("query_id")).alias("list"), "id", "rank"))
             words = sorted({w for q in parsed for w in q.words})
-            shown = rows.join(F.broadcast(lists), "id")  # at most MAX_QUERIES * 2 * per_query rows
+            listed = lists.collect()  # at most MAX_QUERIES * 2 * per_query rows
+            told = self.spark.createDataFrame(listed, lists.schema)
+            shown = rows.where(files.among("id", sorted({r.id for r in listed}))).join(F.broadcast(told), "id")
             shown = shown.withColumn("snippet", fts.snippets(F.col("content"), words, self.analyzer))
             found = shown.orderBy("list", "rank").collect()
         return SearchResult(self._chosen(asked, parsed, found, limit, warnings), "hybrid" if use_vectors else "full_text", warnings)
@@ -407,7 +413,7 @@ class Engine:
         key = repr(("grep", pattern, path_glob, ignore_case))
         after = paging.decode_grep_cursor(cursor, key) or (0, 0)
         with self._timed(timeout_ms or int(config.number("grep_timeout_ms"))):
-            found, following, scanned = files.grep_page(self.store.table("nodes"), pattern, path_glob, ignore_case, limit, after)
+            found, following, scanned = files.grep_page(self.store.table("nodes"), pattern, path_glob, ignore_case, limit, after, self.store.table("grams"))
         return {"matches": [r.asDict() for r in found], "next": following and paging.encode_grep_cursor(key, *following), "scanned_files": scanned}
 
     @staticmethod

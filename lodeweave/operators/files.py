@@ -6,6 +6,8 @@ Nodes have id, kind, name, collection (never null), path, uri, role, size_bytes,
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 from lodeweave.functions.globs import GlobPlan, plan_glob
 from lodeweave.functions.text import InputError
 from lodeweave.functions.uri import source_path
+from lodeweave.operators import trigrams
 
 # Fixed values.
 GREP_FILES = 200
 GREP_LINE = 300
 FILE_DONE = 2**31 - 1
+#: Files with the pattern's trigrams that are read at once, and how often before all files are scanned.
+GREP_WAVE, GREP_WAVES = 1_000, 3
 
 _LITERAL = re.compile(r"[A-Za-z0-9 _,;:@#%&=<>'\"!/~`-]{3,}")
 
@@ -102,20 +107,47 @@ def grep_lines(files: DataFrame, pattern: str, ignore_case: bool = True, after:
     return hit.select("node_id", "uri", "path", "line", F.substring(F.trim("raw"), 1, GREP_LINE).alias("text"))
 
 
-def grep_page(nodes: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = True, limit: int = 60, after: tuple[int, int] = (0, 0)) -> tuple[list, tuple[int, int] | None, int]:
-    """Matches, the next key, and how many files were looked at; a page reads GREP_FILES files at most."""
+def grep_page(nodes: DataFrame, pattern: str, path_glob: str | None = None, ignore_case: bool = True, limit: int = 60, after: tuple[int, int] = (0, 0), grams: DataFrame | None = None) -> tuple[list, tuple[int, int] | None, int]:
+    """Matches, the next key, and how many files were looked at; a page reads GREP_FILES files at most.
+
+    grams: an index of trigrams.  Where the pattern says anything of these, only files that have them are read, GREP_WAVE at a
+    time; where it says too little, or nothing, all files are scanned.
+    """
     check_pattern(pattern, nodes.sparkSession)
-    window = grep_candidates(nodes, pattern, path_glob, ignore_case, after).orderBy("id").limit(GREP_FILES + 1)
-    ids = [r.id for r in window.select("id").collect()]
+    condition = trigrams.condition_of(pattern) if grams is not None else None
+    if condition is None:
+        ids = _matching(nodes, pattern, path_glob, ignore_case, after)
+    else:
+        ids, at = [], after[0] - 1
+        for _ in range(GREP_WAVES):
+            some = [r.id for r in trigrams.candidates(grams, condition, at).orderBy("id").limit(GREP_WAVE).collect()]
+            ids += _matching(nodes.where(among("id", some)), pattern, path_glob, ignore_case, after) if some else []
+            if len(some) < GREP_WAVE or len(ids) > GREP_FILES:
+                break
+            at = some[-1]
+        else:  # the trigrams are too common to help
+            ids += _matching(nodes, pattern, path_glob, ignore_case, (at, FILE_DONE))
+        ids = ids[: GREP_FILES + 1]
     scope = ids[:GREP_FILES]
     if not scope:
         return [], None, 0
-    files = with_path(nodes).where(F.col("id").isin(scope))
+    files = with_path(nodes).where(among("id", scope))
     found = grep_lines(files, pattern, ignore_case, after).orderBy("node_id", "line").limit(limit + 1).collect()
     following = (found[limit - 1].node_id, found[limit - 1].line) if len(found) > limit else (scope[-1], FILE_DONE) if len(ids) > GREP_FILES else None
     return found[:limit], following, len(scope)
 
 
+def _matching(nodes: DataFrame, pattern: str, path_glob: str | None, ignore_case: bool, after: tuple[int, int]) -> list[int]:
+    """The first files that match, by id: one more than a page has."""
+    window = grep_candidates(nodes, pattern, path_glob, ignore_case, after).orderBy("id").limit(GREP_FILES + 1)
+    return [r.id for r in window.select("id").collect()]
+
+
+def among(column: str, values: Sequence[int]) -> Column:
+    """column is one of these, as sets so small that a scan looks for each value."""
+    return reduce(lambda a, b: a | b, [F.col(column).isin(*values[i : i + 10]) for i in range(0, len(values), 10)], F.lit(False))
+
+
 def children(nodes: DataFrame, kind: str, root: str, prefix: str = "") -> DataFrame:
     """(name, directory, count, uri, role, size) of what lies directly under a path; directories first."""
     depth = prefix.count("/") + 2 if prefix else 1

@@ -156,33 +156,6 @@ def postings_search(posted: DataFrame, words: DataFrame, id_col: str, k: int) ->
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def posted_search(posted: DataFrame, queries: Sequence[Query], k: int, id_col: str) -> DataFrame:
-    """text_search() from postings (term, id, positions): a row's own terms of the queries are put together again.
-
-    Only rows of the queries' terms are read; what they give is one short array a row, in which all other words are gaps.
-    """
-    terms = sorted({w for q in queries for w in q.words})
-    if not terms:
-        return posted.sparkSession.createDataFrame([], f"query_id long, {id_col} {posted.schema[id_col].dataType.simpleString()}, exact long, terms long, density double, rank long")
-    mine = posted.where(F.col("term").isin(terms)).groupBy(id_col).agg(F.collect_list(F.struct("term", "positions")).alias("own"))
-    schema = f"query_id long, {id_col} {posted.schema[id_col].dataType.simpleString()}, exact long, terms long, density double"
-    asked = [(i, q, q.loose()) for i, q in enumerate(queries)]
-
-    def judged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for key, own in zip(frame[id_col], frame["own"], strict=True):
-                at = {int(p): e["term"] for e in own for p in e["positions"]}
-                line = [at.get(p, "") for p in range(1, max(at) + 1)] if at else []
-                have = set(at.values())
-                for i, q, loose in asked:
-                    if have & set(q.words) and satisfies(line, loose):
-                        out.append((i, key, int(satisfies(line, q)), len(have & set(q.words)), round(cover_density(line, loose), 6)))
-            yield pd.DataFrame(out, columns=["query_id", id_col, "exact", "terms", "density"])
-
-    return _best(mine.mapInPandas(judged, schema), k, id_col, len(queries) == 1)
-
-
 def satisfies(terms: Sequence[str], query: Query) -> bool:
     """matches() of one list of terms."""
 
