@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lodeweave.functions.markdown import OVERLAP, TARGET, blocks_from_markdown, chunk_blocks
 
 KEY = ["kind", "collection", "name"]
-#: Numbers that are tried for a path that is taken.
-PATHS = 100
+#: A path with a number: no more than nine digits, as there are never so many documents of one name.
+NUMBERED = r"-([1-9]\d{0,8})\.md$"
 
 
 def chunked(nodes: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
@@ -56,14 +56,17 @@ def compared(incoming: DataFrame, current: DataFrame, force: bool = False) -> Da
 
 
 def twins(incoming: DataFrame, current: DataFrame) -> DataFrame:
-    """(collection, name, old_name, old_id, old_origin): new documents with the bytes of one that has another name in the collection."""
+    """(collection, content_hash, old_name, old_id, old_origin): stored documents, one row each, that a new one has the bytes of.
+
+    incoming has new names alone.  However many new documents have the bytes, and however many stored ones do, they aren't paired.
+    """
     old = current.where(~F.col("origin_uri").startswith("upload://")).select("collection", "content_hash", F.col("name").alias("old_name"), F.col("id").alias("old_id"), F.col("origin_uri").alias("old_origin"))
-    return incoming.select("collection", "content_hash", "name").join(old, ["collection", "content_hash"]).where("name <> old_name").drop("content_hash")
+    return old.join(incoming.select("collection", "content_hash").distinct(), ["collection", "content_hash"], "left_semi")
 
 
 def renamed(found: DataFrame, existing: DataFrame) -> DataFrame:
     """The twins whose old file is gone.  existing: (path) of the files that are there."""
-    return found.join(existing.select(F.col("path").alias("there")), F.col("old_origin") == F.col("there"), "left_anti").select("collection", "name", "old_name", "old_id")
+    return found.join(existing.select(F.col("path").alias("there")), F.col("old_origin") == F.col("there"), "left_anti").select("collection", "content_hash", "old_name", "old_id")
 
 
 def distinct_paths(documents: DataFrame, taken: DataFrame | None = None, collection: str = "collection", name: str = "name", order: str = "id") -> DataFrame:
@@ -77,12 +80,16 @@ def distinct_paths(documents: DataFrame, taken: DataFrame | None = None, collect
     others = based.where("path_no = 1").select(F.col(collection).alias("c"), F.col("path_base").alias("p"), F.lit(False).alias("stored"))
     if taken is not None:
         others = others.union(taken.select("collection", "path", F.lit(True)))
-    number = F.regexp_extract("p", r"-(\d{1,2})\.md$", 1)
+    number = F.regexp_extract("p", NUMBERED, 1)
     plain = others.where("stored").select("c", F.col("p").alias("path_base"), F.lit(0).alias("n"))
-    numbered = others.where(number != "").select("c", F.regexp_replace("p", r"-\d{1,2}\.md$", ".md").alias("path_base"), number.cast("int").alias("n"))
-    used = plain.union(numbered).where((F.col("n") < PATHS)).groupBy("c", "path_base").agg(F.collect_set("n").alias("used"))
-    joined = based.join(used.withColumnRenamed("c", "taken_c").withColumnRenamed("path_base", "taken_base"), F.col(collection).eqNullSafe(F.col("taken_c")) & (F.col("path_base") == F.col("taken_base")), "left")
-    free = F.array_except(F.sequence(F.lit(0), F.col("path_no") + F.size(F.coalesce("used", F.array().cast("array<int>")))), F.coalesce("used", F.array().cast("array<int>")))
-    no = F.get(free, F.col("path_no") - 1)
-    path = F.when(no == 0, F.col("path_base")).otherwise(F.concat(F.regexp_replace("path_base", r"(?i)\.md$", ""), F.lit("-"), no, F.lit(".md")))
-    return joined.withColumn("path", path).drop("path_base", "path_no", "taken_c", "taken_base", "used")
+    numbered = others.where(number != "").select("c", F.regexp_replace("p", NUMBERED, ".md").alias("path_base"), number.cast("int").alias("n"))
+    used = plain.union(numbered).distinct()
+    # as many numbers are free below a used one as it is above its place among the used; the j-th free one lies above all used ones with fewer than j
+    place = F.row_number().over(Window.partitionBy("c", "path_base").orderBy("n"))
+    taken_ = used.withColumn("free", F.col("n") - place + 1).select("c", "path_base", "free", F.lit(1).alias("used"), F.lit(None).cast("int").alias("path_no"))
+    asked = based.select(F.col(collection).alias("c"), "path_base", (F.col("path_no") - 1).alias("free"), F.lit(0).alias("used"), "path_no")
+    below = Window.partitionBy("c", "path_base").orderBy("free", F.desc("used"), "path_no").rowsBetween(Window.unboundedPreceding, 0)
+    numbers = taken_.union(asked).withColumn("no", F.col("free") + F.sum("used").over(below)).where("used = 0").select(F.col("c").alias("taken_c"), F.col("path_base").alias("taken_base"), F.col("path_no").alias("taken_no"), "no")
+    joined = based.join(numbers, F.col(collection).eqNullSafe(F.col("taken_c")) & (F.col("path_base") == F.col("taken_base")) & (F.col("path_no") == F.col("taken_no")))
+    path = F.when(F.col("no") == 0, F.col("path_base")).otherwise(F.concat(F.regexp_replace("path_base", r"(?i)\.md$", ""), F.lit("-"), F.col("no"), F.lit(".md")))
+    return joined.withColumn("path", path).drop("path_base", "path_no", "taken_c", "taken_base", "taken_no", "no")

@@ -29,7 +29,8 @@ class Corpus:
 _BUILT: dict[tuple[str, str], Corpus] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
@@ -41,7 +42,7 @@ def _folder(spark: SparkSession) -> str:
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _BUILT:
-        engine = Engine(spark, _folder(spark), analyzer="simple")
+        engine = Engine(spark, shared_folder(spark), analyzer="simple")
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
         def files(rows: DataFrame, text: object) -> DataFrame:

@@ -41,6 +41,22 @@ _MAIN = _scored(["the", "that", "from"], _ALL, f"({_ANY})")
 _RANKED = f"ranked AS (SELECT doc_id, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored)"
 
 
+_NOT = "NOT list_contains(w, '{}')"
+#: For each of the queries' negated alternatives: its words, what it asks for, its density.
+_WITHOUT = (
+    (["the"], _NOT.format("the"), "0"),
+    (["which", "of"], f"{_has('which')} OR {_NOT.format('of')}", "len(list_filter(w, lambda x: x = 'which'))"),
+    (["of", "the", "that"], f"{_OF_THE} > 0 OR {_NOT.format('that')}", _OF_THE),
+    (["the", "of", "and"], " AND ".join(map(_NOT.format, ("the", "of", "and"))), "0"),
+    (["the", "from", "that"], f"{_has('the')} OR ({_has('from')} AND {_NOT.format('that')})", "len(list_filter(w, lambda x: x IN ('the', 'from')))"),
+)
+
+
+def _without() -> str:
+    parts = [f"SELECT {i}::BIGINT AS query_id, * FROM (WITH {_scored(words, 'true', f'({where})', density=density)} SELECT doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT 40)" for i, (words, where, density) in enumerate(_WITHOUT)]
+    return " UNION ALL ".join(parts)
+
+
 def _nearest(where: str = "true", extra: str = "", queries: str = f"vec_id % {EVERY} = 0", k: int = TOP) -> str:
     return f"""near AS (SELECT * FROM (SELECT q.vec_id AS query_id, b.vec_id, distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY distance, b.vec_id) AS rank
   FROM (SELECT * FROM embeddings WHERE {queries}) q, (SELECT * FROM embeddings WHERE {where}) b,
@@ -94,6 +110,7 @@ places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place
 pairs AS (SELECT doc_id, word, place, lag(word) OVER o AS before, lag(place) OVER o AS began FROM places WHERE word IN ('the', 'that') WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
 scored AS (SELECT doc_id, 1::BIGINT AS exact, 2::BIGINT AS terms, round(sum(1.0::DOUBLE / (place - began)) FILTER (WHERE word <> before), 6)::DOUBLE AS density FROM pairs GROUP BY doc_id)
 SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT {TOP}""",
+    "fts_without": _without(),
     "fts_stored_postings": _topk(["the", "that", "from"], _ALL, f"({_ANY})"),
     "vector_cells": f"SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % {EVERY} = 0",
     "vector_distance": "SELECT b.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS distance FROM embeddings b, embeddings q WHERE q.vec_id = 7",
@@ -124,6 +141,9 @@ SELECT p_partkey, terms, round(d::DOUBLE, 4) AS density, row_number() OVER (ORDE
     "candidate_union": f"{_lists(False)} SELECT DISTINCT id FROM lists",
     "near_duplicates": f"""WITH {_MAIN}, {_RANKED}, best AS (SELECT doc_id, list_distinct({_WORDS}) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM ranked WHERE rank <= {PER_QUERY}))
 SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS share FROM best a JOIN best b ON a.doc_id < b.doc_id WHERE share > 0.85""",
+    "near_duplicates_all": f"""WITH sets AS (SELECT doc_id, source, list_sort(list_distinct({_WORDS})) AS w FROM documents), classes AS (SELECT source, w, min(doc_id) AS class FROM sets WHERE len(w) > 0 GROUP BY source, w)
+SELECT a.class AS a, b.class AS b, round(len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)), 6) AS share FROM classes a JOIN classes b ON a.source IS NOT DISTINCT FROM b.source AND a.class < b.class WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) > 0.85
+UNION ALL SELECT class, doc_id, 1.0 FROM sets s JOIN classes c ON s.source IS NOT DISTINCT FROM c.source AND s.w = c.w WHERE doc_id <> class""",
     "per_document_cap": f"""WITH {_MAIN}, {_RANKED}, placed AS (SELECT d.source, d.doc_id, r.rank, row_number() OVER (PARTITION BY d.source ORDER BY r.rank) AS place FROM ranked r JOIN documents d USING (doc_id) WHERE r.rank <= 100)
 SELECT * FROM placed WHERE place <= 3""",
     "grep_lines": _grep("?"),

@@ -19,7 +19,7 @@ from lodeweave.functions.html import html_to_markdown
 from lodeweave.functions.markdown import TARGET
 from lodeweave.functions.text import clip, conservative_tokens, token_estimate, words_of
 from lodeweave.functions.uri import encoded, encoded_path, parse_uri, source_path
-from lodeweave.operators import catalog, files, fts, fusion, ingest, sinks, vectors
+from lodeweave.operators import blocks, catalog, containment, files, fts, fusion, ingest, sinks, vectors
 from lodeweave.operators.numbering import number_rows
 from lodeweave.plans import engine_queries, function_queries
 from lodeweave.streaming.watch import changed_since
@@ -83,10 +83,29 @@ def fts_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir, [Q_COVER])
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the documents in a file, by term and block, their bounds in another, and the ids."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    folder = engine_queries.shared_folder(spark)
+    made = fts.postings(docs, ["doc_id"], {"text": 1.0}).withColumn("block", blocks.block_of("doc_id"))
+    made.sort("term", "block").write.parquet(f"{folder}/postings")
+    posted = spark.read.schema(made.schema).parquet(f"{folder}/postings")
+    blocks.bounds(posted).sort("term", "block").write.parquet(f"{folder}/bounds")
+    return posted, spark.read.parquet(f"{folder}/bounds"), docs.select("doc_id")
+
+
 def fts_stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fts_topk's rows, from postings alone."""
-    posted = fts.postings(table(spark, sf_dir, "documents"), ["doc_id"], {"text": 1.0})
-    return fts.posted_search(posted, [parse_query(Q_WORDS)], TOP, "doc_id")
+    """fts_topk's rows, from stored postings, of which only blocks that can give a row are read."""
+    return blocks.bounded_search(*_stored(spark, sf_dir), [parse_query(Q_WORDS)], TOP, "doc_id")
+
+
+#: Alternatives of negated words, which rows without any of the words satisfy, too.
+Q_WITHOUT = ("-the", "which or -of", '"of the" or -that', "-the -of -and", "the or from -that")
+
+
+def fts_without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negated alternatives by stored postings."""
+    return blocks.bounded_search(*_stored(spark, sf_dir), [parse_query(q) for q in Q_WITHOUT], 40, "doc_id")
 
 
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +227,14 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(share, 6).alias("share")).where(F.col("share") > fusion.OVERLAP)
 
 
+def near_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents of one source that say nearly the same: pairs of different sets of words, and each copy with the first of its set."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_of(F.col("text")).alias("w"))
+    pairs, members = containment.contained_pairs(docs, "doc_id", "w", "source", fusion.OVERLAP)
+    copies = members.where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("share"))
+    return pairs.select("a", "b", F.round("share", 6).alias("share")).union(copies)
+
+
 def per_document_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a query's results at most three of a collection, the best."""
     best = _search(spark, sf_dir, [Q_WORDS], 100)
@@ -366,7 +393,8 @@ def rename_reclaim(spark: SparkSession, sf_dir: str) -> DataFrame:
     origin = F.concat(F.lit("file:/in/"), F.col("name"))
     moved = incoming.where(F.col("name").cast("long") % 7 == 0).withColumn("name", F.concat("name", F.lit("-moved")))
     there = current.where("id % 2 = 0").select(origin.alias("path"))
-    return ingest.renamed(ingest.twins(moved, current.withColumn("origin_uri", origin)), there).select("collection", "name", "old_name")
+    gone = ingest.renamed(ingest.twins(moved, current.withColumn("origin_uri", origin)), there)
+    return gone.join(moved, ["collection", "content_hash"]).select("collection", "name", "old_name")
 
 
 def distinct_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -519,9 +547,9 @@ def result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        fts_topk, fts_cover, fts_stored_postings, fts_english, vector_cells, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
+        fts_topk, fts_cover, fts_stored_postings, fts_without, fts_english, vector_cells, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
         embed_batches, dense_numbers, result_links, ingest_last_of_name, chunk_bounds, fts_terms_coverage, fts_exact_flag, fts_negation, fts_phrase, fts_or, postings_terms, skill_discovery_weighted, vector_topk,
-        vector_max_distance, vector_scoped, hybrid_rrf, multi_query_rrf, rrf_tiebreak, candidate_union, hybrid_diversified, near_duplicates,
+        vector_max_distance, vector_scoped, hybrid_rrf, multi_query_rrf, rrf_tiebreak, candidate_union, hybrid_diversified, near_duplicates, near_duplicates_all,
         per_document_cap, grep_lines, grep_ignore_case, grep_path_glob, grep_keyset_page, grep_file_window, glob_page, ls_root, ls_collections,
         ls_children, ls_children_deep, catalog_collections, catalog_top_titles, catalog_problems, source_report, status_histogram,
         resource_list_page, uri_encode, vfs_path, token_estimates, content_hash, ingest_dedup_by_hash, ingest_diff, rename_reclaim,

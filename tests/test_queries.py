@@ -13,7 +13,7 @@ import pytest
 
 import __spark_entry__
 from lodeweave.functions.analyzer import parse_query
-from lodeweave.operators import fts, vectors
+from lodeweave.operators import blocks, fts, vectors
 from lodeweave.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
@@ -49,11 +49,12 @@ def test_rows_only_queries(spark):
 def test_postings_give_what_a_scan_gives(spark, analyzer):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     asked = [parse_query(q, analyzer) for q in ("things oned tion", '"of the" and', "thing that -for", "the or which", '"thing of the"', "zzz")]
-    posted = fts.postings(docs, ["doc_id"], {"text": 1.0}, analyzer)
+    posted = fts.postings(docs, ["doc_id"], {"text": 1.0}, analyzer).withColumn("block", blocks.block_of("doc_id")).persist()
     rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "exact", "terms", "density", "rank").collect()))
     want = rows(fts.text_search(docs, asked, 15, "doc_id", "text", analyzer))
-    assert rows(fts.posted_search(posted, asked, 15, "doc_id")) == want and len({r[0] for r in want}) >= 3
-    assert fts.posted_search(posted, [parse_query("the", "english")], 5, "doc_id").count() == 0
+    search = lambda some, k: blocks.bounded_search(posted, blocks.bounds(posted), docs.select("doc_id"), some, k, "doc_id")
+    assert rows(search(asked, 15)) == want and len({r[0] for r in want}) >= 3
+    assert search([parse_query("the", "english")], 5).count() == 0
 
 
 def test_a_row_is_split_once(spark):
