@@ -8,7 +8,7 @@ the groups.  A group's A and B tokens are listed together; where one side has on
 Neither tokenizer has a token that reaches over a space between two other characters that aren't white space (A's pattern
 begins a piece there, and B's vocabulary is looked through for it), so both end there and texts are cut at those spaces.
 Each different part is encoded and aligned once, as long as it's remembered, and a text's rows are those of its parts in
-order.  A pair's count is the number of rows of documents that have it linked.  Pairs that are over a 1/FREQUENT of all
+order.  A part's last character, if it's a sign that no piece of B has behind a letter, is put to the part before it.  A pair's count is the number of rows of documents that have it linked.  Pairs that are over a 1/FREQUENT of all
 pairs of documents are fewer than FREQUENT, and are broadcast; the others, none of which is hot, meet their documents by a
 shuffle.  The highest count of each A id is broadcast too, as ids are below 65,536.
 
@@ -19,12 +19,12 @@ gives no rows.  Only the id and text columns are read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 from collections.abc import Iterator
 from itertools import chain, pairwise
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,70 +53,86 @@ def byte_symbols() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(0x100 + k): b for k, b in enumerate(others)}}
 
 
-class Part(NamedTuple):
-    """Tokens and links of a part: pairs are 32-bit numbers, a link's A id in the upper bits, and groups their ids as text."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: bytes
-    groups: str
+#: Tokens and links of a part: n_a, n_b, n_groups, its pairs as 32-bit numbers with the A id in the upper bits, and its
+#: groups' ids as text.  A plain tuple, as the collector of garbage doesn't look through those.
+Part = tuple[int, int, int, bytes, str]
+NO_TOKENS: Part = (0, 0, 0, b"", "")
 
 
 class Aligner:
     def __init__(self, a: bytes, b: bytes) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        gc.set_threshold(500_000, 20, 100)  # parts are many and have no cycles
         self.a = Tokenizer.from_str(a.decode())
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         symbols = byte_symbols()
         self.a_bytes = {i: bytes(symbols[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        # a sign after a letter is a token of its own on both sides, if no piece has the two
+        beside = {x for i, p in enumerate(pieces) if not self.b.is_byte(i) for x in zip(p, p[1:], strict=False)}
+        self.signs = {c: (self.a.token_to_id(c), self.b.piece_to_id(c)) for c in ",.;:!?" if c in pieces and not any(y == c and x.isalpha() for x, y in beside)}
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         if any("▁" in p.lstrip("▁") for p in pieces) or max(self.a_bytes) >= 1 << _SHIFT or len(pieces) > 1 << _SHIFT:
             raise ValueError("pieces with inner spaces, or ids of over 16 bits, aren't supported")
         self.a_sizes = np.zeros(max(self.a_bytes) + 1, np.int64)
         self.a_sizes[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
         self.b_sizes = np.array([len(t) for t in self.b_bytes], np.int64)
+        self.names = [str(i) for i in range(1 << _SHIFT)]
         self._parts: dict[str, Part | None] = {}
         self._old: dict[str, Part | None] = {}
 
     def align(self, texts: list[str], a: list[list[int]], b: list[list[int]]) -> list[Part | None]:
         """The parts ` text` with their tokens; none for those whose tokens have other bytes.  All are laid behind each other and aligned at once."""
-        whole = [(" " + t).encode() for t in texts]
-        fine = [b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y]) for x, y, w in zip(a, b, whole, strict=True)]
-        if not all(fine):
-            some = iter(self.align(*([x for x, f in zip(xs, fine, strict=True) if f] for xs in (texts, a, b))))
-            return [next(some) if f else None for f in fine]
         if not texts:
             return []
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in (a, b))
+        whole = [(" " + t).encode() for t in texts]
+        flat_a, flat_b = list(chain.from_iterable(a)), list(chain.from_iterable(b))
+        ids_a, ids_b = np.array(flat_a, np.int64), np.array(flat_b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
         stops = np.cumsum([len(w) for w in whole])
+        every = b"".join(whole)
+        if not all(
+            min(map(len, ids)) and np.array_equal(ends[np.cumsum([len(x) for x in ids]) - 1], stops) and b"".join([known[i] for i in flat]) == every
+            for ids, ends, flat, known in ((a, ends_a, flat_a, self.a_bytes), (b, ends_b, flat_b, self.b_bytes))
+        ):
+            fine = [b"".join([self.a_bytes[i] for i in x]) == w == b"".join([self.b_bytes[i] for i in y]) for x, y, w in zip(a, b, whole, strict=True)]
+            some = iter(self.align(*([x for x, f in zip(xs, fine, strict=True) if f] for xs in (texts, a, b))))
+            return [next(some) if f else None for f in fine]
         ends = np.union1d(ends_a, ends_b)
         owner_a, owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         pairs = (ids_a[owner_a] << _SHIFT | ids_b[owner_b]).astype(np.uint32)
         shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
         cut_a, cut_b = (np.append(0, np.searchsorted(e, shared) + 1).tolist() for e in (ends_a, ends_b))
-        names_a, names_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
+        names_a, names_b = [self.names[i] for i in flat_a], [self.names[i] for i in flat_b]
         groups = [f"{','.join(names_a[i:k])}|{','.join(names_b[j:m])}" for (i, k), (j, m) in zip(pairwise(cut_a), pairwise(cut_b), strict=True)]
         to_link, to_group = (np.append(0, np.searchsorted(e, stops) + 1).tolist() for e in (ends, shared))
-        return [Part(len(x), len(y), g1 - g0, pairs[l0:l1].tobytes(), ";".join(groups[g0:g1])) for x, y, (l0, l1), (g0, g1) in zip(a, b, pairwise(to_link), pairwise(to_group), strict=True)]
+        return [(len(x), len(y), g1 - g0, pairs[l0:l1].tobytes(), ";".join(groups[g0:g1])) for x, y, (l0, l1), (g0, g1) in zip(a, b, pairwise(to_link), pairwise(to_group), strict=True)]
 
     def parts(self, needed: set[str]) -> dict[str, Part | None]:
         """What each part is aligned to."""
         if len(self._parts) > CACHED:
             self._parts, self._old = {}, self._parts
-        found = {p: self._parts[p] for p in needed if p in self._parts}
-        again = {p: self._old[p] for p in needed - found.keys() if p in self._old}
-        fresh = list(needed - found.keys() - again.keys())
+        signed = {p for p in needed if p[-1:] in self.signs and p[-2:-1].isalpha() and p not in self._parts}
+        wanted = (needed - signed) | {p[:-1] for p in signed}
+        found = {p: self._parts[p] for p in wanted if p in self._parts}
+        again = {p: self._old[p] for p in wanted - found.keys() if p in self._old}
+        fresh = list(wanted - found.keys() - again.keys())
         made = {}
         if fresh:
             coded_a = self.a.encode_batch_fast([" " + p for p in fresh], add_special_tokens=False)
             coded_b = self.b.encode(fresh, num_threads=1)
             made = dict(zip(fresh, self.align(fresh, [x.ids for x in coded_a], coded_b), strict=True))
         self._parts.update((p, x) for some in (again, made) for p, x in some.items() if len(p) <= CACHED_CHARS)
-        return {**found, **again, **made}
+        known = {**found, **again, **made}
+        return known | {p: self._with_sign(known[p[:-1]], p[-1]) for p in signed}
+
+    def _with_sign(self, part: Part | None, sign: str) -> Part | None:
+        """A part that ends in a letter, and a sign behind it."""
+        if part is None:
+            return None
+        a, b = self.signs[sign]
+        return part[0] + 1, part[1] + 1, part[2] + 1, part[3] + np.uint32(a << _SHIFT | b).tobytes(), f"{part[4]};{a}|{b}"
 
 
 _MADE: dict[bytes, Aligner] = {}
@@ -161,11 +177,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 # documents with a part that can't be aligned have none
                 odd = {p for p, x in known.items() if x is None}
                 cut = [[] if odd and not odd.isdisjoint(words) else words for words in cut]
-                parts = [x or Part(0, 0, 0, b"", "") for x in known.values()]
+                parts = [x or NO_TOKENS for x in known.values()]
                 place = dict(zip(known, range(len(parts)), strict=True))
                 sizes = np.array([x[:3] for x in parts], np.int64).reshape(-1, 3)
-                bounds = np.cumsum([0, *(len(x.pairs) // 4 for x in parts)])
-                every = np.frombuffer(b"".join([x.pairs for x in parts]), np.uint32)
+                bounds = np.cumsum([0, *(len(x[3]) // 4 for x in parts)])
+                every = np.frombuffer(b"".join([x[3] for x in parts]), np.uint32)
                 at = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
                 of = np.repeat(np.arange(len(cut)), [len(words) for words in cut])
                 counts = np.stack([np.bincount(of, sizes[at, k], len(cut)).astype(np.int64) for k in range(3)])
@@ -175,8 +191,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
                 links = every[np.arange(n.sum()) + np.repeat(bounds[at] - np.cumsum(n) + n, n)]
                 different, times = np.unique(link_of << 2 * _SHIFT | links, return_counts=True)
                 ends = pa.array(np.searchsorted(different, np.arange(len(cut) + 1) << 2 * _SHIFT).astype(np.int32))
-                texts_of = [x.groups for x in parts]
-                groups = [";".join([texts_of[place[w]] for w in words]) for words in cut]
+                texts_of = list(map([x[4] for x in parts].__getitem__, at.tolist()))
+                groups = [";".join(texts_of[i:j]) for i, j in pairwise(np.cumsum([0, *map(len, cut)]).tolist())]
                 digests = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
                 yield pa.RecordBatch.from_arrays([
                     rows.column(0), *(pa.array(c) for c in counts), pa.array(np.bincount(link_of, minlength=len(cut))),
