@@ -28,6 +28,12 @@ from lodeweave.store import BROADCAST_KEYS, Commit, Store
 # Limits of one call.
 MAX_QUERIES, PER_QUERY, POOL = 8, 30, 30
 INLINE_BYTES = 3 << 20
+#: Chunks whose vectors are committed together.
+EMBED_COMMIT = 50_000
+
+
+class EmbeddingStopped(RuntimeError):
+    """A provider failed; what it gave before is kept."""
 
 
 class TooExpensive(RuntimeError):
@@ -286,40 +292,64 @@ class Engine:
             self._commit(work, none, none, self.spark.createDataFrame([(i,) for i in ids], "gone long"))
         return bool(ids)
 
-    def embed_missing(self, again: bool = False) -> dict[str, int]:
-        """Vectors for chunks that have none, or for all; the first model is pinned."""
+    def embed_missing(self, again: bool = False, per_second: float = 0.0) -> dict[str, int]:
+        """Vectors for chunks that have none, or for all; the first model is pinned.
+
+        They are committed EMBED_COMMIT chunks at a time.  If the provider fails, what it gave is kept, and EmbeddingStopped says
+        how many chunks wait: the next call asks for these alone.  per_second: calls that all tasks together may make.
+        """
         if self.embedder is None:
             raise InputError("there is no embedder")
         pinned = self.store.setting("embed_model")
         if pinned not in (None, self.embedder.id) and not again:
             raise InputError(f"this corpus was embedded by {pinned!r}")
-        work = self.store.begin()
-        chunks, known = self.store.table("chunks", work.before), self.store.table("vectors", work.before)
-        todo = work.staged(chunks if again else chunks.join(known.select("id"), "id", "left_anti"))
-        total = todo.count()
+        first = self.store.begin()
+        chunks, known = self.store.table("chunks", first.before), self.store.table("vectors", first.before)
+        todo = first.staged(chunks if again else chunks.join(known.select("id"), "id", "left_anti"))
+        total, bad, waiting, why = todo.count(), 0, 0, None
+        tasks = self.spark.sparkContext.defaultParallelism
+        patience = vectors.Patience.from_settings(per_second=per_second, tasks=tasks)
         texted = todo.withColumn("embed_text", F.concat_ws("\n\n", "context", "content"))
-        done = work.staged(vectors.embed_rows(texted, self.embedder, "embed_text").withColumn("cell", F.lit(None).cast("int")))
-        everything = done if again else known.unionByName(done.select(known.columns))
-        n = everything.where("embedding IS NOT NULL").count()
-        made_of = 0 if again else int(work.before["settings"].get("cells_of", 0))
         settings: dict[str, str | None] = {"embed_model": self.embedder.id}
-        # from the threshold on, an index of cells serves searches; it is made anew when as many vectors have come as it was made of
-        if n >= config.number("bulk_index_threshold") and n >= 2 * made_of:
-            cells = vectors.fit_cells(everything, PER_QUERY, "id")
-            name = f"cells/{uuid.uuid4().hex}.npz"
-            self.store.files.write(name, cells.packed())
-            work.replace("vectors", vectors.with_cells(everything, cells))
-            settings |= {"cells": name, "cells_of": str(n)}
-        elif again:
-            work.replace("vectors", done)
-            settings |= {"cells": None, "cells_of": None}
-        else:
-            cells_ = self._cells(work.before)
-            work.add("vectors", vectors.with_cells(done, cells_) if cells_ else done)
-        bad = done.where("embed_error IS NOT NULL").count()
-        work.done(settings=settings)
+        slices = 1 if again else -(-total // EMBED_COMMIT)
+        try:
+            for part in range(slices):
+                some = texted.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == part).repartition(tasks)
+                done = first.staged(vectors.embed_rows(some, self.embedder, "embed_text", patience=patience).withColumn("cell", F.lit(None).cast("int")))
+                told = done.agg(F.count("embed_error").alias("bad"), F.count("embed_waits").alias("waiting"), F.max("embed_waits").alias("why")).first()
+                bad, waiting, why = bad + told.bad, told.waiting, told.why
+                if again and waiting:  # the old vectors stay
+                    break
+                work = self.store.begin()
+                cells = None if again else self._cells(work.before)
+                made = done.where("embed_waits IS NULL")
+                (work.replace if again else work.add)("vectors", vectors.with_cells(made, cells) if cells else made)
+                work.done(settings=settings | ({"cells": None, "cells_of": None, "cells_recall": None} if again else {}))
+                if waiting:
+                    break
+            n = self._index_vectors()
+        finally:
+            first.abandon()
+        if waiting:
+            raise EmbeddingStopped(f"{waiting} chunks of the last {min(total, EMBED_COMMIT)} have no vector yet: {why}")
         return {"total": total, "embedded": n, "rejected": bad}
 
+    def _index_vectors(self) -> int:
+        """From the threshold on, an index of cells serves searches; it is made anew when as many vectors have come as it was made of."""
+        work = self.store.begin()
+        everything = self.store.table("vectors", work.before)
+        n = everything.where("embedding IS NOT NULL").count()
+        made_of = int(work.before["settings"].get("cells_of", 0))
+        if n < config.number("bulk_index_threshold") or n < 2 * made_of:
+            work.abandon()
+            return n
+        cells, recall = vectors.measured_cells(everything, vectors.fit_cells(everything, PER_QUERY, "id"), PER_QUERY, "id")
+        name = f"cells/{uuid.uuid4().hex}.npz"
+        self.store.files.write(name, cells.packed())
+        work.replace("vectors", vectors.with_cells(everything, cells))
+        work.done(settings={"cells": name, "cells_of": str(n), "cells_recall": f"{recall:.4f}"})
+        return n
+
     def _cells(self, manifest: dict) -> vectors.Cells | None:
         name = manifest["settings"].get("cells")
         return vectors.Cells.unpacked(self.store.files.read(name)) if name else None
@@ -518,4 +548,4 @@ def _encoded(column: str) -> Any:
     return encoded_path(F.col(column))
 
 
-__all__ = ["Engine", "IngestResult", "SearchResult", "TooExpensive", "parse_scope"]
+__all__ = ["EmbeddingStopped", "Engine", "IngestResult", "SearchResult", "TooExpensive", "parse_scope"]

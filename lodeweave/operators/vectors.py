@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import io
 import math
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
-from typing import Protocol
+import time
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from datetime import UTC, datetime
+from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from lodeweave import config
 from lodeweave.functions.analyzer import WORD
 from lodeweave.functions.text import InputError, conservative_tokens
 
@@ -66,32 +70,103 @@ class BadInput(ValueError):
     """An embedder rejects a text; others of its batch may be fine."""
 
 
-def embed_rows(rows: DataFrame, embedder: Embedder, text_col: str, kind: str = "document") -> DataFrame:
-    """rows with embedding and embed_error.  A rejected batch is tried text by text, and what is rejected alone has an error."""
-    schema = rows.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embed_error", F.lit(None).cast("string")).schema
+class Busy(RuntimeError):
+    """A provider asks to wait.  retry_after: its header, seconds or a date, if it gave one."""
+
+    def __init__(self, message: str = "", retry_after: str | None = None) -> None:
+        super().__init__(message)
+        self.retry_after = retry_after
+
+
+@dataclass(frozen=True)
+class Patience:
+    """How often a provider is asked for one batch, how long for an answer, and how long between: as it says, or twice as long each time."""
+
+    attempts: int = 6
+    timeout_ms: int = 30_000
+    most_ms: int = 120_000
+    first_ms: int = 500
+    #: Calls a second of all tasks together, of which each of `tasks` tasks takes its part; 0: as many as there are.
+    per_second: float = 0.0
+    tasks: int = 1
+
+    @staticmethod
+    def from_settings(**how: float) -> Patience:
+        return Patience(int(config.number("embed_max_attempts")), int(config.number("embed_timeout_ms")), int(config.number("embed_retry_max_ms")), **how)  # type: ignore[arg-type]
+
+    def wait_ms(self, attempt: int, retry_after: str | None, now: datetime) -> int | None:
+        """Before the attempt after this one (from 0); None if it isn't worth it."""
+        told = config.retry_after_ms(retry_after, now)
+        if told is None:
+            return min(self.most_ms, self.first_ms << attempt)
+        return told if told <= self.most_ms else None
+
+    def ask(self, call: Callable[[], Any]) -> Any:
+        """call(), again while it fails otherwise than by BadInput; the last failure is raised."""
+        for attempt in range(self.attempts):
+            began = time.monotonic()
+            pool = ThreadPoolExecutor(1)
+            try:
+                return pool.submit(call).result(self.timeout_ms / 1000)
+            except BadInput:
+                raise
+            except Exception as e:
+                wait = self.wait_ms(attempt, getattr(e, "retry_after", None), datetime.now(UTC))
+                if wait is None or attempt + 1 == self.attempts:
+                    if isinstance(e, TimeoutError):
+                        raise RuntimeError(f"no answer in {self.timeout_ms} ms") from e
+                    raise
+                time.sleep(wait / 1000)
+            finally:
+                pool.shutdown(wait=False, cancel_futures=True)
+                if self.per_second:
+                    time.sleep(max(0.0, self.tasks / self.per_second - (time.monotonic() - began)))
+        raise RuntimeError("no attempts")
+
+
+def embed_rows(rows: DataFrame, embedder: Embedder, text_col: str, kind: str = "document", patience: Patience | None = None) -> DataFrame:
+    """rows with embedding, embed_error and embed_waits.
+
+    A rejected batch is tried text by text, and what is rejected alone has an error.  Without patience a failure of the provider
+    ends the job.  With it, a batch is asked for again; if that doesn't help, the task's other rows wait (embed_waits says
+    why) and nothing that was made is lost.
+    """
+    schema = rows.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("embed_error", F.lit(None).cast("string")).withColumn("embed_waits", F.lit(None).cast("string")).schema
 
     def checked(texts: list[str]) -> list[list[float]]:
-        found = embedder.embed(texts, kind)
+        call = lambda: embedder.embed(texts, kind)
+        found = patience.ask(call) if patience else call()
         if len(found) != len(texts) or not all(len(v) == embedder.dims and all(map(math.isfinite, v)) for v in found):
             raise RuntimeError("the embedder gave wrong vectors")
         return found
 
     def embedded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stopped: str | None = None
         for frame in frames:
             texts = [t or "" for t in frame[text_col]]
             vectors: list[list[float] | None] = [None] * len(texts)
             errors: list[str | None] = [None] * len(texts)
+            waits: list[str | None] = [None] * len(texts)
             for batch in plan_batches(texts):
                 try:
-                    for i, v in zip(batch, checked([texts[i] for i in batch]), strict=True):
-                        vectors[i] = v
-                except BadInput:
-                    for i in batch:
+                    if stopped is None:
                         try:
-                            vectors[i] = checked([texts[i]])[0]
-                        except BadInput as e:
-                            errors[i] = str(e)
-            yield frame.assign(embedding=vectors, embed_error=errors)
+                            for i, v in zip(batch, checked([texts[i] for i in batch]), strict=True):
+                                vectors[i] = v
+                        except BadInput:
+                            for i in batch:
+                                try:
+                                    vectors[i] = checked([texts[i]])[0]
+                                except BadInput as e:
+                                    errors[i] = str(e)
+                except Exception as e:
+                    if patience is None:
+                        raise
+                    stopped = f"{type(e).__name__}: {e}"
+                if stopped is not None:
+                    for i in batch:
+                        waits[i] = stopped if vectors[i] is None and errors[i] is None else None
+            yield frame.assign(embedding=vectors, embed_error=errors, embed_waits=waits)
 
     return rows.mapInPandas(embedded, schema)
 
@@ -274,6 +349,21 @@ def nearest_cells(base: DataFrame, queries: DataFrame, k: int, cells: Cells | No
     return _ranked(pairs.withColumn("b_dims", F.lit(cells.centres.shape[1])), k, id_col, max_distance)
 
 
+def measured_cells(base: DataFrame, cells: Cells, k: int, id_col: str = "vec_id", vector_col: str = "embedding", asked: int = 50) -> tuple[Cells, float]:
+    """cells with so many probes that RECALL of the k nearest of stored vectors are found among all that are stored, and the share that is.
+
+    The questions are the `asked` stored vectors of least hash.
+    """
+    some = base.where(F.col(vector_col).isNotNull()).orderBy(F.xxhash64(F.col(id_col), F.lit("recall"))).limit(asked).select(id_col, vector_col)
+    true = {(r.query_id, r[id_col]) for r in nearest(base, some, k, id_col, vector_col).collect()}
+    while True:
+        found = {(r.query_id, r[id_col]) for r in nearest_cells(base, some, k, cells, id_col, vector_col).collect()}
+        share = len(true & found) / len(true) if true else 1.0
+        if share >= RECALL or cells.probes >= len(cells.centres):
+            return cells, share
+        cells = replace(cells, probes=min(len(cells.centres), 2 * cells.probes))
+
+
 def quantized(x: np.ndarray, kind: str) -> np.ndarray:
     """Unit vectors as they would be kept: float, half, int8 or binary (signs); bytes fall from 4 a number to an eighth."""
     if kind == "float":

@@ -118,7 +118,7 @@ SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (
     "uri_decoded": f"WITH {_NODES} SELECT id, collection AS root, path FROM nodes",
     "text_clips": r"SELECT doc_id, CASE WHEN length(text) <= 80 THEN text ELSE regexp_replace(substring(text, 1, 79), '\s+\S*$', '') || '…' END AS clip FROM documents",
     "conservative_estimates": "SELECT doc_id, least(32000, ceil(length(text) / 3))::BIGINT AS tokens FROM documents",
-    "embed_batches": r"SELECT doc_id, 64::BIGINT AS dims, CASE WHEN regexp_matches(substring(text, 1, 200), '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS squares, true AS fine FROM documents",
+    "embed_batches": r"SELECT doc_id, 64::BIGINT AS dims, CASE WHEN regexp_matches(text, '[\p{L}\p{N}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS squares, true AS fine FROM documents",
     "dense_numbers": "SELECT 101::BIGINT AS least, 100 + count(*) AS most, count(*) AS numbers FROM documents",
     "result_links": f"WITH {_MAIN}, {_RANKED} SELECT source AS uri, min(rank) AS rank FROM ranked JOIN documents USING (doc_id) WHERE rank <= 100 GROUP BY source ORDER BY 2, 1 LIMIT 20",
     "ingest_last_of_name": "SELECT source AS collection, (doc_id % 40)::VARCHAR AS name, 'file:/' || lpad(max(doc_id)::VARCHAR, 12, '0') AS origin_uri FROM documents GROUP BY 1, 2",

@@ -525,8 +525,8 @@ def conservative_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a deterministic embedder: each has the length of one, but for texts without words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"))
-    made = vectors.embed_rows(docs, vectors.HashEmbedder(64), "head")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = vectors.embed_rows(docs, vectors.HashEmbedder(64), "text")
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return made.select("doc_id", F.size("embedding").cast("long").alias("dims"), F.round(squares, 3).alias("squares"), F.col("embed_error").isNull().alias("fine"))
 

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import time
+import uuid
+import zlib
+from datetime import UTC, datetime
 
 import numpy as np
 import pytest
 
-from lodeweave.api import Engine
+from lodeweave.api import EmbeddingStopped, Engine
 from lodeweave.functions import paging
 from lodeweave.functions.text import InputError
 from lodeweave.operators import ingest
-from lodeweave.operators.vectors import BadInput, HashEmbedder
+from lodeweave.operators.vectors import BadInput, Busy, HashEmbedder, Patience
 from lodeweave.sources import files
 from lodeweave.store import MigrationRequired, Store, StoreError
 
@@ -188,3 +192,76 @@ def test_large_documents(spark):
     assert len(chunks) > 500 and time.perf_counter() - began < 30
     sizes = ingest.chunk_sizes(spark.createDataFrame([(1, text), (2, None), (3, " ")], "id long, t string"), "id", "t").collect()
     assert [(r.node_id, r.chunks, r.tokens) for r in sizes] == [(1, len(chunks), sum(c.token_count for c in chunks))]
+
+
+class _Limited(HashEmbedder):
+    """Answers `calls` times over all, counted in a folder, then asks to wait."""
+
+    def __init__(self, folder, calls, retry_after="0"):
+        super().__init__(8)
+        self.folder, self.calls, self.retry_after = str(folder), calls, retry_after
+
+    def embed(self, texts, kind="document"):
+        n = len(os.listdir(self.folder))
+        for t in texts:
+            with open(f"{self.folder}/{n:06}-{zlib.crc32(t.encode())}-{uuid.uuid4().hex}", "w") as f:
+                f.write(t)
+        if n >= self.calls:
+            for name in os.listdir(self.folder):
+                if name.startswith(f"{n:06}-"):
+                    os.rename(f"{self.folder}/{name}", f"{self.folder}/refused-{name}")
+            raise Busy("slow down", self.retry_after)
+        return super().embed(texts, kind)
+
+
+def test_a_provider_that_fails_loses_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("LODEWEAVE_EMBED_MAX_ATTEMPTS", "2")
+    monkeypatch.setattr("lodeweave.api.EMBED_COMMIT", 5)
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    engine = Engine(spark, tmp_path / "corpus", embedder=_Limited(asked, 4))
+    engine.ingest_bytes([(f"{i}.md", f"text number {i}".encode()) for i in range(12)])
+    with pytest.raises(EmbeddingStopped, match="slow down"):
+        engine.embed_missing()
+    first = engine.store.table("vectors").count()
+    assert 0 < first < 12 and engine.store.table("vectors").where("embedding IS NULL").count() == 0
+    engine.embedder = _Limited(asked, 10**6)
+    assert engine.embed_missing()["total"] == 12 - first and engine.store.table("vectors").select("id").distinct().count() == 12
+    answered = [n.split("-")[1] for n in os.listdir(asked) if not n.startswith("refused")]
+    assert len(answered) == len(set(answered)) == 12
+
+
+def test_patience():
+    now = datetime(2026, 1, 1, tzinfo=UTC)
+    p = Patience(attempts=3, timeout_ms=200, most_ms=4_000, first_ms=1)
+    assert [p.wait_ms(k, None, now) for k in (0, 1, 13)] == [1, 2, 4_000]
+    assert p.wait_ms(0, "3", now) == 3_000 and p.wait_ms(0, "5", now) is None and p.wait_ms(1, "Thu, 01 Jan 2026 00:00:02 GMT", now) == 2_000
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise Busy("wait")
+        return "done"
+
+    assert p.ask(flaky) == "done" and len(calls) == 3
+    with pytest.raises(RuntimeError, match="no answer in 200 ms"):
+        Patience(attempts=1, timeout_ms=200).ask(lambda: time.sleep(2))
+    with pytest.raises(BadInput):
+        p.ask(lambda: (_ for _ in ()).throw(BadInput("no")))
+
+
+def test_all_vectors_are_compared_on_demand(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("LODEWEAVE_BULK_INDEX_THRESHOLD", "30")
+    engine = Engine(spark, tmp_path, embedder=HashEmbedder(16))
+    rng = np.random.default_rng(4)
+    engine.ingest_files(spark.createDataFrame([(f"mem:/{i}.md", 1, " ".join(rng.choice([f"w{k}" for k in range(30)], 9)).encode()) for i in range(60)], "path string, length long, content binary"))
+    engine.embed_missing()
+    assert float(engine.store.setting("cells_recall")) >= 0.9
+    chunks = engine.store.table("chunks").select("id", "content", "context").collect()
+    vectors_ = {c.id: np.array(engine.embedder.embed([f"{c.context}\n\n{c.content}"])[0]) for c in chunks}
+    q = np.array(engine.embedder.embed(["w1 w2 w3"])[0])
+    want = sorted((round(1 - float(v @ q), 6), i) for i, v in vectors_.items())[:5]
+    hits = engine.search(["w1 w2 w3"], limit=60, per_query=5, exact=True)
+    ranks = {h.chunk_id: h.fields["ranks"].get("vec:0") for h in hits}
+    assert sorted(i for i, r in ranks.items() if r) == sorted(i for _, i in want)
