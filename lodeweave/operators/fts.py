@@ -166,21 +166,50 @@ def satisfies(terms: Sequence[str], query: Query) -> bool:
     return any(all(has(p) != p.negated for p in g) for g in query.anyof)
 
 
+def stretches(hits: Sequence[tuple[int, frozenset[str] | set[str]]], length: int, fragments: int = 2, most: int = 32, least: int = 12) -> list[tuple[int, int]]:
+    """The best `fragments` stretches of at most `most` words, as (start, stop), in order; none overlap.
+
+    hits: place and terms of each word that matches, in order.  The stretch with most different terms is taken, of equal ones that
+    with most hits, then the first; then the best of what is left beside it.  A stretch begins and ends with a hit, and is then
+    widened to `least` words where there is room.
+    """
+    free, out = [(0, length)], []
+    while len(out) < fragments:
+        best: tuple[int, int, int, int] | None = None
+        for low, high in free:
+            inside = [h for h in hits if low <= h[0] < high]
+            counts: dict[str, int] = {}
+            stop = 0
+            for k, (start, terms) in enumerate(inside):
+                while stop < len(inside) and inside[stop][0] < start + most:
+                    for t in inside[stop][1]:
+                        counts[t] = counts.get(t, 0) + 1
+                    stop += 1
+                if best is None or (len(counts), stop - k) > best[:2]:
+                    best = (len(counts), stop - k, start, inside[stop - 1][0] + 1)
+                for t in terms:
+                    counts[t] -= 1
+                    if not counts[t]:
+                        del counts[t]
+        if best is None:
+            break
+        start, stop = best[2:]
+        low, high = next(f for f in free if f[0] <= start < f[1])
+        missing = max(0, least - (stop - start))
+        start = max(low, start - missing // 2)
+        stop = min(high, max(stop, start + least))
+        start = max(low, min(start, stop - least))
+        out.append((start, stop))
+        free = sorted([f for f in free if f != (low, high)] + [f for f in ((low, start), (stop, high)) if f[0] < f[1]])
+    return sorted(out)
+
+
 def snippet(text: str, words: set[str], analyzer: str = "simple", fragments: int = 2, most: int = 32, least: int = 12) -> str:
-    """Up to `fragments` stretches around matching words, which are marked **so**."""
+    """The best stretches, in which matching words are marked **so**."""
     tokens = text.split()
-    found = [i for i, t in enumerate(tokens) if set(analyze(t, analyzer)) & words]
-    spans: list[tuple[int, int]] = []
-    for i in found:
-        if spans and i < spans[-1][1]:
-            continue
-        if len(spans) == fragments:
-            break
-        start = max(spans[-1][1] if spans else 0, i - least // 2)
-        spans.append((start, min(len(tokens), start + most)))
-    spans = spans or [(0, min(len(tokens), least))]
-    marked = set(found)
-    return " … ".join(" ".join(f"**{tokens[i]}**" if i in marked else tokens[i] for i in range(a, b)) for a, b in spans)
+    found = {i: terms for i, t in enumerate(tokens) if (terms := set(analyze(t, analyzer)) & words)}
+    spans = stretches(list(found.items()), len(tokens), fragments, most, least) or [(0, min(len(tokens), least))]
+    return " … ".join(" ".join(f"**{tokens[i]}**" if i in found else tokens[i] for i in range(a, b)) for a, b in spans)
 
 
 def snippets(text: Column, words: Sequence[str], analyzer: str = "simple") -> Column:

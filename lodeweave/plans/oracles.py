@@ -111,6 +111,10 @@ pairs AS (SELECT doc_id, word, place, lag(word) OVER o AS before, lag(place) OVE
 scored AS (SELECT doc_id, 1::BIGINT AS exact, 2::BIGINT AS terms, round(sum(1.0::DOUBLE / (place - began)) FILTER (WHERE word <> before), 6)::DOUBLE AS density FROM pairs GROUP BY doc_id)
 SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT {TOP}""",
     "fts_without": _without(),
+    "best_fragments": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), hit AS (SELECT doc_id, w, i FROM d, range(1, len(w) + 1) AS t(i) WHERE w[i] IN ('the', 'that', 'from')),
+counted AS (SELECT doc_id, i, len(list_distinct(list_filter(w[i : i + 31], lambda x: x IN ('the', 'that', 'from')))) AS terms, len(list_filter(w[i : i + 31], lambda x: x IN ('the', 'that', 'from'))) AS hits,
+  (SELECT max(k) FROM range(i, least(i + 32, len(w) + 1)) AS u(k) WHERE w[k] IN ('the', 'that', 'from')) AS last FROM hit)
+SELECT doc_id, i - 1 AS start, last AS stop, terms, hits FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY terms DESC, hits DESC, i) AS r FROM counted) WHERE r = 1""",
     "fts_stored_postings": _topk(["the", "that", "from"], _ALL, f"({_ANY})"),
     "vector_cells": f"SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % {EVERY} = 0",
     "vector_distance": "SELECT b.vec_id, round(1 - list_cosine_similarity(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS distance FROM embeddings b, embeddings q WHERE q.vec_id = 7",

@@ -108,6 +108,24 @@ def fts_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.bounded_search(*_stored(spark, sf_dir), [parse_query(q) for q in Q_WITHOUT], 40, "doc_id")
 
 
+def best_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the stretch with most of the query's words begins in every document that has one, and how many it has."""
+    wanted = set(parse_query(Q_WORDS).words)
+
+    @F.pandas_udf("array<int>")
+    def best(texts: pd.Series) -> pd.Series:
+        def one(words: Sequence[str]) -> list[int] | None:
+            hits = [(i, {w}) for i, w in enumerate(words) if w in wanted]
+            found = fts.stretches(hits, len(words), 1, least=0)
+            inside = [w for i, t in hits for w in t if found and found[0][0] <= i < found[0][1]]
+            return [*found[0], len(set(inside)), len(inside)] if found else None
+
+        return texts.map(lambda w: None if w is None else one(list(w)))
+
+    made = table(spark, sf_dir, "documents").select("doc_id", best(words_of(F.col("text"))).alias("b")).where("b IS NOT NULL")
+    return made.select("doc_id", *[F.get("b", F.lit(i)).cast("long").alias(n) for i, n in enumerate(("start", "stop", "terms", "hits"))])
+
+
 def fts_english(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stemmed words; stop words are left out of the query and the texts."""
     return fts.text_search(table(spark, sf_dir, "documents"), [parse_query(Q_STEMMED, "english")], TOP, "doc_id", "text", "english")
@@ -547,7 +565,7 @@ def result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        fts_topk, fts_cover, fts_stored_postings, fts_without, fts_english, vector_cells, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
+        fts_topk, fts_cover, fts_stored_postings, fts_without, best_fragments, fts_english, vector_cells, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
         embed_batches, dense_numbers, result_links, ingest_last_of_name, chunk_bounds, fts_terms_coverage, fts_exact_flag, fts_negation, fts_phrase, fts_or, postings_terms, skill_discovery_weighted, vector_topk,
         vector_max_distance, vector_scoped, hybrid_rrf, multi_query_rrf, rrf_tiebreak, candidate_union, hybrid_diversified, near_duplicates, near_duplicates_all,
         per_document_cap, grep_lines, grep_ignore_case, grep_path_glob, grep_keyset_page, grep_file_window, glob_page, ls_root, ls_collections,

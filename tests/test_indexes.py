@@ -227,3 +227,23 @@ def test_merged_postings_stay_in_order(spark, tmp_path, monkeypatch):
     terms = [r.term for f in sorted(engine.store.files.names(segments[0]["path"])) if f.endswith(".parquet") for r in spark.read.parquet(engine.store.files.at(f"{segments[0]['path']}/{f}")).select("term").collect()]
     assert terms == sorted(terms) and len(terms) > 4
     assert [h.fields["name"] for h in engine.search(["apple -zebra"])] == ["b.md"]
+
+
+def test_best_fragments_are_those_of_all_windows():
+    """Against all windows of the free places, again after each choice."""
+    for _ in range(300):
+        n, most, least = RNG.randrange(1, 60), RNG.choice([3, 8, 32]), RNG.choice([0, 2, 3])
+        words = [RNG.choice("abcdxyzuvw") for _ in range(n)]
+        hits = [(i, {w}) for i, w in enumerate(words) if w in "abcd"]
+        found = fts.stretches(hits, n, 2, most, least)
+        taken: set[int] = set()
+        for _ in range(2):
+            windows = [range(i, j) for i in range(n) for j in range(i + 1, min(n, i + most) + 1) if words[i] in "abcd" and words[j - 1] in "abcd" and not taken & set(range(i, j))]
+            if not windows:
+                break
+            best = max(windows, key=lambda r: (len({words[i] for i in r} & set("abcd")), sum(words[i] in "abcd" for i in r), -r.start, -len(r)))
+            own = [f for f in found if f[0] <= best.start and best.stop <= f[1]]
+            assert len(own) == 1 and own[0][1] - own[0][0] <= max(len(best), least)
+            taken |= set(range(*own[0]))
+        assert taken == {i for f in found for i in range(*f)} and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    assert fts.snippet("one two tea three", {"tea"}, least=3) in ("two **tea** three", "one two **tea**") and fts.snippet("no hit", {"tea"}) == "no hit"
