@@ -383,3 +383,77 @@ def quantized_distance(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
         return np.bitwise_count(a[:, None] ^ b[None]).sum(axis=2)
     x, y = a.astype(np.float64), b.astype(np.float64)
     return 1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+
+
+def coded_vectors(rows: DataFrame, kind: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, code): unit vectors as a storage of this kind keeps them.  Zero vectors and nulls have none."""
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64)
+            norm = np.linalg.norm(x, axis=1) if len(x) else np.zeros(0)
+            codes = quantized(x[norm > 0] / norm[norm > 0, None], kind) if len(x) else np.zeros((0, 1), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(norm > 0)), pa.array([c.tobytes() for c in codes], pa.binary())], [id_col, "code"])
+
+    return rows.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col).mapInArrow(coded, f"{id_col} long, code binary")
+
+
+_CODES = {"float": np.float32, "half": np.float16, "int8": np.int8, "binary": np.uint8}
+
+
+def _code_blocks(codes: DataFrame, prefix: str) -> DataFrame:
+    """Blocks of codes: ids, and their codes behind each other."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()]), pa.array([b"".join(batch.column(1).to_pylist())]), pa.array([batch.num_rows], pa.int32())], [f"{prefix}ids", f"{prefix}codes", f"{prefix}n"])
+
+    return codes.mapInArrow(packed, f"{prefix}ids binary, {prefix}codes binary, {prefix}n int")
+
+
+def nearest_codes(codes: DataFrame, queries: DataFrame, k: int, kind: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, distance, rank) of each query's k nearest by stored codes alone; ties by id.
+
+    Blocks of codes meet blocks of queries, which are coded alike; each pair of blocks passes on k rows a query.
+    """
+    dtype = _CODES[kind]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bi, bc, bn, qi, qc, qn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not bn or not qn:
+                    continue
+                ids, names = np.frombuffer(bi, np.int64), np.frombuffer(qi, np.int64)
+                d = np.round(quantized_distance(np.frombuffer(qc, dtype).reshape(qn, -1), np.frombuffer(bc, dtype).reshape(bn, -1), kind).astype(np.float64), 9)
+                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+                row = np.repeat(np.arange(qn), order.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[order.ravel()]), pa.array(d[row, order.ravel()])], ["query_id", id_col, "distance"])
+
+    asked = _code_blocks(coded_vectors(queries, kind, id_col, vector_col), "q_")
+    found = _code_blocks(codes, "b_").crossJoin(asked).mapInArrow(best, f"query_id long, {id_col} long, distance double")
+    order = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def nearest_by_codes(codes: DataFrame, base: DataFrame, queries: DataFrame, k: int, kind: str, wider: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """nearest() with candidates from codes: `wider` times k a query, whose whole vectors are then compared exactly."""
+    some = nearest_codes(codes, queries, wider * k, kind, id_col, vector_col).select("query_id", id_col)
+    asked = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("asked"))
+    whole = some.join(base.select(id_col, vector_col), id_col).join(asked, "query_id")
+    found = whole.select("query_id", id_col, (F.round(cosine_distance(F.col("asked"), F.col(vector_col)), 6) + F.lit(0.0)).alias("distance"))
+    order = Window.partitionBy("query_id").orderBy("distance", id_col)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def compared_storage(true: DataFrame, found: DataFrame, k: int, id_col: str = "vec_id") -> DataFrame:
+    """(recall, mrr) of lists against the exact ones: the share of the true k that is among the found k, and of 1 / rank of the truly nearest.  A query itself doesn't count."""
+
+    def places(rows: DataFrame, name: str) -> DataFrame:
+        others = rows.where(F.col("query_id") != F.col(id_col))
+        return others.select("query_id", id_col, F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).alias(name)).where(F.col(name) <= k)
+
+    met = places(true, "place").join(places(found, "got"), ["query_id", id_col], "left")
+    each = met.groupBy("query_id").agg((F.count("got") / F.count("*")).alias("recall"), F.max(F.when(F.col("place") == 1, F.coalesce(1 / F.col("got"), F.lit(0.0)))).alias("rr"))
+    return each.agg(F.round(F.avg("recall"), 4).alias("recall"), F.round(F.avg("rr"), 4).alias("mrr"))

@@ -188,6 +188,21 @@ def vector_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
+def quantized_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches by stored codes of each kind, alone and with exact distances for the candidates, against the exact search."""
+    base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked, folder, k = _queries(base), engine_queries.shared_folder(spark), 5
+    true = vectors.nearest(base, asked, k + 1)
+    parts = []
+    for kind in ("float", "half", "int8", "binary"):
+        vectors.coded_vectors(base, kind).write.parquet(f"{folder}/{kind}")
+        codes = spark.read.schema("vec_id long, code binary").parquet(f"{folder}/{kind}")
+        size = codes.agg(F.max(F.octet_length("code")).cast("long").alias("bytes"))
+        for exact, found in ((False, vectors.nearest_codes(codes, asked, k + 1, kind)), (True, vectors.nearest_by_codes(codes, base, asked, k + 1, kind))):
+            parts.append(vectors.compared_storage(true, found, k).crossJoin(F.broadcast(size)).select(F.lit(kind).alias("storage"), F.lit(exact).alias("exact"), "bytes", "recall", "mrr"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _lists(spark: SparkSession, sf_dir: str, texts: Sequence[str], vec_ids: Sequence[int]) -> DataFrame:
     """Ranked lists (list, id, rank) of text queries and query vectors over one space of ids."""
     base = table(spark, sf_dir, "embeddings")
@@ -565,7 +580,7 @@ def result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        fts_topk, fts_cover, fts_stored_postings, fts_without, best_fragments, fts_english, vector_cells, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
+        fts_topk, fts_cover, fts_stored_postings, fts_without, best_fragments, fts_english, vector_cells, quantized_recall, vector_distance, vfs_scope, uri_decoded, text_clips, conservative_estimates,
         embed_batches, dense_numbers, result_links, ingest_last_of_name, chunk_bounds, fts_terms_coverage, fts_exact_flag, fts_negation, fts_phrase, fts_or, postings_terms, skill_discovery_weighted, vector_topk,
         vector_max_distance, vector_scoped, hybrid_rrf, multi_query_rrf, rrf_tiebreak, candidate_union, hybrid_diversified, near_duplicates, near_duplicates_all,
         per_document_cap, grep_lines, grep_ignore_case, grep_path_glob, grep_keyset_page, grep_file_window, glob_page, ls_root, ls_collections,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.api import Engine
 from lodeweave.functions.analyzer import cover_density, parse_query
-from lodeweave.operators import blocks, containment, files, fts, ingest, trigrams
+from lodeweave.operators import blocks, containment, files, fts, ingest, trigrams, vectors
 from lodeweave.store import Conflict, Store
 
 RNG = random.Random(12)
@@ -247,3 +247,21 @@ def test_best_fragments_are_those_of_all_windows():
             taken |= set(range(*own[0]))
         assert taken == {i for f in found for i in range(*f)} and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
     assert fts.snippet("one two tea three", {"tea"}, least=3) in ("two **tea** three", "one two **tea**") and fts.snippet("no hit", {"tea"}) == "no hit"
+
+
+def test_search_by_stored_codes(spark):
+    base = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    base = base.union(spark.createDataFrame([(9_001, None), (9_002, [0.0] * 64)], base.schema))
+    asked = base.where("vec_id % 20 = 0")
+    true = vectors.nearest(base, asked, 6)
+    rows = lambda df: {(r.query_id, r.vec_id, r["rank"]) for r in df.collect()}
+    measured = {}
+    for kind in ("float", "half", "int8", "binary"):
+        codes = vectors.coded_vectors(base, kind).persist()
+        assert codes.count() == base.count() - 2
+        measured[kind] = [vectors.compared_storage(true, f, 5).first() for f in (vectors.nearest_codes(codes, asked, 6, kind), vectors.nearest_by_codes(codes, base, asked, 6, kind))]
+        if kind == "float":
+            assert rows(vectors.nearest_by_codes(codes, base, asked, 6, kind)) == rows(true)
+    assert all(m.recall >= 0.9 and m.mrr >= 0.9 for kind in ("float", "half", "int8") for m in measured[kind])
+    assert measured["binary"][1].recall >= measured["binary"][0].recall
+    assert vectors.nearest_codes(codes.limit(0), asked, 3, "binary").count() == 0
