@@ -67,7 +67,7 @@ def frontmatter_issues(head: dict[str, Any], reserved: Collection[str] = RESERVE
     name = head.get("name")
     issues += _text_issues("name", name, True)
     if isinstance(name, str) and name.strip():
-        issues += [] if NAME.fullmatch(name) else [f"name {name!r} must be lowercase letters, digits and single hyphens"]
+        issues += [] if NAME.fullmatch(name) else [f"name {name!r} may have only a-z, 0-9 and, between these, one - at a time"]
         issues += [f"name has the reserved word {w!r}" for w in reserved if w in name.lower().split("-")]
     issues += _text_issues("description", head.get("description"), True)
     if "compatibility" in head:

@@ -110,6 +110,9 @@ places AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place
 pairs AS (SELECT doc_id, word, place, lag(word) OVER o AS before, lag(place) OVER o AS began FROM places WHERE word IN ('the', 'that') WINDOW o AS (PARTITION BY doc_id ORDER BY place)),
 scored AS (SELECT doc_id, 1::BIGINT AS exact, 2::BIGINT AS terms, round(sum(1.0::DOUBLE / (place - began)) FILTER (WHERE word <> before), 6)::DOUBLE AS density FROM pairs GROUP BY doc_id)
 SELECT 0::BIGINT AS query_id, doc_id, exact, terms, density, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM scored ORDER BY {_ORDER} LIMIT {TOP}""",
+    "subscription_notices": """WITH log AS (SELECT doc_id // 40 AS version, 'ctx://docs/' || source || '/' || (doc_id % 7) AS uri FROM documents),
+wanted AS (SELECT DISTINCT lang AS subscriber, 'ctx://docs/' || source || '/' || (doc_id % 7) AS uri FROM documents WHERE doc_id % 3 = 0)
+SELECT DISTINCT subscriber, uri, version, 'written' AS change FROM log JOIN wanted USING (uri)""",
     "fts_without": _without(),
     "best_fragments": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), hit AS (SELECT doc_id, w, i FROM d, range(1, len(w) + 1) AS t(i) WHERE w[i] IN ('the', 'that', 'from')),
 counted AS (SELECT doc_id, i, len(list_distinct(list_filter(w[i : i + 31], lambda x: x IN ('the', 'that', 'from')))) AS terms, len(list_filter(w[i : i + 31], lambda x: x IN ('the', 'that', 'from'))) AS hits,

@@ -22,7 +22,7 @@ from lodeweave.functions.uri import encoded, encoded_path, parse_uri, source_pat
 from lodeweave.operators import blocks, catalog, containment, files, fts, fusion, ingest, sinks, vectors
 from lodeweave.operators.numbering import number_rows
 from lodeweave.plans import engine_queries, function_queries
-from lodeweave.streaming.watch import changed_since
+from lodeweave.streaming.watch import NOTICES, changed_since, kept_running, write_notices
 
 # The queries' texts and limits.
 Q_WORDS = "the that from"
@@ -510,6 +510,18 @@ def changes_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_since(log, 18, "ctx://docs/users/2", 50)
 
 
+def subscription_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of changes, made of the documents, as a stream to those who subscribed: one notice for each version of an address."""
+    docs, folder = table(spark, sf_dir, "documents"), engine_queries.shared_folder(spark)
+    uri = F.concat(F.lit("ctx://docs/"), F.col("source"), F.lit("/"), (F.col("doc_id") % 7).cast("string"))
+    log = docs.select(F.floor(F.col("doc_id") / 40).cast("long").alias("version"), uri.alias("uri"), F.lit("written").alias("change"), F.lit(None).cast("timestamp").alias("committed_at"))
+    log.coalesce(1).write.parquet(f"{folder}/changes")
+    wanted = docs.where("doc_id % 3 = 0").select(F.col("lang").alias("subscriber"), uri.alias("uri")).distinct()
+    stream = spark.readStream.schema(log.schema).parquet(f"{folder}/changes")
+    kept_running(lambda: write_notices(stream, wanted, f"{folder}/notices", f"{folder}/checkpoint"))
+    return spark.read.schema(NOTICES).parquet(f"{folder}/notices")
+
+
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_rows(table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
 
@@ -587,6 +599,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ls_children, ls_children_deep, catalog_collections, catalog_top_titles, catalog_problems, source_report, status_histogram,
         resource_list_page, uri_encode, vfs_path, token_estimates, content_hash, ingest_dedup_by_hash, ingest_diff, rename_reclaim,
         distinct_paths, chunk_neighbours, read_window, lines_explode, paragraphs, chunk_documents, chunk_stats, html_title_h1, html_normalize,
-        eval_recall_mrr, completion_prefix, changes_since, json_rows,
+        eval_recall_mrr, completion_prefix, changes_since, subscription_notices, json_rows,
     )
 } | {name: _glob(pattern) for name, pattern in GLOBS.items()} | engine_queries.QUERIES | function_queries.QUERIES

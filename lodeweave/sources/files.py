@@ -155,6 +155,8 @@ def normalized(files: DataFrame, normalizer: Normalizer = plain_normalizer) -> D
                     out.append((None, "needs_ocr", str(e)))
                 except (TextError, InputError) as e:
                     out.append((None, "failed", str(e)))
+                except Exception as e:  # a plugged-in reader that fails on one file
+                    out.append((None, "failed", f"{type(e).__name__}: {e}"))
             yield pd.DataFrame({"path": frame["path"], "content_hash": frame["content_hash"], "size_bytes": frame["length"], "markdown": [m for m, _, _ in out], "status": [s for _, s, _ in out], "detail": [d for _, _, d in out]})
 
     hashed = files.select("path", "length", "content", F.sha2("content", 256).alias("content_hash"))
