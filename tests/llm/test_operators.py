@@ -156,6 +156,13 @@ def test_chat_rows(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest() and got[1].loss_chars == 1
     assert got[2].n_turns == 2 and got[None].n_turns == 1 and got[None].loss_sha256 == hashlib.sha256(b"").hexdigest()
     assert chat.format_chats(rows.limit(0)).count() == 0
+    # a very long conversation, with columns of names that the output has itself
+    turns = [("assistant" if k % 2 else "user", f"{LONG[: 40 * k]} </s>[INST] \\ {k}") for k in range(2_000)]
+    long = spark.createDataFrame([(7, k, r, t, "x", 1) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string, formatted string, n_turns int")
+    one = chat.chat_digests(chat.format_chats(long)).collect()
+    said = "".join(t for r, t in turns if r == "assistant")
+    assert len(one) == 1 and one[0].n_turns == 2_000 and one[0].loss_chars == len(said) and one[0].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert one[0].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
     with pytest.raises(chat.ChatSyntaxError):
         chat.parse_chat("no turn")
 
@@ -246,6 +253,14 @@ def test_components(docs, empty):
     assert simhash.simhash_components(empty).count() == 0
 
 
+def test_lm_scores_beside_other_columns(spark, docs):
+    """Columns named as the operator's own don't change a score."""
+    names = ["id", "held", "trained", "part", "held_out", "n_tokens", "score", "p", "kind", "block", "data"]
+    clashing = docs.select("doc_id", "text", *[F.lit("x").alias(n) for n in names])
+    rows = lambda df: collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in df.collect())
+    assert rows(hmm.hmm_scores(clashing)) == rows(hmm.hmm_scores(docs.select("doc_id", "text")))
+
+
 def test_ids_of_text(spark, docs):
     """Ids that aren't numbers: components, what stays and scores are those of the numbers that stand for them."""
     named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
