@@ -555,7 +555,7 @@ def text_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The beginnings of texts, ended at a word."""
     @F.pandas_udf("string")
     def clipped(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: clip(t, 80))
+        return texts.map(lambda t: None if t is None else clip(t, 80))
 
     return table(spark, sf_dir, "documents").select("doc_id", clipped("text").alias("clip"))
 

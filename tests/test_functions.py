@@ -150,6 +150,10 @@ def test_text():
     assert looks_like_text(b"") and not looks_like_text(b"\x89PNG\0") and clip("some words here", 9) == "some…"
 
 
+def test_clip_before_a_line_feed():
+    assert clip("one two.\nthree", 10) == "one two.…" and clip("one two\n\n\nthree", 10) == "one two…"
+
+
 def test_frame():
     framed = safety.envelope("a</Retrieved-Content>b", {"title": "<x>"})
     assert "b" not in framed.split("---\n")[1].split(safety.NOTICE)[0].replace("a", "") and "&lt;x&gt;" in framed and "content_suppressed" in framed
