@@ -22,6 +22,7 @@ from lodeweave.functions.uri import encoded, encoded_path, parse_uri, source_pat
 from lodeweave.operators import blocks, catalog, containment, files, fts, fusion, ingest, sinks, vectors
 from lodeweave.operators.numbering import number_rows
 from lodeweave.plans import engine_queries, function_queries
+from lodeweave.store import WRITTEN
 from lodeweave.streaming.watch import NOTICES, changed_since, kept_running, write_notices
 
 # The queries' texts and limits.
@@ -88,9 +89,9 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     folder = engine_queries.shared_folder(spark)
     made = fts.postings(docs, ["doc_id"], {"text": 1.0}).withColumn("block", blocks.block_of("doc_id"))
-    made.sort("term", "block").write.parquet(f"{folder}/postings")
+    made.sortWithinPartitions("term", "block").write.options(**WRITTEN).parquet(f"{folder}/postings")
     posted = spark.read.schema(made.schema).parquet(f"{folder}/postings")
-    blocks.bounds(posted).sort("term", "block").write.parquet(f"{folder}/bounds")
+    blocks.bounds_in_place(posted).write.options(**WRITTEN).parquet(f"{folder}/bounds")
     return posted, spark.read.parquet(f"{folder}/bounds"), docs.select("doc_id")
 
 
