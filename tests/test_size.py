@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.api import Engine
-from lodeweave.operators import blocks, fts, ingest, trigrams
+from lodeweave.operators import blocks, files, fts, ingest, trigrams
 from lodeweave.operators.numbering import number_in_place
 
 TEXTS = ["the cat and the dog", None, "", "A Cat 😀 sat", "the the the", "no", "x\ny z"] * 30
@@ -51,3 +51,20 @@ def test_ingest_gives_a_table(spark, tmp_path):
     nodes = engine.store.table("nodes").select("id", "name", "content").collect()
     assert sorted(r.id for r in nodes) == list(range(1, 41)) and all(r.content == f"text {r.name[:-3]}" for r in nodes)
     assert {r.chunks for r in engine.report_table().where("status = 'ready'").collect()} == {1}
+
+
+def test_pages_read_ahead_equal_pages_read_alone(spark, monkeypatch):
+    monkeypatch.setattr(files, "GREP_FILES", 4)
+    rows = [(i, "doc", f"{i}.md", "c", f"{i}.md", f"u{i}", "doc", 1, None if i % 7 == 0 else "the\nx\nthe cat\nthe" if i % 3 else "nothing") for i in range(1, 40)]
+    nodes = spark.createDataFrame(rows, "id long, kind string, name string, collection string, path string, uri string, role string, size_bytes long, content string").coalesce(1).persist()
+    for ahead_of, limit in ((10_000, 5), (9, 5), (10_000, 100)):
+        monkeypatch.setattr(files, "AHEAD", ahead_of)
+        after, served, ahead = (0, 0), 0, None
+        while after is not None:
+            want = files.grep_page(nodes, "^the", None, True, limit, after)
+            ahead = files.grep_ahead(nodes, "^the", None, True, after) if ahead is None or ahead.page(limit, after) is None else ahead
+            got = ahead.page(limit, after)
+            assert got is None or got == want
+            served += got is not None
+            after = want[1]
+        assert served > 3
