@@ -1,45 +1,144 @@
 """Set-containment join: pairs of sets of which the smaller lies nearly within the other.
 
 Equal sets are one class.  A set of n words, of which at least o must be in another of its size or larger, shares at least
-NEEDED of any n - o + NEEDED of its words with it.  Its rarest words are taken, and meet all words of the sets of their group
-that aren't smaller; what meets often enough is compared as a whole.  A word is rare if it isn't among the frequent ones,
-of which there are FREQUENT at most, so their counts can be broadcast; as any choice of words gives all pairs, that decides
-on time alone.  Adaptive execution splits words that very many sets have.
+NEEDED of any n - o + NEEDED of its words with it.  Its rarest words are taken; as any choice of words gives all pairs, what
+counts as rare decides on time alone, so words are counted by FREQUENT hashed slots.  The sets of a group are dealt to parts, and the
+chosen words of a part meet all words of another within one task, which passes on the pairs that share enough alone: what
+words have in common is never shuffled.  Sets are sent once for each part that they meet, and a part has so many words that a
+group takes few.  Words are met by hashes, which at most add pairs; those that are left are compared word by word.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a pair must share among the chosen ones, where it must share so many at all; and words whose counts are broadcast.
-NEEDED, FREQUENT = 3, 50_000
+#: Words that a pair must share among the chosen ones, where it must share so many at all; slots by which frequent words are told from others.
+NEEDED, FREQUENT = 10, 1 << 20
+#: Words of the sets whose words are met in one task, and of those whose chosen words meet them.
+MET_WORDS, CHOSEN_WORDS = 12_000_000, 64_000_000
+#: Pairs of sets, and of words, that are counted at a time.
+_CELLS, _MATCHES = 1 << 23, 1 << 22
+
+
+def _least(n: object, share: float) -> object:
+    return (F.floor(n * F.lit(float(share)) + 1e-9) + 1).cast("int")  # type: ignore[operator]
+
+
+def _flat(lists: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values, and how many each list has."""
+    whole = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    whole = pa.concat_arrays(whole.chunks) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(whole).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _word_counts(sets: DataFrame) -> np.ndarray:
+    """How many words each slot has.  FREQUENT numbers are all that comes to the driver."""
+
+    many = FREQUENT
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(many, np.int64)
+        for batch in batches:
+            total += np.bincount(_flat(batch.column(0))[0] % many, minlength=many)
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
+
+    found = sets.select("codes").mapInArrow(tallied, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(FREQUENT, np.int64)
+    out[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _met(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of a left set and a right one, not smaller, that has enough of the left one's chosen words.  A pair of one size may come from both sides."""
+    chosen, of_left = _flat(left.column("chosen"))
+    words, of_right = _flat(right.column("codes"))
+    order = np.argsort(words, kind="stable")
+    words, owner = words[order], np.repeat(np.arange(right.num_rows, dtype=np.int32), of_right)[order]
+    del order
+    low = np.searchsorted(words, chosen)
+    times = np.searchsorted(words, chosen, "right") - low
+    ends = np.concatenate([[0], np.cumsum(of_left)])
+    before = np.concatenate([[0], np.cumsum(times)])
+    nx, ny, needed = (t.column(c).to_numpy() for t, c in ((left, "n"), (right, "ny"), (left, "needed")))
+    out_x, out_y, at, wide = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, max(1, right.num_rows)
+    while at < left.num_rows:
+        most = int(np.searchsorted(before[ends], before[ends[at]] + _MATCHES, "right")) - 1
+        stop = min(left.num_rows, max(at + 1, min(most, at + _CELLS // wide)))
+        some = slice(ends[at], ends[stop])
+        n = times[some]
+        place = np.repeat(low[some] - (before[some] - before[ends[at]]), n) + np.arange(int(n.sum()))
+        cell = np.repeat(np.repeat(np.arange(stop - at), of_left[at:stop]), n) * wide + owner[place]
+        if len(cell) * 8 < (stop - at) * wide:
+            pairs, shared = np.unique(cell, return_counts=True)
+        else:
+            counts = np.bincount(cell)
+            pairs = np.flatnonzero(counts)
+            shared = counts[pairs]
+        x, y = pairs // wide + at, pairs % wide
+        fine = (shared >= needed[x]) & (nx[x] <= ny[y])
+        out_x.append(x[fine])
+        out_y.append(y[fine])
+        at = stop
+    x, y = np.concatenate(out_x), np.concatenate(out_y)
+    return pa.table({"x": left.column("id").take(pa.array(x)), "nx": pa.array(nx[x], pa.int32()), "y": right.column("y").take(pa.array(y)), "ny": pa.array(ny[y], pa.int32())})
+
+
+def _candidates(sets: DataFrame, share: float) -> DataFrame:
+    """(x, nx, y) of classes of one group that may be a pair, once each.  sets: id, grp, n, codes of classes."""
+    counts = sets.sparkSession.sparkContext.broadcast(_word_counts(sets))
+
+    @F.arrow_udf("array<int>")
+    def rarest(codes: pa.Array, many: pa.Array) -> pa.Array:
+        flat, sizes = _flat(codes)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        flat = flat[np.lexsort((flat, counts.value[flat % len(counts.value)], of))]
+        kept = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) < np.repeat(many.to_numpy(zero_copy_only=False), sizes)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=len(sizes)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[kept], pa.int32()))
+
+    least, group = _least(F.col("n"), share), F.xxhash64(F.col("grp").isNull(), "grp")
+    keyed = sets.withColumn("code", group).withColumn("needed", F.least(F.lit(NEEDED), least))
+    by_group = keyed.groupBy("code").agg(F.sum("n").alias("words"))
+    total = by_group.agg(F.sum("words")).first()[0] or 0
+    large = by_group.where(F.col("words") > MET_WORDS)  # fewer than there are parts; the others share parts
+    placed = keyed.join(F.broadcast(large), "code", "left")
+    part = F.when(F.col("words").isNull(), F.pmod("code", F.lit(total // MET_WORDS + 1))).otherwise(F.col("code"))
+    mixed = F.transform("codes", lambda c: c.bitwiseXOR(F.shiftright("code", 33).cast("int")))  # words of groups that share a part differ
+    parts = lambda size: F.ceil(F.coalesce("words", F.lit(1)) / size).cast("long")
+    dealt = placed.withColumns({"part": part, "met_parts": parts(MET_WORDS), "chosen_parts": parts(CHOSEN_WORDS), "draw": F.xxhash64("id")})
+    mine = lambda many: F.pmod("draw", F.col(many))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    picked = dealt.withColumn("codes", rarest("codes", F.col("n") - least + F.col("needed")))
+    left = picked.select("part", mine("chosen_parts").alias("i"), every("met_parts").alias("j"), "id", "n", "needed", mixed.alias("chosen"))
+    right = dealt.select(F.col("part").alias("of"), mine("met_parts").alias("to"), every("chosen_parts").alias("from"), F.col("id").alias("y"), F.col("n").alias("ny"), mixed.alias("codes"))
+    kind = sets.schema["id"].dataType.simpleString()
+    met = left.groupBy("part", "i", "j").cogroup(right.groupBy("of", "from", "to")).applyInArrow(_met, f"x {kind}, nx int, y {kind}, ny int")
+    return met.where((F.col("x") != F.col("y")) & ((F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y")))).select("x", "nx", "y")
 
 
-def contained_pairs(rows: DataFrame, id_col: str, words_col: str, group_col: str, share: float) -> tuple[DataFrame, DataFrame]:
+def contained_pairs(rows: DataFrame, id_col: str, words_col: str, group_col: str, share: float, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(a, b, share), a < b, of classes of one group whose common words are more than `share` of the smaller set; (id, class) of every row with a word.
 
-    A class is named by its least id.  Ids must be unique and not null; a null group is a group of its own.
+    A class is named by its least id.  Ids must be unique and not null; a null group is a group of its own.  rows are read several
+    times, unless there is a shared folder to which their sets are written once.
     """
-    sets = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.array_sort(F.array_distinct(words_col)).alias("ws")).where("size(ws) > 0 AND id IS NOT NULL")
-    keyed = sets.withColumn("key", F.sha2(F.concat_ws(" ", "ws"), 256))
+    cut = rows.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.array_sort(F.array_distinct(words_col)).alias("ws")).where("size(ws) > 0 AND id IS NOT NULL")
+    sets = cut.withColumns({"n": F.size("ws"), "key": F.unhex(F.sha2(F.concat_ws(" ", "ws"), 256)), "codes": F.transform("ws", lambda w: F.hash(w))})
+    if folder:
+        sets.write.option("compression", "zstd").parquet(folder)
+        sets = rows.sparkSession.read.schema(sets.schema).parquet(folder)
+    keyed = sets.select("id", "grp", "key")
     classes = keyed.groupBy("grp", "key").agg(F.min("id").alias("class"))
-    members = keyed.select("id", "grp", "key").join(classes.withColumnsRenamed({"grp": "g", "key": "k"}), F.col("grp").eqNullSafe(F.col("g")) & (F.col("key") == F.col("k"))).select(F.col("id").alias(id_col), "class")
-    firsts = sets.join(classes.select("class"), F.col("id") == F.col("class"), "left_semi")
-    each = firsts.select("id", "grp", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    counts = each.groupBy("w").agg(F.count("*").alias("times"))
-    total = counts.agg(F.sum("times")).first()[0] or 0
-    frequent = counts.where(F.col("times") > total // FREQUENT)  # fewer than FREQUENT
-    least = (F.floor(F.col("n") * F.lit(float(share)) + 1e-9) + 1).cast("int")
-    needed = F.least(F.lit(NEEDED), least)
-    ranked = each.join(F.broadcast(frequent), "w", "left").groupBy("id", "grp", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "w"))).alias("by"))
-    chosen = ranked.select("id", "grp", "n", F.explode(F.slice("by", 1, F.col("n") - least + needed)).alias("e")).select(F.col("id").alias("x"), F.col("grp").alias("gx"), F.col("n").alias("nx"), "e.w")
-    # of sets of one size each pair is met from the smaller id alone
-    met = chosen.join(each, "w").where(F.col("gx").eqNullSafe(F.col("grp")) & ((F.col("nx") < F.col("n")) | ((F.col("nx") == F.col("n")) & (F.col("x") < F.col("id")))))
-    often = met.groupBy("x", "nx", "id").agg(F.count("*").alias("times"))
-    enough = F.least(F.lit(NEEDED), (F.floor(F.col("nx") * F.lit(float(share)) + 1e-9) + 1).cast("int"))
-    near = often.where(F.col("times") >= enough).select("x", "nx", F.col("id").alias("y"))
-    of = firsts.select("id", "ws")
-    whole = near.join(of.withColumnsRenamed({"id": "x", "ws": "wx"}), "x").join(of.withColumnsRenamed({"id": "y", "ws": "wy"}), "y")
-    found = whole.withColumn("share", F.size(F.array_intersect("wx", "wy")) / F.col("nx")).where(F.col("share") > share)
+    members = keyed.join(classes.withColumnsRenamed({"grp": "g", "key": "k"}), F.col("grp").eqNullSafe(F.col("g")) & (F.col("key") == F.col("k"))).select(F.col("id").alias(id_col), "class")
+    near = _candidates(sets.select("id", "grp", "n", "codes").join(classes.select("class"), F.col("id") == F.col("class"), "left_semi"), share)
+    of = sets.select("id", "grp", "ws")  # near has classes alone
+    whole = near.join(of.withColumnsRenamed({"id": "x", "grp": "gx", "ws": "wx"}), "x").join(of.withColumnsRenamed({"id": "y", "grp": "gy", "ws": "wy"}), "y")
+    found = whole.where(F.col("gx").eqNullSafe(F.col("gy"))).withColumn("share", F.size(F.array_intersect("wx", "wy")) / F.col("nx")).where(F.col("share") > share)
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "share"), members

@@ -264,7 +264,7 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of one source that say nearly the same: pairs of different sets of words, and each copy with the first of its set."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_of(F.col("text")).alias("w"))
-    pairs, members = containment.contained_pairs(docs, "doc_id", "w", "source", fusion.OVERLAP)
+    pairs, members = containment.contained_pairs(docs, "doc_id", "w", "source", fusion.OVERLAP, f"{engine_queries.shared_folder(spark)}/sets")
     copies = members.where("doc_id <> class").select(F.col("class").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("share"))
     return pairs.select("a", "b", F.round("share", 6).alias("share")).union(copies)
 

@@ -127,6 +127,25 @@ def test_contained_sets(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_contained_sets_pass_on_pairs_alone(spark, monkeypatch):
+    """Sets that share frequent words, in several parts of a group: what is met within the tasks is right, and few pairs leave them."""
+    monkeypatch.setattr(containment, "MET_WORDS", 3_000)
+    monkeypatch.setattr(containment, "CHOSEN_WORDS", 5_000)
+    rng = random.Random(3)
+    base = [[f"c{k}" for k in range(30)] + [f"r{i}-{k}" for k in range(10)] for i in range(200)]
+    sets = [(i, "g" if i % 200 < 180 else None, [w for w in base[i % 200] if rng.random() < 0.97]) for i in range(400)]
+    rows = spark.createDataFrame(sets, "id long, grp string, w array<string>")
+    pairs, members = containment.contained_pairs(rows, "id", "w", "grp", 0.85)
+    classes = {r["class"] for r in members.collect()}
+    of = {i: (g, set(w)) for i, g, w in sets if i in classes}
+    share = lambda a, b: len(a & b) / min(len(a), len(b))
+    want = {(a, b) for a in of for b in of if a < b and of[a][0] == of[b][0] and share(of[a][1], of[b][1]) > 0.85}
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert set(got) == want and len(got) == len(want) > 150
+    sized = rows.where(F.col("id").isin(*classes)).select("id", "grp", F.size("w").alias("n"), F.transform("w", lambda w: F.hash(w)).alias("codes"))
+    assert containment._candidates(sized, 0.85).count() < 2 * len(want)
+
+
 def test_paths_have_no_greatest_number(spark):
     schema = "id long, collection string, name string"
     stored = spark.createDataFrame([("c", "x.md"), *(("c", f"x-{n}.md") for n in range(1, 130) if n not in (7, 101))], "collection string, path string")
