@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions import paging, safety
 from lodeweave.functions.frontmatter import SkillError, parse_skill, strip_frontmatter
 from lodeweave.functions.markdown import blocks_from_markdown
+from lodeweave.functions.slices import mapped
 from lodeweave.functions.text import TextError, decode_text, looks_like_text
 from lodeweave.functions.uri import UriError, check_path, path_to_uri, uri_to_path
 from lodeweave.operators import catalog
@@ -28,14 +29,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")
 
 
-def _mapped(kind: str, function: Callable[[Any], Any], column: Column) -> Column:
-    @F.pandas_udf(kind)
-    def each(values: pd.Series) -> pd.Series:
-        return values.map(function)
-
-    return each(column)
-
-
 def _extension() -> Column:
     return F.element_at(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % len(EXTENSIONS) + 1).cast("int"))
 
@@ -44,7 +37,7 @@ def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension, MIME type and role of members of bundles."""
     folder = F.when(F.col("doc_id") % 4 == 0, "scripts/").when(F.col("doc_id") % 4 == 1, "references/").when(F.col("doc_id") % 4 == 2, "assets/").otherwise("")
     named = _docs(spark, sf_dir).withColumn("path", F.concat(folder, F.lit("f"), F.col("doc_id").cast("string"), F.lit("."), _extension()))
-    return named.select("doc_id", _mapped("string", files.extension, F.col("path")).alias("extension"), _mapped("string", files.mime_of, F.col("path")).alias("mime"), _mapped("string", files.role_of, F.col("path")).alias("role"))
+    return named.select("doc_id", mapped("string", files.extension, F.col("path")).alias("extension"), mapped("string", files.mime_of, F.col("path")).alias("mime"), mapped("string", files.role_of, F.col("path")).alias("role"))
 
 
 def _encoded_text() -> Column:
@@ -64,7 +57,7 @@ def _hash_or_reason(data: bytes) -> str:
 
 def decoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _docs(spark, sf_dir).select("doc_id", _encoded_text().alias("data"))
-    return data.select("doc_id", _mapped("string", _hash_or_reason, F.col("data")).alias("hash"), _mapped("boolean", looks_like_text, F.substring("data", 1, 1)).alias("textlike"))
+    return data.select("doc_id", mapped("string", _hash_or_reason, F.col("data")).alias("hash"), mapped("boolean", looks_like_text, F.substring("data", 1, 1)).alias("textlike"))
 
 
 def detected_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,32 +90,29 @@ def guarded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         return True
 
     shape = F.element_at(F.array(*map(F.lit, shapes)), (F.col("doc_id") % len(shapes) + 1).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", _mapped("boolean", fine, F.concat(shape, F.col("doc_id").cast("string"))).alias("fine"))
+    return _docs(spark, sf_dir).select("doc_id", mapped("boolean", fine, F.concat(shape, F.col("doc_id").cast("string"))).alias("fine"))
 
 
 def paths_and_uris(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths to addresses, and back."""
     path = F.concat(F.lit("/docs/"), F.col("source"), F.lit("/a b/"), F.col("doc_id").cast("string"), F.lit("é.md"))
-    named = _docs(spark, sf_dir).select("doc_id", path.alias("path")).withColumn("uri", _mapped("string", path_to_uri, F.col("path")))
-    return named.select("doc_id", "uri", _mapped("string", uri_to_path, F.col("uri")).alias("path"))
+    named = _docs(spark, sf_dir).select("doc_id", path.alias("path")).withColumn("uri", mapped("string", path_to_uri, F.col("path")))
+    return named.select("doc_id", "uri", mapped("string", uri_to_path, F.col("uri")).alias("path"))
 
 
-def _pages(text: str) -> tuple[str, int]:
+def _pages(text: str) -> dict[str, Any]:
     whole, cursor, n = "", None, 0
     while True:
         page = paging.text_page(text, "k", PAGE_TOKENS, cursor)
         whole, cursor, n = whole + page.text, page.next_cursor, n + 1
         if cursor is None:
-            return hashlib.sha256(whole.encode()).hexdigest(), page.total_lines
+            return {"hash": hashlib.sha256(whole.encode()).hexdigest(), "total_lines": page.total_lines}
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts read page by page, by cursors."""
-    @F.pandas_udf("hash string, total_lines long")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_pages(t) for t in texts], columns=["hash", "total_lines"])
-
-    return _docs(spark, sf_dir).select("doc_id", read("text").alias("p")).select("doc_id", "p.hash", "p.total_lines")
+    read = mapped("hash string, total_lines long", _pages, F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", read.alias("p")).select("doc_id", "p.hash", "p.total_lines")
 
 
 def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +121,7 @@ def fitted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = text.split("\n")
         return len(paging.fit_entries(lines, str, LINES_TOKENS)[0]) if len(lines[0]) + 2 <= 4 * LINES_TOKENS else -1
 
-    return _docs(spark, sf_dir).select("doc_id", _mapped("long", fits, F.col("text")).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", mapped("long", fits, F.col("text")).alias("n"))
 
 
 def enveloped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +131,7 @@ def enveloped_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = out[out.index("---\n") + 4 : out.rindex("\n</")]
         return hashlib.sha256(body.replace(safety.NOTICE, "").encode()).hexdigest()
 
-    return _docs(spark, sf_dir).select("doc_id", _mapped("string", framed, F.col("text")).alias("hash"))
+    return _docs(spark, sf_dir).select("doc_id", mapped("string", framed, F.col("text")).alias("hash"))
 
 
 def skill_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +160,7 @@ def block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = F.concat_ws("\n", F.lit("| a | b |"), F.lit("| - | - |"), F.array_join(F.array_repeat(F.lit("| 1 | 2 |"), (F.col("doc_id") % 4).cast("int")), "\n"))
     markdown = F.concat_ws("\n\n", F.lit("# One"), F.array_join(F.array_repeat(F.lit("a paragraph"), (F.col("doc_id") % 3 + 1).cast("int")), "\n\n"), F.lit("```\n# not a heading\n```"), rows, F.lit("- item\n- item"), F.lit("> quote"), F.lit("***"), F.when(F.col("doc_id") % 2 == 0, "## Two").otherwise("end"))
-    return _docs(spark, sf_dir).select("doc_id", _mapped("string", kinds, markdown).alias("kinds"))
+    return _docs(spark, sf_dir).select("doc_id", mapped("string", kinds, markdown).alias("kinds"))
 
 
 def quantized_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,7 +168,7 @@ def quantized_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
 
     def size(kind: str) -> Column:
-        return _mapped("long", lambda v: quantized(np.array([v], np.float64), kind).nbytes, F.col("embedding"))
+        return mapped("long", lambda v: quantized(np.array([v], np.float64), kind).nbytes, F.col("embedding"))
 
     return base.select("vec_id", *[size(k).alias(k) for k in ("float", "half", "int8", "binary")])
 
@@ -189,7 +179,7 @@ def batch_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
         plan = plan_batches(["short text"] * n + ["x" * 400_000])
         return ",".join(str(len(b)) for b in plan)
 
-    return _docs(spark, sf_dir).select("doc_id", _mapped("string", planned, F.col("doc_id") % 300 + 1).alias("sizes"))
+    return _docs(spark, sf_dir).select("doc_id", mapped("string", planned, F.col("doc_id") % 300 + 1).alias("sizes"))
 
 
 def newest_names(spark: SparkSession, sf_dir: str) -> DataFrame:

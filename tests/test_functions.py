@@ -290,3 +290,31 @@ def test_texts_are_cut_in_linear_time():
         assert chunk_blocks([Block("paragraph", "The quick brown fox. Over 😀 " * n)])
         times.append(time.process_time() - began)
     assert times[1] < 24 * times[0]
+
+
+def test_python_values_are_few_at_a_time(spark):
+    """What Python holds of an Arrow batch doesn't grow with the batch; nulls and empty lists stay."""
+    import pyarrow as pa
+
+    from lodeweave.functions import slices
+
+    held, most = [], []
+
+    class Value(str):
+        def __init__(self, _):
+            held.append(1)
+
+        def __del__(self):
+            held.pop()
+
+    def of(text):
+        most.append(len(held))
+        return None if text is None else [Value(text), ""]
+
+    texts = pa.array([None if i % 7 == 0 else f"t{i}" for i in range(5_000)])
+    got = slices.in_slices(texts, of, pa.list_(pa.string()))
+    assert got.to_pylist() == [None if t is None else [t, ""] for t in texts.to_pylist()] and max(most) <= slices.ROWS
+    assert slices.in_slices(pa.array([], pa.string()), of, pa.list_(pa.string())).to_pylist() == []
+    rows = spark.range(3).selectExpr("id", "CASE WHEN id > 0 THEN concat('x', id) END AS t")
+    out = rows.select(slices.mapped("a string, n long", lambda t: {"a": t, "n": len(t or "")}, rows.t).alias("p")).select("p.a", "p.n")
+    assert sorted(map(tuple, out.collect()), key=str) == [("x1", 2), ("x2", 2), (None, 0)]
