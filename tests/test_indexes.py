@@ -284,3 +284,24 @@ def test_search_by_stored_codes(spark):
     assert all(m.recall >= 0.9 and m.mrr >= 0.9 for kind in ("float", "half", "int8") for m in measured[kind])
     assert measured["binary"][1].recall >= measured["binary"][0].recall
     assert vectors.nearest_codes(codes.limit(0), asked, 3, "binary").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["exact", "float", "binary"])
+def test_queries_of_a_block_are_compared_some_at_a_time(spark, monkeypatch, kind):
+    """No distances of whole blocks: a task holds SOME rows of them.  Ties at the edge go to the least ids."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "SOME", 16)
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.integers(-2, 3, (60, 8)).astype(float) + 0.25, 2, axis=0)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    if kind == "exact":
+        found = vectors.nearest(rows, rows, 5)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d = np.round(1 - u @ u.T, 6)
+    else:
+        found = vectors.nearest_codes(vectors.coded_vectors(rows, kind), rows, 5, kind)
+        u = vectors.quantized(x / np.linalg.norm(x, axis=1, keepdims=True), kind)
+        d = np.round(vectors.quantized_distance(u, u, kind).astype(float), 9)
+    want = {(q, i) for q in range(len(x)) for i in np.lexsort((np.arange(len(x)), d[q]))[:5]}
+    assert {(r.query_id, r.vec_id) for r in found.collect()} == want
