@@ -89,7 +89,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     folder = engine_queries.shared_folder(spark)
     made = fts.postings(docs, ["doc_id"], {"text": 1.0}).withColumn("block", blocks.block_of("doc_id"))
-    made.sortWithinPartitions("term", "block").write.options(**WRITTEN).parquet(f"{folder}/postings")
+    made.write.options(**WRITTEN).parquet(f"{folder}/postings")
     posted = spark.read.schema(made.schema).parquet(f"{folder}/postings")
     blocks.bounds_in_place(posted).write.options(**WRITTEN).parquet(f"{folder}/bounds")
     return posted, spark.read.parquet(f"{folder}/bounds"), docs.select("doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeweave.api import Engine
 from lodeweave.operators import blocks, files, fts, ingest, trigrams
 from lodeweave.operators.numbering import number_in_place
+from lodeweave.store import Commit
 
 TEXTS = ["the cat and the dog", None, "", "A Cat 😀 sat", "the the the", "no", "x\ny z"] * 30
 
@@ -68,3 +69,30 @@ def test_pages_read_ahead_equal_pages_read_alone(spark, monkeypatch):
             served += got is not None
             after = want[1]
         assert served > 3
+
+
+def test_postings_come_in_sorted_runs(rows, tmp_path, monkeypatch):
+    """They are written as they come: no task sorts all that it has."""
+    monkeypatch.setattr(fts, "PLACES", 40)
+    monkeypatch.setattr(fts, "_ROWS", 7)
+    words = fts.analyzed(F.col("text")).alias("words")
+    batch = rows.select("id", words).where("words IS NOT NULL").toArrow().combine_chunks().to_batches()[0]
+    parts = [[r for some in fts._placed(batch.slice(at, n)) for r in some.to_pylist()] for at, n in fts._runs_of(batch.column(1))]
+    assert len(parts) > 5
+    for part in parts:
+        assert [(r["term"].encode(), r["id"]) for r in part] == sorted((r["term"].encode(), r["id"]) for r in part)
+    want = {(w, i): [k for k, x in enumerate(ws, 1) if x == w] for i, ws in zip(*batch.to_pydict().values(), strict=True) for w in ws if w}
+    assert {(r["term"], r["id"]): r["positions"] for part in parts for r in part} == want
+
+
+def test_an_ingest_sorts_no_postings_and_bounds_have_no_documents(spark, tmp_path, monkeypatch):
+    sorts, add = {}, Commit.add
+    monkeypatch.setattr(Commit, "add", lambda self, name, rows, sort="all": sorts.update({name: sort}) or add(self, name, rows, sort))
+    engine = Engine(spark, tmp_path, analyzer="simple")
+    engine.ingest_bytes([(f"{i}.md", b"the cat sat") for i in range(20)])
+    engine.ingest_skill({"SKILL.md": b"---\nname: pet\ndescription: pets\n---\nx", "cat.md": b"the cat"})
+    assert sorts["postings"] == "none"
+    bounds = engine.store.table("bounds")
+    assert bounds.where("kind = 'doc' AND term = 'cat'").count() == 1
+    assert {r.name for r in bounds.where("kind = 'skill'").collect()} == {"pet"}
+    assert len(engine.search(["cat"], scope="skills/pet")) == 1 and len(engine.search(["cat"], scope="docs")) > 1
