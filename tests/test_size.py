@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.api import Engine
-from lodeweave.operators import blocks, files, fts, ingest, trigrams
+from lodeweave.operators import blocks, files, fts, ingest, trigrams, vectors
 from lodeweave.operators.numbering import number_in_place
 from lodeweave.store import Commit
 
@@ -96,3 +97,35 @@ def test_an_ingest_sorts_no_postings_and_bounds_have_no_documents(spark, tmp_pat
     assert bounds.where("kind = 'doc' AND term = 'cat'").count() == 1
     assert {r.name for r in bounds.where("kind = 'skill'").collect()} == {"pet"}
     assert len(engine.search(["cat"], scope="skills/pet")) == 1 and len(engine.search(["cat"], scope="docs")) > 1
+
+
+def test_candidates_are_cut_to_each_querys_best(spark, monkeypatch):
+    """What a task passes on follows the queries, not the pairs of blocks; equal distances go by id, also where only rounding makes them equal."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    x[::3] = x[0]  # copies
+    x[1::30] = x[0] + [0, 0, 0, 1e-4]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3).persist()
+    asked = rows.where("vec_id % 20 = 0")
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    true = spark.createDataFrame([(q, i, float(1 - unit[q] @ unit[i])) for q in range(0, 300, 20) if x[q].any() for i in range(300) if x[i].any()], "q long, i long, d double")
+    want = {}
+    for r in true.select("q", "i", F.round("d", 6).alias("d")).collect():
+        want.setdefault(r.q, []).append((r.d + 0.0, r.i))
+    want = {(q, i, n) for q, found in want.items() for n, (_, i) in enumerate(sorted(found)[:5], 1)}
+    for held in (500_000, 50, 1):
+        monkeypatch.setattr(vectors, "HELD", held)
+        pairs = vectors.nearest(rows, asked, 5)
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in pairs.collect()} == want
+        cells = vectors.nearest_cells(rows, asked, 5, vectors.Cells(unit[[1, 2, 4, 5]], 4))
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in cells.collect()} == want
+    names, ids, d = vectors.best_of(np.repeat([7, 3], 100), np.tile(np.arange(100), 2)[::-1], np.zeros(200), 5)
+    assert list(names) == [3] * 5 + [7] * 5 and list(ids) == [0, 1, 2, 3, 4] * 2 and not d.any()
+
+
+def test_distances_round_as_spark_does(spark):
+    rng = np.random.default_rng(1)
+    halves = (rng.integers(0, 2_000_000, 2_000) + 0.5) / 1e6
+    d = np.concatenate([rng.random(2_000) * 2, halves, np.nextafter(halves, 0), [-1e-16, 0.0, 2.0]])
+    want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(d)], "i long, d double").orderBy("i").select(F.round("d", 6) + F.lit(0.0)).collect()]
+    assert vectors.rounded(d).tolist() == want
