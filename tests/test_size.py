@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import weakref
+from unittest.mock import MagicMock
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +134,41 @@ def test_distances_round_as_spark_does(spark):
     d = np.concatenate([rng.random(2_000) * 2, halves, np.nextafter(halves, 0), [-1e-16, 0.0, 2.0]])
     want = [r[0] for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(d)], "i long, d double").orderBy("i").select(F.round("d", 6) + F.lit(0.0)).collect()]
     assert vectors.rounded(d).tolist() == want
+
+
+def test_chunks_hold_one_batch_and_few_texts(monkeypatch):
+    """A batch goes before the next one is read, and long texts are cut fewer at a time."""
+    made = {}
+    monkeypatch.setattr(ingest, "F", MagicMock())
+    nodes = MagicMock()
+    nodes.select.return_value.mapInArrow.side_effect = lambda cut, schema: made.update(cut=cut)
+    ingest.chunked(nodes, "id", "text")
+    alive = []
+
+    def batches():
+        for k in range(4):
+            gc.collect()
+            assert not [b for b in alive if b() is not None]
+            batch = Batch(pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([f"# {k}\n\ntext {i}" for i in range(600)])], ["node_id", "text"]))
+            alive.append(weakref.ref(batch))
+            yield batch
+            del batch
+
+    found = [b.num_rows for b in made["cut"](batches())]
+    assert sum(found) == 2_400 and max(found) <= ingest._ROWS
+    texts = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * 30, None, "é" * 30, "", "x"])], ["node_id", "text"])
+    monkeypatch.setattr(ingest, "_BYTES", 31)
+    assert [s.num_rows for s in ingest._slices(texts)] == [2, 1, 2]
+
+
+class Batch:
+    """A record batch that can be referred to weakly."""
+
+    def __init__(self, batch):
+        self.batch, self.num_rows = batch, batch.num_rows
+
+    def column(self, k):
+        return self.batch.column(k)
+
+    def slice(self, at, n):
+        return self.batch.slice(at, n)
