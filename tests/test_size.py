@@ -11,9 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodeweave import api
 from lodeweave.api import Engine
 from lodeweave.operators import blocks, files, fts, ingest, trigrams, vectors
-from lodeweave.operators.numbering import number_in_place
+from lodeweave.operators.numbering import marked, marks, number_in_place
 from lodeweave.store import Commit
 
 TEXTS = ["the cat and the dog", None, "", "A Cat 😀 sat", "the the the", "no", "x\ny z"] * 30
@@ -172,3 +173,39 @@ class Batch:
 
     def slice(self, at, n):
         return self.batch.slice(at, n)
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Rows are known by a bit each, also the last of 64, and of later tasks."""
+    spark.range(0, 300, 1, 3).withColumn("at", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    wanted = rows.where("id % 7 = 0 OR id IN (0, 63, 64, 163, 299)")
+    got = marked(rows, marks(wanted, "at"), "at")
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in wanted.collect()) and got.columns == rows.columns
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert marks(rows, "at").count() <= -(-300 // 64) + 3
+
+
+@pytest.mark.parametrize("most", [0, 2, 100_000])
+def test_an_ingest_shuffles_new_texts_alone(spark, tmp_path, monkeypatch, most):
+    """And postings have no names of documents."""
+    monkeypatch.setattr("lodeweave.api.BROADCAST_KEYS", most)
+    asked, ask = [], api.marked
+
+    def told(*a):  # now, as what is staged goes with the commit
+        asked.append(sorted(r.content for r in ask(*a).collect()))
+        return ask(*a)
+
+    monkeypatch.setattr(api, "marked", told)
+    engine = Engine(spark, tmp_path, analyzer="simple")
+    texts = {f"{i}.md": f"# A\n\n{'word ' * (i * 40)}\n\n# B\n\nthe cat {i}" for i in range(15)}
+    engine.ingest_bytes([(n, t.encode()) for n, t in texts.items()])
+    asked.clear()
+    texts |= {"3.md": "a new dog", "41.md": "one more"}
+    engine.ingest_bytes([(n, t.encode()) for n, t in texts.items()])
+    assert asked == ([["a new dog", "one more"]] if most else [])
+    assert {r.name: r.content for r in engine.store.table("nodes").collect()} == texts
+    posted = engine.store.table("postings").select("id", "name").collect()
+    assert {r.id for r in posted} == {r.id for r in engine.store.table("chunks").collect()} and {r.name for r in posted} == {None}
+    assert [h.fields["name"] for h in engine.search(["dog"])] == ["3.md"]
