@@ -146,6 +146,25 @@ def test_contained_sets_pass_on_pairs_alone(spark, monkeypatch):
     assert containment._candidates(sized, 0.85).count() < 2 * len(want)
 
 
+def test_contained_sets_are_judged_where_they_meet(spark, monkeypatch):
+    """Tasks pass on pairs alone, with the number of common words: no candidate meets its words again.  Words of one hash are told apart."""
+    monkeypatch.setattr(containment, "MET_WORDS", 2_000)
+    monkeypatch.setattr(containment, "OFTEN", 8)
+    plain = containment._hashed
+    monkeypatch.setattr(containment, "_hashed", lambda word, salt: plain(word, salt) if salt else F.pmod(plain(word, 0), F.lit(7)))
+    rng = random.Random(5)
+    base = [[f"c{k}" for k in range(20)] + [f"r{i}-{k}" for k in range(12)] for i in range(40)]
+    sets = [(i, None if i % 9 == 4 else f"g{i % 2}", [w for w in base[i % 40] if rng.random() < 0.97]) for i in range(240)]
+    pairs, members = containment.contained_pairs(spark.createDataFrame(sets, "id long, grp string, w array<string>"), "id", "w", "grp", 0.85)
+    classes = {r["class"] for r in members.collect()}
+    of = {i: (g, set(w)) for i, g, w in sets if i in classes}
+    share = lambda a, b: len(a & b) / min(len(a), len(b))
+    want = {(a, b): share(of[a][1], of[b][1]) for a in of for b in of if a < b and of[a][0] == of[b][0] and share(of[a][1], of[b][1]) > 0.85}
+    assert {(r.a, r.b): r.share for r in pairs.collect()} == want and len(want) > 100
+    tree = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMap" in tree and "Join" not in tree.split("FlatMap")[0]
+
+
 def test_paths_have_no_greatest_number(spark):
     schema = "id long, collection string, name string"
     stored = spark.createDataFrame([("c", "x.md"), *(("c", f"x-{n}.md") for n in range(1, 130) if n not in (7, 101))], "collection string, path string")
