@@ -44,6 +44,22 @@ def test_indexes_hold_every_term(rows):
     assert grams == {(g, i) for i, t in enumerate(TEXTS) for g in trigrams.trigrams_of(t or "")}
 
 
+def test_bounds_come_from_texts(spark, tmp_path):
+    """An ingest makes bounds without reading its postings, which are far more; plain texts and others have the same words as the scan's."""
+    texts = [*TEXTS[:40], "ÀÉ×a÷b ß ÿ, x_y Z9²", " Straße\tÉTÉ École ", "Σίσυφος ΣΊΣΥΦΟΣ naïve", "İstanbul ﬁ ½ ×", "１２ abc ABC"]
+    rows = spark.createDataFrame([(i, "k" if i % 3 else None, t) for i, t in enumerate(texts)], "id long, kind string, text string").withColumn("block", F.floor(F.col("id") / 16).cast("long"))
+    posted = fts.postings(rows, ["id", "kind", "block"], {"text": 1.0})
+    want = {(w, i): [k for k, x in enumerate(words, 1) if x == w] for i, words in rows.where("text IS NOT NULL").select("id", fts.analyzed(F.col("text"))).collect() for w in words}
+    assert {(r.term, r.id): r.positions for r in posted.collect()} == want
+    for analyzer in ("simple", "english"):
+        made = fts.most_places(rows, ["block", "kind"], "text", analyzer)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        posted = fts.postings(rows, ["id", "kind", "block"], {"text": 1.0}, analyzer)
+        found = made.groupBy("term", "block", "kind").agg(F.max("most").alias("most")).collect()
+        assert {tuple(r) for r in found} == {tuple(r) for r in blocks.bounds(posted, ["kind"]).collect()} and found
+    assert fts.most_places(rows.where("id < 5"), ["block", "kind"], "text").count() == fts.most_places(rows.where("id < 5"), ["block", "kind"], "text").select("term", "block", "kind").distinct().count()
+
+
 def test_numbers_in_place(spark, rows, tmp_path):
     rows.repartition(5).withColumn("at", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "rows"))
     got = number_in_place(spark.read.parquet(str(tmp_path / "rows")).withColumnRenamed("id", "old"), "at", 7).collect()
